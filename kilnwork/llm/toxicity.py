@@ -26,8 +26,9 @@ LEET = {
 }
 SIGNS = "".join(map(re.escape, LEET))
 GAPS = r" .\-_*"
-#: What the channel charges, in nats: a sign for a letter, a sign for itself, a repeat dropped, a gap dropped or kept.
-SIGN_COST, KEEP_COST, REPEAT_COST, GAP_COST = 1.0, 4.0, 0.7, 0.3
+#: What the channel charges, in nats: a sign for a letter, a sign for itself, a repeat dropped; one of a stretch's
+#: narrowest gaps dropped or kept, and the other way round for its wider gaps.
+SIGN_COST, KEEP_COST, REPEAT_COST, GAP_COST, GAP_KEPT_COST = 1.0, 7.0, 0.7, 0.3, 3.0
 #: Longest stretch that is decoded at once; longer ones are decoded piece by piece.
 PIECE = 96
 #: Decoded stretches that a task keeps.
@@ -36,8 +37,9 @@ KEPT = 200_000
 LETTER = r"[^\W\d_]"
 SPACED = re.compile(rf"(?<![\w{SIGNS}])[\w{SIGNS}](?:[{GAPS}]{{1,2}}[\w{SIGNS}]){{2,}}(?![\w{SIGNS}])")
 SIGNED = re.compile(rf"(?<![\w{SIGNS}]){LETTER}*+(?:[{SIGNS}]++{LETTER}++)++[{SIGNS}]{{0,3}}")
+GAP = re.compile(rf"[{GAPS}]+")
 REPEATED = re.compile(rf"{LETTER}+")
-TRIPLE = re.compile(r"(.)\1\1")
+TRIPLE = re.compile(r"(.)\1\1|(.)\2(.)\3(.)\4")
 
 #: Labelled rows that the word scores and the last step are fitted on.
 SAMPLE_ROWS = 8_000
@@ -65,15 +67,13 @@ def _marks() -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_trigrams(batches):
-    """Counts of character trigrams, a boundary between words and two around a text."""
+    """Counts of character trigrams; what lies between two words, or around a text, is two boundaries."""
     total = np.zeros(SIZE**3, dtype=np.int64)
     for _, texts in text_blocks(batches):
-        flat, starts = codepoints([(t or "").lower() for t in texts], pad=2)
+        flat, _ = codepoints([(t or "").lower() for t in texts], pad=1)
         code = codes()[flat]
-        keep = (code > 0) | (np.roll(code, 1) > 0)
-        ends = np.append(starts[1:], len(flat))
-        keep[ends - 1] = keep[ends - 2] = True
-        code = np.concatenate([[0, 0], code[keep]])
+        code = code[(code > 0) | (np.roll(code, 1) > 0)]
+        code = np.concatenate([[0, 0], np.repeat(code, np.where(code > 0, 1, 2))])
         total += np.bincount(code[:-2] << 12 | code[1:-1] << 6 | code[2:], minlength=SIZE**3)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["cell", "n"])
@@ -104,8 +104,9 @@ class Decoder:
 
     def lattice(self, stretch: str) -> list[list[tuple[str, int, float]]]:
         """For each character its readings: what is written, its code (-1: nothing), and the channel's charge."""
+        narrow = min(map(len, GAP.findall(stretch)), default=1)
         out, run, last = [], 0, ""
-        for c in stretch:
+        for i, c in enumerate(stretch):
             run = run + 1 if c == last else 1
             if c.isalpha():
                 out.append([(c, int(codes()[ord(c)]), 0.0)])
@@ -115,8 +116,13 @@ class Decoder:
                 out.append([(x, int(codes()[ord(x)]), SIGN_COST) for x in LEET[c]] + [(c, 0, KEEP_COST)])
                 if run > 1:
                     out[-1].append(("", -1, REPEAT_COST))
-            elif c.isspace() or c in ".-_*":
-                out.append([("", -1, GAP_COST), (" ", 0, GAP_COST)])
+            elif gap := GAP.match(stretch, i):
+                if i and GAP.match(stretch[i - 1]):
+                    out.append([("", -1, 0.0)])
+                elif len(gap.group()) > narrow:
+                    out.append([("", -1, GAP_KEPT_COST), (" ", 0, GAP_COST)])
+                else:
+                    out.append([("", -1, GAP_COST), (" ", 0, GAP_KEPT_COST)])
             else:
                 out.append([(c, 0, 0.0)])
             last = c
@@ -135,7 +141,7 @@ class Decoder:
                     elif code == 0 and b == 0:
                         state, value = (a, b), score - cost
                     else:
-                        state, value = (b, code), score - cost + model[a, b, code]
+                        state, value = (b, code) if code else (0, 0), score - cost + model[a, b, code]
                     if state not in following or value > following[state][0]:
                         following[state] = (value, (written, path))
             best = following
@@ -171,7 +177,9 @@ class Decoder:
         word = is_letter | sign | (kinds()[flat] == WORD)
         odd = np.zeros(len(flat), dtype=bool)
         odd[:-1] |= sign[:-1] & is_letter[1:]
-        odd[:-2] |= is_letter[:-2] & (flat[:-2] == flat[1:-1]) & (flat[1:-1] == flat[2:])
+        twice = is_letter[:-1] & (flat[:-1] == flat[1:])
+        odd[:-2] |= twice[:-1] & twice[1:]
+        odd[:-5] |= twice[:-4] & twice[2:-2] & twice[4:]
         single = word & ~np.roll(word, 1) & ~np.roll(word, -1)
         near = single & (np.roll(single, 2) & np.roll(gap, 1) | np.roll(single, 3) & np.roll(gap, 1) & np.roll(gap, 2))
         odd[2:] |= near[2:] & (near[:-2] | np.roll(near, 1)[:-2])
@@ -227,8 +235,8 @@ def word_hashes(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     return salted, counts
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
-    """Weights, the bias first, by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 0.1) -> np.ndarray:
+    """Weights, the bias first and the others not negative, by Newton steps."""
     full = np.concatenate([np.ones((len(x), 1)), x], axis=1)
     w = np.zeros(full.shape[1])
     for _ in range(rounds):
@@ -236,6 +244,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float =
         hessian = (full * (p * (1 - p))[:, None]).T @ full + ridge * np.eye(len(w))
         step = np.linalg.solve(hessian, full.T @ (y - p) - ridge * w)
         w += np.clip(step, -2, 2)
+        w[1:] = np.maximum(w[1:], 0)  # more evidence never lowers a score
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -245,18 +254,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     """Fit on about ``sample_rows`` labelled rows outside the held-out third.
 
     The character model takes all of ``docs``. Words and heads are counted by
-    document on one half of the sample; those in at least ``min_docs`` toxic
+    document on two thirds of the sample; those in at least ``min_docs`` toxic
     documents score the lower bound of their log odds. The last step, logistic
-    over the features of a document, is fitted on the other half. The driver
+    over the features of a document, is fitted on the other third. The driver
     gets the scored words, which the sample bounds, and a row of features a
     sampled document. Without both labels every score is 0.5.
     """
     characters = fit_characters(docs)
     outside = labels.filter(~held_out(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     drawn = bounded_sample(outside.filter("label in (0, 1)"), "label", "doc_id", sample_rows)
-    half = (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0).alias("counted")
+    part = (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)) > 0).alias("counted")
     shared = docs.sparkSession.sparkContext.broadcast(characters)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("label").cast("double").alias("label"), half)
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("label").cast("double").alias("label"), part)
 
     def restore(batches):
         decoder = Decoder(shared.value)
