@@ -144,6 +144,7 @@ def cycle_nodes(edges: DataFrame, max_rounds: int = 512) -> DataFrame:
 
 def build_roots(build_nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``build_id, node_id`` of nodes without a parent in the same build."""
+    edges = edges.select("parent_id", "child_id")
     parents = build_nodes.select("build_id", F.col("node_id").alias("parent_id"))
     inner = edges.join(parents, "parent_id").select("build_id", F.col("child_id").alias("node_id"))
     return build_nodes.select("build_id", "node_id").join(inner, ["build_id", "node_id"], "left_anti")

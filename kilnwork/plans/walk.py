@@ -17,6 +17,7 @@ def walk(edges: DataFrame, seeds: DataFrame, src: str, dst: str, keep: Callable[
     from. A round stores its frontier; the driver sees one number a round.
     Raises RuntimeError beyond ``max_rounds``.
     """
+    edges = stored(edges.select(src, dst).distinct())
     frontier = stored(seeds.select("id").distinct().withColumn("level", F.lit(0)))
     seen = frontier
     for level in range(1, max_rounds + 1):
@@ -54,27 +55,27 @@ def fold_up(nodes: DataFrame, edges: DataFrame, own: dict[str, Column], combine:
     """Bottom-up values: ``finish`` of a node's own columns and what ``combine`` makes of its children's values.
 
     ``nodes`` has ``node_id``. ``combine`` gets (node_id, value) rows, one a
-    child, and returns one row a node. A level's nodes are folded at once,
-    from the values of all lower levels. Raises ValueError on a cycle.
+    child, and returns (node_id, folded). A round folds the nodes whose last
+    child was folded in the round before. A child without a node counts as
+    folded but has no value. Raises ValueError on a cycle.
     """
-    level_of, cyclic = levels(edges, max_rounds)
-    if not cyclic.isEmpty():
-        raise ValueError("the graph has a cycle")
-    placed = stored(
-        nodes.select("node_id", *[c.alias(n) for n, c in own.items()])
-        .join(level_of.withColumnRenamed("id", "node_id"), "node_id", "left")
-        .withColumn("level", F.coalesce("level", F.lit(0)))
-    )
-    top = placed.agg(F.max("level")).first()[0]
-    values = None
-    for level in range((top if top is not None else -1) + 1):
-        here = placed.filter(F.col("level") == level).drop("level")
-        if values is None:
-            folded = combine(edges.select(F.col("parent_id").alias("node_id")).limit(0).withColumn("value", F.lit(None)))
-            joined = here.join(folded, "node_id", "left")
-        else:
-            reach = edges.join(here.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi")
-            joined = here.join(combine(reach.join(values.withColumnRenamed("node_id", "child_id"), "child_id").select(F.col("parent_id").alias("node_id"), "value")), "node_id", "left")
-        found = stored(finish(joined).select("node_id", "value"))
-        values = found if values is None else values.unionByName(found)
-    return values if values is not None else finish(placed.drop("level").withColumn("folded", F.lit(None))).select("node_id", "value")
+    edges = stored(edges.select("parent_id", "child_id").distinct())
+    placed = stored(nodes.select("node_id", *[c.alias(n) for n, c in own.items()]))
+    inner = edges.select(F.col("parent_id").alias("node_id")).distinct()
+    fresh = placed.select("node_id").union(edges.select("child_id")).distinct().join(inner, "node_id", "left_anti")
+    blank = combine(edges.select(F.col("parent_id").alias("node_id"), F.lit(None).alias("value")).limit(0))
+    values = stored(finish(placed.join(inner, "node_id", "left_anti").join(blank, "node_id", "left")).select("node_id", "value"))
+    left = edges
+    for _ in range(max_rounds):
+        met = left.join(fresh.select(F.col("node_id").alias("child_id")), "child_id", "left_semi").select(F.col("parent_id").alias("node_id")).distinct()
+        rest = stored(left.join(fresh.select(F.col("node_id").alias("child_id")), "child_id", "left_anti"))
+        fresh = stored(met.join(rest.select(F.col("parent_id").alias("node_id")), "node_id", "left_anti"))
+        if fresh.isEmpty():
+            if not rest.isEmpty():
+                raise ValueError("the graph has a cycle")
+            return values
+        below = edges.join(fresh.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").join(values.withColumnRenamed("node_id", "child_id"), "child_id")
+        folded = combine(below.select(F.col("parent_id").alias("node_id"), "value"))
+        values = values.unionByName(stored(finish(placed.join(fresh, "node_id", "left_semi").join(folded, "node_id", "left")).select("node_id", "value")))
+        left = rest
+    raise RuntimeError(f"the graph is deeper than {max_rounds} levels")

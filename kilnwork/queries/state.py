@@ -1 +1,187 @@
+"""Queries over snapshots and events; streaming operators run here on the whole table at once."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kilnwork.operators import snapshots as m
+from kilnwork.operators.aggregates import tenant_usage
+from kilnwork.queries.aggregates import USAGE_SQL
+from kilnwork.queries.registry import query
+from kilnwork.streaming import events as e
+from kilnwork.streaming import stateful as st
+
+ORDER = ["small", "medium", "large"]
+
+
+@query("m1_insert_if_absent", """
+SELECT node_id, pname, false AS inserted FROM fx_nodes WHERE layer < 4 UNION ALL SELECT node_id, pname, true FROM fx_nodes WHERE layer >= 4 AND layer <> 6""")
+def _(t):
+    return m.insert_if_absent(t.fx_nodes.filter("layer < 4").select("node_id", "pname"), t.fx_nodes.filter("layer <> 6").select("node_id", "pname"), ["node_id"])
+
+
+@query("m2_upsert", """
+SELECT coalesce(o.node_id, n.node_id) AS node_id, CASE WHEN o.node_id IS NULL THEN n.retry_count WHEN n.node_id IS NULL THEN o.retry_count ELSE greatest(o.retry_count, n.retry_count) END AS retry_count,
+  coalesce(n.pname, o.pname) AS pname FROM (SELECT * FROM fx_nodes WHERE layer < 5) AS o
+FULL JOIN (SELECT node_id, 25 AS retry_count, CASE WHEN is_floating THEN NULL ELSE 'new' END AS pname FROM fx_nodes WHERE layer > 2) AS n ON o.node_id = n.node_id""")
+def _(t):
+    cols = ["node_id", "retry_count", "pname"]
+    new = t.fx_nodes.filter("layer > 2").select("node_id", F.lit(25).alias("retry_count"), F.when(~F.col("is_floating"), F.lit("new")).alias("pname"))
+    return m.upsert(t.fx_nodes.filter("layer < 5").select(*cols), new, ["node_id"], {"retry_count": F.greatest})
+
+
+@query("m3_close_assignments", """
+SELECT a.node_id, a.generation, a.line_no, a.builder_id, CASE WHEN a.status = 'acknowledged' AND n.status IN ('completed', 'skipped') THEN 'completed' WHEN a.status = 'acknowledged' AND n.status = 'cancelled' THEN 'cancelled'
+  WHEN a.status = 'acknowledged' AND n.status IN ('poisoned', 'dependency_failed') THEN 'failed' ELSE a.status END AS status FROM fx_assignments AS a JOIN fx_nodes AS n ON a.node_id = n.node_id""")
+def _(t):
+    return m.close_assignments(t.fx_assignments, t.fx_nodes).select("node_id", "generation", "line_no", "builder_id", "status")
+
+
+@query("m4_append_failed_builder", """
+SELECT n.node_id, coalesce(string_agg(DISTINCT CAST(builder_id AS VARCHAR), ',' ORDER BY CAST(builder_id AS VARCHAR)), '') AS builders
+FROM fx_nodes AS n LEFT JOIN (SELECT node_id, builder_id FROM fx_assignments WHERE status = 'failed' UNION ALL SELECT node_id, 1000 FROM fx_nodes) AS a ON a.node_id = n.node_id GROUP BY n.node_id""")
+def _(t):
+    nodes = t.fx_nodes.select("node_id", F.array(F.lit(1000).cast("long")).alias("failed_builders"))
+    out = m.append_failed_builder(nodes, t.fx_assignments.filter("status = 'failed'"))
+    return out.select("node_id", F.array_join(F.array_sort(F.col("failed_builders").cast("array<string>")), ",").alias("builders"))
+
+
+@query("m5_clear_poison", "SELECT node_id, CASE WHEN status = 'poisoned' AND arrival % 48 > 24 THEN 'created' ELSE status END AS status FROM fx_nodes")
+def _(t):
+    kept, left = m.clear_poison(t.fx_nodes, F.col("arrival") % 48)
+    return kept.unionByName(left).select("node_id", "status")
+
+
+@query("m6_expire", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOUR")
+def _(t):
+    return m.expire(t.events, "ts", "24 hours", "2024-01-20 00:00:00").select("event_id")
+
+
+@query("m7_promote_floor", """
+WITH f AS (SELECT node_id, max(CASE assigned_class WHEN 'small' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS r FROM fx_samples WHERE duration_secs > 300 GROUP BY node_id)
+SELECT n.node_id, CASE WHEN r IS NULL THEN 'medium' ELSE 'large' END AS floor FROM fx_nodes AS n LEFT JOIN f ON f.node_id = n.node_id""")
+def _(t):
+    failures = t.fx_samples.filter("duration_secs > 300").select("node_id", F.lit("resource").alias("reason"), F.col("assigned_class").alias("failed_class"))
+    return m.promote_floor(t.fx_nodes.select("node_id", F.lit("medium").alias("floor")), failures, ORDER)
+
+
+@query("m8_strip_features", "SELECT node_id, CASE WHEN is_floating THEN 'large' ELSE 'small' END AS floor, 'kvm' AS features FROM fx_nodes")
+def _(t):
+    features = F.when(F.col("is_floating"), F.array(F.lit("big"), F.lit("kvm"))).otherwise(F.array(F.lit("kvm")))
+    out = m.strip_features(t.fx_nodes.select("node_id", F.lit("small").alias("floor"), features.alias("features")), {"big": "large"}, ORDER)
+    return out.withColumn("features", F.array_join("features", ","))
+
+
+@query("m9_violations", """
+SELECT 'one active' AS rule, node_id AS id, count(*) AS n FROM fx_assignments WHERE status = 'acknowledged' GROUP BY node_id HAVING count(*) > 1
+UNION ALL SELECT 'edge end', id, count(*) FROM (SELECT parent_id AS id FROM fx_edges UNION ALL SELECT child_id FROM fx_edges) WHERE id NOT IN (SELECT node_id FROM fx_nodes WHERE layer <> 3) GROUP BY id
+UNION ALL SELECT 'status', node_id, 1 FROM fx_nodes WHERE layer <> 3 AND status = 'created'""")
+def _(t):
+    from kilnwork.operators.filters import DISPLAY
+
+    return m.constraint_violations(t.fx_nodes.filter("layer <> 3"), t.fx_edges, t.fx_assignments, [s for s in DISPLAY if s != "created"])
+
+
+@query("t1_ingest_events", "SELECT build_id, sequence, event_id FROM fx_event_log")
+def _(t):
+    twice = t.fx_event_log.union(t.fx_event_log)
+    return e.ingest_events(twice).select("build_id", "sequence", "event_id")
+
+
+@query("t2_replay", "SELECT sequence, kind FROM fx_event_log WHERE build_id = 8 AND sequence > 5 AND sequence <= 40")
+def _(t):
+    return e.replay(t.fx_event_log, 8, 5, 40).select("sequence", "kind")
+
+
+@query("t3_outcome_counts", "SELECT date_trunc('minute', ts) AS window_start, kind, count(*) AS n FROM fx_event_log GROUP BY ALL")
+def _(t):
+    return e.outcome_counts(t.fx_event_log)
+
+
+@query("t4_outcome_rate", """
+SELECT date_trunc('minute', ts) - to_minutes(CAST(i AS INTEGER)) AS window_start, kind, round(count(*) / 300.0, 6) AS rate FROM fx_event_log, range(0, 5) AS r(i) GROUP BY ALL""")
+def _(t):
+    return e.outcome_rate(t.fx_event_log).withColumn("rate", F.round("rate", 6))
+
+
+@query("t5_watch_sessions", """
+WITH g AS (SELECT build_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS fresh FROM fx_event_log WINDOW w AS (PARTITION BY build_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY build_id ORDER BY ts) AS k FROM g)
+SELECT build_id, min(ts) AS session_start, max(ts) + INTERVAL 3 HOUR AS session_end, count(*) AS n FROM s GROUP BY build_id, k""")
+def _(t):
+    return e.watch_sessions(t.fx_event_log, "3 hours")
+
+
+def _node_changes(t):
+    status = F.element_at(F.create_map(*[x for k, v in {"queued": "created", "started": "queued", "completed": "completed", "cached": "ready", "failed": "assigned"}.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
+    return t.fx_event_log.select(F.col("build_id").alias("node_id"), "sequence", status.alias("status"))
+
+
+@query("t6_node_states")
+def _(t):
+    return st.node_states(_node_changes(t))
+
+
+@query("t7_build_states")
+def _(t):
+    status = F.when(F.col("kind") == "queued", "pending").when(F.col("kind") == "started", "active").when(F.col("kind") == "failed", "failed").otherwise("succeeded")
+    return st.build_states(t.fx_event_log.select("build_id", "sequence", status.alias("status")))
+
+
+@query("t8_silences", """
+SELECT user_id AS executor_id, ts FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n - ts >= INTERVAL 4 HOUR""")
+def _(t):
+    from kilnwork.operators.windows import missed_heartbeats
+
+    beats = t.events.select(F.col("user_id").alias("executor_id"), "ts", F.col("event_id").alias("beat_id"))
+    last = beats.groupBy("executor_id").agg(F.max("ts").alias("last"))
+    return missed_heartbeats(beats, "2024-02-01 00:00:00", interval=4800).join(last, "executor_id").filter("ts < last").select("executor_id", "ts")
+
+
+@query("t9_live_ema", """
+WITH o AS (SELECT build_id, sequence, value FROM fx_event_log)
+SELECT a.build_id, a.sequence, round(sum(b.value * CASE WHEN b.sequence = 1 THEN 1.0 ELSE 0.3 END * pow(0.7, a.sequence - b.sequence)) + 1e-9, 4) AS ema, count(*) AS n
+FROM o AS a JOIN o AS b ON a.build_id = b.build_id AND b.sequence <= a.sequence GROUP BY a.build_id, a.sequence""")
+def _(t):
+    return st.live_ema(t.fx_event_log.select("build_id", "sequence", "value"), "build_id").withColumn("ema", F.round(F.col("ema") + 1e-9, 4))
+
+
+@query("t10_rate_limit")
+def _(t):
+    rows = t.fx_event_log.select("build_id", "sequence", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_secs"))
+    return st.rate_limit(rows, "build_id", per_minute=0.01, burst=3)
+
+
+@query("t11_quota_gate", f"""
+SELECT event_id, coalesce(verdict <> 'over', true) AS admitted FROM events LEFT JOIN ({USAGE_SQL}) AS u ON u.tenant_id = user_id""")
+def _(t):
+    usage = tenant_usage(t.fx_paths, t.fx_path_tenants, t.fx_tenants)
+    return e.quota_gate(t.events.withColumn("tenant_id", F.col("user_id")), usage).select("event_id", "admitted")
+
+
+@query("t12_pair_start_finish", """
+SELECT s.build_id, s.ts, f.ts AS f_ts, f.ts IS NULL AS timed_out FROM (SELECT * FROM fx_event_log WHERE kind = 'started') AS s
+LEFT JOIN (SELECT * FROM fx_event_log WHERE kind = 'completed') AS f ON s.build_id = f.build_id AND f.ts >= s.ts AND f.ts <= s.ts + INTERVAL 6 HOUR""")
+def _(t):
+    log = t.fx_event_log.withColumn("node", F.lit(0))
+    return e.pair_start_finish(log.filter("kind = 'started'"), log.filter("kind = 'completed'"), "6 hours").select("build_id", "ts", "f_ts", "timed_out")
+
+
+@query("t13_tail", "SELECT build_id AS log_id, sequence AS line_no FROM fx_event_log QUALIFY row_number() OVER (PARTITION BY build_id ORDER BY sequence DESC) <= 3")
+def _(t):
+    from kilnwork.operators.windows import log_tail
+
+    return log_tail(t.fx_event_log.select(F.col("build_id").alias("log_id"), F.col("sequence").alias("line_no")), 3)
+
+
+@query("t14_late_rows", "SELECT event_id, ts < TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 2 HOUR AS late FROM events")
+def _(t):
+    on_time, late = e.late_rows(t.events, F.expr("timestamp_ntz'2024-01-10 00:00:00'"), "2 hours")
+    return on_time.select("event_id", F.lit(False).alias("late")).unionAll(late.select("event_id", F.lit(True)))
+
+
+@query("t15_alerts", """
+SELECT date_trunc('hour', ts) AS window_start, CASE kind WHEN 'failed' THEN 'failures' ELSE 'cached' END AS rule, count(*) AS value FROM fx_event_log WHERE kind IN ('failed', 'cached')
+GROUP BY date_trunc('hour', ts), kind HAVING count(*) > CASE kind WHEN 'failed' THEN 4 ELSE 5 END""")
+def _(t):
+    return e.alerts(t.fx_event_log, [("failures", "failed", 4), ("cached", "cached", 5)], "1 hour")

@@ -39,7 +39,7 @@ def move(moves: dict, state: str | None, to: str) -> tuple[str | None, str | Non
 
 def fold_states(moves: dict) -> Callable[[dict | None, dict], tuple[dict, dict]]:
     def step(state: dict | None, row: dict) -> tuple[dict, dict]:
-        before = state["status"] if state else None
+        before = state["status"] or None if state else None
         after, fault = move(moves, before, row["status"])
         return {"status": after or ""}, {"status": after, "fault": fault}
 
