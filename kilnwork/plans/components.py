@@ -34,11 +34,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     are allowed, edges with a null end are left out. Raises RuntimeError after
     ``max_rounds``.
     """
-    now = (
-        edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-        .filter("u is not null and v is not null and u <> v")
-        .distinct()
-    )
+    ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
+    now = stored(ends.filter("u is not null and v is not null and u <> v").distinct())
     state = None
     for _ in range(max_rounds):
         now = stored(_small_star(_large_star(now)))
