@@ -72,8 +72,7 @@ def quota_gate(stream: DataFrame, usage: DataFrame) -> DataFrame:
 def pair_start_finish(starts: DataFrame, finishes: DataFrame, timeout: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
     """Each start with its finish of the same (build_id, node) within ``timeout``, or ``timed_out``."""
     s = _timed(starts, watermark).alias("s")
-    f = _timed(finishes.select(F.col("build_id").alias("f_build"), F.col("node").alias("f_node"), F.col("ts").alias("f_ts")), watermark)
-    f = f if not finishes.isStreaming else finishes.select(F.col("build_id").alias("f_build"), F.col("node").alias("f_node"), F.col("ts").alias("f_ts")).withWatermark("f_ts", watermark)
+    f = _timed(finishes, watermark).select(F.col("build_id").alias("f_build"), F.col("node").alias("f_node"), F.col("ts").alias("f_ts"))
     on = (F.col("s.build_id") == F.col("f_build")) & (F.col("s.node") == F.col("f_node")) & (F.col("f_ts") >= F.col("s.ts")) & (F.col("f_ts") <= F.col("s.ts") + F.expr(f"interval {timeout}"))
     return s.join(f, on, "leftOuter").select("build_id", "node", F.col("s.ts").alias("ts"), "f_ts", F.col("f_ts").isNull().alias("timed_out"))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Statuses that may follow each status of a node, and of a build.
 NODE_MOVES = {
@@ -76,12 +76,12 @@ def fold_bucket(per_minute: float, burst: float) -> Callable[[dict | None, dict]
 class FoldProcessor(StatefulProcessor):
     """Runs a fold over each key's rows in the order of ``order``; one output row an input row."""
 
-    def __init__(self, step, key_names: list[str], order: list[str], state_schema: str, out_columns: list[str]):
-        self.step, self.key_names, self.order, self.state_schema, self.out_columns = step, key_names, order, state_schema, out_columns
+    def __init__(self, step, order: list[str], state_schema: StructType, out_columns: list[str]):
+        self.step, self.order, self.state_schema, self.out_columns = step, order, state_schema, out_columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", StructType.fromDDL(self.state_schema))
-        self.fields = StructType.fromDDL(self.state_schema).fieldNames()
+        self.state = handle.getValueState("fold", self.state_schema)
+        self.fields = self.state_schema.fieldNames()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(self.order)
@@ -106,7 +106,7 @@ class HeartbeatProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", StructType.fromDDL("at_millis long"))
+        self.last = handle.getValueState("last", StructType([StructField("at_millis", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         latest = max(int(f["ts"].max().timestamp() * 1000) for f in rows)
@@ -134,7 +134,7 @@ class TailProcessor(StatefulProcessor):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.lines = handle.getListState("lines", StructType.fromDDL("line_no long, line string"))
+        self.lines = handle.getListState("lines", StructType([StructField("line_no", LongType()), StructField("line", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = [tuple(x) for x in self.lines.get()] if self.lines.exists() else []
@@ -152,7 +152,7 @@ def run_fold(df: DataFrame, keys: list[str], order: list[str], step, state_schem
     """A fold over each key: stateful on a stream, over whole keys on a table."""
     columns = StructType.fromDDL(out_schema).fieldNames()
     if df.isStreaming:
-        processor = FoldProcessor(step, keys, order, state_schema, columns)
+        processor = FoldProcessor(step, order, StructType.fromDDL(state_schema), columns)
         return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=StructType.fromDDL(out_schema), outputMode=mode, timeMode="None")
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
