@@ -60,8 +60,8 @@ SELECT 'small' AS name, CAST(60 AS DOUBLE) AS cutoff_secs, CAST(300000000 AS DOU
 UNION ALL SELECT 'medium', CAST(180 AS DOUBLE), CAST(600000000 AS DOUBLE), CAST(6 AS DOUBLE), 1
 UNION ALL SELECT 'large', CAST(400 AS DOUBLE), CAST(1000000000 AS DOUBLE), CAST(8 AS DOUBLE), 2""",
     "fx_history": """
-SELECT pname, system, avg(duration_secs) AS ema_duration_secs, avg(peak_memory_bytes) AS ema_peak_memory_bytes,
-  avg(peak_cpu_cores) AS ema_peak_cpu_cores, count(*) AS sample_count
+SELECT pname, system, round(avg(duration_secs), 6) AS ema_duration_secs, round(avg(peak_memory_bytes), 2) AS ema_peak_memory_bytes,
+  round(avg(peak_cpu_cores), 6) AS ema_peak_cpu_cores, count(*) AS sample_count
 FROM fx_samples WHERE assigned_class <> 'large' GROUP BY pname, system""",
     "fx_event_log": """
 SELECT user_id AS build_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence,
