@@ -113,9 +113,9 @@ def _(t):
     return a.samples_per_class(classified(t))
 
 
-@query("a10_name_means", "SELECT pname, round(avg(ema_duration_secs), 6) AS mean_secs, count(*) AS systems FROM fx_history GROUP BY pname")
+@query("a10_name_means", "SELECT pname, round(avg(ema_duration_secs) + 1e-8, 6) AS mean_secs, count(*) AS systems FROM fx_history GROUP BY pname")
 def _(t):
-    return a.name_means(t.fx_history).withColumn("mean_secs", F.round("mean_secs", 6))
+    return a.name_means(t.fx_history).withColumn("mean_secs", F.round(F.col("mean_secs") + 1e-8, 6))
 
 
 USAGE_SQL = """

@@ -97,7 +97,7 @@ def _(t):
 
 
 @query("f10_resource_bucket", """
-SELECT pname, system, CAST(greatest(ceil(ema_peak_memory_bytes * 1.25 / 4294967296), 1) * 4294967296 AS BIGINT) AS mem_bucket,
+SELECT pname, system, CASE WHEN ema_peak_memory_bytes IS NOT NULL THEN CAST(greatest(ceil(ema_peak_memory_bytes * 1.25 / 4294967296), 1) * 4294967296 AS BIGINT) END AS mem_bucket,
   CAST(greatest(ceil(coalesce(ema_peak_cpu_cores, 1.0) * 1000 * 1.25 / 2000), 1) * 2000 AS BIGINT) AS cpu_bucket FROM fx_history""")
 def _(t):
     return f.resource_bucket(t.fx_history).select("pname", "system", C("mem_bucket").cast("long").alias("mem_bucket"), C("cpu_bucket").cast("long").alias("cpu_bucket"))

@@ -284,14 +284,14 @@ def _(t):
 @query("j8_estimate", """
 WITH m AS (SELECT pname, avg(ema_duration_secs) AS mean FROM fx_history GROUP BY pname),
 i AS (SELECT node_id, sum(nar_size) AS input_bytes FROM fx_outputs JOIN fx_paths ON fx_outputs.path_id = fx_paths.path_id GROUP BY node_id)
-SELECT n.node_id, round(coalesce(h.ema_duration_secs, m.mean, CASE WHEN input_bytes > 0 THEN greatest(input_bytes / 1e7, 5.0) END, 30.0), 6) AS duration,
+SELECT n.node_id, round(coalesce(h.ema_duration_secs, m.mean, CASE WHEN input_bytes > 0 THEN greatest(input_bytes / 1e7, 5.0) END, 30.0) + 1e-8, 6) AS duration,
   CASE WHEN h.ema_duration_secs IS NOT NULL THEN 'exact' WHEN m.mean IS NOT NULL THEN 'name' WHEN input_bytes > 0 THEN 'size' ELSE 'default' END AS rule
 FROM fx_nodes AS n LEFT JOIN fx_history AS h ON n.pname = h.pname AND n.system = h.system LEFT JOIN m ON n.pname = m.pname LEFT JOIN i ON n.node_id = i.node_id""")
 def _(t):
     from kilnwork.operators.aggregates import input_bytes
 
     nodes = t.fx_nodes.join(input_bytes(t.fx_outputs.join(t.fx_paths.select("path_id"), "path_id"), t.fx_paths), "node_id", "left")
-    return joins.estimate(nodes, t.fx_history).select("node_id", F.round("duration", 6).alias("duration"), "rule")
+    return joins.estimate(nodes, t.fx_history).select("node_id", F.round(F.col("duration") + 1e-8, 6).alias("duration"), "rule")
 
 
 @query("j10_classify", f"SELECT l_orderkey, line_no, node_id, builder_id, size_class FROM ({CLASSIFIED_SQL})")

@@ -6,9 +6,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-DATA = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = (
@@ -27,6 +24,8 @@ def spark():
 
 @pytest.fixture
 def inputs(spark):
+    from compare import DATA
+
     from kilnwork.queries.registry import Inputs
 
     return Inputs(spark, DATA)

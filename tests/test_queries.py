@@ -3,8 +3,7 @@
 import re
 
 import pytest
-from compare import of_duckdb, of_spark
-from conftest import DATA
+from compare import DATA, of_duckdb, of_spark
 
 import __spark_entry__
 from kilnwork.queries import registry

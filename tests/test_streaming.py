@@ -1,7 +1,7 @@
 """Streams end in what their batch twins compute."""
 
 import pytest
-from conftest import DATA
+from compare import DATA
 from pyspark.sql import functions as F
 
 from kilnwork.streaming import events as e
