@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a shard, and queries that are sent to a shard together.
-SHARD_ROWS, BLOCK_ROWS = 4096, 256
+SHARD_ROWS, BLOCK_ROWS = 16_384, 512
+#: Terms that are probed together.
+PROBED = 8
 PACKED = "n int, ids binary, cells binary"
 
 
@@ -25,66 +27,62 @@ def usable(vector: Column) -> Column:
 
 
 class Shard:
-    """Postings of each term (vector component): rows where it is positive, and bounds of its values."""
+    """Rows by term (vector component), with the postings of each term's positive and negative values as bitmaps."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.terms = ids, np.ascontiguousarray(rows.T)
-        self.above = [np.flatnonzero(t > 0) for t in self.terms]
-        self.below = [np.flatnonzero(t < 0) for t in self.terms]
-        self.most = rows.max(axis=0, initial=0)
-        self.least = rows.min(axis=0, initial=0)
-
-    def exact(self, query: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return query @ self.terms[:, at]
+        self.ids = ids
+        self.most, self.least = rows.max(axis=0, initial=0), rows.min(axis=0, initial=0)
+        self.largest = int(max(self.most.max(initial=0), -self.least.min(initial=0)))
+        self.rows = np.ascontiguousarray(rows.T)
+        self.above, self.below = self.rows > 0, self.rows < 0
+        self.as_kind: dict[str, np.ndarray] = {}
+
+    def terms(self, query: np.ndarray) -> np.ndarray:
+        """The values in the narrowest kind of number in which sums of products with ``query`` are exact."""
+        bound = int(np.abs(query).sum()) * self.largest
+        kind = "f4" if bound < 2**24 else "f8" if bound < 2**53 else "i8"
+        if kind not in self.as_kind:
+            self.as_kind[kind] = self.rows.astype(kind)
+        return self.as_kind[kind]
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of all rows that may be among the k best; ``own`` is not a candidate.
 
-        The k-th score of a first few rows is the threshold. The weakest terms
-        whose bounds together stay below it are non-essential: a row with no
-        gain from an essential term can't reach the threshold. Rows with a gain
-        are collected from the essential postings and then probed, term by term
-        from the largest bound, while what is known plus the bounds to come
-        reaches the threshold.
+        The k-th exact score of the rows that gain most from the strongest
+        terms is the threshold. The weakest terms whose bounds together stay
+        below it are non-essential: a row with a gain from no essential term
+        can't reach it. The rows in the essential postings are then probed,
+        some terms at a time from the largest bound, while what is known plus
+        the bounds to come reaches the threshold.
         """
+        terms = self.terms(query)
+        q = query.astype(terms.dtype)
         bound = np.maximum(query * self.most, query * self.least)  # at least 0, as 0 lies between the two
-        order = np.argsort(bound, kind="stable")
-        allowed = self.ids != own
-        gain = np.zeros(len(self.ids), dtype=np.int64)
-        held = np.zeros(len(self.ids), dtype=bool)
-
-        def traverse(term: int) -> None:
-            posting = self.above[term] if query[term] > 0 else self.below[term]
-            gain[posting] += query[term] * self.terms[term, posting]
-            held[posting] = True
-
-        strongest = order[::-1][: max(1, len(order) // 8)]
-        for term in strongest:
-            if query[term]:
-                traverse(term)
-        eligible = np.flatnonzero(allowed)
-        if len(eligible) <= k:
-            return self.ids[eligible], self.exact(query, eligible)
-        tried = eligible[np.argpartition(-gain[eligible], min(len(eligible) - 1, 4 * k))[: 4 * k]]
-        threshold = np.partition(self.exact(query, tried), -k)[-k] if len(tried) >= k else None
-        if threshold is None or threshold <= 0:
-            rows = eligible
-        else:
-            weak = int(np.searchsorted(np.cumsum(bound[order]), threshold, side="left"))
-            for term in order[weak:]:
-                if query[term] and term not in strongest:
-                    traverse(term)
-            rows = np.flatnonzero(held & allowed)
-        known = np.zeros(len(rows), dtype=np.int64)
-        to_come = int(bound.sum())
-        for i, term in enumerate(order[::-1]):
-            known += query[term] * self.terms[term, rows]
-            to_come -= int(bound[term])
-            if threshold is not None and i % 4 == 3:
-                alive = known + to_come >= threshold
-                if not alive.all():
-                    rows, known = rows[alive], known[alive]
-        return self.ids[rows], known
+        order = np.argsort(-bound, kind="stable")
+        rows = np.flatnonzero(self.ids != own)
+        if len(rows) <= k:
+            return self.ids[rows], (q @ terms[:, rows]).astype(np.int64)
+        first = order[:PROBED]
+        gain = (q[first] @ terms[first])[rows]
+        tried = rows[np.argpartition(-gain, min(len(rows) - 1, 4 * k))[: 4 * k]]
+        threshold = int(np.partition(q @ terms[:, tried], -k)[-k])
+        if threshold > 0:
+            left = np.cumsum(bound[order][::-1])[::-1]  # bounds of a term and all weaker ones
+            held = np.zeros(len(self.ids), dtype=bool)
+            for term in order[left >= threshold]:
+                held |= self.above[term] if query[term] > 0 else self.below[term]
+                if held.all():
+                    break
+            rows = rows[held[rows]]
+        known, to_come = np.zeros(len(rows), dtype=terms.dtype), int(bound.sum())
+        for i in range(0, len(order), PROBED):
+            some = order[i : i + PROBED]
+            known += q[some] @ (terms[some] if len(rows) == len(self.ids) else terms[some[:, None], rows])
+            to_come -= int(bound[some].sum())
+            alive = known + to_come >= threshold
+            if alive.sum() < 0.8 * len(rows):
+                rows, known = rows[alive], known[alive]
+        return self.ids[rows], known.astype(np.int64)
 
 
 def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -139,7 +137,7 @@ def search_top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int =
                 if row["part"] != last:
                     ids, rows = _unpack(row["n"], row["ids"], row["cells"])
                     last, shard = row["part"], Shard(ids, rows)
-                width = len(shard.terms)
+                width = len(shard.rows)
                 q_ids, q_rows = _unpack(row["q_n"], row["q_ids"], row["q_cells"], width)
                 out = [[], [], []]
                 for q, v in zip(q_ids.tolist(), q_rows, strict=True):
