@@ -1,7 +1,7 @@
 """Keyed stateful operators, as ``transformWithStateInPandas`` processors with batch twins.
 
 Each processor keeps its fold in a plain function over the rows of one key in
-order; the batch twin runs the same fold on a whole key.
+order; the batch twin runs the same fold over sorted rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from kilnwork.plans.folds import fold_sorted
+
 #: Statuses that may follow each status of a node, and of a build.
 NODE_MOVES = {
     None: ("created", "queued"),
@@ -149,20 +151,12 @@ class TailProcessor(StatefulProcessor):
 
 
 def run_fold(df: DataFrame, keys: list[str], order: list[str], step, state_schema: str, out_schema: str, mode: str = "append") -> DataFrame:
-    """A fold over each key: stateful on a stream, over whole keys on a table."""
+    """A fold over each key: stateful on a stream, over sorted rows on a table."""
     columns = StructType.fromDDL(out_schema).fieldNames()
     if df.isStreaming:
         processor = FoldProcessor(step, order, StructType.fromDDL(state_schema), columns)
         return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=StructType.fromDDL(out_schema), outputMode=mode, timeMode="None")
-
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for row in rows.sort_values(order).to_dict("records"):
-            state, found = step(state, row)
-            out.append({**row, **found})
-        return pd.DataFrame(out)[columns]
-
-    return df.groupBy(*keys).applyInPandas(whole, out_schema)
+    return fold_sorted(df, keys, order, step, out_schema)
 
 
 def node_states(df: DataFrame) -> DataFrame:
