@@ -20,8 +20,8 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints a shard should hold, sampled fingerprints the shards are laid out with, and the most levels of that layout.
 SHARD_SIZE = 4_000
-SAMPLE_SIZE = 8_192
-MAX_LEVELS = 12
+SAMPLE_SIZE = 65_536
+MAX_LEVELS = 15
 LEAF = 48
 ALL_BITS = 0xFFFFFFFFFFFFFFFF
 
