@@ -32,3 +32,14 @@ def stored(df: DataFrame) -> DataFrame:
     place = context._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan, dealt evenly where it has fewer partitions than the session has cores.
+
+    For scans before work in Python: a small file can't be split further, and
+    would keep one core busy. A scan of many files is left as it is, so
+    nothing is shuffled there.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kilnwork.operators import storage as s
+from kilnwork.plans.stored import spread
 from kilnwork.queries.registry import query
 
 #: Chunk sizes for documents of a few kilobytes.
@@ -13,7 +14,7 @@ ENTRIES_SQL = "SELECT DISTINCT blob_id, chunk_id FROM fx_chunk_entries"
 
 
 def _blobs(t):
-    return t.documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return spread(t.documents).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
 
 
 @query("c1_chunk")
