@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kilnwork.llm import bpe, language, lines, mixing, simhash
 from kilnwork.llm.queries import token_digests, word_vocabulary
-from kilnwork.plans.stored import stored
+from kilnwork.plans.stored import spread, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -52,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each but the last stored and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from kilnwork.llm import bpe, chat, language, lines, media, mixing, quality, simhash, topk, toxicity
 from kilnwork.llm.sampling import held_out
+from kilnwork.plans.stored import spread
 
 #: Score from which a label is predicted.
 CUT = 0.7
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def word_vocabulary() -> str:
