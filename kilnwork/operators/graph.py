@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kilnwork.operators.filters import DONE, RETRIABLE, TERMINAL
 from kilnwork.plans.stored import stored
-from kilnwork.plans.walk import fold_up, levels, walk
+from kilnwork.plans.walk import fold_up, waiting_nodes, walk
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame, exclude_terminal: bool = True, max_rounds: int = 512) -> DataFrame:
@@ -136,10 +136,10 @@ def seconds_saved(skipped: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def cycle_nodes(edges: DataFrame, max_rounds: int = 512) -> DataFrame:
     """``id`` of nodes on a cycle, or above or below one between cycles: what peeling from both ends leaves."""
-    _, above = levels(edges, max_rounds)
-    left = edges.join(above.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").join(above.select(F.col("id").alias("child_id")), "child_id", "left_semi")
-    _, both = levels(left.select(F.col("child_id").alias("parent_id"), F.col("parent_id").alias("child_id")), max_rounds)
-    return both
+    above = waiting_nodes(edges, max_rounds)
+    left = edges.join(above.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").join(above.select(F.col("node_id").alias("child_id")), "child_id", "left_semi")
+    both = waiting_nodes(left.select(F.col("child_id").alias("parent_id"), F.col("parent_id").alias("child_id")), max_rounds)
+    return both.select(F.col("node_id").alias("id"))
 
 
 def build_roots(build_nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,27 +30,36 @@ def walk(edges: DataFrame, seeds: DataFrame, src: str, dst: str, keep: Callable[
     raise RuntimeError(f"the walk did not end within {max_rounds} rounds")
 
 
-def levels(edges: DataFrame, max_rounds: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(``id, level`` of nodes above nothing but leaves, ``id`` of nodes on or above a cycle).
+def peel(edges: DataFrame, max_rounds: int) -> Iterator[tuple[DataFrame | None, DataFrame]]:
+    """(``node_id`` of the parents whose last child went the round before, parents still waiting) for each round.
 
-    Level 0 are nodes without children; a node's level is one above its
-    highest child. Each round peels the nodes whose children are all peeled.
+    ``edges`` are distinct. Leaves go first and are not returned. The table of
+    waiting parents, with the number of children each waits for, shrinks from
+    round to round; edges are only read. When no parent is left to go, the
+    first part is None, and the second is empty unless there is a cycle.
     """
-    edges = stored(edges.select("parent_id", "child_id").distinct())
-    parents = edges.select(F.col("parent_id").alias("id")).distinct()
-    leaves = edges.select(F.col("child_id").alias("id")).distinct().join(parents, "id", "left_anti")
-    peeled = stored(leaves.withColumn("level", F.lit(0)))
-    done, left = peeled, edges
-    for level in range(1, max_rounds + 1):
-        left = stored(left.join(peeled.select(F.col("id").alias("child_id")), "child_id", "left_anti"))
-        waiting = left.select(F.col("parent_id").alias("id")).distinct()
-        peeled = stored(parents.join(waiting, "id", "left_anti").join(done.select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
-        if peeled.isEmpty():
-            return done, waiting
-        done = done.unionByName(peeled)
+    pending = edges.groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("left"))
+    fresh = edges.select(F.col("child_id").alias("node_id")).distinct().join(pending, "node_id", "left_anti")
+    for _ in range(max_rounds):
+        gone = edges.join(fresh.select(F.col("node_id").alias("child_id")), "child_id", "left_semi")
+        counts = gone.groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("gone"))
+        now = stored(pending.join(counts, "node_id", "left").select("node_id", (F.col("left") - F.coalesce("gone", F.lit(0))).alias("left")))
+        fresh, pending = now.filter("left = 0").select("node_id"), now.filter("left > 0")
+        if fresh.isEmpty():
+            yield None, pending
+            return
+        yield fresh, pending
     raise RuntimeError(f"the graph is deeper than {max_rounds} levels")
 
 
+def waiting_nodes(edges: DataFrame, max_rounds: int = 512) -> DataFrame:
+    """``node_id`` of parents on or above a cycle: those that peeling from the leaves never reaches."""
+    edges = stored(edges.select("parent_id", "child_id").distinct())
+    for _, pending in peel(edges, max_rounds):
+        left = pending
+    return left.select("node_id")
+
+
 def fold_up(nodes: DataFrame, edges: DataFrame, own: dict[str, Column], combine: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], max_rounds: int = 512) -> DataFrame:
     """Bottom-up values: ``finish`` of a node's own columns and what ``combine`` makes of its children's values.
 
@@ -61,21 +70,15 @@ def fold_up(nodes: DataFrame, edges: DataFrame, own: dict[str, Column], combine:
     """
     edges = stored(edges.select("parent_id", "child_id").distinct())
     placed = stored(nodes.select("node_id", *[c.alias(n) for n, c in own.items()]))
-    inner = edges.select(F.col("parent_id").alias("node_id")).distinct()
-    fresh = placed.select("node_id").union(edges.select("child_id")).distinct().join(inner, "node_id", "left_anti")
+    parents = edges.select(F.col("parent_id").alias("node_id")).distinct()
     blank = combine(edges.select(F.col("parent_id").alias("node_id"), F.lit(None).alias("value")).limit(0))
-    values = stored(finish(placed.join(inner, "node_id", "left_anti").join(blank, "node_id", "left")).select("node_id", "value"))
-    left = edges
-    for _ in range(max_rounds):
-        met = left.join(fresh.select(F.col("node_id").alias("child_id")), "child_id", "left_semi").select(F.col("parent_id").alias("node_id")).distinct()
-        rest = stored(left.join(fresh.select(F.col("node_id").alias("child_id")), "child_id", "left_anti"))
-        fresh = stored(met.join(rest.select(F.col("parent_id").alias("node_id")), "node_id", "left_anti"))
-        if fresh.isEmpty():
-            if not rest.isEmpty():
-                raise ValueError("the graph has a cycle")
-            return values
+    values = stored(finish(placed.join(parents, "node_id", "left_anti").join(blank, "node_id", "left")).select("node_id", "value"))
+    for fresh, pending in peel(edges, max_rounds):
+        if fresh is None:
+            break
         below = edges.join(fresh.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").join(values.withColumnRenamed("node_id", "child_id"), "child_id")
         folded = combine(below.select(F.col("parent_id").alias("node_id"), "value"))
         values = values.unionByName(stored(finish(placed.join(fresh, "node_id", "left_semi").join(folded, "node_id", "left")).select("node_id", "value")))
-        left = rest
-    raise RuntimeError(f"the graph is deeper than {max_rounds} levels")
+    if not pending.isEmpty():
+        raise ValueError("the graph has a cycle")
+    return values

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from kilnwork.operators import graph as g
 from kilnwork.plans.components import connected_components
 from kilnwork.plans.running import running_totals
-from kilnwork.plans.walk import levels, walk
+from kilnwork.plans.walk import waiting_nodes, walk
 
 CHAIN = [(4, 3), (3, 2), (2, 1)]
 DIAMOND = [(4, 2), (4, 3), (2, 1), (3, 1)]
@@ -50,7 +50,7 @@ def test_cycles(spark):
     with pytest.raises(ValueError):
         g.critical_path(nodes(spark), edges(spark, [(1, 2), (2, 1)]))
     with pytest.raises(RuntimeError):
-        levels(edges(spark, CHAIN), max_rounds=2)
+        waiting_nodes(edges(spark, CHAIN), max_rounds=2)
 
 
 def test_readiness(spark):
