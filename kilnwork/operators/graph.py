@@ -23,9 +23,11 @@ def critical_path(nodes: DataFrame, edges: DataFrame, exclude_terminal: bool = T
         counted = edges.join(ends.filter("__over").select(F.col("node_id").alias("child_id")), "child_id", "left_anti")
     return fold_up(
         nodes, counted, {"estimate": F.col("estimate").cast("double")},
-        lambda rows: rows.groupBy("node_id").agg(F.max(F.col("value").cast("double")).alias("folded")),
-        lambda df: df.withColumn("value", F.col("estimate") + F.coalesce("folded", F.lit(0.0))),
-        max_rounds,
+        gather=F.max("value"),
+        merge=F.greatest,
+        finish=F.col("estimate") + F.coalesce("folded", F.lit(0.0)),
+        kind="double",
+        max_rounds=max_rounds,
     )
 
 
@@ -93,8 +95,8 @@ def newly_ready(completed: DataFrame, edges: DataFrame, nodes: DataFrame) -> Dat
 
 def cascade_failure(poisoned: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Ancestors of poisoned nodes that fail with them, through created, queued and ready nodes only."""
-    open_ = nodes.filter(F.col("status").isin("created", "queued", "ready")).select(F.col("node_id").alias("id"))
-    reached = walk(edges, poisoned.select(F.col("node_id").alias("id")), "child_id", "parent_id", keep=lambda f: f.join(open_, "id", "left_semi"))
+    open_ = nodes.filter(F.col("status").isin("created", "queued", "ready")).select(F.col("node_id").alias("parent_id"))
+    reached = walk(edges.join(open_, "parent_id", "left_semi"), poisoned.select(F.col("node_id").alias("id")), "child_id", "parent_id")
     return reached.filter("level > 0").select(F.col("id").alias("node_id"), "level")
 
 
@@ -167,8 +169,10 @@ def merkle_fingerprint(nodes: DataFrame, edges: DataFrame, fields: Sequence[str]
     own = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
     return fold_up(
         nodes, free, {"own": own},
-        lambda rows: rows.groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("value").cast("string"))), ",").alias("folded")),
-        lambda df: df.withColumn("value", F.sha2(F.concat_ws("#", "own", F.coalesce("folded", F.lit(""))), 256)),
+        gather=F.collect_list("value"),
+        merge=lambda before, more: F.concat(F.coalesce(before, F.array().cast("array<string>")), more),
+        finish=F.sha2(F.concat_ws("#", "own", F.coalesce(F.array_join(F.array_sort(F.col("folded")), ","), F.lit(""))), 256),
+        kind="array<string>",
     )
 
 

@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from kilnwork.plans.stored import stored
 
 
-def walk(edges: DataFrame, seeds: DataFrame, src: str, dst: str, keep: Callable[[DataFrame], DataFrame] | None = None, max_rounds: int = 512) -> DataFrame:
+def walk(edges: DataFrame, seeds: DataFrame, src: str, dst: str, max_rounds: int = 512) -> DataFrame:
     """``id, level`` of everything reachable from ``seeds`` (a column ``id``) along src -> dst, seeds at level 0.
 
-    ``keep`` filters each new frontier, and what it drops is not walked on
-    from. A round stores its frontier; the driver sees one number a round.
-    Raises RuntimeError beyond ``max_rounds``.
+    A round stores its frontier; the driver sees one number a round. Raises
+    RuntimeError beyond ``max_rounds``.
     """
     edges = stored(edges.select(src, dst).distinct())
     frontier = stored(seeds.select("id").distinct().withColumn("level", F.lit(0)))
@@ -23,7 +22,7 @@ def walk(edges: DataFrame, seeds: DataFrame, src: str, dst: str, keep: Callable[
     for level in range(1, max_rounds + 1):
         step = edges.join(frontier.select(F.col("id").alias(src)), src, "left_semi").select(F.col(dst).alias("id")).distinct()
         fresh = step.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level))
-        frontier = stored(fresh if keep is None else keep(fresh))
+        frontier = stored(fresh)
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
@@ -60,25 +59,40 @@ def waiting_nodes(edges: DataFrame, max_rounds: int = 512) -> DataFrame:
     return left.select("node_id")
 
 
-def fold_up(nodes: DataFrame, edges: DataFrame, own: dict[str, Column], combine: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], max_rounds: int = 512) -> DataFrame:
-    """Bottom-up values: ``finish`` of a node's own columns and what ``combine`` makes of its children's values.
+def fold_up(nodes: DataFrame, edges: DataFrame, own: dict[str, Column], gather: Column, merge: Callable[[Column, Column], Column], finish: Column, kind: str, max_rounds: int = 512) -> DataFrame:
+    """``node_id, value`` bottom-up: ``finish`` over a node's own columns and ``folded``, what was gathered from its children.
 
-    ``nodes`` has ``node_id``. ``combine`` gets (node_id, value) rows, one a
-    child, and returns (node_id, folded). A round folds the nodes whose last
-    child was folded in the round before. A child without a node counts as
-    folded but has no value. Raises ValueError on a cycle.
+    ``nodes`` has a unique ``node_id``. ``gather`` aggregates the ``value`` of
+    the children that were folded in one round, ``merge`` adds that to what
+    earlier rounds gathered (null before the first; ``kind`` is its type), so a value is sent over
+    each edge once, in the round after it is known. A round stores one table:
+    the nodes whose last child was folded in the round before, with their
+    values, and the nodes that still wait, which become fewer. The driver sees
+    two counts a round. A child without a node counts as folded but has no
+    value. Raises ValueError on a cycle, RuntimeError beyond ``max_rounds``.
     """
     edges = stored(edges.select("parent_id", "child_id").distinct())
-    placed = stored(nodes.select("node_id", *[c.alias(n) for n, c in own.items()]))
-    parents = edges.select(F.col("parent_id").alias("node_id")).distinct()
-    blank = combine(edges.select(F.col("parent_id").alias("node_id"), F.lit(None).alias("value")).limit(0))
-    values = stored(finish(placed.join(parents, "node_id", "left_anti").join(blank, "node_id", "left")).select("node_id", "value"))
-    for fresh, pending in peel(edges, max_rounds):
-        if fresh is None:
-            break
-        below = edges.join(fresh.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").join(values.withColumnRenamed("node_id", "child_id"), "child_id")
-        folded = combine(below.select(F.col("parent_id").alias("node_id"), "value"))
-        values = values.unionByName(stored(finish(placed.join(fresh, "node_id", "left_semi").join(folded, "node_id", "left")).select("node_id", "value")))
-    if not pending.isEmpty():
-        raise ValueError("the graph has a cycle")
-    return values
+    named = nodes.select("node_id", *[c.alias(n) for n, c in own.items()], F.lit(True).alias("known"), F.lit(0).cast("long").alias("left"))
+    parents = edges.select(F.col("parent_id").alias("node_id"), F.lit(1).cast("long").alias("left"))
+    children = edges.select(F.col("child_id").alias("node_id"), F.lit(0).cast("long").alias("left"))
+    every = named.unionByName(parents.unionByName(children), allowMissingColumns=True)
+    first = every.groupBy("node_id").agg(*[F.max(n).alias(n) for n in own], F.coalesce(F.max("known"), F.lit(False)).alias("known"), F.sum("left").alias("left"))
+    value = F.when((F.col("left") == 0) & F.col("known"), finish).alias("value")
+    now = stored(first.withColumn("folded", F.lit(None).cast(kind)).select("*", value))
+    values = None
+    for _ in range(max_rounds):
+        done = now.filter("left = 0")
+        found = done.filter("known").select("node_id", "value")
+        values = found if values is None else values.unionByName(found)
+        size = now.agg(F.count_if(F.col("left") == 0).alias("done"), F.count_if(F.col("left") > 0).alias("waiting")).first()
+        if not size.waiting:
+            return values
+        if not size.done:
+            raise ValueError("the graph has a cycle")
+        sent = edges.join(done.select(F.col("node_id").alias("child_id"), "value"), "child_id").groupBy(F.col("parent_id").alias("node_id"))
+        sums = sent.agg(F.count("*").alias("__gone"), gather.alias("__more"))
+        merged = now.filter("left > 0").drop("value").join(sums, "node_id", "left").withColumns(
+            {"left": F.col("left") - F.coalesce("__gone", F.lit(0)), "folded": F.when(F.col("__gone").isNull(), F.col("folded")).otherwise(merge(F.col("folded"), F.col("__more")))}
+        )
+        now = stored(merged.drop("__gone", "__more").select("*", value))
+    raise RuntimeError(f"the graph is deeper than {max_rounds} levels")

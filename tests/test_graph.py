@@ -1,5 +1,7 @@
 """Small graphs with known answers."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ def test_critical_path(spark):
     assert values(g.critical_path(done, edges(spark, DIAMOND)))[4] == 60
     assert values(g.critical_path(done, edges(spark, DIAMOND), exclude_terminal=False))[4] == 80
     assert values(g.critical_path(nodes(spark), edges(spark, []))) == {1: 10, 2: 20, 3: 30, 4: 40}
+    assert values(g.critical_path(nodes(spark), edges(spark, [*CHAIN, (4, 1), (4, 99), (2, 98)]))) == {1: 10, 2: 30, 3: 60, 4: 100}
 
 
 def test_update_stops_where_nothing_changes(spark):
@@ -82,6 +85,9 @@ def test_merkle_sees_changes_below_but_not_below_fixed_outputs(spark):
     a = values(g.merkle_fingerprint(nodes(spark), e, ["estimate"]))
     b = values(g.merkle_fingerprint(nodes(spark, estimate={1: 11}), e, ["estimate"]))
     assert all(a[i] != b[i] for i in (1, 2, 3, 4))
+    far = values(g.merkle_fingerprint(nodes(spark), edges(spark, [*CHAIN, (4, 1), (4, 99)]), ["estimate"]))
+    digest = lambda own, *below: hashlib.sha256(f"{own}#{','.join(sorted(below))}".encode()).hexdigest()
+    assert far == {**{i: a[i] for i in (1, 2, 3)}, 4: digest("40.0", far[1], far[3])}
     fixed = lambda est: nodes(spark, estimate=est).withColumn("is_fixed_output", F.col("node_id") == 3)
     a, b = (values(g.merkle_fingerprint(fixed(x), e, ["estimate"])) for x in ({}, {1: 11}))
     assert a[2] != b[2] and a[3] == b[3] and a[4] == b[4]
