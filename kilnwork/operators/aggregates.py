@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnwork.operators.filters import DONE, TERMINAL
+from kilnwork.plans.running import running_totals
 
 QUEUED = ("created", "queued", "ready")
 RUNNING = ("assigned", "running")
@@ -138,7 +141,9 @@ def trusted_keys(upstreams: DataFrame) -> DataFrame:
 
 def merge_signatures(paths: DataFrame, additions: DataFrame, cap: int = 100) -> DataFrame:
     """``path_id, signatures, fault``: the union of both arrays; above the cap the old ones stay and ``fault`` says so."""
-    more = additions.groupBy("path_id").agg(F.array_distinct(F.flatten(F.collect_list("signatures"))).alias("__more"))
+    each = additions.select("path_id", F.explode("signatures").alias("__s")).distinct()
+    first = each.withColumn("__place", F.row_number().over(Window.partitionBy("path_id").orderBy("__s"))).filter(F.col("__place") <= cap + 1)  # one above the cap tells all
+    more = first.groupBy("path_id").agg(F.sort_array(F.collect_list("__s")).alias("__more"))
     joined = paths.join(more, "path_id", "left")
     union = F.array_union("signatures", F.coalesce("__more", F.array().cast("array<string>")))
     return joined.select(
@@ -185,9 +190,33 @@ def histogram(df: DataFrame, col: str, buckets: Sequence[float], by: Sequence[st
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """One column ``p<percent>`` a probability; interpolated if exact, else approximate and with bounded state."""
-    f = F.percentile if exact else F.percentile_approx
-    return df.groupBy(*by).agg(*[f(col, F.lit(p)).alias(f"p{p * 100:g}".replace(".", "_")) for p in probs])
+    """One column ``p<percent>`` a probability; interpolated if exact, else approximate and with bounded state.
+
+    Exact ones count equal values first and number them over ranges of group
+    and value, so that no group is held by one task. Null values don't count;
+    a group without others has nulls.
+    """
+    names = [f"p{p * 100:g}".replace(".", "_") for p in probs]
+    if not exact:
+        return df.groupBy(*by).agg(*[F.percentile_approx(col, F.lit(p)).alias(n) for p, n in zip(probs, names, strict=True)])
+    keys = [f"__k{i}" for i in range(len(by))]
+    slim = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(col).cast("double").alias("__v"))
+    groups = slim.groupBy(*keys).agg(F.count("__v").alias("__all"))
+    if by:
+        groups = running_totals(groups, [F.col(k) for k in keys], {"__upto": F.col("__all")})
+    starts = groups.select(*[F.col(k).alias(f"_{k}") for k in keys], "__all", ((F.col("__upto") if by else F.col("__all")) - F.col("__all")).alias("__start"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.lit(True))
+    counted = slim.filter("__v is not null").groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    placed = running_totals(counted, [*map(F.col, keys), F.col("__v")], {"__to": F.col("__n")}).join(starts, same)
+    upto = F.col("__to") - F.col("__start")
+    at = lambda place: F.max(F.when((upto - F.col("__n") <= place) & (place < upto), F.col("__v")))
+    found = []
+    for p, n in zip(probs, names, strict=True):
+        place = (F.col("__all") - 1) * F.lit(float(p))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        found.append((low + (high - low) * F.max(place - F.floor(place))).alias(n))
+    values = placed.groupBy(*keys).agg(*found)
+    return starts.join(values, same, "left").select(*[F.col(f"_{k}").alias(b) for b, k in zip(by, keys, strict=True)], *names)
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), approx: bool = False) -> DataFrame:

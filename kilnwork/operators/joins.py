@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.operators.filters import rejection_reason
+from kilnwork.plans.running import carry_forward
 
 
 def build_nodes_of(builds: DataFrame, build_nodes: DataFrame, nodes: DataFrame, build_id=None) -> DataFrame:
@@ -170,10 +171,10 @@ def ownership_rows(outputs: DataFrame, build_nodes: DataFrame, builds: DataFrame
 def asof_join(events: DataFrame, versions: DataFrame, by: str, ts: str, value: str) -> DataFrame:
     """``events`` with the ``value`` of the last version at or before their time, null before the first.
 
-    Both sides are one stream by key and time; versions come first at a tie.
+    Both sides are one stream by key and time; versions come first at a tie. A
+    key with very many rows is split over ranges of time.
     """
     left = events.withColumns({"__ours": F.lit(1), f"__{value}": F.lit(None).cast(versions.schema[value].dataType)})
     right = versions.select(by, ts, F.lit(0).alias("__ours"), F.col(value).alias(f"__{value}"))
-    along = Window.partitionBy(by).orderBy(ts, "__ours").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn(value, F.last(f"__{value}", ignorenulls=True).over(along))
+    both = carry_forward(left.unionByName(right, allowMissingColumns=True), [by], [ts, "__ours"], f"__{value}", value)
     return both.filter("__ours = 1").drop("__ours", f"__{value}")

@@ -3,42 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnwork.plans.folds import fold_sorted
-from kilnwork.plans.running import running_totals
+from kilnwork.plans.running import PART, ranges, running_totals
 
 
 def ema(samples: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str], alpha: float = 0.3) -> DataFrame:
     """``keys, ema_<col>..., sample_count``: exponential moving averages, the first sample as the start.
 
-    With samples x1..xn in order the value is (1-a)^(n-1) x1 plus the sum of
-    a (1-a)^(n-i) xi over i > 1, so one ranked sum replaces the ordered fold. A
-    null leaves a column's value as it was; a column of nulls gives null.
+    With samples x1..xn in order the value is (1-a)^n x1 plus the sum of
+    a (1-a)^(n-i) xi, so a ranked sum replaces the ordered fold. A null leaves
+    a column's value as it was; a column of nulls gives null. A key may span
+    many ranges of rows: each is summed by itself and then fades by the number
+    of values in the key's ranges after it.
     """
-    newest = Window.partitionBy(*keys).orderBy(*[_reversed(o) for o in order])
-    oldest = Window.partitionBy(*keys).orderBy(*order)
-    weighed = samples
-    for c in cols:
-        # ranks among the column's own values, so that nulls take no place
-        after = F.count(c).over(newest.rowsBetween(Window.unboundedPreceding, -1))
-        before = F.count(c).over(oldest.rowsBetween(Window.unboundedPreceding, -1))
-        weight = F.when(before == 0, F.lit(1.0)).otherwise(alpha) * F.pow(F.lit(1 - alpha), after)
-        weighed = weighed.withColumn(f"__{c}", F.col(c) * weight)
-    return weighed.groupBy(*keys).agg(*[F.sum(f"__{c}").alias(f"ema_{c}") for c in cols], F.count("*").alias("sample_count"))
-
-
-def _reversed(order: Column | str) -> Column:
-    return F.desc_nulls_last(order) if isinstance(order, str) else order.desc()
+    places = [f"__o{i}" for i in range(len(order))]
+    slim = samples.select(*keys, *cols, *[o.alias(p) for o, p in zip(order, places, strict=True)])
+    ranged = ranges(slim, [*keys, *places])
+    newest = Window.partitionBy(PART, *keys).orderBy(*[F.col(p).desc() for p in places]).rowsBetween(Window.unboundedPreceding, -1)
+    fade = lambda n: F.pow(F.lit(1.0 - alpha), n)
+    # ranks among the column's own values, so that nulls take no place
+    weighed = ranged.withColumns({f"__w{i}": F.col(c) * alpha * fade(F.count(c).over(newest)) for i, c in enumerate(cols)})
+    sums = []
+    for i, c in enumerate(cols):
+        known = F.col(c).isNotNull()
+        first = F.min_by(F.when(known, F.col(c)), F.when(known, F.struct(*places)))
+        sums += [F.sum(f"__w{i}").alias(f"__s{i}"), F.count(c).alias(f"__n{i}"), first.alias(f"__first{i}")]
+    parts = weighed.groupBy(PART, *keys).agg(*sums, F.count("*").alias("__rows"))
+    later = Window.partitionBy(*keys).orderBy(F.col(PART).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumns({f"__after{i}": F.coalesce(F.sum(f"__n{i}").over(later), F.lit(0)) for i in range(len(cols))})
+    value = lambda i: (
+        F.sum(F.col(f"__s{i}") * fade(F.col(f"__after{i}")))
+        + fade(F.sum(f"__n{i}")) * F.min_by(f"__first{i}", F.when(F.col(f"__first{i}").isNotNull(), F.col(PART)))
+    )
+    return placed.groupBy(*keys).agg(*[value(i).alias(f"ema_{c}") for i, c in enumerate(cols)], F.sum("__rows").alias("sample_count"))
 
 
 def ema_with_reset(samples: DataFrame, keys: Sequence[str], order: Sequence[Column], col: str, is_reset: Column, alpha: float = 0.3) -> DataFrame:
     """As ``ema`` of one column, but a reset row overwrites the average with its own value."""
-    along = Window.partitionBy(*keys).orderBy(*[_reversed(o) for o in order])
-    later = F.coalesce(F.sum(is_reset.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ema(samples.withColumn("__later", later).filter("__later = 0").drop("__later"), keys, order, [col], alpha)
+    place = F.struct(*order)
+    resets = samples.filter(is_reset).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max(place).alias("__reset"))
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    since = samples.join(resets, on, "left").filter(F.col("__reset").isNull() | (place >= F.col("__reset")))
+    return ema(since.select(*samples.columns), keys, order, [col], alpha)
 
 
 def ratchet_peak(history: DataFrame, observations: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Running totals over a whole table without a single-task window."""
+"""Running totals and values carried forward, without a single-task window over a table or over a hot key."""
 
 from __future__ import annotations
 
@@ -12,6 +12,11 @@ from kilnwork.plans.stored import stored
 PART = "__part"
 
 
+def ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` range-partitioned by ``order`` and stored, with the number of each row's range in ``PART``."""
+    return stored(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
+
+
 def running_totals(df: DataFrame, order: Sequence[Column], totals: Mapping[str, Column]) -> DataFrame:
     """Add inclusive running sums over the whole table, in ``order``.
 
@@ -21,16 +26,40 @@ def running_totals(df: DataFrame, order: Sequence[Column], totals: Mapping[str,
     of partitions. Rows that tie in ``order`` lie in one range, and get their
     numbers in any order. An empty table gives an empty result.
     """
-    ranged = stored(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
-    values = {name: ranged_value for name, ranged_value in totals.items()}
-    parts = ranged.groupBy(PART).agg(*[F.sum(v).alias(name) for name, v in values.items()])
+    ranged = ranges(df, order)
+    parts = ranged.groupBy(PART).agg(*[F.sum(v).alias(name) for name, v in totals.items()])
     before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
-        PART, *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"__before_{name}") for name in values]
+        PART, *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"__before_{name}") for name in totals]
     )
     within = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select("*", *[F.sum(v).over(within).alias(name) for name, v in values.items()])
+    local = ranged.select("*", *[F.sum(v).over(within).alias(name) for name, v in totals.items()])
     joined = local.join(F.broadcast(offsets), PART)
     return joined.select(
-        *df.columns, *[(F.col(name) + F.col(f"__before_{name}")).alias(name) for name in values]
+        *df.columns, *[(F.col(name) + F.col(f"__before_{name}")).alias(name) for name in totals]
     )
+
+
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], source: str, target: str) -> DataFrame:
+    """Add ``target``: the last ``source`` of the row's key, up to the row in ``order``, that is not null.
+
+    A key may span many ranges, each of which is filled by itself. What a range
+    gets from the key's ranges before it comes from a table with a row for each
+    range that does not begin with the key, so it has fewer rows than there are
+    partitions and is broadcast. Null keys are one key.
+    """
+    ranged = ranges(df, [*keys, *order])
+    known = F.col(source).isNotNull()
+    last = F.max_by(F.when(known, F.col(source)), F.when(known, F.struct(*order)))
+    parts = ranged.groupBy(PART, *keys).agg(last.alias("__last"))
+    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(
+        F.col(PART).alias("__at"), *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.last("__last", ignorenulls=True).over(before).alias("__carried")
+    ).filter("__carried is not null")
+    within = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn(target, F.last(source, ignorenulls=True).over(within))
+    on = F.col(PART) == F.col("__at")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    filled = local.join(F.broadcast(carried), on, "left").withColumn(target, F.coalesce(target, "__carried"))
+    return filled.select(*[c for c in df.columns if c != target], target)
