@@ -11,11 +11,15 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_chunks(df: DataFrame, path: str, store: DataFrame | None = None) -> None:
-    """Append chunks (chunk_hash, bytes) that the store does not hold, each hash once."""
+    """Append chunks (chunk_hash, bytes) that the store does not hold, each hash once.
+
+    Rows are gathered by prefix for the sake of few files; a prefix with more
+    than a partition's bytes is written by several tasks.
+    """
     fresh = df.select("chunk_hash", "bytes").dropDuplicates(["chunk_hash"])
     if store is not None:
         fresh = fresh.join(store.select("chunk_hash"), "chunk_hash", "left_anti")
-    fresh.withColumn("prefix", F.substring("chunk_hash", 1, 2)).repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+    fresh.withColumn("prefix", F.substring("chunk_hash", 1, 2)).hint("rebalance", "prefix").write.mode("append").partitionBy("prefix").parquet(path)
 
 
 def exists_batch(hashes: DataFrame, store: DataFrame, key: str = "chunk_hash") -> DataFrame:

@@ -16,9 +16,13 @@ def log_pointers(lines: DataFrame, build_nodes: DataFrame) -> DataFrame:
 
 
 def archive_logs(lines: DataFrame, path: str) -> None:
-    """Write ``log_id, line_no, line`` as gzip text in a folder for each log, lines in order."""
+    """Write ``log_id, line_no, line`` as gzip text in a folder for each log, lines in order.
+
+    Lines are dealt by ranges of log and line, so a long log is several files
+    in the order of their names, written by several tasks.
+    """
     numbered = lines.select("log_id", F.concat_ws("\t", F.col("line_no").cast("string"), "line").alias("value"), "line_no")
-    ordered = numbered.repartition("log_id").sortWithinPartitions("log_id", "line_no")
+    ordered = numbered.repartitionByRange("log_id", "line_no").sortWithinPartitions("log_id", "line_no")
     ordered.drop("line_no").write.partitionBy("log_id").option("compression", "gzip").text(path)
 
 
