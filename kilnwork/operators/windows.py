@@ -121,8 +121,8 @@ def log_tail(lines: DataFrame, n: int = 100_000, since: int = 0) -> DataFrame:
 def number_lines(batches: DataFrame) -> DataFrame:
     """``log_id, line_no, line``: lines of the batches of each log in order, numbered from 0."""
     lines = F.split("batch_text", "\n")
-    before = F.sum(F.size(lines)).over(Window.partitionBy("log_id").orderBy("batch_no").rowsBetween(Window.unboundedPreceding, -1))
-    based = batches.select("log_id", lines.alias("__lines"), F.coalesce(before, F.lit(0)).alias("__base"))
+    upto = running_totals(batches.select("log_id", "batch_no", "batch_text"), [F.col("batch_no")], {"__upto": F.size(lines).cast("long")}, ["log_id"])
+    based = upto.select("log_id", lines.alias("__lines"), (F.col("__upto") - F.size(lines)).alias("__base"))
     return based.select("log_id", "__base", F.posexplode("__lines").alias("__i", "line")).select("log_id", (F.col("__base") + F.col("__i")).alias("line_no"), "line")
 
 
@@ -146,8 +146,8 @@ def log_violations(lines: DataFrame, max_bytes: int, max_lines_per_sec: int) ->
     which only a fold in order can tell: it streams sorted lines in pandas,
     a batch at a time.
     """
-    along = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    size = lines.withColumn("__sum", F.sum(F.octet_length("line")).over(along)).filter(F.col("__sum") > max_bytes)
+    sizes = lines.select("log_id", "line_no", F.octet_length("line").cast("long").alias("__bytes"))
+    size = running_totals(sizes, [F.col("line_no")], {"__sum": F.col("__bytes")}, ["log_id"]).filter(F.col("__sum") > max_bytes)
     by_size = size.groupBy("log_id").agg(F.min("line_no").alias("line_no")).withColumn("fault", F.lit("size"))
 
     kind = lines.schema["log_id"].dataType.simpleString()

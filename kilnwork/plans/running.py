@@ -17,29 +17,42 @@ def ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return stored(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
 
 
-def running_totals(df: DataFrame, order: Sequence[Column], totals: Mapping[str, Column]) -> DataFrame:
-    """Add inclusive running sums over the whole table, in ``order``.
-
-    The table is range-partitioned by ``order`` and stored with the number of
-    each row's range. Sums run within a range, and what the ranges before it
-    hold is added from a table of one row per range, whose size is the number
-    of partitions. Rows that tie in ``order`` lie in one range, and get their
-    numbers in any order. An empty table gives an empty result.
+def running_totals(df: DataFrame, order: Sequence[Column], totals: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """Add inclusive running sums over the whole table, or over each key, in ``order``.
+
+    The table is range-partitioned by keys and ``order`` and stored with the
+    number of each row's range. Sums run within a range, and what the ranges
+    before it hold is added from a table that has a row for each range at most
+    (of keys, only the one that a range begins in the midst of), so it is
+    broadcast. Rows that tie in ``order`` lie in one range, and get their
+    numbers in any order. Null keys are one key. An empty table gives an empty
+    result.
     """
-    ranged = ranges(df, order)
-    parts = ranged.groupBy(PART).agg(*[F.sum(v).alias(name) for name, v in totals.items()])
-    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(
-        PART, *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"__before_{name}") for name in totals]
-    )
-    within = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = ranges(df, [*keys, *order])
+    parts = ranged.groupBy(PART, *keys).agg(*[F.sum(v).alias(name) for name, v in totals.items()])
+    before = (Window.partitionBy(*keys).orderBy(PART) if keys else Window.orderBy(PART)).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"__before_{name}": F.sum(name).over(before) for name in totals}
+    seen = F.count(F.lit(1)).over(before)
+    offsets = parts.select(F.col(PART).alias("__at"), *_aliased(keys), seen.alias("__seen"), *[v.alias(n) for n, v in sums.items()]).filter("__seen > 0").drop("__seen")
+    within = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.sum(v).over(within).alias(name) for name, v in totals.items()])
-    joined = local.join(F.broadcast(offsets), PART)
+    joined = local.join(F.broadcast(offsets), _same_range(keys), "left")
     return joined.select(
-        *df.columns, *[(F.col(name) + F.col(f"__before_{name}")).alias(name) for name in totals]
+        *df.columns, *[(F.col(name) + F.coalesce(F.col(f"__before_{name}"), F.lit(0))).alias(name) for name in totals]
     )
 
 
+def _aliased(keys: Sequence[str]) -> list[Column]:
+    return [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
+
+
+def _same_range(keys: Sequence[str]) -> Column:
+    on = F.col(PART) == F.col("__at")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    return on
+
+
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], source: str, target: str) -> DataFrame:
     """Add ``target``: the last ``source`` of the row's key, up to the row in ``order``, that is not null.
 
@@ -54,12 +67,9 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], sour
     parts = ranged.groupBy(PART, *keys).agg(last.alias("__last"))
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select(
-        F.col(PART).alias("__at"), *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.last("__last", ignorenulls=True).over(before).alias("__carried")
+        F.col(PART).alias("__at"), *_aliased(keys), F.last("__last", ignorenulls=True).over(before).alias("__carried")
     ).filter("__carried is not null")
     within = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn(target, F.last(source, ignorenulls=True).over(within))
-    on = F.col(PART) == F.col("__at")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__key{i}"))
-    filled = local.join(F.broadcast(carried), on, "left").withColumn(target, F.coalesce(target, "__carried"))
+    filled = local.join(F.broadcast(carried), _same_range(keys), "left").withColumn(target, F.coalesce(target, "__carried"))
     return filled.select(*[c for c in df.columns if c != target], target)

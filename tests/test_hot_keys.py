@@ -54,6 +54,9 @@ def test_totals_and_carried_values_over_ranges(uncoalesced):
     got = [(r.k, r.p, r.n) for r in running_totals(df, [F.col("k"), F.col("p")], {"n": F.lit(1)}).collect()]
     assert sorted(n for _, _, n in got) == list(range(1, len(got) + 1))
     assert [r[:2] for r in sorted(got, key=lambda r: r[2])] == sorted(((k, p) for k, p, _ in rows()), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    own = {r.p: r.n for r in running_totals(df, [F.col("p")], {"n": F.lit(1)}, ["k"]).collect()}
+    for held in by_key(rows()).values():
+        assert [own[p] for p, _ in held] == list(range(1, len(held) + 1))
     carried = {r.p: r.last for r in carry_forward(df, ["k"], ["p"], "v", "last").collect()}
     for own in by_key(rows()).values():
         now = None
