@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kilnwork.llm.batches import WORD, codepoints, kinds, letters, text_blocks, tokens
 from kilnwork.llm.network import sigmoid
 from kilnwork.llm.sampling import bounded_sample, held_out
+from kilnwork.plans.stored import stored
 
 #: Characters of the language model; 0 stands for a word boundary and the last code for any other letter.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàâäáãåæçéèêëíìîïñóòôöõøœúùûüýÿß"
@@ -31,6 +32,8 @@ GAPS = r" .\-_*"
 SIGN_COST, KEEP_COST, REPEAT_COST, GAP_COST, GAP_KEPT_COST = 1.0, 7.0, 0.7, 0.3, 3.0
 #: Longest stretch that is decoded at once; longer ones are decoded piece by piece.
 PIECE = 96
+#: Characters that are worked on at once.
+BLOCK_CHARS = 1 << 18
 #: Decoded stretches that a task keeps.
 KEPT = 200_000
 
@@ -69,7 +72,7 @@ def _marks() -> tuple[np.ndarray, np.ndarray]:
 def count_trigrams(batches):
     """Counts of character trigrams; what lies between two words, or around a text, is two boundaries."""
     total = np.zeros(SIZE**3, dtype=np.int64)
-    for _, texts in text_blocks(batches):
+    for _, texts in text_blocks(batches, chars=BLOCK_CHARS):
         flat, _ = codepoints([(t or "").lower() for t in texts], pad=1)
         code = codes()[flat]
         code = code[(code > 0) | (np.roll(code, 1) > 0)]
@@ -266,15 +269,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     part = (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)) > 0).alias("counted")
     shared = docs.sparkSession.sparkContext.broadcast(characters)
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("label").cast("double").alias("label"), part)
+    rows = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # a bounded sample: few tasks in Python, however many scan docs
 
     def restore(batches):
         decoder = Decoder(shared.value)
-        for batch, texts in text_blocks(batches):
+        for batch, texts in text_blocks(batches, chars=BLOCK_CHARS):
             restored = pa.array(decoder.restore_all(texts), pa.string())
             yield pa.RecordBatch.from_arrays([restored, batch.column("label"), batch.column("counted")], ["text", "label", "counted"])
 
     def count(batches):
-        for batch, texts in text_blocks(batches):
+        for batch, texts in text_blocks(batches, chars=BLOCK_CHARS):
             hashes, counts = word_hashes(texts)
             doc = np.repeat(np.arange(len(texts)), counts)
             toxic = batch.column("label").to_numpy()
@@ -289,27 +293,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
             t = np.bincount(at, weights=own, minlength=len(cells)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(t), pa.array(n - t)], ["cell", "t", "c"])
 
-    rows = rows.mapInArrow(restore, "text string, label double, counted boolean").persist()
-    try:
-        sizes = {r.label: r.n for r in rows.filter("counted").groupBy("label").agg(F.count("*").alias("n")).collect()}
-        if not sizes.get(0.0) or not sizes.get(1.0):
-            return ToxicityModel(characters)
-        counted = rows.filter("counted").mapInArrow(count, "cell long, t long, c long").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-        found = counted.filter(f"t >= {int(min_docs)}").orderBy("cell").toArrow()
-        t, c = found.column("t").to_numpy() + 0.5, found.column("c").to_numpy() + 0.5
-        odds = np.log(t / (sizes[1.0] + 1)) - np.log(c / (sizes[0.0] + 1)) - 1.5 * np.sqrt(1 / t + 1 / c)
-        cell = found.column("cell").to_numpy().astype(np.uint32)
-        model = ToxicityModel(characters, cell[odds > 0.5], odds[odds > 0.5])
-        words = docs.sparkSession.sparkContext.broadcast(model)
-
-        def features(batches):
-            for batch, texts in text_blocks(batches):
-                x = words.value.features(texts)
-                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
-
-        rest = rows.filter("not counted").mapInArrow(features, "label double, x array<double>").toArrow()
-    finally:
-        rows.unpersist()
+    rows = stored(rows.mapInArrow(restore, "text string, label double, counted boolean"))  # so that a task runs one Python worker at a time
+    sizes = {r.label: r.n for r in rows.filter("counted").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not sizes.get(0.0) or not sizes.get(1.0):
+        return ToxicityModel(characters)
+    counted = rows.filter("counted").mapInArrow(count, "cell long, t long, c long").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    found = counted.filter(f"t >= {int(min_docs)}").orderBy("cell").toArrow()
+    t, c = found.column("t").to_numpy() + 0.5, found.column("c").to_numpy() + 0.5
+    odds = np.log(t / (sizes[1.0] + 1)) - np.log(c / (sizes[0.0] + 1)) - 1.5 * np.sqrt(1 / t + 1 / c)
+    cell = found.column("cell").to_numpy().astype(np.uint32)
+    model = ToxicityModel(characters, cell[odds > 0.5], odds[odds > 0.5])
+    words = docs.sparkSession.sparkContext.broadcast(model)
+
+    def features(batches):
+        for batch, texts in text_blocks(batches, chars=BLOCK_CHARS):
+            x = words.value.features(texts)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
+
+    rest = rows.filter("not counted").mapInArrow(features, "label double, x array<double>").toArrow()
     y = rest.column("label").to_numpy()
     x = np.array(rest.column("x").to_pylist()).reshape(len(y), len(STEPS) + 1)
     order = np.lexsort([*x.T[::-1], y])
@@ -328,7 +329,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     def score(batches):
         decoder = Decoder(shared.value.characters)
-        for batch, texts in text_blocks(batches):
+        for batch, texts in text_blocks(batches, chars=BLOCK_CHARS):
             restored = decoder.restore_all(texts)
             scores = shared.value.predict(shared.value.features(restored))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(restored, pa.string()), pa.array(scores)], ["doc_id", "restored", "score"])
