@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import bpe, language, lines, mixing, simhash
+from kilnwork.llm import bpe, language, lines, mixing, similar
 from kilnwork.llm.queries import token_digests, word_vocabulary
 from kilnwork.plans.stored import spread, stored
 
@@ -23,8 +23,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each class of near duplicates."""
-    return simhash.drop_near_duplicates(docs).select(*COLUMNS)
+    """The smallest document of each class of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return similar.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: Character models, SimHash and tokenizers have no SQL; the stages are tested against plain versions.
+#: Character models, near duplicates and tokenizers have no SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
