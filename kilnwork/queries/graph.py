@@ -115,6 +115,44 @@ def _(t):
     return g.seconds_saved(_cut(t), t.fx_nodes).withColumn("saved_secs", F.round("saved_secs", 4))
 
 
+# G5, G6, G8 and G9 over every edge; the queries above keep one child of each parent, as their SQL does.
+
+
+@query("g5_initial_states_all", STATES_SQL.format(edges="fx_edges", nodes="(SELECT * FROM fx_nodes WHERE status <> 'created')"))
+def _(t):
+    return g.initial_states(t.fx_nodes, t.fx_edges, t.fx_nodes.filter("status <> 'created'"))
+
+
+@query("g6_newly_ready_all", f"""
+WITH now AS (SELECT node_id, CASE WHEN status = 'running' THEN 'completed' ELSE status END AS status FROM fx_nodes),
+p AS (SELECT DISTINCT parent_id FROM fx_edges AS e JOIN fx_nodes AS c ON c.node_id = e.child_id WHERE c.status = 'running')
+SELECT node_id FROM ({STATES_SQL.format(edges='fx_edges', nodes='now')}) WHERE state = 'ready' AND node_id IN (SELECT parent_id FROM p) AND node_id IN (SELECT node_id FROM fx_nodes WHERE status = 'queued')""")
+def _(t):
+    return g.newly_ready(t.fx_nodes.filter("status = 'running'"), t.fx_edges, t.fx_nodes)
+
+
+def _cut_all(t):
+    return g.cascade_cutoff(t.fx_nodes.filter("status = 'completed'"), t.fx_edges, t.fx_nodes, t.fx_nodes.select("node_id"), max_nodes=10**9)[0]
+
+
+#: By layer: 3 skipped, 2 completed, 1 otherwise terminal, 0 open.
+CUT_ALL_SQL = _by_layer(
+    f"CASE WHEN n.status = 'completed' THEN 2 WHEN n.status IN {TERMINAL_SQL} THEN 1 WHEN n.status = 'queued' AND count(e.child_id) = count(c.value) AND min(c.value) >= 1 AND max(c.value) >= 2 THEN 3 ELSE 0 END",
+    "SELECT * FROM fx_edges",
+    f"CASE WHEN status = 'completed' THEN 2 WHEN status IN {TERMINAL_SQL} THEN 1 ELSE 0 END",
+).replace("n.estimate, n.is_floating, n.layer", "n.status")
+
+
+@query("g8_cascade_cutoff_all", CUT_ALL_SQL.replace("SELECT node_id, value FROM (SELECT * FROM v0", "SELECT node_id FROM (SELECT * FROM v0") + " WHERE value = 3")
+def _(t):
+    return _cut_all(t).select("node_id")
+
+
+@query("g9_seconds_saved_all", CUT_ALL_SQL.replace("SELECT node_id, value FROM (SELECT * FROM v0", "SELECT count(*) AS skipped, coalesce(round(sum(estimate), 4), 0) AS saved_secs FROM fx_nodes WHERE node_id IN (SELECT node_id FROM (SELECT * FROM v0") + " WHERE value = 3)")
+def _(t):
+    return g.seconds_saved(_cut_all(t), t.fx_nodes).withColumn("saved_secs", F.round("saved_secs", 4))
+
+
 @query("g10_cycle_nodes", """
 WITH RECURSIVE e AS (SELECT path_id AS a, ref_id AS b FROM fx_path_refs WHERE ref_id > 0 UNION SELECT 1, 40 UNION SELECT 3, 25),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),

@@ -125,3 +125,14 @@ def test_running_totals(spark):
     got = {r.k: (r.place, r.upto) for r in running_totals(df, [F.col("k")], {"place": F.lit(1), "upto": F.col("v")}).collect()}
     assert got == {k: (k + 1, 2 * k + 2) for k in range(1000)}
     assert running_totals(df.limit(0), [F.col("k")], {"n": F.lit(1)}).count() == 0
+
+
+def test_states_are_decided_over_all_children(inputs):
+    """Over all edges some nodes differ from what their greatest child alone says."""
+    from kilnwork.queries.registry import QUERIES
+
+    for name, key in (("g5_initial_states", "state"), ("g8_cascade_cutoff", "node_id")):
+        of_one, of_all = (QUERIES[n](inputs.spark, inputs.sf_dir).select("node_id", key if key != "node_id" else F.lit(1).alias("x")) for n in (name, f"{name}_all"))
+        assert sorted(map(tuple, of_one.collect())) != sorted(map(tuple, of_all.collect())), name
+    most = inputs.fx_edges.groupBy("parent_id").count().agg(F.max("count")).first()[0]
+    assert most > 1
