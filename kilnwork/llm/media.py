@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -18,8 +19,10 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Payloads are stored as rows of 64 pixels of three 8-bit samples.
 ROW_BYTES, PIXEL_BYTES, WIDTH = 192, 3, 64
 SIDE, LOW = 32, 8
-#: Payload bytes that are worked on at once.
+#: Payload bytes that are worked on at once, rows that are filtered at once, and inflated bytes of an image at most.
 BLOCK_BYTES = 1 << 20
+STRIP = 4096
+MAX_BYTES = 1 << 31
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -32,53 +35,77 @@ def padded(data: bytes) -> bytes:
     return data + b" " * (rows * ROW_BYTES - len(data))
 
 
-def encode_png(payload: bytes, level: int = 1) -> bytes:
-    """RGB image of 64 pixels a row, filter 0 on every row."""
-    rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW_BYTES)
-    lines = np.zeros((len(rows), ROW_BYTES + 1), dtype=np.uint8)
-    lines[:, 1:] = rows
-    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 2, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
+def _guesses(rows: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """What filters 0 to 4 guess each byte to be, from rows and the rows above them."""
+    b = above.astype(np.int16)
+    a, c = np.zeros_like(b), np.zeros_like(b)
+    a[:, step:], c[:, step:] = rows[:, :-step], above[:, :-step]
+    return np.stack([np.zeros_like(b), a, b, (a + b) >> 1, paeth(a, b, c)])
 
 
-def unfilter(filters: np.ndarray, lines: np.ndarray, step: int) -> np.ndarray:
-    """Undo PNG row filters 0 to 4 on (height, width * step) bytes.
+def paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of the left, upper and upper-left bytes the one next to left + upper - upper-left; ties in that order."""
+    by_a, by_b, by_c = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+    return np.where((by_a <= by_b) & (by_a <= by_c), a, np.where(by_b <= by_c, b, c))
 
-    Rows of filter 0 need nothing; Sub and Up are running sums. A block of
-    rows with Average or Paeth is undone along its anti-diagonals, as a pixel
-    needs only its left, upper and upper-left neighbours.
+
+def filter_rows(rows: np.ndarray, above: np.ndarray, step: int = PIXEL_BYTES) -> np.ndarray:
+    """Filtered rows, each after the number of its filter: that of the least sum of absolute differences, ties to the smaller."""
+    left = (rows.astype(np.int16) - _guesses(rows, above, step)).astype(np.uint8)
+    kinds = np.minimum(left, 0 - left).sum(axis=2, dtype=np.int64).argmin(axis=0)
+    return np.concatenate([kinds[:, None].astype(np.uint8), left[kinds, np.arange(len(rows))]], axis=1)
+
+
+def encode_pngs(payloads: list[bytes], level: int = 1) -> list[bytes]:
+    """RGB images of 64 pixels a row, the filters chosen row by row."""
+    rows = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, ROW_BYTES)
+    heights = [len(p) // ROW_BYTES for p in payloads]
+    above = np.zeros_like(rows)
+    above[1:] = rows[:-1]
+    above[np.cumsum([0, *heights[:-1]])] = 0
+    lines = np.concatenate([filter_rows(rows[i : i + STRIP], above[i : i + STRIP]) for i in range(0, len(rows), STRIP)])
+    out, at = [], 0
+    for height in heights:
+        head = struct.pack(">IIBBBBB", WIDTH, height, 8, 2, 0, 0, 0)
+        body = zlib.compress(lines[at : at + height].tobytes(), level)
+        out.append(SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", body) + _chunk(b"IEND", b""))
+        at += height
+    return out
+
+
+def unfilter(filters: list[np.ndarray], lines: list[np.ndarray], step: int) -> list[np.ndarray]:
+    """Undo PNG row filters 0 to 4 on images of one width, each (height, width * step) bytes.
+
+    All images are undone together along their anti-diagonals, as a pixel needs
+    only its left, upper and upper-left neighbours.
     """
-    if filters.max(initial=0) > 4:
-        raise ValueError("unknown PNG filter")
-    if not filters.any():
-        return lines
-    height, width = len(lines), lines.shape[1] // step
-    out = np.zeros((height + 1, width + 1, step), dtype=np.int32)
-    raw = lines.reshape(height, width, step).astype(np.int32)
-    if filters.max() <= 2:
-        for y in range(height):
-            row = raw[y]
-            if filters[y] == 1:
-                row = np.cumsum(row, axis=0) & 255
-            elif filters[y] == 2:
-                row = (row + out[y, 1:]) & 255
-            out[y + 1, 1:] = row
-        return out[1:, 1:].reshape(height, -1).astype(np.uint8)
-    for t in range(height + width - 1):
-        y = np.arange(max(0, t - width + 1), min(height, t + 1))
-        x = t - y
-        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
-        pa_, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
-        paeth = np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
-        guess = np.choose(filters[y][:, None], [np.zeros_like(a), a, b, (a + b) >> 1, paeth])
-        out[y + 1, x + 1] = (raw[y, x] + guess) & 255
-    return out[1:, 1:].reshape(height, -1).astype(np.uint8)
-
-
-def decode_png(data: bytes) -> tuple[np.ndarray, int]:
-    """(height, width * samples) bytes and the samples of a pixel, of an 8-bit grey, grey-alpha, RGB or RGBA image.
-
-    Raises ValueError on a bad signature, checksum, order or size.
+    heights = np.array([len(x) for x in lines])
+    width = lines[0].shape[1] // step
+    total = int(heights.sum())
+    raw = np.concatenate(lines).reshape(total, width, step)
+    kinds = np.concatenate(filters)
+    image = np.repeat(np.arange(len(lines)), heights)
+    y = np.arange(total) - np.repeat(np.cumsum(heights) - heights, heights)
+    out = np.zeros((total + len(lines), width + 1, step), dtype=np.int16)  # a row of zeros above each image, a column at its left
+    place = np.arange(total) + image + 1
+    order = np.argsort(y, kind="stable")
+    y, place, kinds = y[order], place[order], kinds[order]
+    first = np.searchsorted(y, np.arange(heights.max() + width + 1))  # where rows of each number begin
+    for t in range(int(heights.max()) + width - 1):
+        now = slice(first[max(0, t - width + 1)], first[min(t, heights.max() - 1) + 1])
+        at, x, kind = place[now], t - y[now], kinds[now][:, None]
+        a, b, c = out[at, x], out[at - 1, x + 1], out[at - 1, x]
+        guess = np.where(kind == 4, paeth(a, b, c), np.where(kind == 3, (a + b) >> 1, np.where(kind == 2, b, np.where(kind == 1, a, 0))))
+        out[at, x + 1] = (raw[order[now], x] + guess) & 255
+    ends = np.cumsum(heights + 1)
+    return [out[e - h : e, 1:].reshape(h, -1).astype(np.uint8) for h, e in zip(heights, ends, strict=True)]
+
+
+def read_png(data: bytes, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, int]:
+    """(height, 1 + width * samples) bytes, still filtered, and the samples of a pixel, of an 8-bit grey, grey-alpha, RGB or RGBA image.
+
+    Raises ValueError on a bad signature, checksum, chunk order, kind or size;
+    no more is inflated than the header's size, which is ``max_bytes`` at most.
     """
     if data[:8] != SIGNATURE:
         raise ValueError("not a PNG")
@@ -90,7 +117,11 @@ def decode_png(data: bytes) -> tuple[np.ndarray, int]:
         kind, part = data[at + 4 : at + 8], data[at + 8 : at + 8 + size]
         if len(part) != size or data[at + 8 + size : at + 12 + size] != struct.pack(">I", zlib.crc32(kind + part)):
             raise ValueError(f"PNG checksum of {kind!r} is wrong")
+        if (kind == b"IHDR") != (head is None):
+            raise ValueError("PNG header is not the first chunk, or not the only one")
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("PNG header has a wrong size")
             head = struct.unpack(">IIBBBBB", part)
         elif kind == b"IDAT":
             body.append(part)
@@ -98,18 +129,43 @@ def decode_png(data: bytes) -> tuple[np.ndarray, int]:
         at += 12 + size
     if head is None or not ended:
         raise ValueError("PNG without IHDR or IEND")
-    width, height, depth, colour, _, _, interlaced = head
+    width, height, depth, colour, packing, filtering, interlaced = head
     step = {0: 1, 4: 2, 2: 3, 6: 4}.get(colour)
-    if depth != 8 or step is None or interlaced:
+    if depth != 8 or step is None or packing or filtering or interlaced:
         raise ValueError("PNG kind is not read here")
+    size = height * (width * step + 1)
+    if not width or not height or size > max_bytes:
+        raise ValueError("PNG is empty or too large")
+    inflater = zlib.decompressobj()
     try:
-        flat = np.frombuffer(zlib.decompress(b"".join(body)), dtype=np.uint8)
+        flat = inflater.decompress(b"".join(body), size + 1)
     except zlib.error as e:
         raise ValueError("PNG data can't be inflated") from e
-    if len(flat) != height * (width * step + 1):
+    if len(flat) != size or not inflater.eof:
         raise ValueError("PNG data has a wrong size")
-    lines = flat.reshape(height, -1)
-    return unfilter(lines[:, 0], lines[:, 1:], step), step
+    lines = np.frombuffer(flat, dtype=np.uint8).reshape(height, -1)
+    if lines[:, 0].max() > 4:
+        raise ValueError("unknown PNG filter")
+    return lines, step
+
+
+def decode_pngs(images: list[bytes | None]) -> list[tuple[np.ndarray, int] | str]:
+    """For each image its (height, width * samples) bytes and the samples of a pixel, or what is wrong with it."""
+    found: list = []
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, data in enumerate(images):
+        try:
+            found.append(("null" if data is None else read_png(data)))
+        except ValueError as e:
+            found.append(str(e))
+        if not isinstance(found[-1], str):
+            lines, step = found[-1]
+            alike.setdefault((lines.shape[1], step), []).append(i)
+    for (_, step), group in alike.items():
+        undone = unfilter([found[i][0][:, 0] for i in group], [found[i][0][:, 1:] for i in group], step)
+        for i, rows in zip(group, undone, strict=True):
+            found[i] = (rows, step)
+    return found
 
 
 @cache
@@ -136,12 +192,17 @@ def cosine_hash(rows: np.ndarray, step: int) -> bytes:
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 1) -> DataFrame:
-    """``doc_id, n_bytes, media``: each whole text as a PNG in a binary column; null texts are empty."""
+    """``doc_id, n_bytes, media``: each whole text as a PNG in a binary column.
+
+    Null texts are empty; an empty text is one row of spaces. Every row gets an
+    image, rows of a null id and repeated rows each by themselves; equal texts
+    have equal images. Other columns are ignored, whatever they are called.
+    """
 
     def encode(batches):
         for batch, texts in text_blocks(batches, chars=BLOCK_BYTES):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-            media = pa.array([encode_png(padded(b), level) for b in raw], pa.binary())
+            media = pa.array(encode_pngs([padded(b) for b in raw], level), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, raw)), pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -149,31 +210,43 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(encode, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def media_features(media: DataFrame, key: str = "doc_id", media_col: str = "media") -> DataFrame:
+def image_blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of a batch with their images, of about BLOCK_BYTES; a larger image is a block of its own."""
+    images = batch.column(column).to_pylist()
+    start = size = 0
+    for i, data in enumerate(images):
+        if i > start and size + len(data or b"") > BLOCK_BYTES // 2:
+            yield batch.slice(start, i - start), images[start:i]
+            start, size = i, 0
+        size += len(data or b"")
+    if start < len(images):
+        yield batch.slice(start), images[start:]
+
+
+def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
     """Features of each image, read from its stored bytes.
 
-    ``doc_id, payload_bytes, payload_sha256, tail_crc32, hash, fault``, with the
-    row's other columns. A null image or one that fails a test has its reason in
-    ``fault`` and null features; no row is lost.
+    ``payload_bytes, payload_sha256, tail_crc32, hash, fault``, with the row's
+    other columns; columns of these names are replaced. A null image or one
+    that fails a test has its reason in ``fault`` and null features; no row is
+    lost.
     """
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "hash", "fault"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
-    def features(data: bytes | None) -> tuple:
-        if data is None:
-            return None, None, None, None, "null"
-        try:
-            rows, step = decode_png(data)
-        except ValueError as e:
-            return None, None, None, None, str(e)
+    def features(found: tuple[np.ndarray, int] | str) -> tuple:
+        if isinstance(found, str):
+            return None, None, None, None, found
+        rows, step = found
         payload = rows.tobytes()
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), cosine_hash(rows, step), None
 
     def read(batches):
-        for batch in batches:
-            found = [features(x.as_py()) for x in batch.column(media_col)]
-            columns = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+        for whole in batches:
+            for batch, images in image_blocks(whole, media_col):
+                found = [features(f) for f in decode_pngs(images)]
+                columns = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
     own = [c for c in media.columns if c not in names]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name in own)

@@ -54,12 +54,14 @@ def test_all_filters(colour, step, kinds):
     r = np.random.default_rng(step)
     rows = r.integers(0, 256, (9, 7 * step), dtype=np.uint8)
     filters = [kinds[y % len(kinds)] for y in range(9)]
-    got, samples = media.decode_png(png(filtered(rows, filters, step), 7, 9, colour))
-    assert samples == step and (got == rows).all()
+    flat = rows[:4].copy()
+    images = [png(filtered(rows, filters, step), 7, 9, colour), png(filtered(flat, filters[:4], step), 7, 4, colour)]
+    (got, samples), (second, _) = media.decode_pngs(images)
+    assert samples == step and (got == rows).all() and (second == flat).all()
 
 
 def test_damage_is_found(spark):
-    good = media.encode_png(media.padded(b"hello"))
+    (good,) = media.encode_pngs([media.padded(b"hello")])
     cut, flipped = good[:-5], good[:45] + bytes([good[45] ^ 1]) + good[46:]
     df = spark.createDataFrame([(1, good), (2, cut), (3, flipped), (4, b"GIF89a"), (5, None)], "doc_id long, media binary")
     got = {r.doc_id: r.fault for r in media.media_features(df).collect()}
@@ -81,3 +83,58 @@ def test_near_images_have_near_hashes():
     near[3, 5] ^= 8
     a, b = (int.from_bytes(media.cosine_hash(x, 3)) for x in (base, near))
     assert (a ^ b).bit_count() <= 4
+
+
+def test_stored_rows_are_filtered():
+    text = media.padded(("The quick brown fox, " * 40 + "ABAB" * 300).encode())
+    (stored,) = media.encode_pngs([text])
+    lines, _ = media.read_png(stored)
+    assert set(lines[:, 0].tolist()) - {0}
+    assert media.decode_pngs([stored])[0][0].tobytes() == text
+    together = media.encode_pngs([text, media.padded(b""), text[:192]])
+    assert together == [stored, *media.encode_pngs([media.padded(b"")]), *media.encode_pngs([text[:192]])]
+    noise = np.random.default_rng(1).integers(0, 256, 192 * 60, dtype=np.uint8).tobytes()
+    smooth = np.cumsum(np.ones((60, 192)), axis=0).astype(np.uint8).tobytes()
+    for payload in (noise, smooth, b"x" * 192):
+        assert media.decode_pngs(media.encode_pngs([payload]))[0][0].tobytes() == payload
+
+
+def odd_image(head=None, body=None, order=(b"IHDR", b"IDAT", b"IEND")):
+    parts = {b"IHDR": struct.pack(">IIBBBBB", 2, 1, 8, 0, 0, 0, 0) if head is None else head, b"IDAT": zlib.compress(b"\0ab") if body is None else body, b"IEND": b""}
+    return media.SIGNATURE + b"".join(media._chunk(k, parts[k]) for k in order)
+
+
+def test_odd_images_have_a_fault():
+    head = lambda *x: struct.pack(">IIBBBBB", *x)
+    assert not isinstance(media.decode_pngs([odd_image()])[0], str)
+    odd = [
+        odd_image(head=b"abc"), odd_image(head=b""), odd_image(head=head(0, 1, 8, 0, 0, 0, 0), body=zlib.compress(b"\0")), odd_image(head=head(2, 0, 8, 0, 0, 0, 0), body=zlib.compress(b"")),
+        odd_image(head=head(2**31, 2**31, 8, 0, 0, 0, 0)), odd_image(head=head(2, 1, 16, 0, 0, 0, 0)), odd_image(head=head(2, 1, 8, 3, 0, 0, 0)), odd_image(head=head(2, 1, 8, 0, 1, 0, 0)),
+        odd_image(body=b""), odd_image(body=b"junk"), odd_image(body=zlib.compress(b"\0" * 10**7)), odd_image(body=zlib.compress(b"\0a")), odd_image(body=zlib.compress(b"\x05ab")),
+        odd_image(body=zlib.compress(b"\0ab")[:-3]), odd_image(order=(b"IDAT", b"IHDR", b"IEND")), odd_image(order=(b"IHDR", b"IHDR", b"IDAT", b"IEND")), odd_image(order=(b"IHDR", b"IDAT")),
+        odd_image(order=(b"IEND",)), b"", media.SIGNATURE, media.SIGNATURE + b"\xff" * 20,
+    ]
+    assert all(isinstance(x, str) for x in media.decode_pngs(odd))
+
+
+def test_fuzzed_images_never_raise():
+    r = np.random.default_rng(8)
+    (good,) = media.encode_pngs([media.padded(b"some text " * 60)])
+    images = []
+    for _ in range(400):
+        data = bytearray(good)
+        for _ in range(int(r.integers(1, 4))):
+            data[int(r.integers(0, len(data)))] = int(r.integers(0, 256))
+        images.append(bytes(data[: int(r.integers(0, len(data) + 1))]) if r.random() < 0.3 else bytes(data))
+    for _ in range(200):  # damage under right checksums
+        head = bytearray(struct.pack(">IIBBBBB", 2, 1, 8, 0, 0, 0, 0))
+        head[int(r.integers(0, 13))] = int(r.integers(0, 256))
+        images.append(odd_image(head=bytes(head[: int(r.integers(8, 14))]), body=zlib.compress(r.bytes(int(r.integers(0, 12))))))
+    for found in media.decode_pngs(images):
+        assert isinstance(found, str) or media.cosine_hash(*found)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    docs = documents(spark, [(1, "same"), (1, "same"), (None, None)]).withColumn("hash", F.lit(1)).withColumn("n_bytes", F.lit("x"))
+    got = media.media_features(media.encode_media(docs).withColumn("fault", F.lit("old"))).collect()
+    assert len(got) == 3 and {r.fault for r in got} == {None} and len({r.payload_sha256 for r in got if r.doc_id == 1}) == 1
