@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.llm.batches import text_blocks
+from kilnwork.llm.unicode_versions import LATER_LETTERS, LATER_MARKS, as_class, lower_map
 
 #: Distinct words whose ids a task keeps; beyond it the store starts anew.
 KEPT_WORDS = 400_000
 #: White space as the tokenizer file's patterns see it: fixed values.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and numbers that are none to the vocabulary's own library.
+LATER = as_class(LATER_LETTERS)
 #: How the vocabulary's own file cuts lower-cased text into words: fixed values.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
+PIECES = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[" + LATER + r"]]+|[\p{N}--[" + LATER + r"]]|[^" + WHITE + r"[[\p{L}\p{N}]--[" + LATER + "]]]+"
 
 
 def byte_letters() -> list[str]:
@@ -128,6 +131,8 @@ class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.pieces = regex.compile(PIECES)
+        self.later_marks = regex.compile(f"([{as_class(LATER_MARKS)}])")
+        self.lower = lower_map() | {ord("Σ"): ord("σ")}  # a final sigma gets no form of its own
         self.forget()
 
     def forget(self) -> None:
@@ -146,8 +151,9 @@ class Encoder:
         return out
 
     def plain(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # a final sigma gets no form of its own
-        return self.pieces.findall(text)
+        if not text.isascii():
+            text = "".join(unicodedata.normalize("NFC", part) for part in self.later_marks.split(text)).translate(self.lower)
+        return self.pieces.findall(text.lower())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one flat array, and how many each text has."""
@@ -179,7 +185,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     ``vocabulary`` is the path of a tokenizer file, read on the driver and
     broadcast (about 50,000 tokens). A null or empty text has no ids and
     decodes to ''. Texts are taken in blocks of bounded size, a longer text by
-    itself. Other columns of ``docs`` are ignored.
+    itself. Every row is encoded, rows of a null id and repeated rows each by
+    themselves. Other columns of ``docs`` are ignored.
     """
     with open(vocabulary, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(f.read()))
