@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kilnwork.llm.batches import BLOCK_CHARS, codepoints, letters, text_blocks
 from kilnwork.llm.sampling import bounded_sample, held_out
+from kilnwork.plans.stored import stored
 
 #: Lengths of the n-grams; all share one table of 2**BITS hashed cells.
 GRAMS = (1, 2, 3)
@@ -21,29 +22,41 @@ FRACTION = 4096
 #: Labelled rows that a model is fitted on, in all languages together.
 SAMPLE_ROWS = 8_000
 UNDETERMINED = "und"
+#: Numbers of a table at most: with more than 1,024 languages the cells get coarser, by powers of two.
+TABLE_SIZE = 1 << 26
 
 
 @dataclass
 class LanguageModel:
-    """``table``: int32 log probabilities, a row for each cell and a column for each language."""
+    """``table``: int32 log probabilities, a row for each cell and a column for each language.
+
+    ``shift`` is how many of a cell's low bits the table leaves out.
+    """
 
     languages: list[str]
     table: np.ndarray
+    shift: int = 0
 
 
 def _grams(texts: list[str]):
-    """Cells of all n-grams by length, where each text's start, and its number of letters."""
+    """Cells of all n-grams by length, where each text's start, and its number of letters.
+
+    What lies after a text is spaces, whatever text comes next.
+    """
     flat, starts = codepoints([t.lower() for t in texts], pad=max(GRAMS))
+    after = np.concatenate([starts[1:], [len(flat)]])[:, None] - 1 - np.arange(max(GRAMS))
     letter = letters()[flat]
     counts = np.add.reduceat(letter.astype(np.int64), starts)
     char = np.where(letter, flat, np.uint32(32)).astype(np.uint32)
-    cells, mixed = [], np.zeros(len(char), dtype=np.uint32)
+    cells, mixed, blank = [], np.zeros(len(char), dtype=np.uint32), 0
     with np.errstate(over="ignore"):
         for n in range(1, max(GRAMS) + 1):
             mixed = mixed * np.uint32(0x01000193)
             mixed[: len(char) - n + 1] += char[n - 1 :] * np.uint32(0x9E3779B1)
             if n in GRAMS:
-                salted = (mixed ^ np.uint32(n * 0x3C6EF372)) * np.uint32(0x85EBCA6B)
+                mixed_in = mixed.copy()
+                mixed_in[after] = blank = np.uint32((int(blank) * 0x01000193 + 32 * 0x9E3779B1) % 2**32)
+                salted = (mixed_in ^ np.uint32(n * 0x3C6EF372)) * np.uint32(0x85EBCA6B)
                 cells.append((salted ^ (salted >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS))
     return cells, starts, counts
 
@@ -68,21 +81,23 @@ def _count_cells(label: str):
 def fit_language(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fit on about ``sample_rows`` labelled rows, the languages evenly.
 
-    Cell counts are summed by Spark; the driver gets at most 2**BITS numbers a
-    language. Rows with a null text, language or id teach nothing; without any
+    Rows that agree in id, language and text count once. Cell counts are summed
+    by Spark; the driver gets TABLE_SIZE numbers at most, 2**BITS a language
+    unless there are more than 1,024 languages. Rows with a null text, language or id teach nothing; without any
     row left, the model knows no language and every text is undetermined.
     """
     named = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("key"))
-    sample = bounded_sample(named.filter("text is not null"), "lang", "key", sample_rows)
-    counted = sample.select("text", "lang").mapInArrow(_count_cells("lang"), "lang string, cell long, n long")
-    found = counted.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(set(found.column("lang").to_pylist()))
-    counts = np.zeros((1 << BITS, len(languages)))
+    sample = stored(bounded_sample(named, "lang", ["key", "text"], sample_rows).select("text", "lang"))
+    languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
+    shift = max(0, int(np.ceil(np.log2(max(1, len(languages)) * (1 << BITS) / TABLE_SIZE))))
+    counted = sample.mapInArrow(_count_cells("lang"), "lang string, cell long, n long")
+    found = counted.groupBy("lang", F.shiftright("cell", shift).alias("cell")).agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((1 << (BITS - shift), len(languages)))
     if languages:
         at = np.searchsorted(np.array(languages, dtype=object), np.array(found.column("lang").to_pylist(), dtype=object))
         counts[found.column("cell").to_numpy(), at] = found.column("n").to_numpy()
     smooth = counts + 0.5
-    return LanguageModel(languages, np.rint(np.log(smooth / smooth.sum(axis=0)) * FRACTION).astype(np.int32))
+    return LanguageModel(languages, np.rint(np.log(smooth / smooth.sum(axis=0)) * FRACTION).astype(np.int32), shift)
 
 
 def score_texts(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -97,7 +112,7 @@ def score_texts(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.n
             first = int(np.searchsorted(starts, lo, side="right")) - 1
             last = int(np.searchsorted(starts, hi, side="left"))
             cuts = np.maximum(starts[first:last], lo) - lo
-            total[first:last] += np.add.reduceat(model.table[c[lo:hi]], cuts, axis=0, dtype=np.int64)
+            total[first:last] += np.add.reduceat(model.table[c[lo:hi] >> model.shift], cuts, axis=0, dtype=np.int64)
     best = total.argmax(axis=1)
     gap = (total - total.max(axis=1, keepdims=True)) / FRACTION
     score = 1.0 / np.exp(gap).sum(axis=1)

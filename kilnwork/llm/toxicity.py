@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -26,22 +27,25 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e",
 }
 SIGNS = "".join(map(re.escape, LEET))
-GAPS = r" .\-_*"
 #: What the channel charges, in nats: a sign for a letter, a sign for itself, a repeat dropped; one of a stretch's
-#: narrowest gaps dropped or kept, and the other way round for its wider gaps.
-SIGN_COST, KEEP_COST, REPEAT_COST, GAP_COST, GAP_KEPT_COST = 1.0, 7.0, 0.7, 0.3, 3.0
-#: Longest stretch that is decoded at once; longer ones are decoded piece by piece.
-PIECE = 96
+#: narrowest gaps dropped or kept, and the other way round for its wider gaps. An exclamation mark at the end stands for itself cheaply.
+SIGN_COST, KEEP_COST, REPEAT_COST, GAP_COST, GAP_KEPT_COST, SHOUT_COST = 1.0, 7.0, 0.7, 0.3, 3.0, 2.0
+#: Characters after which the decoder writes out what all readings that are still possible agree on.
+AGREED = 512
+#: Longest stretch whose reading is kept for the next time.
+KEPT_CHARS = 200
 #: Characters that are worked on at once.
 BLOCK_CHARS = 1 << 18
 #: Decoded stretches that a task keeps.
 KEPT = 200_000
 
-LETTER = r"[^\W\d_]"
-SPACED = re.compile(rf"(?<![\w{SIGNS}])[\w{SIGNS}](?:[{GAPS}]{{1,2}}[\w{SIGNS}]){{2,}}(?![\w{SIGNS}])")
-SIGNED = re.compile(rf"(?<![\w{SIGNS}]){LETTER}*+(?:[{SIGNS}]++{LETTER}++)++[{SIGNS}]{{0,3}}")
-GAP = re.compile(rf"[{GAPS}]+")
-REPEATED = re.compile(rf"{LETTER}+")
+TOKEN = rf"(?:[^\W_]|[{SIGNS}])"
+GAP_SIGN = rf"(?:(?![{SIGNS}])[\W_])"
+#: Single characters with gaps between them, runs of letters, digits and signs, and letters with repeats.
+SPACED = re.compile(rf"(?<![^\W_])(?<![{SIGNS}]){TOKEN}(?:{GAP_SIGN}++{TOKEN}(?!{TOKEN})){{2,}}+")
+RUN = re.compile(rf"{TOKEN}++")
+GAP = re.compile(rf"{GAP_SIGN}++")
+REPEATED = re.compile(r"[^\W\d_]++")
 TRIPLE = re.compile(r"(.)\1\1|(.)\2(.)\3(.)\4")
 
 #: Labelled rows that the word scores and the last step are fitted on.
@@ -61,12 +65,18 @@ def codes() -> np.ndarray:
 
 
 @cache
-def _marks() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point, whether it is one of SIGNS, and whether it is one of GAPS."""
-    sign, gap = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=bool)
+def _marks() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point, whether it is one of SIGNS, a TOKEN, and a letter as REPEATED sees it."""
+    sign = np.zeros(0x110000, dtype=bool)
     sign[[ord(c) for c in LEET]] = True
-    gap[[ord(c) for c in " .-_*"]] = True
-    return sign, gap
+    digit = np.fromiter((chr(i).isdecimal() for i in range(0x110000)), dtype=bool, count=0x110000)
+    word = np.fromiter((chr(i).isalnum() for i in range(0x110000)), dtype=bool, count=0x110000)
+    return sign, word | sign, word & ~digit
+
+
+def _mixed(stretch: str) -> bool:
+    """Whether letters and signs meet in a stretch."""
+    return any(c in LEET for c in stretch) and any(c.isalpha() for c in stretch)
 
 
 def count_trigrams(batches):
@@ -105,38 +115,44 @@ class Decoder:
     model: np.ndarray
     kept: dict[str, str] = field(default_factory=dict)
 
-    def lattice(self, stretch: str) -> list[list[tuple[str, int, float]]]:
+    def lattice(self, stretch: str) -> Iterator[list[tuple[str, int, float]]]:
         """For each character its readings: what is written, its code (-1: nothing), and the channel's charge."""
-        narrow = min(map(len, GAP.findall(stretch)), default=1)
-        out, run, last = [], 0, ""
+        narrow = min((m.end() - m.start() for m in GAP.finditer(stretch)), default=1)
+        shout = len(stretch.rstrip("!"))
+        run, last, gap_end = 0, "", 0
         for i, c in enumerate(stretch):
             run = run + 1 if c == last else 1
             if c.isalpha():
-                out.append([(c, int(codes()[ord(c)]), 0.0)])
+                readings = [(c, int(codes()[ord(c)]), 0.0)]
                 if run > 1:
-                    out[-1].append(("", -1, REPEAT_COST if run == 2 else 0.0))
+                    readings.append(("", -1, REPEAT_COST if run == 2 else 0.0))
             elif c in LEET:
-                out.append([(x, int(codes()[ord(x)]), SIGN_COST) for x in LEET[c]] + [(c, 0, KEEP_COST)])
+                kept = SHOUT_COST if i >= shout else KEEP_COST
+                readings = [(x, int(codes()[ord(x)]), SIGN_COST) for x in LEET[c]] + [(c, 0, kept)]
                 if run > 1:
-                    out[-1].append(("", -1, REPEAT_COST))
+                    readings.append(("", -1, REPEAT_COST))
+            elif i < gap_end:
+                readings = [("", -1, 0.0)]
             elif gap := GAP.match(stretch, i):
-                if i and GAP.match(stretch[i - 1]):
-                    out.append([("", -1, 0.0)])
-                elif len(gap.group()) > narrow:
-                    out.append([("", -1, GAP_KEPT_COST), (" ", 0, GAP_COST)])
-                else:
-                    out.append([("", -1, GAP_COST), (" ", 0, GAP_KEPT_COST)])
+                gap_end = gap.end()
+                drop, keep = (GAP_KEPT_COST, GAP_COST) if gap_end - i > narrow else (GAP_COST, GAP_KEPT_COST)
+                readings = [("", -1, drop), (" ", 0, keep)]
             else:
-                out.append([(c, 0, 0.0)])
+                readings = [(c, 0, 0.0)]
             last = c
-        return out
+            yield readings
 
     def viterbi(self, stretch: str) -> str:
-        """The likeliest reading; the states are the last two characters read."""
+        """The likeliest reading of the whole stretch; the states are the last two characters read.
+
+        Every AGREED characters, what all surviving readings have in common is
+        written out and its back pointers go.
+        """
         model = self.model
-        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        for readings in self.lattice(stretch):
-            following: dict[tuple[int, int], tuple[float, tuple]] = {}
+        best: dict[tuple[int, int], tuple[float, list | None]] = {(0, 0): (0.0, None)}
+        out: list[str] = []
+        for place, readings in enumerate(self.lattice(stretch), start=1):
+            following: dict[tuple[int, int], tuple[float, list | None]] = {}
             for (a, b), (score, path) in best.items():
                 for written, code, cost in readings:
                     if code < 0:
@@ -146,47 +162,67 @@ class Decoder:
                     else:
                         state, value = (b, code) if code else (0, 0), score - cost + model[a, b, code]
                     if state not in following or value > following[state][0]:
-                        following[state] = (value, (written, path))
+                        following[state] = (value, [written, path])
             best = following
+            if place % AGREED == 0:
+                self._write_agreed([p for _, p in best.values()], out)
         _, path = max(((s + (model[a, b, 0] if b else 0.0), p) for (a, b), (s, p) in best.items()), key=lambda x: x[0])
-        out = []
-        while path:
-            out.append(path[0])
+        return "".join([*out, *self._written(path)])
+
+    @staticmethod
+    def _written(path: list | None) -> list[str]:
+        found = []
+        while path is not None:
+            found.append(path[0])
             path = path[1]
-        return "".join(reversed(out))
+        return found[::-1]
+
+    def _write_agreed(self, paths: list[list | None], out: list[str]) -> None:
+        """Move the common beginning of ``paths``, which are of one length, to ``out``."""
+        while paths[0] is not None and any(p is not paths[0] for p in paths):
+            paths = list({id(p[1]): p[1] for p in paths}.values())
+        if paths[0] is not None:
+            out += self._written(paths[0])
+            paths[0][:] = ["", None]
 
     def read(self, stretch: str) -> str:
         found = self.kept.get(stretch)
         if found is None:
-            if len(self.kept) > KEPT:
-                self.kept.clear()
-            found = "".join(self.viterbi(stretch[i : i + PIECE]) for i in range(0, len(stretch), PIECE))
-            self.kept[stretch] = found
+            found = self.viterbi(stretch)
+            if len(stretch) <= KEPT_CHARS:
+                if len(self.kept) > KEPT:
+                    self.kept.clear()
+                self.kept[stretch] = found
         return found
 
     def restore(self, text: str) -> str:
         """A lower-cased text with spacing, signs and repeats undone where the model likes the outcome better."""
-        take = lambda m: self.read(m.group()) if any(c.isalpha() for c in m.group()) else m.group()
-        text = SIGNED.sub(take, SPACED.sub(take, text))
+        text = SPACED.sub(lambda m: self.read(m.group()) if any(c.isalpha() for c in m.group()) else m.group(), text)
+        text = RUN.sub(lambda m: self.read(m.group()) if _mixed(m.group()) else m.group(), text)
         if TRIPLE.search(text):
             text = REPEATED.sub(lambda m: self.read(m.group()) if TRIPLE.search(m.group()) else m.group(), text)
         return text
 
     def restore_all(self, texts: list[str | None]) -> list[str]:
-        """Lower-cased and restored texts. Only texts with a suspicious place are gone through."""
+        """Lower-cased and restored texts. Only texts with a place that ``restore`` may change are gone through."""
         low = [(t or "").lower() for t in texts]
         flat, starts = codepoints(low, pad=6)
-        is_letter, sign, gap = letters()[flat], *(m[flat] for m in _marks())
-        word = is_letter | sign | (kinds()[flat] == WORD)
+        sign, token, letter = (m[flat] for m in _marks())
         odd = np.zeros(len(flat), dtype=bool)
-        odd[:-1] |= sign[:-1] & is_letter[1:]
-        twice = is_letter[:-1] & (flat[:-1] == flat[1:])
+        twice = letter[:-1] & (flat[:-1] == flat[1:])
         odd[:-2] |= twice[:-1] & twice[1:]
         odd[:-5] |= twice[:-4] & twice[2:-2] & twice[4:]
-        single = word & ~np.roll(word, 1) & ~np.roll(word, -1)
-        near = single & (np.roll(single, 2) & np.roll(gap, 1) | np.roll(single, 3) & np.roll(gap, 1) & np.roll(gap, 2))
-        odd[2:] |= near[2:] & (near[:-2] | np.roll(near, 1)[:-2])
-        for i in np.flatnonzero(np.add.reduceat(odd.astype(np.int64), starts)).tolist():
+        edges = np.flatnonzero(np.diff(token, prepend=False, append=False))
+        begin, end = edges[::2], edges[1::2]
+        if len(begin):
+            signs = np.concatenate([[0], np.cumsum(sign)])
+            alphas = np.concatenate([[0], np.cumsum(letters()[flat])])
+            odd[begin] |= (signs[end] > signs[begin]) & (alphas[end] > alphas[begin])
+            single = (end - begin) == 1
+            of = np.searchsorted(starts, begin, side="right")
+            three = single[:-2] & single[1:-1] & single[2:] & (of[:-2] == of[2:])
+            odd[begin[:-2]] |= three
+        for i in np.flatnonzero(np.add.reduceat(odd.astype(np.int64), starts) if len(starts) else []).tolist():
             low[i] = self.restore(low[i])
         return low
 
@@ -254,9 +290,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float =
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, min_docs: int = 3) -> ToxicityModel:
-    """Fit on about ``sample_rows`` labelled rows outside the held-out third.
+    """Fit on about ``sample_rows`` labelled documents outside the held-out third.
 
-    The character model takes all of ``docs``. Words and heads are counted by
+    Of rows that share a doc_id the least text counts, so that the sample stays
+    bounded whatever is repeated; rows of a null doc_id teach nothing but
+    characters. The character model takes all of ``docs``. Words and heads are counted by
     document on two thirds of the sample; those in at least ``min_docs`` toxic
     documents score the lower bound of their log odds. The last step, logistic
     over the features of a document, is fitted on the other third. The driver
@@ -265,10 +303,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     """
     characters = fit_characters(docs)
     outside = labels.filter(~held_out(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    drawn = bounded_sample(outside.filter("label in (0, 1)"), "label", "doc_id", sample_rows)
+    drawn = bounded_sample(outside.filter("label in (0, 1)"), "label", ["doc_id"], sample_rows)
     part = (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)) > 0).alias("counted")
     shared = docs.sparkSession.sparkContext.broadcast(characters)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("label").cast("double").alias("label"), part)
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").cast("double").alias("label")).select("text", "label", part)
     rows = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # a bounded sample: few tasks in Python, however many scan docs
 
     def restore(batches):
@@ -322,8 +360,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, restored, score`` of whole texts: the restored text and its probability of label 1.
 
-    Null and empty texts are restored to '' and scored without words. The
-    model is broadcast; its size is bounded by the sample it was fitted on.
+    Null and empty texts are restored to '' and scored without words. Every row
+    is scored, rows of a null id and repeated rows each by themselves; other
+    columns are ignored, whatever they are called. The model is broadcast; its size is bounded by the sample it was fitted on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -5,6 +5,9 @@ import pytest
 from plain import documents
 from pyspark.sql import functions as F
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from kilnwork.llm import quality, toxicity
 from kilnwork.llm.network import fit_network
 from kilnwork.llm.sampling import bounded_sample, fold
@@ -58,6 +61,45 @@ def test_without_labels_scores_are_even(spark, corpus):
     assert {r.score for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, none)).collect()} == {0.5}
 
 
+def test_vectors_and_pooling_match_plain(spark, corpus):
+    """Contexts over all texts, pooled features and the network's pass, one word after another."""
+    import re
+
+    docs, _ = tables(spark, corpus)
+    number = lambda w: int(quality.words_of([w])[0][0])
+    split = lambda t: re.findall(r"[^\W_]+|[^\w\s]+", t)
+    index = quality.index_vectors()
+    assert (np.abs(index).sum(axis=1) <= quality.ONES).all() and (np.abs(index).sum(axis=1) > 0).any()
+    context = np.zeros_like(index, dtype=float)
+    known = {}
+    for _, text, *_ in corpus[0]:
+        ids = [known.setdefault(w, number(w)) for w in split(text)]
+        for a, b in zip(ids, ids[1:], strict=False):
+            context[a] += index[b]
+            context[b] += index[a]
+    want = context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6) + 0.5 * index / 3**0.5
+    got = quality.fit_vectors(docs)
+    assert np.abs(got - want).max() < 1e-5
+    for text in (corpus[0][0][1], "river", ""):
+        v = np.array([got[known[w]] for w in split(text)]).reshape(-1, quality.DIM)
+        row = np.zeros(3 * quality.DIM + 1)
+        if len(v):
+            row[: quality.DIM], row[quality.DIM : 2 * quality.DIM] = v.mean(axis=0), v.std(axis=0)
+            row[2 * quality.DIM : -1] = (v[:-1] * v[1:]).sum(axis=0) / len(v)
+        row[-1] = np.log1p(len(v))
+        assert np.abs(quality.pool(got, [text])[0] - row).max() < 1e-3  # single precision
+
+
+def test_temperature_calibrates():
+    """The mean score of a group with equal features is near its share of ones."""
+    r = np.random.default_rng(1)
+    x = r.integers(0, 4, (8000, 1)).astype(float)
+    share = np.array([0.1, 0.35, 0.6, 0.9])
+    y = (r.random(8000) < share[x[:, 0].astype(int)]).astype(float)
+    p = fit_network(x, y).predict(np.arange(4.0)[:, None])
+    assert np.abs(p - share).max() < 0.08
+
+
 def test_pooled_features_do_not_depend_on_the_batch(corpus):
     vectors = quality.index_vectors()
     texts = [r[1] for r in corpus[0]] + ["", "x"]
@@ -93,12 +135,29 @@ def test_clean_text_is_left_alone(toxic_model):
     assert toxic_model.predict(toxic_model.features(["brave river stone"]))[0] < 0.3
 
 
+def best_reading(decoder, stretch):
+    """The likeliest reading by dynamic programming over full back pointers, without cuts."""
+    m = decoder.model
+    table = {(0, 0): (0.0, "")}
+    for readings in decoder.lattice(stretch):
+        following = {}
+        for (a, b), (score, text) in table.items():
+            for written, code, cost in readings:
+                same = code < 0 or (code == 0 and b == 0)
+                state = (a, b) if same else (b, code) if code else (0, 0)
+                value = score - cost + (0.0 if same else m[a, b, code])
+                if state not in following or value > following[state][0]:
+                    following[state] = (value, text + written)
+        table = following
+    return max(((s + (m[a, b, 0] if b else 0.0), t) for (a, b), (s, t) in table.items()), key=lambda x: x[0])[1]
+
+
 def test_viterbi_matches_all_readings(toxic_model):
     import itertools
 
     decoder = toxicity.Decoder(toxic_model.characters)
     m = toxic_model.characters
-    for stretch in ("gr8b", "s.n.o", "aab", "1t"):
+    for stretch in ("gr8b", "s.n.o", "aab", "1t", "a$$", "hi!!", "b, 0"):
         best = (-np.inf, None)
         for path in itertools.product(*decoder.lattice(stretch)):
             a = b = 0
@@ -110,7 +169,94 @@ def test_viterbi_matches_all_readings(toxic_model):
                     score += m[a, b, code]
                     a, b = (b, code) if code else (0, 0)
             best = max(best, (score + (m[a, b, 0] if b else 0.0), out))
-        assert decoder.viterbi(stretch) == best[1]
+        assert decoder.viterbi(stretch) == best[1] == best_reading(decoder, stretch)
+
+
+@pytest.mark.parametrize("agreed", [1, 7, 512])
+def test_long_stretches_are_decoded_whole(toxic_model, monkeypatch, agreed):
+    monkeypatch.setattr(toxicity, "AGREED", agreed)
+    decoder = toxicity.Decoder(toxic_model.characters)
+    r = random.Random(3)
+    leet = {"o": "0", "i": "1", "e": "3", "a": "4", "s": "$", "t": "7", "g": "9"}
+    for n in (90, 97, 200, 1000):
+        text = " ".join(r.choice(VOCAB + BAD) for _ in range(n // 6))
+        shown = "  ".join(" ".join(leet.get(c, c) if r.random() < 0.3 else c for c in w) for w in text.split())
+        packed = "".join(leet.get(c, c) if r.random() < 0.3 else c for c in text.replace(" ", ""))
+        for stretch in (shown, packed):
+            assert decoder.viterbi(stretch) == best_reading(decoder, stretch)
+
+
+NASTY = "ab1!$ 0é.-_\n,²\u0301\0o"
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.text(alphabet=NASTY, max_size=12), min_size=1, max_size=4))
+def test_prefilter_misses_nothing(toxic_model, texts):
+    decoder = toxicity.Decoder(toxic_model.characters)
+    assert decoder.restore_all(texts) == [decoder.restore(t.lower()) for t in texts]
+
+
+def test_trigrams_words_and_features_match_plain(spark, corpus, toxic_model):
+    """Counts, odds and features one character or word after another."""
+    import re
+    from collections import Counter
+
+    three = Counter()
+    for _, text, *_ in corpus[0]:
+        code = [0, 0]
+        for c in text.lower() + "\0":
+            x = toxicity.ALPHABET.find(c) + 1 if c in toxicity.ALPHABET else toxicity.OTHER_LETTER if c.isalpha() else 0
+            if x:
+                code.append(x)
+            elif code[-1]:
+                code += [0, 0]
+        three.update(zip(code, code[1:], code[2:], strict=False))
+    counts = np.zeros((toxicity.SIZE,) * 3)
+    for k, n in three.items():
+        counts[k] = n
+    two = counts.sum(axis=0)
+    smooth = lambda c, d: (c + d) / (c.sum(axis=-1, keepdims=True) + toxicity.SIZE * d)
+    want = np.log(0.75 * smooth(counts, 1e-9) + 0.24 * smooth(two, 0.1)[None] + 0.01 / toxicity.SIZE)
+    inner = counts.sum(axis=2) > 0
+    assert np.abs(np.where(inner[:, :, None], toxic_model.characters - want, 0)).max() < 1e-6
+
+    docs, labels = tables(spark, corpus)
+    toxic = {d: t for d, _, t in corpus[1]}
+    part = {r.doc_id: r.part > 0 for r in labels.select("doc_id", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)).alias("part")).collect()}
+    fold_of = {r.doc_id: r.f for r in docs.select("doc_id", fold(F.col("doc_id"), 3).alias("f")).collect()}
+    decoder = toxicity.Decoder(toxic_model.characters)
+    t, c, sizes = Counter(), Counter(), Counter()
+    for d, text, *_ in corpus[0]:
+        if fold_of[d] == 1 or not part[d]:
+            continue
+        sizes[toxic[d]] += 1
+        (t if toxic[d] else c).update(set(re.findall(r"[a-z]+", decoder.restore_all([text])[0])))
+    odds = {}
+    for w, n in t.items():
+        if n >= 3:
+            a, b = n + 0.5, c[w] + 0.5
+            value = np.log(a / (sizes[1] + 1)) - np.log(b / (sizes[0] + 1)) - 1.5 * np.sqrt(1 / a + 1 / b)
+            if value > 0.5:
+                odds[w] = value
+    assert set(odds) >= set(BAD)
+    for w, value in odds.items():
+        hashes, n = toxicity.word_hashes([w])
+        assert n.tolist() == [1] and abs(toxic_model.word_scores(hashes[0])[0] - value) < 1e-9
+    assert toxic_model.word_scores(toxicity.word_hashes(["river"])[0][0])[0] == 0
+    text = "river grubnik stone snorvel"
+    best = max(max(toxic_model.word_scores(h)[i] for h in toxicity.word_hashes([text])[0]) for i in range(4))
+    row = toxic_model.features([text])[0]
+    assert row[0] == best and row[1] >= 2 and (toxic_model.features([""]) == 0).all()
+
+
+@pytest.mark.parametrize("shown,meant", [("hell0", "hello"), ("cl4$$", "class")])
+def test_signs_at_a_words_end(shown, meant):
+    model = toxicity.Decoder(np.log(np.full((64, 64, 64), 1e-4)))
+    codes = toxicity.codes()
+    path = [0, 0, *[int(codes[ord(c)]) for c in meant], 0]
+    for a, b, c in zip(path, path[1:], path[2:], strict=False):
+        model.model[a, b, c] = -0.1
+    assert model.restore_all([shown]) == [meant]
 
 
 def test_toxicity_odd_rows(spark, toxic_model):
@@ -119,14 +265,22 @@ def test_toxicity_odd_rows(spark, toxic_model):
     assert got[1].score == got[2].score and got[1].restored == ""
     assert got[3].score >= 0.7 and got[4].score < 0.5
     assert toxicity.score_toxicity(odd.limit(0), toxic_model).count() == 0
+    twice = odd.union(odd).filter("doc_id = 2")
+    assert toxicity.score_toxicity(twice, toxic_model).count() == 2
 
 
 def test_sample_is_bounded_and_even(spark):
     rows = spark.range(20000).selectExpr("id", "cast(id % 10 = 0 as int) as label")
-    drawn = {r.label: r["count"] for r in bounded_sample(rows, "label", "id", 2000).groupBy("label").count().collect()}
+    drawn = {r.label: r["count"] for r in bounded_sample(rows, "label", ["id"], 2000).groupBy("label").count().collect()}
     assert all(800 < n < 1200 for n in drawn.values()) and len(drawn) == 2
-    with pytest.raises(ValueError):
-        bounded_sample(rows, "id", "id", 100, max_labels=5)
+
+
+def test_sample_with_many_labels_and_repeats(spark):
+    rows = spark.range(20000).selectExpr("id", "id as label")
+    assert 800 < bounded_sample(rows, "label", ["id"], 1000).count() < 1200
+    same = spark.range(5000).selectExpr("1L as id", "id % 2 as label", "'x' as text").union(spark.createDataFrame([(2, 0, None), (None, 1, "y"), (3, None, "z")], "id long, label long, text string"))
+    assert bounded_sample(same, "label", ["id", "text"], 100000).count() == 2
+    assert bounded_sample(rows.limit(0), "label", ["id"], 10).count() == 0
 
 
 def test_network_separates_rings():
