@@ -33,15 +33,21 @@ def test_template_merges_adjacent_turns(spark):
 
 
 def test_mask_covers_assistant_texts_only(spark):
-    rows = [(1, 0, "system", "s</s>"), (1, 1, "assistant", "x<sep>y"), (1, 2, "assistant", "z"), (1, 3, "user", "u")]
+    rows = [(1, 0, "system", "s</s>é"), (1, 1, "assistant", "x<sep>é"), (1, 2, "assistant", "z"), (1, 3, "user", "u"), (1, 4, "assistant", "")]
     r = formatted(spark, rows)[1]
-    at, covered = 0, []
-    for run in r["mask"]:
-        if run.loss:
-            covered.append(r.formatted[at : at + run.chars])
-        at += run.chars
-    assert at == len(r.formatted)
-    assert covered == ["x<\\sep>y", "z"]
+    raw = r.formatted.encode()
+    cuts = [raw[m.start : m.start + m.bytes].decode() for m in r["mask"]]
+    assert cuts == ["s<\\/s>é", "x<\\sep>é", "z", "u", ""]
+    assert [m.loss for m in r["mask"]] == [False, True, True, False, True]
+
+
+def test_loss_is_read_through_the_mask(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b</s>\\"), (1, 2, "user", "c"), (1, 3, "assistant", "dé")]
+    df = chat.format_chats(spark.createDataFrame(rows, SCHEMA))
+    assert chat.read_chats(df).first().loss == "b</s>\\dé"
+    shifted = df.withColumn("mask", F.transform("mask", lambda m: F.struct((m["start"] - 1).alias("start"), m["bytes"].alias("bytes"), m["loss"].alias("loss"))))
+    flipped = df.withColumn("mask", F.transform("mask", lambda m: F.struct(m["start"].alias("start"), m["bytes"].alias("bytes"), (~m["loss"]).alias("loss"))))
+    assert chat.read_chats(shifted).first().loss != "b</s>\\dé" and chat.read_chats(flipped).first().loss == "ac"
 
 
 def test_nulls_ties_and_empty_tables(spark):
@@ -67,7 +73,9 @@ def test_query_has_the_extra_conversation(spark):
 def test_no_python_in_the_plan(spark):
     df = chat.read_chats(chat.format_chats(spark.createDataFrame([(1, 0, "user", "a")], SCHEMA).filter("turn >= 0")))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "mask" in plan
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
 
 
 @settings(max_examples=15, deadline=None)
