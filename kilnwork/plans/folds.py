@@ -20,11 +20,11 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], step:
     keys = list(keys)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
+        now, state = (), None  # keys are not empty, so no key equals ()
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                key = tuple("null" if row[k] != row[k] or row[k] is None else row[k] for k in keys)
+                key = tuple(None if row[k] is None or row[k] != row[k] else row[k] for k in keys)
                 if key != now:
                     now, state = key, None
                 state, found = step(state, row)

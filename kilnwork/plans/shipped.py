@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,12 +19,14 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_kilnwork_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(kilnwork.__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="kilnwork-"), "kilnwork.zip")
+    folder = tempfile.mkdtemp(prefix="kilnwork-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "kilnwork.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
+        for inner, _, names in os.walk(top):
             for name in names:
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(inner, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     context.addPyFile(path)
     context._kilnwork_shipped = True

@@ -6,15 +6,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and runs on one machine, as in tests.
 LOCAL_FOLDER = "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The application's own folder below ``spark.checkpoint.dir``."""
+    """The application's own folder below ``spark.checkpoint.dir``.
+
+    Without such a setting a folder of this machine does for a local master
+    only; on a cluster that is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or LOCAL_FOLDER)
     return context.getCheckpointDir()
 
 
