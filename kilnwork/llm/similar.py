@@ -1,4 +1,4 @@
-"""Near duplicates by the Jaccard similarity of word shingles: exact, from prefixes of rare shingles."""
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash links, verified, and what they miss from prefixes of rare shingles."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.llm.batches import text_blocks
+from kilnwork.llm.simhash import fingerprint, fingerprint_links
 from kilnwork.plans.components import connected_components
 from kilnwork.plans.stored import stored
 
@@ -21,8 +22,6 @@ OVER, UNDER = 4, 5
 SEED = 42
 #: Counters of shingles by the top bits of their hashes, and how many of them make a row of the sum.
 COUNTER_BITS, SEGMENT_BITS = 21, 15
-#: Rounds that compare the members of a shingle with one of them, before all that are still apart are compared.
-STAR_ROUNDS = 2
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -94,14 +93,25 @@ def shingle_counts(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
 
 
 def keys(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, node``: documents of equal shingle sets have one node."""
+    """``doc_id, node, fp``: documents of equal shingle sets have one node; ``fp`` is the SimHash fingerprint."""
 
     def compute(batches):
         for batch, texts in text_blocks(batches):
             nodes = np.fromiter((set_key(shingles(t, size)) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes.view(np.int64))], ["doc_id", "node"])
+            fps = np.fromiter((fingerprint(t, size) for t in texts), dtype=np.uint64, count=len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64))], ["doc_id", "node", "fp"])
 
-    return _texts(docs).mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long")
+    return _texts(docs).mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp long")
+
+
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """``a, b``: nodes that SimHash links, as pairs to verify; nodes of one fingerprint are paired with one of them."""
+    sets_of = nodes.select("node", "fp").distinct()
+    distinct = stored(sets_of.groupBy("fp").agg(F.min("node").alias("least")))
+    same = sets_of.join(distinct, "fp").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    links = fingerprint_links(distinct)
+    ends = links.join(distinct.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return same.union(ends.select("x", "y")).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int = SHINGLE) -> DataFrame:
@@ -157,39 +167,36 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def similar_links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``a, b``: links that connect exactly the sets connected by pairs of a Jaccard similarity of 0.8 or more.
 
-    ``nodes`` are the ``keys`` of ``docs``. Sets meet in the shingles of their
-    prefixes, which leaves out no pair; the order, rarest first, only keeps
-    common passages out of them. Members of a shingle are compared with one of
-    them at first, so that a large group of near copies is one class before
-    those still apart are compared pair by pair.
+    ``nodes`` are the ``keys`` of ``docs``. Pairs that SimHash finds are
+    verified first. At this similarity it misses many, so sets meet in the
+    shingles of their prefixes too, which leaves out no pair; the order, rarest
+    first, only keeps common passages out of them. Members of a shingle are
+    compared at first with the one that has the fewest rarer shingles: in a
+    group of near copies that is a text without changes of its own. So a large
+    group is one class before those still apart are compared pair by pair.
     """
     tokens = prefixes(docs, shingle_counts(docs, size), size)
     several = tokens.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("token")
     now = stored(tokens.join(several, "token", "left_semi").distinct().withColumn("label", F.col("node")))
     one = nodes.groupBy("node").agg(F.min("doc_id").alias("__one")).join(now.select("node").distinct(), "node", "left_semi").select("__one").distinct()
     found = stored(sets(docs.join(one, F.col("doc_id").eqNullSafe(F.col("__one")), "left_semi"), size).dropDuplicates(["node"]))
-    links = None
-    for k in range(STAR_ROUNDS + 1):
-        others = now
-        if k < STAR_ROUNDS:
-            order = F.xxhash64(F.lit(k), "node") if k else F.col("n").cast("long")
-            others = now.groupBy("token").agg(F.min(F.struct(order.alias("order"), "node", "n", "place", "label")).alias("head")).select("token", "head.*")
-        apart = now.alias("a").join(others.alias("b"), "token").filter("a.label <> b.label")
-        new = _verified(stored(_candidates(apart)), found)
-        links = stored(new if links is None else links.union(new))
-        if k < STAR_ROUNDS:
-            classes = connected_components(links, "a", "b").select("node", F.col("label").alias("__label"))
-            now = stored(now.join(classes, "node", "left").withColumn("label", F.coalesce("__label", "node")).drop("__label"))
-            mixed = now.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("token")
-            now = stored(now.join(mixed, "token", "left_semi"))
-    return links
+    heads = now.groupBy("token").agg(F.min(F.struct("place", "n", "node", "label")).alias("head")).select("token", "head.*")
+    near = _candidates(now.alias("a").join(heads.alias("b"), "token").filter("a.node <> b.node"))
+    links = stored(_verified(stored(near.union(simhash_pairs(nodes)).distinct()), found))
+    classes = connected_components(links, "a", "b").select("node", F.col("label").alias("__label"))
+    now = now.join(classes, "node", "left").withColumn("label", F.coalesce("__label", "node")).drop("__label")
+    mixed = now.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("token")
+    now = stored(now.join(mixed, "token", "left_semi"))
+    apart = now.alias("a").join(now.alias("b"), "token").filter("a.label <> b.label")
+    return stored(links.union(_verified(stored(_candidates(apart)), found)))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, component_id`` for each row of ``docs``; ``component_id`` is the smallest doc_id reachable over links.
 
     Texts without words are one class. A null doc_id bridges others; a class
-    of null ids only has a null component_id.
+    of null ids only has a null component_id. Repeated rows are kept, other
+    columns ignored. Empty tables give empty results.
     """
     nodes = stored(keys(docs, size))
     classes = connected_components(similar_links(docs, nodes, size), "a", "b")

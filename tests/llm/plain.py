@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections import defaultdict
@@ -85,6 +86,29 @@ def mix(rows, seed="mix"):
     for source, own in members.items():
         rate = target[source] / sizes[source] if sizes[source] else 0.0
         shift = int(hashlib.md5(f"{seed}:{source or ''}".encode()).hexdigest()[:8], 16) / 2**32
-        for i, (n, d) in enumerate(sorted(own, key=lambda x: (x[0], x[1] is None, x[1] or 0)), start=1):
-            out.append((d, source, n, target[source], math.floor(i * rate + shift) - math.floor((i - 1) * rate + shift)))
+        place = 0
+        for (n, d), group in itertools.groupby(sorted(own, key=lambda x: (x[0], x[1] is None, x[1] or 0))):
+            rows = len(list(group))
+            total = math.floor((place + rows) * rate + shift) - math.floor(place * rate + shift)
+            place += rows
+            out += [(d, source, n, target[source], total // rows + (i < total % rows)) for i in range(rows)]
     return out
+
+
+def similar_classes(texts, n=5):
+    """Least key of each key's class, from {key: text}: links at a Jaccard similarity of 0.8 or more of the word shingles."""
+    sets = {}
+    for k, t in texts.items():
+        w = words((t or "").translate({i: i + 32 for i in range(65, 91)}))
+        sets[k] = frozenset(" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+    keys = sorted(sets)
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    label = {k: k for k in keys}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label

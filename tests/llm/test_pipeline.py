@@ -2,7 +2,7 @@ import hashlib
 
 import public_tokenizers
 import pytest
-from plain import classes, dedup, fingerprint, mix
+from plain import dedup, mix, similar_classes
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -42,7 +42,7 @@ def test_run_matches_plain_stages(spark, folder):
     rows = [r for r, lang in zip(rows, langs, strict=True) if lang != "und"]
     assert {9001, 9002, 9003}.isdisjoint(d for d, _, _ in rows)
     texts = dedup([(d, t) for d, t, _ in rows])
-    least = classes({d: fingerprint(t) for d, t in texts.items()})
+    least = similar_classes(texts)
     rows = [(d, texts[d], s) for d, _, s in rows if least[d] == d]
     copies = [(d, n) for d, _, _, _, n in mix(rows)]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
