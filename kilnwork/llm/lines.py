@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 10
-#: A key that many documents share is dealt over so many ranges, each of which passes on one document's lines.
-SALTS = 32
+#: A key that many documents share is dealt over so many tasks at least, and one for each so many documents; each passes on one document's lines.
+SALTS, SALT_ROWS = 32, 1 << 20
+#: Equal ranges that the hashes are cut into, by their top bits.
+RANGE_BITS = 16
 
 
 def split_lines(text: Column) -> Column:
@@ -22,21 +24,26 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int | None = None) -> DataFrame:
     """``doc_id, text_hash, pos`` of lines whose key a smaller doc_id holds too.
 
-    Lines are reduced to a 128-bit hash of their key. The hashes are
-    range-partitioned, with a salt by document so that no key is dealt to one
-    task, and sorted by document and position; the first document of each
-    (hash, salt) stays, later ones are repeats. What stays is as few as
-    ``salts`` documents for a key, and is streamed once more without the salt.
+    Lines are reduced to a 128-bit hash of their key. The hashes are uniform,
+    so they are partitioned by equal ranges without looking at them first, with
+    a salt by document so that no key is dealt to one task, and sorted by
+    document and position; the first document of each (hash, salt) stays, later
+    ones are repeats. What stays is as few as ``salts`` documents for a key, and
+    is streamed once more without the salt. By default there is a salt for each
+    SALT_ROWS documents, SALTS at least.
     """
+    if salts is None:
+        salts = max(SALTS, -(-docs.count() // SALT_ROWS))
     keys = docs.filter("doc_id is not null").select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
         F.posexplode(F.transform(split_lines(F.col("text")), line_key)).alias("pos", "key"),
     )
     hashed = keys.filter(F.char_length("key") >= min_chars).select(
+        F.shiftright(F.xxhash64("key"), 64 - RANGE_BITS).alias("range"),
         F.xxhash64("key").alias("h1"),
         F.xxhash64(F.lit(1), "key").alias("h2"),
         F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(salts)).cast("int").alias("salt"),
@@ -44,8 +51,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SAL
         "text_hash",
         "pos",
     )
-    ranged = hashed.repartitionByRange("h1", "h2", "salt")
-    in_salt = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos")
+    ranged = hashed.repartition("range", "salt")
+    in_salt = Window.partitionBy("range", "salt", "h1", "h2").orderBy("doc_id", "pos")
     streamed = ranged.withColumn("first_here", F.first("doc_id").over(in_salt))
     again = Window.partitionBy("h1", "h2").orderBy("doc_id", "pos")
     firsts = streamed.filter("doc_id = first_here").withColumn("first", F.first("doc_id").over(again))
@@ -53,7 +60,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SAL
     return later.union(firsts.filter("doc_id <> first").select("doc_id", "text_hash", "pos"))
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int | None = None) -> DataFrame:
     """``doc_id, text_hash, dropped``: a compressed bitmap of the lines that a document loses.
 
     ``dropped`` is a sorted array of (word, bits): 64 lines a word, words
@@ -77,7 +84,7 @@ def _dense(dropped: Column) -> Column:
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int | None = None) -> DataFrame:
     """``docs`` with the lines dropped that a smaller doc_id holds, in a new ``text``.
 
     A key of at least ``min_chars`` code points keeps all its lines in the

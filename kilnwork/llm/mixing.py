@@ -76,10 +76,23 @@ def mix_plan(
 
     Nulls: a null text has size 0, a null source is a source of its own, a
     null id is an id like any other. Rows that agree in id, source and size
-    are one unit: each is taken equally often. A source without words takes
-    nothing. An empty table gives an empty plan. Other columns of ``docs`` are
-    ignored, whatever they are called.
+    follow each other in that order; the integers passed over all of them are
+    dealt to them evenly, so they differ by one copy at most. A source without
+    words takes nothing. An empty table gives an empty plan. Other columns of
+    ``docs`` are ignored, whatever they are called.
     """
+    units = unit_plan(docs, size, weights, max_copies, seed, id_col, source_col, text_col)
+    each = units.withColumn("one", F.explode(F.sequence(F.lit(1), F.col("rows")))).withColumn("copies", unit_copies(F.col("one")))
+    return each.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def unit_copies(number: Column) -> Column:
+    """Copies of the row of this number, from 1, among the ``rows`` of a unit that share ``total`` copies."""
+    return (F.floor(F.col("total") / F.col("rows")) + (number <= F.col("total") % F.col("rows")).cast("int")).cast("int")
+
+
+def unit_plan(docs: DataFrame, size: Column | None, weights: Sequence[int], max_copies: int, seed: str, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """``doc_id, source, size, rows, source_size, target, total``: the copies that all ``rows`` of an id, source and size take."""
     slim = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
@@ -89,8 +102,8 @@ def mix_plan(
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     targets = source_targets(sizes, weights, max_copies)
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last()]
-    ranked = running_totals(units, order, {"place": F.lit(1)})
-    first = units.groupBy("source").agg(F.count("*").alias("units"))
+    ranked = running_totals(units, order, {"place": F.col("rows")})
+    first = units.groupBy("source").agg(F.sum("rows").alias("units"))
     starts = running_totals(first, [F.col("source").asc_nulls_last()], {"units_to": F.col("units")}).select(
         F.col("source").alias("source_key"), (F.col("units_to") - F.col("units")).alias("start")
     )
@@ -102,27 +115,30 @@ def mix_plan(
     return (
         ranked.join(known, F.col("source").eqNullSafe(F.col("source_key")))
         .withColumns({"rate": rate, "offset": offset.cast("double") / F.lit(4294967296.0)})
-        .withColumn("copies", (passed(place) - passed(place - 1)).cast("int"))
-        .withColumn("one", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .withColumn("total", passed(place) - passed(place - F.col("rows")))
+        .select("doc_id", "source", "size", "rows", "source_size", "target", "total")
     )
 
 
-def mix_sources(docs: DataFrame, **options) -> DataFrame:
+def mix_sources(docs: DataFrame, size: Column | None = None, weights: Sequence[int] = (1, 2, 3), max_copies: int = 3, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mixed documents: each row of ``docs`` as often as ``mix_plan`` takes it.
 
     The columns are those of ``docs``. The plan is joined on id, source and
-    size; texts move once.
+    size; texts move once. Rows that share these are numbered by a hash of
+    their text, through ranges, as they may be many.
     """
-    id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
-    text_col, size = options.get("text_col", "text"), options.get("size")
-    plan = mix_plan(docs, **options).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.first("copies").alias("__copies"))
-    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size")], "__copies")
+    plan = stored(unit_plan(docs, size, weights, max_copies, seed, id_col, source_col, text_col).filter("total > 0"))
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size")], "rows", "total")
     keyed = docs.withColumn("__words", word_count(F.col(text_col)) if size is None else size.cast("long"))
-    on = (
-        keyed[id_col].eqNullSafe(plan["__doc_id"])
-        & keyed[source_col].eqNullSafe(plan["__source"])
-        & (keyed["__words"] == plan["__size"])
-    )
-    copied = keyed.join(plan, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return copied.select(*[copied[c] for c in docs.columns])
+
+    def on(rows: DataFrame, some: DataFrame) -> Column:
+        return rows[id_col].eqNullSafe(some["__doc_id"]) & rows[source_col].eqNullSafe(some["__source"]) & (rows["__words"] == some["__size"])
+
+    single, several = plan.filter("rows = 1"), plan.filter("rows > 1")
+    taken = keyed.join(single, on(keyed, single)).select(*[keyed[c] for c in docs.columns], F.col("total").cast("int").alias("__copies"))
+    if not several.isEmpty():
+        shared = keyed.join(several, on(keyed, several), "left_semi")
+        numbered = running_totals(shared, [F.xxhash64(text_col)], {"__number": F.lit(1)}, keys=[id_col, source_col, "__words"])
+        dealt = numbered.join(several, on(numbered, several)).select(*[numbered[c] for c in docs.columns], unit_copies(F.col("__number")).alias("__copies"))
+        taken = taken.union(dealt.filter("__copies > 0"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

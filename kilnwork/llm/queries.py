@@ -137,12 +137,13 @@ WITH d AS (
   SELECT u.*, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
     CAST(CAST('0x' || substr(md5('mix:' || coalesce(u.source, '')), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS shift,
-    row_number() OVER (PARTITION BY u.source ORDER BY u.size, u.doc_id NULLS LAST) AS place
+    sum(u.n) OVER (PARTITION BY u.source ORDER BY u.size, u.doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS place
   FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT r.*, CAST(floor(CAST(place AS DOUBLE) * rate + shift) - floor(CAST(place - n AS DOUBLE) * rate + shift) AS BIGINT) AS total FROM r
 )
-SELECT r.doc_id, r.size, r.source_size, r.target,
-  CAST((floor(CAST(place AS DOUBLE) * rate + shift) - floor(CAST(place - 1 AS DOUBLE) * rate + shift)) * r.size AS BIGINT) AS taken
-FROM r, range(r.n) AS each_row
+SELECT c.doc_id, c.size, c.source_size, c.target, CAST((total // n + CASE WHEN each_row.range < total % n THEN 1 ELSE 0 END) * c.size AS BIGINT) AS taken
+FROM c, range(c.n) AS each_row
 """,
     "op4_lines": r"""
 WITH s AS (

@@ -18,10 +18,10 @@ from kilnwork.plans.stored import stored
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Fingerprints a shard should hold, sampled fingerprints the shards are laid out with, and the most levels of that layout.
+#: Fingerprints a shard should hold, and how many fingerprints the shards are laid out with: so many at least, and so many a shard.
 SHARD_SIZE = 4_000
 SAMPLE_SIZE = 65_536
-MAX_LEVELS = 15
+SAMPLE_PER_SHARD = 16
 LEAF = 48
 ALL_BITS = 0xFFFFFFFFFFFFFFFF
 
@@ -199,7 +199,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, shard_size: int
     """``a, b``: links that connect exactly the fingerprints connected by pairs within ``radius`` bits.
 
     ``distinct`` has each fingerprint once, as ``fp``. For each bit band a tree
-    is laid out on the driver from about ``sample_size`` fingerprints; every
+    is laid out on the driver from about ``sample_size`` fingerprints, or
+    SAMPLE_PER_SHARD a shard if that is more (0.4 percent of all); every
     fingerprint goes to its home shard and to all shards that its ball
     overlaps. A shard returns a spanning forest of its pairs, not the pairs.
     """
@@ -207,11 +208,11 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, shard_size: int
     count = distinct.count()
     if not count:
         return spark.createDataFrame([], "a long, b long")
-    rate = min(2**30, int(sample_size / count * 2**30) + 1)
+    levels = max(0, int(np.ceil(np.log2(max(1, count / shard_size)))))
+    rate = min(2**30, int(max(sample_size, SAMPLE_PER_SHARD << levels) / count * 2**30) + 1)
     drawn = distinct.filter(F.pmod(F.xxhash64(F.lit("layout"), "fp"), F.lit(2**30)) < rate)
     sample = np.sort(drawn.toArrow().column("fp").to_numpy().view(np.uint64))
     sample = sample[np.argsort((sample * np.uint64(0x9E3779B97F4A7C15)), kind="stable")]
-    levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(1, count / shard_size))))))
     masks = band_masks(radius)
     trees = spark.sparkContext.broadcast([lay_out(sample, [m, (ALL_BITS, radius)], levels) for m in masks])
 

@@ -104,10 +104,12 @@ def search_top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int =
     """``query_id, rank, vec_id, score``: for each query row the k best other rows by integer inner product.
 
     ``vectors`` has (vec_id, embedding); ``queries`` marks the query rows. Rows
-    are dealt to shards of about ``shard_rows`` by a hash, packed as arrays;
-    query blocks meet every shard by an equi-join on the shard, each pair is
-    searched with MaxScore, and the best k of all shards are kept. Ties go to
-    the smaller vec_id.
+    are dealt to shards of about ``shard_rows`` by a hash, packed as arrays. A
+    task holds one shard and streams query blocks, all of them, or a group of
+    them where there are fewer shards than would keep the cores busy; so a
+    shard is sent once, or as often as there are groups. Each query is searched
+    with MaxScore, and the best k of all shards are kept. Ties go to the
+    smaller vec_id.
 
     Vectors that are null or hold a null or non-finite component, and rows of
     a null vec_id, take no part. Shorter vectors count as zero beyond their
@@ -119,33 +121,35 @@ def search_top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int =
         F.col("vec_id").cast("long").alias("vec_id"), integer_vector(F.col("embedding"), scale).alias("cells"), F.coalesce(queries, F.lit(False)).alias("asks")
     )
     sizes = used.agg(F.count("*").alias("rows"), F.count_if("asks").alias("asking")).first()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
     n_shards, n_blocks = max(1, -(-sizes.rows // shard_rows)), max(1, -(-sizes.asking // block_rows))
+    n_groups = min(n_blocks, max(1, -(-2 * cores // n_shards)))
     part = lambda n: F.pmod(F.xxhash64("vec_id", "cells"), F.lit(n)).cast("int").alias("part")
     shape = f"part int, {PACKED}"
     shards = used.select("vec_id", "cells", part(n_shards)).groupBy("part").applyInPandas(_pack, shape)
     blocks = used.filter("asks").select("vec_id", "cells", part(n_blocks)).groupBy("part").applyInPandas(_pack, shape)
-    sent = blocks.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("part"),
-        *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "cells")],
-    )
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    task = lambda shard, group: (shard * n_groups + group).cast("int").alias("task")
+    held = shards.select("*", every(n_groups).alias("group")).select(task(F.col("part"), F.col("group")), F.lit(0).alias("kind"), "n", "ids", "cells")
+    sent = blocks.select("*", every(n_shards).alias("shard")).select(task(F.col("shard"), F.col("part") % n_groups), F.lit(1).alias("kind"), "n", "ids", "cells")
+    dealt = held.union(sent).repartitionById(n_shards * n_groups, F.col("task")).sortWithinPartitions("task", "kind")
 
     def search(batches):
-        last, shard = None, None
+        shard = None
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, q_rows = _unpack(row["q_n"], row["q_ids"], row["q_cells"])
-                if row["part"] != last:
-                    ids, rows = _unpack(row["n"], row["ids"], row["cells"])
-                    last, shard = row["part"], Shard(ids, rows)
-                width = len(shard.rows)
-                q_ids, q_rows = _unpack(row["q_n"], row["q_ids"], row["q_cells"], width)
+            for i in range(batch.num_rows):
+                kind, n, ids, cells = (batch.column(c)[i].as_py() for c in ("kind", "n", "ids", "cells"))
+                if kind == 0:
+                    shard = Shard(*_unpack(n, ids, cells))
+                    continue
+                q_ids, q_rows = _unpack(n, ids, cells, len(shard.rows))
                 out = [[], [], []]
                 for q, v in zip(q_ids.tolist(), q_rows, strict=True):
-                    ids, scores = shard.search(v, q, k)
-                    best = np.lexsort((ids, -scores))[:k]
-                    out[0].append(np.full(len(best), q)), out[1].append(ids[best]), out[2].append(scores[best])
+                    found, scores = shard.search(v, q, k)
+                    best = np.lexsort((found, -scores))[:k]
+                    out[0].append(np.full(len(best), q)), out[1].append(found[best]), out[2].append(scores[best])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
 
-    found = shards.join(sent, "part").mapInArrow(search, "query_id long, vec_id long, score long")
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
