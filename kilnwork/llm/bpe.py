@@ -23,7 +23,9 @@ WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: Letters and numbers that are none to the vocabulary's own library.
 LATER = as_class(LATER_LETTERS)
 #: How the vocabulary's own file cuts lower-cased text into words: fixed values.
-PIECES = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[" + LATER + r"]]+|[\p{N}--[" + LATER + r"]]|[^" + WHITE + r"[[\p{L}\p{N}]--[" + LATER + "]]]+"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
+#: The same where later letters and numbers occur.
+LATER_PIECES = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[" + LATER + r"]]+|[\p{N}--[" + LATER + r"]]|[^" + WHITE + r"[[\p{L}\p{N}]--[" + LATER + "]]]+"
 
 
 def byte_letters() -> list[str]:
@@ -130,7 +132,7 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.pieces = regex.compile(PIECES)
+        self.pieces, self.later_pieces, self.later = regex.compile(PIECES), regex.compile(LATER_PIECES), regex.compile(f"[{LATER}]")
         self.later_marks = regex.compile(f"([{as_class(LATER_MARKS)}])")
         self.lower = lower_map() | {ord("Σ"): ord("σ")}  # a final sigma gets no form of its own
         self.forget()
@@ -151,9 +153,12 @@ class Encoder:
         return out
 
     def plain(self, text: str) -> list[str]:
+        pieces = self.pieces
         if not text.isascii():
+            if self.later.search(text):
+                pieces = self.later_pieces
             text = "".join(unicodedata.normalize("NFC", part) for part in self.later_marks.split(text)).translate(self.lower)
-        return self.pieces.findall(text.lower())
+        return pieces.findall(text.lower())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one flat array, and how many each text has."""
