@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnwork.llm.batches import text_blocks
@@ -22,6 +22,8 @@ OVER, UNDER = 4, 5
 SEED = 42
 #: Counters of shingles by the top bits of their hashes, and how many of them make a row of the sum.
 COUNTER_BITS, SEGMENT_BITS = 21, 15
+#: Sets that a task remembers having sent on.
+MET_SETS = 200_000
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -115,16 +117,26 @@ def simhash_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int = SHINGLE) -> DataFrame:
-    """``token, node, n, place``: the rarest shingles of each set of ``n``, by counter and hash, with their place in that order."""
+    """``token, node, n, place``: the rarest shingles of each set of ``n``, by counter and hash, with their place in that order.
+
+    A task leaves out sets that it has met lately, so copies are not sent on one by one.
+    """
     counters = docs.sparkSession.sparkContext.broadcast(counts)
 
     def compute(batches):
+        met: set[int] = set()
         for _, texts in text_blocks(batches):
-            parts = []
+            parts = [(np.zeros(0, dtype=np.uint64), 0, 0)]
+            if len(met) > MET_SETS:
+                met.clear()
             for t in texts:
                 found = shingles(t, size)
+                key = set_key(found)
+                if key in met:
+                    continue
+                met.add(key)
                 rare = np.lexsort((found, counters.value[counter(found)]))[: prefix_size(len(found))]
-                parts.append((found[rare], set_key(found), len(found)))
+                parts.append((found[rare], key, len(found)))
             sizes = [len(p[0]) for p in parts]
             columns = [
                 pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)),
@@ -175,9 +187,10 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> Dat
     group of near copies that is a text without changes of its own. So a large
     group is one class before those still apart are compared pair by pair.
     """
+    of_token = Window.partitionBy("token")
     tokens = prefixes(docs, shingle_counts(docs, size), size)
-    several = tokens.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("token")
-    now = stored(tokens.join(several, "token", "left_semi").distinct().withColumn("label", F.col("node")))
+    several = tokens.withColumns({"least": F.min("node").over(of_token), "most": F.max("node").over(of_token)}).filter("least <> most")
+    now = stored(several.select("token", "node", "n", "place", F.col("node").alias("label")).distinct())
     one = nodes.groupBy("node").agg(F.min("doc_id").alias("__one")).join(now.select("node").distinct(), "node", "left_semi").select("__one").distinct()
     found = stored(sets(docs.join(one, F.col("doc_id").eqNullSafe(F.col("__one")), "left_semi"), size).dropDuplicates(["node"]))
     heads = now.groupBy("token").agg(F.min(F.struct("place", "n", "node", "label")).alias("head")).select("token", "head.*")
