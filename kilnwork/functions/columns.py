@@ -94,12 +94,14 @@ def is_input_failure(status: Column, msg: Column, paths: Column, marker: str = "
 
 
 def parse_cpu_millis(col: Column) -> Column:
-    """Thousandths of a core from ``64``, ``1.5`` or ``136000m``; anything else is 0."""
-    text = F.trim(col)
-    milli = F.when(F.endswith(text, F.lit("m")), F.substr(text, F.lit(1), F.length(text) - 1).try_cast("double"))
-    cores = F.when(~F.endswith(text, F.lit("m")), text.try_cast("double") * 1000)
-    found = F.coalesce(milli, cores)
-    return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?m?$"), F.floor(found)).otherwise(0).cast("long")
+    """Thousandths of a core from ``64``, ``1.5``, ``1e3`` or ``136000m``, to the nearest one; anything else is 0.
+
+    Before ``m`` only a whole number counts; nothing is trimmed, and a negative
+    number is 0.
+    """
+    milli = F.regexp_extract(col, r"^\+?([0-9]+)m$", 1).try_cast("bigint")
+    cores = F.when(col.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), col.try_cast("double"))
+    return F.coalesce(milli, F.greatest(F.round(cores * 1000), F.lit(0.0)).cast("long"), F.lit(0).cast("long"))
 
 
 def epoch_micros(col: Column) -> Column:

@@ -126,19 +126,23 @@ def rejection_reason(pairs: DataFrame) -> DataFrame:
     ``pairs`` has the node's ``is_fixed_output, node_system, needs (array),
     failed_on (array), class_rank, memory_needed`` and the executor's ``kind,
     draining, degraded, registered, closed, busy, system, offers (array),
-    executor_id, executor_rank, memory_total``.
+    executor_id, executor_rank, memory_total``. A node without a class or
+    without an estimate of its memory passes there, and so does an executor of
+    memory 0 or null, which is unknown; an executor without a class is
+    undeclared, and another class than the node's is none that fits.
     """
     clauses = [
-        ("kind", F.col("kind") != F.when(F.col("is_fixed_output"), "fetcher").otherwise("builder")),
+        ("kind", F.col("is_fixed_output") != (F.col("kind") == "fetcher")),
         ("draining", F.col("draining")),
         ("degraded", F.col("degraded")),
         ("unregistered", ~F.col("registered")),
         ("closed", F.col("closed")),
         ("capacity", F.col("busy")),
-        ("system", (F.col("node_system") != "builtin") & (F.col("system") != F.col("node_system"))),
+        ("system", F.col("system") != F.col("node_system")),
         ("feature", F.size(F.array_except("needs", "offers")) > 0),
         ("failed-on", F.array_contains("failed_on", F.col("executor_id"))),
-        ("class", F.col("executor_rank") < F.col("class_rank")),
-        ("memory", F.col("memory_needed") > F.col("memory_total")),
+        ("class undeclared", F.col("class_rank").isNotNull() & F.col("executor_rank").isNull()),
+        ("class", F.col("executor_rank") != F.col("class_rank")),
+        ("memory", (F.col("memory_total") != 0) & (F.col("memory_total") < F.col("memory_needed"))),
     ]
     return pairs.withColumn("reason", F.coalesce(*[F.when(bad, name) for name, bad in clauses]))

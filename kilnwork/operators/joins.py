@@ -168,13 +168,14 @@ def ownership_rows(outputs: DataFrame, build_nodes: DataFrame, builds: DataFrame
     return outputs.select("node_id", "path_id").join(wanted, "node_id").select("path_id", "tenant_id").distinct()
 
 
-def asof_join(events: DataFrame, versions: DataFrame, by: str, ts: str, value: str) -> DataFrame:
+def asof_join(events: DataFrame, versions: DataFrame, by: str, ts: str, value: str, part: str | None = None) -> DataFrame:
     """``events`` with the ``value`` of the last version at or before their time, null before the first.
 
     Both sides are one stream by key and time; versions come first at a tie. A
-    key with very many rows is split over ranges of time.
+    key with very many rows is split over ranges of time: of a unit such as
+    'day' if ``part`` names one, which saves finding them by a sample.
     """
     left = events.withColumns({"__ours": F.lit(1), f"__{value}": F.lit(None).cast(versions.schema[value].dataType)})
     right = versions.select(by, ts, F.lit(0).alias("__ours"), F.col(value).alias(f"__{value}"))
-    both = carry_forward(left.unionByName(right, allowMissingColumns=True), [by], [ts, "__ours"], f"__{value}", value)
+    both = carry_forward(left.unionByName(right, allowMissingColumns=True), [by], [ts, "__ours"], f"__{value}", value, F.date_trunc(part, ts) if part else None)
     return both.filter("__ours = 1").drop("__ours", f"__{value}")

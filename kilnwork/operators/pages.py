@@ -13,10 +13,11 @@ MAX_PAGE = 1000
 
 
 def page_offset(builds: DataFrame, limit: int, offset: int, filters: Mapping[str, object | None] | None = None) -> DataFrame:
-    """One page, newest first, with the ``total`` of all pages."""
+    """One page, newest first, with the ``total`` of all pages; beyond the last page one row of nulls but for the ``total``."""
     found = opt_filter(builds, filters or {})
     page = found.orderBy(F.col("submitted_at").desc(), F.col("build_id").desc()).offset(offset).limit(limit)
-    return page.crossJoin(F.broadcast(found.agg(F.count("*").alias("total"))))
+    total = found.agg(F.count("*").alias("total"))
+    return total.join(page, F.lit(True), "left").select(*builds.columns, "total")
 
 
 def page_keyset(builds: DataFrame, limit: int, cursor: tuple[str, int] | None = None, filters: Mapping[str, object | None] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.functions.columns import max_class, next_class
+from kilnwork.functions.columns import max_class
 from kilnwork.operators.filters import TERMINAL
 
 
@@ -55,14 +55,19 @@ def expire(df: DataFrame, ts: str, ttl: str, as_of: str) -> DataFrame:
     return df.filter(F.col(ts) >= F.expr(f"timestamp_ntz'{as_of}' - interval {ttl}"))
 
 
-def promote_floor(nodes: DataFrame, failures: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Nodes with a resource failure get the class above their larger one of floor and failed class as floor."""
-    worst = failures.filter("reason = 'resource'").select("node_id", F.col("failed_class").alias("__failed")).distinct()
-    rank = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("__failed"))
-    worst = worst.groupBy("node_id").agg(F.max_by("__failed", rank).alias("__failed"))
-    joined = nodes.join(worst, "node_id", "left")
-    raised = next_class(max_class(F.coalesce("floor", F.lit(classes[0])), F.col("__failed"), classes), classes)
-    return joined.withColumn("floor", F.when(F.col("__failed").isNull(), F.col("floor")).otherwise(raised)).drop("__failed")
+def promote_floor(nodes: DataFrame, failures: DataFrame, classes: Sequence[str], fetcher_classes: Sequence[str] = ()) -> DataFrame:
+    """Nodes with a resource failure get the class after the failed one as floor.
+
+    Nodes of ``is_fixed_output`` go by ``fetcher_classes``, others by
+    ``classes``. A failure in the largest class, or in one that is not of the
+    node's classes, changes nothing; of several failures the one in the largest
+    class that has a next counts.
+    """
+    fixed = F.col("is_fixed_output") if "is_fixed_output" in nodes.columns else F.lit(False)
+    failed = failures.filter("reason = 'resource'").groupBy("node_id").agg(F.collect_set("failed_class").alias("__failed"))
+    after = lambda order: F.coalesce(*[F.when(F.array_contains("__failed", a), b) for a, b in reversed(list(zip(order, order[1:], strict=False)))], F.lit(None))
+    raised = F.when(fixed, after(fetcher_classes)).otherwise(after(classes))
+    return nodes.join(failed, "node_id", "left").withColumn("floor", F.coalesce(raised, "floor")).select(*nodes.columns)
 
 
 def strip_features(nodes: DataFrame, soft: Mapping[str, str], classes: Sequence[str]) -> DataFrame:

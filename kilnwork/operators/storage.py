@@ -219,18 +219,25 @@ def dedup_report(entries: DataFrame) -> DataFrame:
     return shared.filter("blobs > 1").select("chunk_id", "blobs", (F.col("all") - F.col("size")).alias("saved_bytes"))
 
 
-def shared_pairs(entries: DataFrame, max_df: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(``a, b, shared``: pairs of blobs that share chunks of at most ``max_df`` blobs, the chunks above it).
-
-    Pairs under one frequent chunk grow with its square; such chunks are
-    returned by themselves instead, with their number of blobs.
+def shared_pairs(entries: DataFrame, max_df: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``blob_id, class_id``; ``a, b, shared``; ``chunk_id, class_id``): which blobs share chunks, without a pair for each.
+
+    Blobs of equal chunk sets are one class, named by its least blob. Classes
+    that share chunks of at most ``max_df`` classes are paired, with the number
+    of those. A chunk of more classes has its members listed instead, as its
+    pairs would grow with their square; so two classes share the pair's number
+    and as many chunks more as list them both.
     """
     once = entries.select("blob_id", "chunk_id").distinct()
-    df = once.groupBy("chunk_id").agg(F.count("*").alias("blobs"))
-    used = once.join(df.filter(F.col("blobs").between(2, max_df)).select("chunk_id"), "chunk_id", "left_semi")
-    a, b = used.select("chunk_id", F.col("blob_id").alias("a")), used.select("chunk_id", F.col("blob_id").alias("b"))
+    sets = once.groupBy("blob_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("chunk_id")), ","), 256).alias("key"))
+    named = sets.groupBy("key").agg(F.min("blob_id").alias("class_id"))
+    classes = sets.join(named, "key").select("blob_id", "class_id")
+    held = once.join(named.select(F.col("class_id").alias("blob_id")), "blob_id", "left_semi").select("chunk_id", F.col("blob_id").alias("class_id"))
+    df = held.groupBy("chunk_id").agg(F.count("*").alias("n"))
+    rare = held.join(df.filter(F.col("n").between(2, max_df)).select("chunk_id"), "chunk_id", "left_semi")
+    a, b = rare.select("chunk_id", F.col("class_id").alias("a")), rare.select("chunk_id", F.col("class_id").alias("b"))
     pairs = a.join(b, "chunk_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return pairs, df.filter(F.col("blobs") > max_df)
+    return classes, pairs, held.join(df.filter(F.col("n") > max_df).select("chunk_id"), "chunk_id", "left_semi")
 
 
 def upload_plan(outputs: DataFrame, complete: DataFrame) -> DataFrame:

@@ -13,18 +13,20 @@ from kilnwork.plans.folds import fold_sorted
 from kilnwork.plans.running import PART, ranges, running_totals
 
 
-def ema(samples: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str], alpha: float = 0.3) -> DataFrame:
+def ema(samples: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str], alpha: float = 0.3, part: Column | None = None) -> DataFrame:
     """``keys, ema_<col>..., sample_count``: exponential moving averages, the first sample as the start.
 
     With samples x1..xn in order the value is (1-a)^n x1 plus the sum of
     a (1-a)^(n-i) xi, so a ranked sum replaces the ordered fold. A null leaves
     a column's value as it was; a column of nulls gives null. A key may span
     many ranges of rows: each is summed by itself and then fades by the number
-    of values in the key's ranges after it.
+    of values in the key's ranges after it. ``part``, such as the month of the
+    first column of ``order``, cuts the rows into ranges that rise with
+    ``order``; without it they are found by a sample and stored.
     """
     places = [f"__o{i}" for i in range(len(order))]
-    slim = samples.select(*keys, *cols, *[o.alias(p) for o, p in zip(order, places, strict=True)])
-    ranged = ranges(slim, [*keys, *places])
+    slim = [*keys, *cols, *[o.alias(p) for o, p in zip(order, places, strict=True)]]
+    ranged = ranges(samples.select(*slim), [*keys, *places]) if part is None else samples.select(*slim, part.alias(PART))
     newest = Window.partitionBy(PART, *keys).orderBy(*[F.col(p).desc() for p in places]).rowsBetween(Window.unboundedPreceding, -1)
     fade = lambda n: F.pow(F.lit(1.0 - alpha), n)
     # ranks among the column's own values, so that nulls take no place
@@ -44,13 +46,13 @@ def ema(samples: DataFrame, keys: Sequence[str], order: Sequence[Column], cols:
     return placed.groupBy(*keys).agg(*[value(i).alias(f"ema_{c}") for i, c in enumerate(cols)], F.sum("__rows").alias("sample_count"))
 
 
-def ema_with_reset(samples: DataFrame, keys: Sequence[str], order: Sequence[Column], col: str, is_reset: Column, alpha: float = 0.3) -> DataFrame:
+def ema_with_reset(samples: DataFrame, keys: Sequence[str], order: Sequence[Column], col: str, is_reset: Column, alpha: float = 0.3, part: Column | None = None) -> DataFrame:
     """As ``ema`` of one column, but a reset row overwrites the average with its own value."""
     place = F.struct(*order)
     resets = samples.filter(is_reset).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max(place).alias("__reset"))
     on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     since = samples.join(resets, on, "left").filter(F.col("__reset").isNull() | (place >= F.col("__reset")))
-    return ema(since.select(*samples.columns), keys, order, [col], alpha)
+    return ema(since.select(*samples.columns), keys, order, [col], alpha, part)
 
 
 def ratchet_peak(history: DataFrame, observations: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -178,9 +180,11 @@ def backoff_schedule(attempts: DataFrame, base: float = 5, mult: float = 2, cap:
 
 
 def overdue_nodes(running: DataFrame, as_of: str, factor: float = 3.0, least: float = 7200.0, grace: float = 600.0) -> DataFrame:
-    """Nodes that run longer than the larger of factor * estimate and least + grace."""
+    """Nodes that run longer than the larger of factor * estimate and least + grace; an estimate that is null, not finite or not above 0 is none."""
     age = (F.unix_micros(F.expr(f"timestamp_ntz'{as_of}'").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
-    limit = F.greatest(F.col("estimate") * factor, F.lit(least + grace))
+    estimate = F.col("estimate").cast("double")
+    known = ~F.isnan(estimate) & (estimate > 0) & (estimate < float("inf"))
+    limit = F.greatest(F.when(known, estimate * factor).otherwise(0.0), F.lit(least + grace))
     return running.withColumns({"age_secs": age, "limit_secs": limit}).filter("age_secs > limit_secs")
 
 

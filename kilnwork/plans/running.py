@@ -53,15 +53,20 @@ def _same_range(keys: Sequence[str]) -> Column:
     return on
 
 
-def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], source: str, target: str) -> DataFrame:
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], source: str, target: str, part: Column | None = None) -> DataFrame:
     """Add ``target``: the last ``source`` of the row's key, up to the row in ``order``, that is not null.
 
     A key may span many ranges, each of which is filled by itself. What a range
     gets from the key's ranges before it comes from a table with a row for each
     range that does not begin with the key, so it has fewer rows than there are
     partitions and is broadcast. Null keys are one key.
+
+    ``part``, such as the day of the first column of ``order``, cuts the rows
+    into ranges that rise with ``order``, so that nothing is sampled or stored.
+    The table then has a row for each key and part, and is joined as its size
+    demands.
     """
-    ranged = ranges(df, [*keys, *order])
+    ranged = ranges(df, [*keys, *order]) if part is None else df.withColumn(PART, part)
     known = F.col(source).isNotNull()
     last = F.max_by(F.when(known, F.col(source)), F.when(known, F.struct(*order)))
     parts = ranged.groupBy(PART, *keys).agg(last.alias("__last"))
@@ -71,5 +76,5 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], sour
     ).filter("__carried is not null")
     within = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn(target, F.last(source, ignorenulls=True).over(within))
-    filled = local.join(F.broadcast(carried), _same_range(keys), "left").withColumn(target, F.coalesce(target, "__carried"))
+    filled = local.join(F.broadcast(carried) if part is None else carried, _same_range(keys), "left").withColumn(target, F.coalesce(target, "__carried"))
     return filled.select(*[c for c in df.columns if c != target], target)

@@ -68,22 +68,6 @@ def _(t):
 STATES_SQL = """SELECT n.node_id, CASE WHEN bool_or(c.status IN ('poisoned', 'dependency_failed', 'cancelled')) THEN 'dependency_failed'
   WHEN count(e.child_id) = count(c.node_id) FILTER (WHERE c.status IN ('completed', 'skipped')) THEN 'ready' ELSE 'queued' END AS state
 FROM fx_nodes AS n LEFT JOIN {edges} AS e ON e.parent_id = n.node_id LEFT JOIN {nodes} AS c ON c.node_id = e.child_id GROUP BY n.node_id"""
-FEW_EDGES = "(SELECT parent_id, max(child_id) AS child_id FROM fx_edges GROUP BY parent_id)"
-
-
-@query("g5_initial_states", STATES_SQL.format(edges=FEW_EDGES, nodes="(SELECT * FROM fx_nodes WHERE status <> 'created')"))
-def _(t):
-    few = t.fx_edges.groupBy("parent_id").agg(F.max("child_id").alias("child_id"))
-    return g.initial_states(t.fx_nodes, few, t.fx_nodes.filter("status <> 'created'"))
-
-
-@query("g6_newly_ready", f"""
-WITH now AS (SELECT node_id, CASE WHEN status = 'running' THEN 'completed' ELSE status END AS status FROM fx_nodes),
-p AS (SELECT DISTINCT parent_id FROM {FEW_EDGES} AS e JOIN fx_nodes AS c ON c.node_id = e.child_id WHERE c.status = 'running')
-SELECT node_id FROM ({STATES_SQL.format(edges=FEW_EDGES, nodes='now')}) WHERE state = 'ready' AND node_id IN (SELECT parent_id FROM p) AND node_id IN (SELECT node_id FROM fx_nodes WHERE status = 'queued')""")
-def _(t):
-    few = t.fx_edges.groupBy("parent_id").agg(F.max("child_id").alias("child_id"))
-    return g.newly_ready(t.fx_nodes.filter("status = 'running'"), few, t.fx_nodes)
 
 
 @query("g7_cascade_failure", """
@@ -94,36 +78,12 @@ def _(t):
     return g.cascade_failure(t.fx_nodes.filter("status = 'poisoned'"), t.fx_edges, t.fx_nodes).select("node_id")
 
 
-def _cut(t):
-    few = t.fx_edges.groupBy("parent_id").agg(F.max("child_id").alias("child_id"))
-    return g.cascade_cutoff(t.fx_nodes.filter("status = 'completed'"), few, t.fx_nodes, t.fx_nodes.select("node_id"), max_nodes=10**9)[0]
-
-
-CUT_SQL = f"""
-WITH RECURSIVE skipped(id) AS (SELECT node_id FROM fx_nodes WHERE status = 'completed' UNION
-  SELECT e.parent_id FROM {FEW_EDGES} AS e JOIN skipped ON e.child_id = skipped.id JOIN fx_nodes AS n ON n.node_id = e.parent_id WHERE n.status = 'queued'),
-s AS (SELECT node_id, estimate FROM fx_nodes WHERE status = 'queued' AND node_id IN (SELECT id FROM skipped))"""
-
-
-@query("g8_cascade_cutoff", CUT_SQL + "SELECT node_id FROM s")
-def _(t):
-    return _cut(t).select("node_id")
-
-
-@query("g9_seconds_saved", CUT_SQL + "SELECT count(*) AS skipped, round(sum(estimate), 4) AS saved_secs FROM s")
-def _(t):
-    return g.seconds_saved(_cut(t), t.fx_nodes).withColumn("saved_secs", F.round("saved_secs", 4))
-
-
-# G5, G6, G8 and G9 over every edge; the queries above keep one child of each parent, as their SQL does.
-
-
-@query("g5_initial_states_all", STATES_SQL.format(edges="fx_edges", nodes="(SELECT * FROM fx_nodes WHERE status <> 'created')"))
+@query("g5_initial_states", STATES_SQL.format(edges="fx_edges", nodes="(SELECT * FROM fx_nodes WHERE status <> 'created')"))
 def _(t):
     return g.initial_states(t.fx_nodes, t.fx_edges, t.fx_nodes.filter("status <> 'created'"))
 
 
-@query("g6_newly_ready_all", f"""
+@query("g6_newly_ready", f"""
 WITH now AS (SELECT node_id, CASE WHEN status = 'running' THEN 'completed' ELSE status END AS status FROM fx_nodes),
 p AS (SELECT DISTINCT parent_id FROM fx_edges AS e JOIN fx_nodes AS c ON c.node_id = e.child_id WHERE c.status = 'running')
 SELECT node_id FROM ({STATES_SQL.format(edges='fx_edges', nodes='now')}) WHERE state = 'ready' AND node_id IN (SELECT parent_id FROM p) AND node_id IN (SELECT node_id FROM fx_nodes WHERE status = 'queued')""")
@@ -131,26 +91,26 @@ def _(t):
     return g.newly_ready(t.fx_nodes.filter("status = 'running'"), t.fx_edges, t.fx_nodes)
 
 
-def _cut_all(t):
+def _cut(t):
     return g.cascade_cutoff(t.fx_nodes.filter("status = 'completed'"), t.fx_edges, t.fx_nodes, t.fx_nodes.select("node_id"), max_nodes=10**9)[0]
 
 
 #: By layer: 3 skipped, 2 completed, 1 otherwise terminal, 0 open.
-CUT_ALL_SQL = _by_layer(
+CUT_SQL = _by_layer(
     f"CASE WHEN n.status = 'completed' THEN 2 WHEN n.status IN {TERMINAL_SQL} THEN 1 WHEN n.status = 'queued' AND count(e.child_id) = count(c.value) AND min(c.value) >= 1 AND max(c.value) >= 2 THEN 3 ELSE 0 END",
     "SELECT * FROM fx_edges",
     f"CASE WHEN status = 'completed' THEN 2 WHEN status IN {TERMINAL_SQL} THEN 1 ELSE 0 END",
 ).replace("n.estimate, n.is_floating, n.layer", "n.status")
 
 
-@query("g8_cascade_cutoff_all", CUT_ALL_SQL.replace("SELECT node_id, value FROM (SELECT * FROM v0", "SELECT node_id FROM (SELECT * FROM v0") + " WHERE value = 3")
+@query("g8_cascade_cutoff", CUT_SQL.replace("SELECT node_id, value FROM (SELECT * FROM v0", "SELECT node_id FROM (SELECT * FROM v0") + " WHERE value = 3")
 def _(t):
-    return _cut_all(t).select("node_id")
+    return _cut(t).select("node_id")
 
 
-@query("g9_seconds_saved_all", CUT_ALL_SQL.replace("SELECT node_id, value FROM (SELECT * FROM v0", "SELECT count(*) AS skipped, coalesce(round(sum(estimate), 4), 0) AS saved_secs FROM fx_nodes WHERE node_id IN (SELECT node_id FROM (SELECT * FROM v0") + " WHERE value = 3)")
+@query("g9_seconds_saved", CUT_SQL.replace("SELECT node_id, value FROM (SELECT * FROM v0", "SELECT count(*) AS skipped, coalesce(round(sum(estimate), 4), 0) AS saved_secs FROM fx_nodes WHERE node_id IN (SELECT node_id FROM (SELECT * FROM v0") + " WHERE value = 3)")
 def _(t):
-    return g.seconds_saved(_cut_all(t), t.fx_nodes).withColumn("saved_secs", F.round("saved_secs", 4))
+    return g.seconds_saved(_cut(t), t.fx_nodes).withColumn("saved_secs", F.round("saved_secs", 4))
 
 
 @query("g10_cycle_nodes", """

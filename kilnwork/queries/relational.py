@@ -9,6 +9,7 @@ from kilnwork.operators import filters, joins, pages, sets
 from kilnwork.queries.registry import Inputs, query
 from kilnwork.queries.views import AS_OF
 from kilnwork.sources import chunks, closures, logs, manifests, tables, text
+from kilnwork.streaming.runs import fresh_folder
 
 CLASSES = [("small", 60.0, 3.0e8, 4.0), ("medium", 180.0, 6.0e8, 6.0), ("large", 400.0, 1.0e9, 8.0)]
 CLASS_NAMES = [c[0] for c in CLASSES]
@@ -71,6 +72,16 @@ def _(t):
     return manifests.encode_manifest(_entries(t)).select("blob_id", F.hex("manifest").alias("manifest_hex"))
 
 
+@query("s5_chunk_store", """
+SELECT md5(coalesce(text, '')) AS chunk_hash, strlen(min(coalesce(text, ''))) AS size, substr(md5(coalesce(text, '')), 1, 2) AS prefix FROM documents GROUP BY md5(coalesce(text, ''))""")
+def _(t):
+    found = t.documents.select(F.md5(F.coalesce("text", F.lit(""))).alias("chunk_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), "source")
+    path = fresh_folder(t.spark)
+    chunks.write_chunks(found.filter("source = 'src1'"), path)
+    chunks.write_chunks(found, path, chunks.read_chunks(t.spark, path))
+    return chunks.read_chunks(t.spark, path).select("chunk_hash", F.length("bytes").cast("long").alias("size"), "prefix")
+
+
 @query("s6_exists_batch", """
 SELECT e.blob_id, e.idx, e.chunk_id, c.chunk_id IS NOT NULL AS present FROM fx_chunk_entries AS e
 LEFT JOIN (SELECT chunk_id FROM fx_chunks WHERE uploaded) AS c ON e.chunk_id = c.chunk_id""")
@@ -209,10 +220,11 @@ def _offers(t: Inputs) -> DataFrame:
 
 
 REASON_SQL = """
-CASE WHEN kind <> CASE WHEN is_fixed_output THEN 'fetcher' ELSE 'builder' END THEN 'kind' WHEN draining THEN 'draining' WHEN degraded THEN 'degraded'
+CASE WHEN is_fixed_output <> (kind = 'fetcher') THEN 'kind' WHEN draining THEN 'draining' WHEN degraded THEN 'degraded'
   WHEN NOT registered THEN 'unregistered' WHEN closed THEN 'closed' WHEN busy THEN 'capacity'
-  WHEN n.system <> 'builtin' AND e.system <> n.system THEN 'system' WHEN is_floating AND NOT has_kvm THEN 'feature'
-  WHEN executor_rank < node_id % 3 THEN 'class' WHEN 500 > memory_total THEN 'memory' END"""
+  WHEN e.system <> n.system THEN 'system' WHEN is_floating AND NOT has_kvm THEN 'feature'
+  WHEN node_id % 3 IS NOT NULL AND executor_rank IS NULL THEN 'class undeclared' WHEN executor_rank <> node_id % 3 THEN 'class'
+  WHEN memory_total <> 0 AND memory_total < 500 THEN 'memory' END"""
 
 
 @query("j9_candidate_matrix", f"""
@@ -384,7 +396,7 @@ SELECT s.l_orderkey, s.line_no, s.node_id, s.builder_id, v.cutoff FROM fx_sample
 def _(t):
     samples = t.fx_samples.withColumnRenamed("completed_at", "ts")
     versions = samples.filter("line_no = 1").groupBy("assigned_class", "ts").agg(F.max("duration_secs").alias("cutoff"))
-    return joins.asof_join(samples, versions, "assigned_class", "ts", "cutoff").select("l_orderkey", "line_no", "node_id", "builder_id", "cutoff")
+    return joins.asof_join(samples, versions, "assigned_class", "ts", "cutoff", part="month").select("l_orderkey", "line_no", "node_id", "builder_id", "cutoff")
 
 
 @query("u1_mark_seeds", """

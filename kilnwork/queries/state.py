@@ -10,6 +10,7 @@ from kilnwork.queries.aggregates import USAGE_SQL
 from kilnwork.queries.registry import query
 from kilnwork.streaming import events as e
 from kilnwork.streaming import stateful as st
+from kilnwork.streaming.runs import as_stream, fresh_folder, run_stream
 
 ORDER = ["small", "medium", "large"]
 
@@ -58,11 +59,11 @@ def _(t):
 
 
 @query("m7_promote_floor", """
-WITH f AS (SELECT node_id, max(CASE assigned_class WHEN 'small' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS r FROM fx_samples WHERE duration_secs > 300 GROUP BY node_id)
-SELECT n.node_id, CASE WHEN r IS NULL THEN 'medium' ELSE 'large' END AS floor FROM fx_nodes AS n LEFT JOIN f ON f.node_id = n.node_id""")
+WITH f AS (SELECT node_id, max(CASE assigned_class WHEN 'small' THEN 1 WHEN 'medium' THEN 2 END) AS r FROM fx_samples WHERE duration_secs > 300 GROUP BY node_id)
+SELECT n.node_id, CASE WHEN r IS NULL THEN 'medium' WHEN is_fixed_output AND r = 1 THEN 'big' WHEN is_fixed_output THEN 'medium' WHEN r = 1 THEN 'medium' ELSE 'large' END AS floor FROM fx_nodes AS n LEFT JOIN f ON f.node_id = n.node_id""")
 def _(t):
     failures = t.fx_samples.filter("duration_secs > 300").select("node_id", F.lit("resource").alias("reason"), F.col("assigned_class").alias("failed_class"))
-    return m.promote_floor(t.fx_nodes.select("node_id", F.lit("medium").alias("floor")), failures, ORDER)
+    return m.promote_floor(t.fx_nodes.select("node_id", "is_fixed_output", F.lit("medium").alias("floor")), failures, ORDER, ["small", "big"]).select("node_id", "floor")
 
 
 @query("m8_strip_features", "SELECT node_id, CASE WHEN is_floating THEN 'large' ELSE 'small' END AS floor, 'kvm' AS features FROM fx_nodes")
@@ -112,20 +113,85 @@ def _(t):
     return e.watch_sessions(t.fx_event_log, "3 hours")
 
 
-def _node_changes(t):
-    status = F.element_at(F.create_map(*[x for k, v in {"queued": "created", "started": "queued", "completed": "completed", "cached": "ready", "failed": "assigned"}.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
-    return t.fx_event_log.select(F.col("build_id").alias("node_id"), "sequence", status.alias("status"))
+STATUS_OF = {"queued": "created", "started": "queued", "completed": "completed", "cached": "ready", "failed": "substituting"}
+BUILD_OF = {"queued": "pending", "started": "active", "failed": "failed", "completed": "succeeded", "cached": "cancelled"}
+#: Every step that is allowed, as the system described states them; none is the state before the first.
+NODE_STEPS = """none>created created>completed ready>completed queued>completed poisoned>completed dependency_failed>completed created>queued queued>ready ready>assigned
+ assigned>running assigned>ready running>completed running>failed running>poisoned ready>poisoned failed>ready created>dependency_failed queued>dependency_failed
+ ready>dependency_failed poisoned>created completed>ready assigned>cancelled running>cancelled queued>skipped ready>skipped created>substituting queued>substituting
+ ready>substituting substituting>completed substituting>ready substituting>queued substituting>cancelled completed>completed poisoned>poisoned
+ dependency_failed>dependency_failed cancelled>cancelled skipped>skipped"""
+BUILD_STEPS = "none>pending pending>active pending>cancelled active>succeeded active>failed active>cancelled"
 
 
-@query("t6_node_states")
+def _states_sql(key: str, names: dict[str, str], steps: str) -> str:
+    """A state machine row by row: a step that is not allowed leaves the state and is named."""
+    to = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+    allowed = "(" + ", ".join(f"'{x}'" for x in steps.split()) + ")"
+    ok = f"coalesce(s.status, 'none') || '>' || c.wanted IN {allowed}"
+    return f"""
+WITH RECURSIVE c AS (SELECT build_id AS {key}, sequence, {to} AS wanted FROM fx_event_log),
+s AS (SELECT DISTINCT {key}, CAST(0 AS BIGINT) AS sequence, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS fault FROM c
+  UNION ALL SELECT c.{key}, c.sequence, CASE WHEN {ok} THEN c.wanted ELSE s.status END, CASE WHEN {ok} THEN NULL ELSE coalesce(s.status, 'none') || ' -> ' || c.wanted END
+  FROM s JOIN c ON c.{key} = s.{key} AND c.sequence = s.sequence + 1)
+SELECT {key}, sequence, status, fault FROM s WHERE sequence > 0"""
+
+
+def _named(names: dict[str, str]):
+    return F.element_at(F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
+
+
+def _node_changes(log):
+    return log.select(F.col("build_id").alias("node_id"), "sequence", _named(STATUS_OF).alias("status"))
+
+
+def _build_changes(log):
+    return log.select("build_id", "sequence", _named(BUILD_OF).alias("status"))
+
+
+def _timed_requests(log):
+    return log.select("build_id", "sequence", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_secs"))
+
+
+@query("t6_node_states", _states_sql("node_id", STATUS_OF, NODE_STEPS))
 def _(t):
-    return st.node_states(_node_changes(t))
+    return st.node_states(_node_changes(t.fx_event_log))
 
 
-@query("t7_build_states")
+@query("t6_node_states_stream", _states_sql("node_id", STATUS_OF, NODE_STEPS))
 def _(t):
-    status = F.when(F.col("kind") == "queued", "pending").when(F.col("kind") == "started", "active").when(F.col("kind") == "failed", "failed").otherwise("succeeded")
-    return st.build_states(t.fx_event_log.select("build_id", "sequence", status.alias("status")))
+    return run_stream(st.node_states(_node_changes(as_stream(t.fx_event_log))))
+
+
+@query("t7_build_states", _states_sql("build_id", BUILD_OF, BUILD_STEPS))
+def _(t):
+    return st.build_states(_build_changes(t.fx_event_log))
+
+
+@query("t7_build_states_stream", _states_sql("build_id", BUILD_OF, BUILD_STEPS))
+def _(t):
+    return run_stream(st.build_states(_build_changes(as_stream(t.fx_event_log))))
+
+
+@query("s9_event_log_sink", "SELECT build_id, sequence, event_id FROM fx_event_log")
+def _(t):
+    path, log = fresh_folder(t.spark), as_stream(t.fx_event_log)
+    for _ in range(2):  # a second run from the start delivers every row again
+        e.event_log_sink(log, path, fresh_folder(t.spark)).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(log.schema).parquet(path).select("build_id", "sequence", "event_id")
+
+
+@query("t8_heartbeat_timeouts", """
+SELECT user_id AS executor_id, epoch_ms(max(ts)) AS last_millis FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events)""")
+def _(t):
+    beats = t.events.select(F.col("user_id").alias("executor_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return run_stream(st.heartbeat_timeouts(as_stream(beats), secs=86400))
+
+
+@query("t13_live_tail", "SELECT build_id AS log_id, sequence AS line_no, kind AS line FROM fx_event_log QUALIFY row_number() OVER (PARTITION BY build_id ORDER BY sequence DESC) <= 3")
+def _(t):
+    lines = t.fx_event_log.select(F.col("build_id").alias("log_id"), F.col("sequence").cast("long").alias("line_no"), F.col("kind").alias("line"))
+    return run_stream(st.live_tail(as_stream(lines), 3), "update")
 
 
 @query("t8_silences", """
@@ -138,18 +204,40 @@ def _(t):
     return missed_heartbeats(beats, "2024-02-01 00:00:00", interval=4800).join(last, "executor_id").filter("ts < last").select("executor_id", "ts")
 
 
-@query("t9_live_ema", """
+EMA_SQL = """
 WITH o AS (SELECT build_id, sequence, value FROM fx_event_log)
 SELECT a.build_id, a.sequence, round(sum(b.value * CASE WHEN b.sequence = 1 THEN 1.0 ELSE 0.3 END * pow(0.7, a.sequence - b.sequence)) + 1e-9, 4) AS ema, count(*) AS n
-FROM o AS a JOIN o AS b ON a.build_id = b.build_id AND b.sequence <= a.sequence GROUP BY a.build_id, a.sequence""")
+FROM o AS a JOIN o AS b ON a.build_id = b.build_id AND b.sequence <= a.sequence GROUP BY a.build_id, a.sequence"""
+
+
+@query("t9_live_ema", EMA_SQL)
 def _(t):
     return st.live_ema(t.fx_event_log.select("build_id", "sequence", "value"), "build_id").withColumn("ema", F.round(F.col("ema") + 1e-9, 4))
 
 
-@query("t10_rate_limit")
+BUCKET_SQL = """
+WITH RECURSIVE c AS (SELECT build_id, sequence, epoch_us(ts) / CAST(1e6 AS DOUBLE) AS at_secs FROM fx_event_log),
+s AS (SELECT build_id, CAST(0 AS BIGINT) AS sequence, CAST(3 AS DOUBLE) AS tokens, min(at_secs) AS at_secs, CAST(NULL AS BOOLEAN) AS admitted, CAST(0 AS DOUBLE) AS held FROM c GROUP BY build_id
+  UNION ALL SELECT build_id, sequence, CASE WHEN held >= 1 THEN held - 1 ELSE held END, at_secs, held >= 1, held FROM (
+    SELECT c.build_id, c.sequence, c.at_secs, least(CAST(3 AS DOUBLE), s.tokens + greatest(CAST(0 AS DOUBLE), c.at_secs - s.at_secs) * CAST(0.01 AS DOUBLE) / CAST(60 AS DOUBLE)) AS held
+    FROM s JOIN c ON c.build_id = s.build_id AND c.sequence = s.sequence + 1))
+SELECT build_id, sequence, admitted, round(CASE WHEN admitted THEN 0 ELSE (1 - held) * 60 / CAST(0.01 AS DOUBLE) END, 3) AS wait_secs FROM s WHERE sequence > 0"""
+
+
+@query("t9_live_ema_stream", EMA_SQL)
+def _(t):
+    log = as_stream(t.fx_event_log.select("build_id", "sequence", "value"))
+    return run_stream(st.live_ema(log, "build_id")).withColumn("ema", F.round(F.col("ema") + 1e-9, 4))
+
+
+@query("t10_rate_limit", BUCKET_SQL)
+def _(t):
+    return st.rate_limit(_timed_requests(t.fx_event_log), "build_id", per_minute=0.01, burst=3).withColumn("wait_secs", F.round("wait_secs", 3))
+
+
+@query("t10_rate_limit_stream", BUCKET_SQL)
 def _(t):
-    rows = t.fx_event_log.select("build_id", "sequence", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_secs"))
-    return st.rate_limit(rows, "build_id", per_minute=0.01, burst=3)
+    return run_stream(st.rate_limit(_timed_requests(as_stream(t.fx_event_log)), "build_id", per_minute=0.01, burst=3)).withColumn("wait_secs", F.round("wait_secs", 3))
 
 
 @query("t11_quota_gate", f"""

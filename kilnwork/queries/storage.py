@@ -150,11 +150,18 @@ def _(t):
     return s.dedup_report(t.fx_chunk_entries)
 
 
-@query("c15_shared_pairs", f"""
-WITH e AS ({ENTRIES_SQL}), u AS (SELECT * FROM e WHERE chunk_id IN (SELECT chunk_id FROM e GROUP BY chunk_id HAVING count(*) BETWEEN 2 AND 1000))
-SELECT a.blob_id AS a, b.blob_id AS b, count(*) AS shared FROM u AS a JOIN u AS b ON a.chunk_id = b.chunk_id AND a.blob_id < b.blob_id GROUP BY ALL""")
-def _(t):
-    return s.shared_pairs(t.fx_chunk_entries)[0]
+@query("c15_shared_pairs", """
+WITH e AS (SELECT DISTINCT blob_id, chunk_id FROM fx_chunk_entries), s AS (SELECT blob_id, list_sort(list(chunk_id)) AS held FROM e GROUP BY blob_id),
+c AS (SELECT blob_id, min(blob_id) OVER (PARTITION BY held) AS class_id FROM s),
+h AS (SELECT chunk_id, blob_id AS class_id, count(*) OVER (PARTITION BY chunk_id) AS n FROM e WHERE blob_id IN (SELECT class_id FROM c))
+SELECT 'class' AS part, blob_id AS x, class_id AS y, CAST(NULL AS BIGINT) AS shared FROM c
+UNION ALL SELECT 'pair', a.class_id, b.class_id, count(*) FROM h AS a JOIN h AS b ON a.chunk_id = b.chunk_id AND a.class_id < b.class_id WHERE a.n <= 30 GROUP BY a.class_id, b.class_id
+UNION ALL SELECT 'frequent', chunk_id, class_id, NULL FROM h WHERE n > 30""")
+def _(t):
+    classes, pairs, frequent = s.shared_pairs(t.fx_chunk_entries, max_df=30)
+    none = F.lit(None).cast("long").alias("shared")
+    shown = lambda part, df, x, y, n: df.select(F.lit(part).alias("part"), F.col(x).alias("x"), F.col(y).alias("y"), n)
+    return shown("class", classes, "blob_id", "class_id", none).unionAll(shown("pair", pairs, "a", "b", F.col("shared"))).unionAll(shown("frequent", frequent, "chunk_id", "class_id", none))
 
 
 @query("c16_upload_plan", """

@@ -24,7 +24,7 @@ SELECT d.pname, d.system, round(d.ema + 1e-9, 4) AS ema_duration_secs, round(m.e
 FROM ({_ema_sql('duration_secs')}) AS d LEFT JOIN ({_ema_sql('peak_memory_bytes')}) AS m ON d.pname = m.pname AND d.system = m.system
 JOIN (SELECT pname, system, count(*) AS n FROM fx_samples GROUP BY pname, system) AS n ON d.pname = n.pname AND d.system = n.system""")
 def _(t):
-    out = w.ema(t.fx_samples, ["pname", "system"], [F.col(c) for c in ORDER], ["duration_secs", "peak_memory_bytes"])
+    out = w.ema(t.fx_samples, ["pname", "system"], [F.col(c) for c in ORDER], ["duration_secs", "peak_memory_bytes"], part=F.date_trunc("month", "completed_at"))
     return out.select("pname", "system", F.round(F.col("ema_duration_secs") + 1e-9, 4).alias("ema_duration_secs"), F.round("ema_peak_memory_bytes", 2).alias("ema_peak_memory_bytes"), "sample_count")
 
 
@@ -33,7 +33,7 @@ RESET_SQL = f"""(SELECT *, coalesce(sum(CASE WHEN duration_secs > 360 THEN 1 ELS
 
 @query("w2_ema_with_reset", f"SELECT pname, system, round(ema + 1e-9, 4) AS ema_duration_secs FROM ({_ema_sql('duration_secs', f'(SELECT * FROM {RESET_SQL} WHERE later = 0)')})")
 def _(t):
-    out = w.ema_with_reset(t.fx_samples, ["pname", "system"], [F.col(c) for c in ORDER], "duration_secs", F.col("duration_secs") > 360)
+    out = w.ema_with_reset(t.fx_samples, ["pname", "system"], [F.col(c) for c in ORDER], "duration_secs", F.col("duration_secs") > 360, part=F.date_trunc("month", "completed_at"))
     return out.select("pname", "system", F.round(F.col("ema_duration_secs") + 1e-9, 4).alias("ema_duration_secs"))
 
 

@@ -16,10 +16,14 @@ def _reversed_bytes(hex8: Column) -> Column:
 
 
 def encode_manifest(entries: DataFrame, key: str = "blob_id", max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """``key, manifest`` from ``key, idx, chunk_hash (binary of 32 bytes), size``, in the order of idx."""
+    """``key, manifest`` from ``key, idx, chunk_hash (binary of 32 bytes), size``, in the order of idx.
+
+    A list of more than ``max_entries`` fails the job, as no reader takes it.
+    """
     entry = F.concat(F.hex("chunk_hash"), _reversed_bytes(F.lpad(F.hex(F.col("size").cast("long")), 8, "0")))
     lists = entries.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", entry.alias("hex")))).alias("list"))
-    return lists.select(key, F.unhex(F.concat(F.lit(VERSION), F.array_join(F.col("list.hex"), ""))).alias("manifest"))
+    short = F.when(F.size("list") > max_entries, F.raise_error(F.lit("a manifest has too many entries")).cast("binary"))
+    return lists.select(key, short.otherwise(F.unhex(F.concat(F.lit(VERSION), F.array_join(F.col("list.hex"), "")))).alias("manifest"))
 
 
 def decode_manifest(df: DataFrame, key: str, bin_col: str, max_entries: int = MAX_ENTRIES) -> tuple[DataFrame, DataFrame]:

@@ -10,31 +10,34 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from kilnwork.plans.folds import fold_sorted
 
-#: Statuses that may follow each status of a node, and of a build.
+#: Statuses that may follow each status of a node, and of a build: fixed values. A node that has come to an end may be told so again.
 NODE_MOVES = {
-    None: ("created", "queued"),
-    "created": ("queued", "ready", "completed", "dependency_failed", "cancelled"),
-    "queued": ("ready", "skipped", "dependency_failed", "cancelled", "completed"),
-    "ready": ("assigned", "queued", "substituting", "cancelled", "skipped", "dependency_failed"),
-    "substituting": ("completed", "ready", "cancelled"),
-    "assigned": ("running", "ready", "failed", "cancelled"),
-    "running": ("completed", "failed", "poisoned", "ready", "cancelled"),
-    "failed": ("ready", "poisoned", "queued"),
-    "poisoned": ("created",),
-    "dependency_failed": ("created",),
-    "cancelled": ("created",),
+    None: ("created",),
+    "created": ("completed", "queued", "dependency_failed", "substituting"),
+    "queued": ("completed", "ready", "dependency_failed", "skipped", "substituting"),
+    "ready": ("completed", "assigned", "poisoned", "dependency_failed", "skipped", "substituting"),
+    "substituting": ("completed", "ready", "queued", "cancelled"),
+    "assigned": ("running", "ready", "cancelled"),
+    "running": ("completed", "failed", "poisoned", "cancelled"),
+    "failed": ("ready",),
+    "completed": ("completed", "ready"),
+    "poisoned": ("poisoned", "completed", "created"),
+    "dependency_failed": ("dependency_failed", "completed"),
+    "cancelled": ("cancelled",),
+    "skipped": ("skipped",),
 }
-BUILD_MOVES = {None: ("pending",), "pending": ("active", "cancelled", "failed"), "active": ("succeeded", "failed", "cancelled")}
+BUILD_MOVES = {None: ("pending",), "pending": ("active", "cancelled"), "active": ("succeeded", "failed", "cancelled")}
 
 
 def move(moves: dict, state: str | None, to: str) -> tuple[str | None, str | None]:
-    """(new state, fault): a step to itself is accepted and changes nothing, an unknown step is a fault."""
-    if to == state or to in moves.get(state, ()):
+    """(new state, fault): a step that ``moves`` does not list changes nothing and is a fault."""
+    if to in moves.get(state, ()):
         return to, None
     return state, f"{state or 'none'} -> {to}"
 
@@ -177,8 +180,10 @@ def live_ema(df: DataFrame, key: str, alpha: float = 0.3) -> DataFrame:
 
 
 def rate_limit(df: DataFrame, key: str, per_minute: float, burst: float) -> DataFrame:
-    """``key, sequence, admitted, wait_secs`` of each row of (key, sequence, at_secs); a null key is one shared key."""
+    """``key, sequence, admitted, wait_secs`` of each row of (key, sequence, at_secs); null and empty keys are one shared key, null."""
     kind = df.schema[key].dataType.simpleString()
+    if kind == "string":
+        df = df.withColumn(key, F.nullif(F.col(key), F.lit("")))
     return run_fold(df, [key], ["sequence"], fold_bucket(per_minute, burst), "tokens double, at double", f"{key} {kind}, sequence long, admitted boolean, wait_secs double")
 
 

@@ -8,7 +8,7 @@ from compare import DATA, of_duckdb, of_spark
 import __spark_entry__
 from kilnwork.queries import registry
 
-WITHOUT_SQL = {"a22_distinct_counts_approx", "c1_chunk", "t6_node_states", "t7_build_states", "t10_rate_limit"}
+WITHOUT_SQL = {"a22_distinct_counts_approx", "c1_chunk"}
 
 
 @pytest.mark.parametrize("name", list(registry.ORACLE_SQL))

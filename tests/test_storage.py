@@ -84,7 +84,18 @@ def test_reassembly_faults(spark):
     assert got == {0: None, 1: "missing chunk", 2: "size", 3: "hash"}
 
 
-def test_frequent_chunks_are_reported_and_not_paired(spark):
-    entries = spark.createDataFrame([(b, 0) for b in range(50)] + [(1, 7), (2, 7)], "blob_id long, chunk_id long")
-    pairs, frequent = s.shared_pairs(entries, max_df=10)
-    assert [tuple(r) for r in pairs.collect()] == [(1, 2, 1)] and [tuple(r) for r in frequent.collect()] == [(0, 50)]
+def test_shared_pairs_of_classes_and_frequent_chunks(spark):
+    held = {1: {1, 2, 3}, 2: {2, 3, 9}, 3: {1, 2, 3}, **{b: {9, b} for b in range(10, 40)}}
+    entries = spark.createDataFrame([(b, c) for b, chunks in held.items() for c in chunks] * 2, "blob_id long, chunk_id long")
+    classes, pairs, frequent = s.shared_pairs(entries, max_df=10)
+    of = {r.blob_id: r.class_id for r in classes.collect()}
+    assert of == {b: 1 if b == 3 else b for b in held}
+    shared = {(r.a, r.b): r.shared for r in pairs.collect()}
+    lists = {}
+    for r in frequent.collect():
+        lists.setdefault(r.class_id, set()).add(r.chunk_id)
+    for a in held:
+        for b in held:
+            if of[a] < of[b]:
+                n = shared.get((of[a], of[b]), 0) + len(lists.get(of[a], set()) & lists.get(of[b], set()))
+                assert n == len(held[a] & held[b])

@@ -94,10 +94,33 @@ def test_pairs_and_late_rows(spark, log, tmp_path):
     assert on_time.count() + late.count() == rows.count() and late.filter("ts >= '2024-01-09 22:00:00'").count() == 0
 
 
-def test_state_machine_steps():
-    assert st.move(st.NODE_MOVES, None, "created") == ("created", None)
-    assert st.move(st.NODE_MOVES, "running", "running") == ("running", None)
-    assert st.move(st.NODE_MOVES, "completed", "running") == ("completed", "completed -> running")
+def test_every_pair_of_node_statuses():
+    """All (from, to) pairs: the steps that are allowed, and no others."""
+    from kilnwork.queries.state import BUILD_STEPS, NODE_STEPS
+
+    for moves, steps in ((st.NODE_MOVES, NODE_STEPS), (st.BUILD_MOVES, BUILD_STEPS)):
+        allowed = {tuple(x.split(">")) for x in steps.split()}
+        names = {x for pair in allowed for x in pair if x != "none"}
+        for a in [None, *names]:
+            for b in names:
+                after, fault = st.move(moves, a, b)
+                assert (after, fault) == ((b, None) if (a or "none", b) in allowed else (a, f"{a or 'none'} -> {b}"))
+    assert sum(map(len, st.NODE_MOVES.values())) == 1 + 36
+
+
+def test_null_and_anonymous_keys(spark):
+    from kilnwork.plans.folds import fold_sorted
+
+    def count(state, row):
+        n = (state or {"n": 0})["n"] + 1
+        return {"n": n}, {"n": n}
+
+    rows = spark.createDataFrame([(None, 1), ("null", 2), (None, 3), ("null", 4), ("a", 5)], "k string, i long").coalesce(1)
+    got = {(r.k, r.i, r.n) for r in fold_sorted(rows, ["k"], ["i"], count, "k string, i long, n long").collect()}
+    assert got == {(None, 1, 1), (None, 3, 2), ("null", 2, 1), ("null", 4, 2), ("a", 5, 1)}
+    calls = spark.createDataFrame([("", 1, 0.0), (None, 2, 0.0), ("x", 1, 0.0), ("", 3, 0.0)], "k string, sequence long, at_secs double")
+    limited = {(r.k, r.sequence, r.admitted) for r in st.rate_limit(calls, "k", 1, 2).collect()}
+    assert limited == {(None, 1, True), (None, 2, True), (None, 3, False), ("x", 1, True)}
 
 
 def test_token_bucket():
