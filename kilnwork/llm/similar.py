@@ -170,6 +170,9 @@ def _candidates(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose sets are as similar as required; only sets of these pairs are moved."""
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    found = found.join(used, "node", "left_semi")
     left = found.select(F.col("node").alias("a"), F.col("found").alias("x"))
     right = found.select(F.col("node").alias("b"), F.col("found").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
