@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from dataclasses import dataclass
 from functools import cached_property
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.llm.batches import text_blocks
-from kilnwork.llm.unicode_versions import LATER_LETTERS, LATER_MARKS, as_class, lower_map
+from kilnwork.llm.unicode_versions import LATER_CAPITALS, LATER_LETTERS, LATER_MARKS, as_class, lower_map
 
 #: Distinct words whose ids a task keeps; beyond it the store starts anew.
 KEPT_WORDS = 400_000
@@ -132,9 +133,11 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.pieces, self.later_pieces, self.later = regex.compile(PIECES), regex.compile(LATER_PIECES), regex.compile(f"[{LATER}]")
-        self.later_marks = regex.compile(f"([{as_class(LATER_MARKS)}])")
-        self.lower = lower_map() | {ord("Σ"): ord("σ")}  # a final sigma gets no form of its own
+        self.pieces, self.later_pieces = regex.compile(PIECES), regex.compile(LATER_PIECES)
+        capitals = as_class(tuple((a, b) for a, b, _ in LATER_CAPITALS))
+        self.later = re.compile(f"[{as_class(LATER_MARKS)}{LATER}{capitals}]")
+        self.later_marks = re.compile(f"([{as_class(LATER_MARKS)}])")
+        self.lower = lower_map()
         self.forget()
 
     def forget(self) -> None:
@@ -157,7 +160,10 @@ class Encoder:
         if not text.isascii():
             if self.later.search(text):
                 pieces = self.later_pieces
-            text = "".join(unicodedata.normalize("NFC", part) for part in self.later_marks.split(text)).translate(self.lower)
+                text = "".join(unicodedata.normalize("NFC", part) for part in self.later_marks.split(text)).translate(self.lower)
+            else:
+                text = unicodedata.normalize("NFC", text)
+            text = text.replace("Σ", "σ")  # a final sigma gets no form of its own
         return pieces.findall(text.lower())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
