@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnwork.plans.folds import fold_sorted
-from kilnwork.plans.running import PART, ranges, running_totals
+from kilnwork.plans.running import PART, carry_forward, ranges, row_before, running_totals
 
 
 def ema(samples: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str], alpha: float = 0.3, part: Column | None = None) -> DataFrame:
@@ -114,10 +114,20 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return best.select(*keys, *[F.col(f"__best.{c}").alias(c) for c in (*order, *rest)]).select(*df.columns)
 
 
-def log_tail(lines: DataFrame, n: int = 100_000, since: int = 0) -> DataFrame:
-    """The last n lines of each log, from line ``since`` on."""
+def log_tail(lines: DataFrame, n: int = 100_000, since: int = 0, width: int = 65_536) -> DataFrame:
+    """The last n lines of each log, from line ``since`` on.
+
+    Lines are counted by stretches of ``width`` numbers first. Only stretches
+    that fewer than n lines follow are ranked, so a task ranks about n + width
+    lines of a log, however long the log is.
+    """
+    stretch = F.floor(F.col("line_no") / width)
+    counts = lines.groupBy(F.col("log_id").alias("__log"), stretch.alias("__stretch")).agg(F.count("*").alias("__rows"))
+    later = Window.partitionBy("__log").orderBy(F.col("__stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    last = counts.withColumn("__after", F.coalesce(F.sum("__rows").over(later), F.lit(0))).filter(F.col("__after") < n).select("__log", "__stretch")
+    near = lines.join(last, F.col("log_id").eqNullSafe(F.col("__log")) & stretch.eqNullSafe(F.col("__stretch")), "left_semi")
     newest = Window.partitionBy("log_id").orderBy(F.col("line_no").desc())
-    return lines.withColumn("__back", F.row_number().over(newest)).filter(F.col("__back") <= n).drop("__back").filter(F.col("line_no") >= since)
+    return near.withColumn("__back", F.row_number().over(newest)).filter(F.col("__back") <= n).drop("__back").filter(F.col("line_no") >= since)
 
 
 def number_lines(batches: DataFrame) -> DataFrame:
@@ -160,18 +170,24 @@ def log_violations(lines: DataFrame, max_bytes: int, max_lines_per_sec: int) ->
     return first.select("log_id", F.col("f.line_no").alias("line_no"), F.col("f.fault").alias("fault"))
 
 
-def phantoms(heartbeats: DataFrame) -> DataFrame:
-    """Heartbeats whose suspect is that of the executor's heartbeat before."""
-    along = Window.partitionBy("executor_id").orderBy("ts", "beat_id")
-    return heartbeats.withColumn("__before", F.lag("suspect").over(along)).filter(F.col("suspect") == F.col("__before")).drop("__before")
+def phantoms(heartbeats: DataFrame, part: Column | None = None) -> DataFrame:
+    """Heartbeats whose suspect is that of the executor's heartbeat before; ``part`` as in ``carry_forward``."""
+    before = row_before(heartbeats, ["executor_id"], ["ts", "beat_id"], F.col("suspect"), "__before", part)
+    return before.filter(F.col("suspect") == F.col("__before.value")).drop("__before")
+
 
+def missed_heartbeats(heartbeats: DataFrame, as_of: str, interval: int = 10, misses: int = 3, part: Column | None = None) -> DataFrame:
+    """``executor_id, ts, gap_secs`` of silences of at least interval * misses, the last one up to ``as_of``.
 
-def missed_heartbeats(heartbeats: DataFrame, as_of: str, interval: int = 10, misses: int = 3) -> DataFrame:
-    """``executor_id, ts, gap_secs`` of silences of at least interval * misses, the last one up to ``as_of``."""
-    along = Window.partitionBy("executor_id").orderBy("ts", "beat_id")
-    until = F.coalesce(F.lead("ts").over(along), F.expr(f"timestamp_ntz'{as_of}'"))
-    gap = F.unix_micros(until.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
-    return heartbeats.select("executor_id", "ts", (gap / 1e6).alias("gap_secs")).filter(F.col("gap_secs") >= interval * misses)
+    ``part`` as in ``carry_forward``. Beats without a time are none.
+    """
+    beats = heartbeats.filter("ts is not null").select("executor_id", "ts", "beat_id")
+    between = carry_forward(beats, ["executor_id"], ["ts", "beat_id"], "ts", "__since", part, own=False).filter("__since is not null")
+    silences = between.select("executor_id", F.col("__since").alias("ts"), F.col("ts").alias("__until"))
+    ends = beats.groupBy("executor_id").agg(F.max("ts").alias("ts")).withColumn("__until", F.expr(f"timestamp_ntz'{as_of}'").cast(beats.schema["ts"].dataType))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    gaps = silences.unionByName(ends).select("executor_id", "ts", ((micros("__until") - micros("ts")) / 1e6).alias("gap_secs"))
+    return gaps.filter(F.col("gap_secs") >= interval * misses)
 
 
 def backoff_schedule(attempts: DataFrame, base: float = 5, mult: float = 2, cap: float = 300) -> DataFrame:
@@ -188,34 +204,53 @@ def overdue_nodes(running: DataFrame, as_of: str, factor: float = 3.0, least: fl
     return running.withColumns({"age_secs": age, "limit_secs": limit}).filter("age_secs > limit_secs")
 
 
-def dispatch_wait(changes: DataFrame, entered: str = "started", left: str = "completed") -> DataFrame:
-    """``build_id, sequence, wait_secs`` at each change to ``left`` since the last change to ``entered`` in its visit."""
-    along = Window.partitionBy("build_id").orderBy("sequence")
-    at = F.last(F.when(F.col("kind") == entered, F.col("ts")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    before = F.last(F.when(F.col("kind") == left, F.col("ts")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    rows = changes.withColumns({"__at": at, "__done": before}).filter(F.col("kind") == left)
-    fresh = rows.filter(F.col("__at").isNotNull() & (F.col("__done").isNull() | (F.col("__at") > F.col("__done"))))
+def dispatch_wait(changes: DataFrame, entered: str = "started", left: str = "completed", part: Column | None = None) -> DataFrame:
+    """``build_id, sequence, wait_secs`` at each change to ``left`` since the last change to ``entered`` in its visit; ``part`` as in ``carry_forward``."""
+    kinds = changes.filter(F.col("kind").isin(entered, left))
+    marked = kinds.select("build_id", "sequence", "kind", "ts", F.when(F.col("kind") == entered, F.col("ts")).alias("__in"), F.when(F.col("kind") == left, F.col("ts")).alias("__out"))
+    begun = carry_forward(marked, ["build_id"], ["sequence"], "__in", "__begun", part, own=False)
+    rows = carry_forward(begun, ["build_id"], ["sequence"], "__out", "__done", part, own=False).filter(F.col("kind") == left)
+    fresh = rows.filter(F.col("__begun").isNotNull() & (F.col("__done").isNull() | (F.col("__begun") > F.col("__done"))))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return fresh.select("build_id", "sequence", ((micros("ts") - micros("__at")) / 1e6).alias("wait_secs"))
+    return fresh.select("build_id", "sequence", ((micros("ts") - micros("__begun")) / 1e6).alias("wait_secs"))
 
 
-def sequence_gaps(event_log: DataFrame) -> DataFrame:
-    """``build_id, sequence, fault``: rows that repeat a number or come after a missing one."""
-    before = F.lag("sequence", 1, 0).over(Window.partitionBy("build_id").orderBy("sequence"))
+def sequence_gaps(event_log: DataFrame, width: int = 65_536) -> DataFrame:
+    """``build_id, sequence, fault``: rows that repeat a number or come after a missing one.
+
+    A build's rows are cut into stretches of ``width`` numbers.
+    """
+    found = row_before(event_log.select("build_id", "sequence"), ["build_id"], ["sequence"], F.col("sequence"), "__before", F.floor(F.col("sequence") / width))
+    before = F.when(F.col("__before").isNull(), F.lit(0)).otherwise(F.col("__before.value"))
     fault = F.when(F.col("sequence") == before, "repeated").when(F.col("sequence") > before + 1, "gap")
-    return event_log.select("build_id", "sequence", fault.alias("fault")).filter("fault is not null")
+    return found.select("build_id", "sequence", fault.alias("fault")).filter("fault is not null")
 
 
 def surplus_oldest(jobs: DataFrame, queued: DataFrame, min_age_secs: float) -> DataFrame:
-    """Pending jobs beyond what their pool has queued, the oldest first, of a minimal age."""
-    along = Window.partitionBy("pool").orderBy(F.col("age_secs").desc(), "job_id")
-    held = jobs.withColumns({"__place": F.row_number().over(along), "__n": F.count("*").over(Window.partitionBy("pool"))})
-    joined = held.join(queued, "pool", "left").withColumn("__surplus", F.col("__n") - F.coalesce("queued", F.lit(0)))
+    """Pending jobs beyond what their pool has queued, the oldest first, of a minimal age; a pool may span many ranges."""
+    placed = running_totals(jobs, [F.col("age_secs").desc(), F.col("job_id")], {"__place": F.lit(1)}, ["pool"])
+    totals = jobs.groupBy("pool").agg(F.count("*").alias("__n")).join(queued, "pool", "left")
+    surplus = totals.select(F.col("pool").alias("__pool"), (F.col("__n") - F.coalesce("queued", F.lit(0))).alias("__surplus"))
+    joined = placed.join(surplus, F.col("pool").eqNullSafe(F.col("__pool")))
     return joined.filter((F.col("__place") <= F.col("__surplus")) & (F.col("age_secs") >= min_age_secs)).select(*jobs.columns)
 
 
-def trailing_rate(samples: DataFrame, seconds: int, by: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Add ``rate``: events a second over the ``seconds`` before and at each row."""
+def trailing_rate(samples: DataFrame, seconds: int, by: Sequence[str], ts: str = "ts", span: int = 86_400) -> DataFrame:
+    """Add ``rate``: events a second over the ``seconds`` before and at each row.
+
+    Rows are counted by second first. A key's seconds are cut into spans, and
+    the last ``seconds`` of a span are counted in the next one too, so a key
+    with a long history is spread over many tasks.
+    """
+    span = max(span, seconds + 1)
     second = F.unix_seconds(F.col(ts).cast("timestamp"))
-    trailing = Window.partitionBy(*by).orderBy(second).rangeBetween(-seconds, 0)
-    return samples.withColumn("rate", F.count("*").over(trailing) / float(seconds))
+    named = [F.col(k).alias(f"__key{i}") for i, k in enumerate(by)]
+    keys = [f"__key{i}" for i in range(len(by))]
+    counts = samples.groupBy(*named, second.alias("__second")).agg(F.count("*").alias("__n"))
+    at = lambda c: F.floor(c / span)
+    spans = F.array_distinct(F.array(at(F.col("__second")), at(F.col("__second") + seconds)))
+    dealt = counts.select(*keys, "__second", "__n", F.explode(spans).alias("__span"))
+    trailing = Window.partitionBy(*keys, "__span").orderBy("__second").rangeBetween(-seconds, 0)
+    rates = dealt.withColumn("rate", F.sum("__n").over(trailing) / float(seconds)).filter(F.col("__span").eqNullSafe(at(F.col("__second")))).select(*keys, "__second", "rate")
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(by)], second.eqNullSafe(F.col("__second")))
+    return samples.join(rates, on).select(*samples.columns, "rate")

@@ -53,9 +53,11 @@ def _same_range(keys: Sequence[str]) -> Column:
     return on
 
 
-def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], source: str, target: str, part: Column | None = None) -> DataFrame:
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], source: str, target: str, part: Column | None = None, own: bool = True) -> DataFrame:
     """Add ``target``: the last ``source`` of the row's key, up to the row in ``order``, that is not null.
 
+    Without ``own`` the row's own ``source`` does not count, only those before it.
+
     A key may span many ranges, each of which is filled by itself. What a range
     gets from the key's ranges before it comes from a table with a row for each
     range that does not begin with the key, so it has fewer rows than there are
@@ -74,7 +76,13 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], sour
     carried = parts.select(
         F.col(PART).alias("__at"), *_aliased(keys), F.last("__last", ignorenulls=True).over(before).alias("__carried")
     ).filter("__carried is not null")
-    within = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     local = ranged.withColumn(target, F.last(source, ignorenulls=True).over(within))
     filled = local.join(F.broadcast(carried) if part is None else carried, _same_range(keys), "left").withColumn(target, F.coalesce(target, "__carried"))
     return filled.select(*[c for c in df.columns if c != target], target)
+
+
+def row_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], source: Column, target: str, part: Column | None = None) -> DataFrame:
+    """Add ``target``: a struct with ``source``, null or not, as ``value`` of the row before in ``order``; null for a key's first row."""
+    held = df.withColumn("__held", F.struct(source.alias("value")))
+    return carry_forward(held, keys, order, "__held", target, part, own=False).drop("__held")

@@ -201,7 +201,7 @@ def _(t):
 
     beats = t.events.select(F.col("user_id").alias("executor_id"), "ts", F.col("event_id").alias("beat_id"))
     last = beats.groupBy("executor_id").agg(F.max("ts").alias("last"))
-    return missed_heartbeats(beats, "2024-02-01 00:00:00", interval=4800).join(last, "executor_id").filter("ts < last").select("executor_id", "ts")
+    return missed_heartbeats(beats, "2024-02-01 00:00:00", interval=4800, part=F.date_trunc("day", "ts")).join(last, "executor_id").filter("ts < last").select("executor_id", "ts")
 
 
 EMA_SQL = """

@@ -108,14 +108,14 @@ def _beats(t):
 SELECT executor_id, beat_id, suspect FROM (SELECT user_id AS executor_id, event_id AS beat_id, CASE WHEN event_type <> 'view' THEN event_type END AS suspect,
   lag(CASE WHEN event_type <> 'view' THEN event_type END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE suspect = b""")
 def _(t):
-    return w.phantoms(_beats(t)).select("executor_id", "beat_id", "suspect")
+    return w.phantoms(_beats(t), F.date_trunc("day", "ts")).select("executor_id", "beat_id", "suspect")
 
 
 @query("w12_missed_heartbeats", f"""
 SELECT executor_id, ts, round(gap, 3) AS gap_secs FROM (SELECT user_id AS executor_id, ts,
   (epoch_us(coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), TIMESTAMP '{AS_OF}')) - epoch_us(ts)) / 1e6 AS gap FROM events) WHERE gap >= 14400""")
 def _(t):
-    return w.missed_heartbeats(_beats(t), AS_OF, interval=4800).withColumn("gap_secs", F.round("gap_secs", 3))
+    return w.missed_heartbeats(_beats(t), AS_OF, interval=4800, part=F.date_trunc("day", "ts")).withColumn("gap_secs", F.round("gap_secs", 3))
 
 
 @query("w13_backoff", "SELECT p_partkey AS node_id, least(5.0 * pow(2.0, p_size), 300.0) AS wait_secs FROM part")
@@ -136,7 +136,7 @@ SELECT build_id, sequence, round((epoch_us(ts) - epoch_us(began)) / 1e6, 3) AS w
   FROM fx_event_log WINDOW b AS (PARTITION BY build_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 WHERE kind = 'completed' AND began IS NOT NULL AND (done IS NULL OR began > done)""")
 def _(t):
-    return w.dispatch_wait(t.fx_event_log).withColumn("wait_secs", F.round("wait_secs", 3))
+    return w.dispatch_wait(t.fx_event_log, part=F.floor(F.col("sequence") / 65536)).withColumn("wait_secs", F.round("wait_secs", 3))
 
 
 @query("w16_sequence_gaps", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kilnwork.operators.aggregates import merge_signatures, quantiles
 from kilnwork.operators.joins import asof_join
-from kilnwork.operators.windows import ema, ema_with_reset
+from kilnwork.operators.windows import dispatch_wait, ema, ema_with_reset, log_tail, missed_heartbeats, phantoms, sequence_gaps, surplus_oldest, trailing_rate
 from kilnwork.plans.running import PART, carry_forward, ranges, running_totals
 
 
@@ -110,3 +110,43 @@ def test_signatures_beyond_the_cap(spark):
     more = spark.createDataFrame([(1, [f"s{i}" for i in range(50)]), (2, ["c", "b", "a"]), (2, ["b", None])], "path_id long, signatures array<string>")
     got = {r.path_id: (r.signatures, r.fault) for r in merge_signatures(paths, more.withColumn("signatures", F.array_compact("signatures")), cap=4).collect()}
     assert got == {1: (["a"], "too many"), 2: (["a", "b", "c"], None), 3: (["a"], None)}
+
+
+def test_rows_before_over_stretches(spark):
+    log = [("hot", i + (i > 200) + (i > 500)) for i in range(1, 700)] + [("hot", 50), ("hot", 64), (None, 1), (None, 3), ("b", 2)]
+    got = sorted((r.build_id or "", r.sequence, r.fault) for r in sequence_gaps(spark.createDataFrame(log, "build_id string, sequence long"), width=32).collect())
+    assert got == sorted([("hot", 50, "repeated"), ("hot", 64, "repeated"), ("hot", 202, "gap"), ("hot", 503, "gap"), ("", 3, "gap"), ("b", 2, "gap")])
+    beats = spark.createDataFrame([("hot", i, i, "x" if i % 7 < 2 else None if i % 7 == 2 else "y") for i in range(400)] + [(None, 1, 1, "x"), (None, 2, 2, "x")], "executor_id string, s long, beat_id long, suspect string")
+    beats = beats.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    want = {("hot", i) for i in range(1, 400) if i % 7 in (1, 4, 5, 6)} | {(None, 2)}
+    for part in (None, F.date_trunc("minute", "ts")):
+        assert {(r.executor_id, r.beat_id) for r in phantoms(beats, part).collect()} == want
+    apart = beats.filter("beat_id < 100 or beat_id >= 350").unionByName(beats.filter("beat_id = 5").withColumn("ts", F.lit(None).cast("timestamp_ntz")))
+    for part in (None, F.date_trunc("minute", "ts")):
+        gaps = missed_heartbeats(apart, "1970-01-01 00:08:00", part=part)
+        assert sorted((r.executor_id or "", r.gap_secs) for r in gaps.collect()) == [("", 478.0), ("hot", 81.0), ("hot", 251.0)]
+    kinds = ["started", "other", "completed", "completed", "started", "started", "completed"]
+    changes = spark.createDataFrame([("hot", i, kinds[i % 7], 10 * i) for i in range(210)] + [(None, 1, "completed", 1)], "build_id string, sequence long, kind string, s long")
+    changes = changes.withColumn("ts", F.timestamp_seconds("s"))
+    for part in (None, F.floor(F.col("sequence") / 16)):
+        got = {(r.sequence, r.wait_secs) for r in dispatch_wait(changes, part=part).collect()}
+        assert got == {(i, 20.0 if i % 7 == 2 else 10.0) for i in range(210) if i % 7 in (2, 6)}
+
+
+def test_tails_and_surplus_of_a_hot_key(uncoalesced):
+    lines = [("hot", i, f"l{i}") for i in range(1000)] + [("few", i, "f") for i in range(3)] + [(None, 7, "n")]
+    for width in (1, 16, 4096):
+        got = {(r.log_id, r.line_no) for r in log_tail(uncoalesced.createDataFrame(lines, "log_id string, line_no long, line string"), 40, since=1, width=width).collect()}
+        assert got == {("hot", i) for i in range(960, 1000)} | {("few", 1), ("few", 2), (None, 7)}
+    jobs = uncoalesced.createDataFrame([("hot", i, float(i)) for i in range(500)] + [(None, 900, 5.0), ("b", 901, 2.0)], "pool string, job_id long, age_secs double")
+    queued = uncoalesced.createDataFrame([("hot", 480), ("b", 3)], "pool string, queued long")
+    assert {(r.pool, r.job_id) for r in surplus_oldest(jobs, queued, 485.0).collect()} == {("hot", i) for i in range(485, 500)}
+    assert {r.job_id for r in surplus_oldest(jobs, queued, 0.0).collect()} == {*range(480, 500), 900}
+
+
+def test_trailing_rate_over_spans(spark):
+    at = [("hot", t) for i in range(300) for t in [i * 7 % 1000] * (1 + i % 3)] + [(None, 5), (None, 9), ("b", None), ("b", None)]
+    df = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(at)], "k string, s long, n long").withColumn("ts", F.timestamp_seconds("s"))
+    for span in (1, 100, 10**6):
+        got = {r.n: r.rate for r in trailing_rate(df, 60, ["k"], span=span).collect()}
+        assert got == {n: sum(1 for k2, t2 in at if k2 == k and (t2 is None if t is None else t2 is not None and t - 60 <= t2 <= t)) / 60 for n, (k, t) in enumerate(at)}
