@@ -226,8 +226,9 @@ SELECT build_id, sequence, admitted, round(CASE WHEN admitted THEN 0 ELSE (1 - h
 
 @query("t9_live_ema_stream", EMA_SQL)
 def _(t):
-    log = as_stream(t.fx_event_log.select("build_id", "sequence", "value"))
-    return run_stream(st.live_ema(log, "build_id")).withColumn("ema", F.round(F.col("ema") + 1e-9, 4))
+    # watermarks are whole milliseconds, so with times as such the last row is passed too
+    log = as_stream(t.fx_event_log.select("build_id", "sequence", "value", F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts")))
+    return run_stream(st.live_ema(log, "build_id", ts="ts")).withColumn("ema", F.round(F.col("ema") + 1e-9, 4))
 
 
 @query("t10_rate_limit", BUCKET_SQL)

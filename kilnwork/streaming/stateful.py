@@ -103,6 +103,69 @@ class FoldProcessor(StatefulProcessor):
         pass
 
 
+class TimedFoldProcessor(FoldProcessor):
+    """Runs a fold in order of event time: rows wait in list state until the watermark has passed them, later ones are dropped.
+
+    A key holds the rows of one batch and of the watermark's delay, and one timer, for the earliest of them.
+    """
+
+    def __init__(self, step, key: str, waiting: StructType, state_schema: StructType, out_columns: list[str]):
+        super().__init__(step, [], state_schema, out_columns)
+        self.key, self.waiting = key, waiting
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.rows = handle.getListState("waiting", self.waiting)
+        self.next = handle.getValueState("next", StructType([StructField("millis", LongType())]))
+
+    def _wake_at(self, micros: int | None) -> None:
+        millis = None if micros is None else -(-micros // 1000)
+        before = self.next.get()[0] if self.next.exists() else None
+        if millis == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        if millis is None:
+            self.next.clear()
+        else:
+            self.handle.registerTimer(millis)
+            self.next.update((millis,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        least = self.next.get()[0] * 1000 if self.next.exists() else None
+        for frame in rows:
+            frame = frame[frame["at_micros"] > passed]
+            if len(frame):
+                self.rows.appendList(list(frame[self.waiting.fieldNames()].itertuples(index=False, name=None)))
+                first = int(frame["at_micros"].min())
+                least = first if least is None else min(least, first)
+        if least is not None:
+            self._wake_at(least)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(tuple(r) for r in self.rows.get())
+        ready, later = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
+        if later:
+            self.rows.put(later)
+        else:
+            self.rows.clear()
+        self.next.clear()  # its timer has just gone
+        self._wake_at(later[0][0] if later else None)
+        state = dict(zip(self.fields, self.state.get(), strict=True)) if self.state.exists() else None
+        out = []
+        for values in ready:
+            row = dict(zip(self.waiting.fieldNames(), values, strict=True))
+            state, found = self.step(state, row)
+            out.append({self.key: key[0], **row, **found})
+        if state is not None:
+            self.state.update(tuple(state[f] for f in self.fields))
+        yield pd.DataFrame(out, columns=self.out_columns)
+
+
 class HeartbeatProcessor(StatefulProcessor):
     """Emits a key's last beat when an event-time timer finds no beat for ``secs`` after it."""
 
@@ -173,10 +236,26 @@ def build_states(df: DataFrame) -> DataFrame:
     return run_fold(df, ["build_id"], ["sequence"], fold_states(BUILD_MOVES), "status string", f"build_id {kind}, sequence long, status string, fault string")
 
 
-def live_ema(df: DataFrame, key: str, alpha: float = 0.3) -> DataFrame:
-    """``key, sequence, ema, n`` after each row of (key, sequence, value)."""
+def live_ema(df: DataFrame, key: str, alpha: float = 0.3, ts: str | None = None, watermark: str = "0 seconds") -> DataFrame:
+    """``key, sequence, ema, n`` after each row of (key, sequence, value).
+
+    With an event time ``ts`` rows go by (ts, sequence), and those without a
+    time are left out. On a stream they wait until the watermark passes them,
+    so rows that arrive out of order within it change nothing, and rows beyond
+    it are dropped. Without ``ts`` a stream folds rows as they come.
+    """
     kind = df.schema[key].dataType.simpleString()
-    return run_fold(df, [key], ["sequence"], fold_ema(alpha), "ema double, n long", f"{key} {kind}, sequence long, ema double, n long")
+    state, out = "ema double, n long", f"{key} {kind}, sequence long, ema double, n long"
+    if ts is None:
+        return run_fold(df, [key], ["sequence"], fold_ema(alpha), state, out)
+    timed = df.filter(F.col(ts).isNotNull())
+    slim = [key, F.col("sequence").cast("long"), F.col("value").cast("double"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_micros")]
+    if not df.isStreaming:
+        return fold_sorted(timed.select(*slim), [key], ["at_micros", "sequence"], fold_ema(alpha), out)
+    processor = TimedFoldProcessor(fold_ema(alpha), key, StructType.fromDDL("at_micros long, sequence long, value double"), StructType.fromDDL(state), StructType.fromDDL(out).fieldNames())
+    return timed.withWatermark(ts, watermark).select(*slim, ts).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=StructType.fromDDL(out), outputMode="append", timeMode="EventTime"
+    )
 
 
 def rate_limit(df: DataFrame, key: str, per_minute: float, burst: float) -> DataFrame:

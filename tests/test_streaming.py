@@ -69,6 +69,20 @@ def test_folds_match_batch(spark, log, tmp_path, name):
     assert drain(f(stream(spark, log)), tmp_path, f"fold_{name}") == want
 
 
+def test_average_by_event_time(spark, tmp_path):
+    """Rows out of order within the watermark count in order; one beyond it is dropped; the last wait."""
+    files = [[("a", 3, 30, 3.0), ("a", 1, 10, 1.0), ("b", 1, 5, 7.0)], [("a", 2, 25, None), ("a", 4, 50, 8.0)], [("a", 9, 20, 99.0), ("b", 2, 90, 1.0)], [("a", 5, 60, 2.0), ("b", 3, 200, 5.0)]]
+    schema, path = "k string, sequence long, s long, value double", str(tmp_path / "in")
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    timed = lambda d: d.withColumn("ts", F.timestamp_seconds("s"))
+    on_time = spark.createDataFrame([r for rows in files for r in rows if r[1:3] not in ((9, 20), (3, 200), (5, 60))], schema)
+    want = {tuple(r) for r in st.live_ema(timed(on_time), "k", ts="ts").collect()}
+    assert {(k, n) for k, _, _, n in want} == {("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)}
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    assert drain(st.live_ema(timed(source), "k", ts="ts", watermark="20 seconds"), tmp_path, "timed_ema") == want
+
+
 def test_heartbeat_timers(spark, log, tmp_path):
     _, rows = log
     beats = stream(spark, log).select(F.col("build_id").alias("executor_id"), "ts")
