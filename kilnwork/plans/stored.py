@@ -32,13 +32,23 @@ def stored(df: DataFrame) -> DataFrame:
     recomputation of ``df``, and using the result twice computes ``df`` once.
     The files go when the session ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    context = spark.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return Rounds(df).add(df)
+
+
+class Rounds:
+    """One stored table that grows by a round's rows at a time, so that a scan of all rounds is a single scan of one folder."""
+
+    def __init__(self, like: DataFrame):
+        self.spark, self.schema = like.sparkSession, like.schema
+        self.path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
+        context = self.spark.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """All rows so far, ``rows`` among them; earlier results keep the rows they had."""
+        rows.write.mode("append").parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -7,25 +7,26 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.plans.stored import stored
+from kilnwork.plans.stored import Rounds, stored
 
 
 def walk(edges: DataFrame, seeds: DataFrame, src: str, dst: str, max_rounds: int = 512) -> DataFrame:
     """``id, level`` of everything reachable from ``seeds`` (a column ``id``) along src -> dst, seeds at level 0.
 
-    A round stores its frontier; the driver sees one number a round. Raises
-    RuntimeError beyond ``max_rounds``.
+    A round adds its frontier to one stored table, so plans don't grow with the
+    depth; the driver sees one number a round. Raises RuntimeError beyond
+    ``max_rounds``.
     """
     edges = stored(edges.select(src, dst).distinct())
-    frontier = stored(seeds.select("id").distinct().withColumn("level", F.lit(0)))
-    seen = frontier
+    frontier = seeds.select("id").distinct().withColumn("level", F.lit(0))
+    reached = Rounds(frontier)
+    seen = reached.add(frontier)
     for level in range(1, max_rounds + 1):
-        step = edges.join(frontier.select(F.col("id").alias(src)), src, "left_semi").select(F.col(dst).alias("id")).distinct()
-        fresh = step.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level))
-        frontier = stored(fresh)
-        if frontier.isEmpty():
+        last = seen.filter(F.col("level") == level - 1).select(F.col("id").alias(src))
+        step = edges.join(last, src, "left_semi").select(F.col(dst).alias("id")).distinct()
+        seen = reached.add(step.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
+        if seen.filter(F.col("level") == level).isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
     raise RuntimeError(f"the walk did not end within {max_rounds} rounds")
 
 
