@@ -14,7 +14,12 @@ import kilnwork
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to what executors load, once a session, so that it needs no installation there."""
+    """Add the package to what Python workers load, once a session, so that it needs no installation for them.
+
+    Executors fetch it. A stateful stream also starts a worker beside the
+    driver, which knows only the environment it is given, so the path is named
+    there; on other machines it names nothing.
+    """
     context = spark.sparkContext
     if getattr(context, "_kilnwork_shipped", False):
         return
@@ -29,4 +34,6 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(inner, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     context.addPyFile(path)
+    known = context.environment.get("PYTHONPATH")
+    context.environment["PYTHONPATH"] = f"{path}{os.pathsep}{known}" if known else path
     context._kilnwork_shipped = True

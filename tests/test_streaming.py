@@ -1,5 +1,9 @@
 """Streams end in what their batch twins compute."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from compare import DATA
 from pyspark.sql import functions as F
@@ -143,3 +147,21 @@ def test_token_bucket():
         state, out = step(state, {"at_secs": at})
         got.append((out["admitted"], round(out["wait_secs"], 3)))
     assert got == [(True, 0.0), (True, 0.0), (False, 1.0), (False, 0.5), (True, 0.0)]
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__
+print("rows", __spark_entry__.queries()["t7_build_states_stream"](spark, {data!r}).count())
+"""
+
+
+def test_streams_run_from_any_folder(tmp_path):
+    """Workers find the package where neither the working folder nor PYTHONPATH leads to it."""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", ELSEWHERE.format(repo=repo, data=DATA)], cwd=tmp_path, env=known, capture_output=True, text=True, timeout=180)
+    assert int(done.stdout.split("rows ")[1]) > 0, done.stderr[-2000:]
