@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.operators.filters import DONE, RETRIABLE, TERMINAL
-from kilnwork.plans.stored import stored
+from kilnwork.plans.stored import Rounds, stored
 from kilnwork.plans.walk import fold_up, waiting_nodes, walk
 
 
@@ -35,20 +35,26 @@ def update_ancestors(nodes: DataFrame, edges: DataFrame, values: DataFrame, chan
     """``node_id, value`` of all nodes after ``changed`` (node_id, estimate) replaced estimates, from the old ``values``.
 
     Only ancestors of changed nodes are computed anew, and a branch ends where
-    a node's value stays as it was. Terminal children count here as 0.
+    a node's value stays as it was. Terminal children count here as 0. A round
+    stores the values that it changed, never all of them.
     """
     estimates = nodes.select("node_id", "estimate", F.col("status").isin(*TERMINAL).alias("over")).join(changed.withColumnRenamed("estimate", "__new"), "node_id", "left")
     estimates = stored(estimates.select("node_id", F.coalesce("__new", "estimate").alias("estimate"), "over"))
-    now, frontier = stored(values), stored(changed.select("node_id").distinct())
+    old, frontier, news = stored(values.select("node_id", "value")), stored(changed.select("node_id").distinct()), None
+    now = old
     live = stored(edges.join(estimates.filter("over").select(F.col("node_id").alias("child_id")), "child_id", "left_anti"))
-    for _ in range(max_rounds):
+    for level in range(max_rounds):
         below = live.join(frontier.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi")
         best = below.join(now.withColumnRenamed("node_id", "child_id"), "child_id").groupBy(F.col("parent_id").alias("node_id")).agg(F.max("value").alias("best"))
         again = frontier.join(estimates, "node_id").join(best, "node_id", "left").select("node_id", (F.col("estimate") + F.coalesce("best", F.lit(0.0))).alias("__value"))
-        moved = stored(again.join(now, "node_id").filter("__value <> value").select("node_id", "__value"))
+        moved = again.join(now, "node_id").filter("__value <> value").select("node_id", "__value", F.lit(level).alias("level"))
+        news = news or Rounds(moved)
+        every = news.add(moved)
+        moved = every.filter(F.col("level") == level)
         if moved.isEmpty():
             return now
-        now = stored(now.join(moved, "node_id", "left").select("node_id", F.coalesce("__value", "value").alias("value")))
+        latest = every.groupBy("node_id").agg(F.max_by("__value", "level").alias("__value"))
+        now = old.join(latest, "node_id", "left").select("node_id", F.coalesce("__value", "value").alias("value"))
         frontier = stored(live.join(moved.select(F.col("node_id").alias("child_id")), "child_id", "left_semi").select(F.col("parent_id").alias("node_id")).distinct())
         if frontier.isEmpty():
             return now

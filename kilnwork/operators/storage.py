@@ -175,13 +175,15 @@ def reassemble(entries: DataFrame, stored: DataFrame, declared: DataFrame) -> Da
     """``blob_id, size, content_hash, fault`` of each declared blob put together from its chunks in order.
 
     Faults: missing chunk, size, hash, else null. A blob is one row, as it is
-    when it is read.
+    when it is read, and its chunks are copied once. Without all of its chunks
+    a blob is empty.
     """
     joined = entries.select("blob_id", "idx", "chunk_hash").join(stored.select("chunk_hash", "bytes"), "chunk_hash", "left")
     whole = joined.groupBy("blob_id").agg(
         F.count_if(F.col("bytes").isNull()).alias("__lost"), F.sort_array(F.collect_list(F.struct("idx", "bytes"))).alias("__parts")
     )
-    content = F.aggregate("__parts", F.lit(b""), lambda a, p: F.concat(a, p["bytes"]))
+    digits = F.array_join(F.transform("__parts", lambda p: F.hex(p["bytes"])), "")  # binary values have no join of their own
+    content = F.when(F.col("__lost") == 0, F.unhex(digits))
     built = declared.join(whole.select("blob_id", "__lost", content.alias("__content")), "blob_id", "left")
     data = F.coalesce("__content", F.lit(b""))
     fault = (
