@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import bpe, chat, language, lines, media, mixing, quality, simhash, topk, toxicity
+from kilnwork.llm import bpe, chat, language, lines, manifest, media, mixing, quality, simhash, topk, toxicity
 from kilnwork.llm.sampling import held_out
 from kilnwork.plans.stored import spread
 
@@ -101,15 +101,76 @@ def token_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    proven = manifest.prove_documents(_table(spark, sf_dir, "documents"), F.when(changed, manifest.lowered_leaf()))
+    return proven.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_language, op3_quality, op4_lines, op5_simhash, op6_media, op7_topk, op8_toxicity, op9_chat, op10_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_language, op3_quality, op4_lines, op5_simhash, op6_media, op7_topk, op8_toxicity, op9_chat, op10_bpe, op11_manifest, pipeline)}
+
+def _manifest_sql(fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), depth: int = 9) -> str:
+    """SQL of ``op11_manifest``: each level a table, a key with one node staying as it is; ``depth`` levels of 8 are enough for 8**9 leaves a key."""
+    sizes = ["coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')".format(f) for f in fields]
+    shown = [s.replace("(text AS", "(lower_text AS") for s in sizes]
+    parts = [f"""
+d AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text,
+    list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, lang, sha256({" || ".join(sizes)}) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256({" || ".join(shown)}) END AS shown FROM d
+), a0 AS (
+  SELECT *, leaf AS node, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves
+), n0 AS (SELECT lang, place, node FROM a0)"""]
+
+    def level(k: int, name: str, key: str) -> str:
+        return f"""
+, {name}r{k} AS (
+  SELECT {key}, place // 8 AS place, string_agg(node, '' ORDER BY place) AS run, max(total) AS total
+  FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS total FROM {name}{k}) GROUP BY {key}, place // 8
+), {name}{k + 1} AS (
+  SELECT {key}, place, CASE WHEN total = 1 THEN run ELSE sha256(run) END AS node FROM {name}r{k}
+)"""
+
+    parts += [level(k, "n", "lang") for k in range(depth)]
+    parts.append(f", m0 AS (SELECT 0 AS one, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, node FROM n{depth})")
+    parts += [level(k, "m", "one") for k in range(depth)]
+
+    def path(k: int, before: str, after: str, name: str, key: str, place: str) -> str:
+        at = f"64 * (({place} // {8 ** k}) % 8)"
+        other = "r.total > 1"
+        left, right = f"CASE WHEN {other} THEN substr(r.run, 1, {at}) ELSE '' END", f"CASE WHEN {other} THEN substr(r.run, {at} + 65) ELSE '' END"
+        return f"""
+, {after} AS (
+  SELECT b.* REPLACE (b.proof || {left} || {right} AS proof,
+    CASE WHEN {other} THEN sha256({left} || b.folded || {right}) ELSE b.folded END AS folded)
+  FROM {before} AS b JOIN {name}r{k} AS r ON b.{key} IS NOT DISTINCT FROM r.{key} AND {place} // {8 ** (k + 1)} = r.place
+)"""
+
+    parts.append("""
+, p0 AS (
+  SELECT a0.doc_id, a0.lang, a0.leaf, a0.place, coalesce(a0.shown, a0.leaf) AS folded, '' AS proof, m0.node AS subroot, m0.place AS tree, 0 AS one
+  FROM a0 JOIN m0 ON a0.lang IS NOT DISTINCT FROM m0.lang
+)""")
+    parts += [path(k, f"p{k}", f"p{k + 1}", "n", "lang", "b.place") for k in range(depth)]
+    parts.append(f", q0 AS (SELECT * FROM p{depth})")
+    parts += [path(k, f"q{k}", f"q{k + 1}", "m", "one", "b.tree") for k in range(depth)]
+    return f"""WITH {"".join(parts)}
+SELECT doc_id, leaf, subroot, m{depth}.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = m{depth}.node AS verified
+FROM q{depth}, m{depth}"""
+
 
 ORACLE_SQL = {
+    "op11_manifest": _manifest_sql(),
     "op1_mix": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
