@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import bpe, chat, language, lines, manifest, media, mixing, quality, simhash, topk, toxicity
+from kilnwork.llm import bpe, chat, divergence, language, lines, manifest, media, mixing, quality, simhash, topk, toxicity
 from kilnwork.llm.sampling import held_out
 from kilnwork.plans.stored import spread
 
@@ -107,13 +107,17 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_language, op3_quality, op4_lines, op5_simhash, op6_media, op7_topk, op8_toxicity, op9_chat, op10_bpe, op11_manifest, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_language, op3_quality, op4_lines, op5_simhash, op6_media, op7_topk, op8_toxicity, op9_chat, op10_bpe, op11_manifest, op13_divergence, pipeline)}
 
 def _manifest_sql(fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), depth: int = 9) -> str:
     """SQL of ``op11_manifest``: each level a table, a key with one node staying as it is; ``depth`` levels of 8 are enough for 8**9 leaves a key."""
@@ -232,6 +236,38 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op13_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), w AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS of_lang FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term
+), v AS (
+  SELECT lang, CAST(count(*) AS HUGEINT) AS terms, sum(of_lang) AS total FROM k GROUP BY lang
+), g AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source
+), s AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.total + 2 * v.terms) AS p,
+    1 + 1000000000::HUGEINT * (k.of_lang + 2) // (v.total + 2 * v.terms) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), f AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+  FROM s AS x JOIN s AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), u AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g AS x JOIN g AS y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM s WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u
+)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
 """,
     "op9_chat": r"""
 WITH t AS (
