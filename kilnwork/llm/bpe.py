@@ -7,6 +7,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from kilnwork.llm.batches import text_blocks
 from kilnwork.llm.unicode_versions import LATER_CAPITALS, LATER_LETTERS, LATER_MARKS, as_class, lower_map
 
-#: Distinct words whose ids a task keeps; beyond it the store starts anew.
+#: Distinct words, or stretches of them, whose ids a task keeps; beyond it the store starts anew.
 KEPT_WORDS = 400_000
+#: Characters that Python splits at and the tokenizer file's patterns don't.
+NO_SPACE = "\x1c\x1d\x1e\x1f"
 #: White space as the tokenizer file's patterns see it: fixed values.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and numbers that are none to the vocabulary's own library.
@@ -128,61 +131,98 @@ def merge_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
     return ids[order], np.bincount(owner, minlength=len(words))
 
 
+class Store:
+    """Ids of keys met so far, one after another in one array."""
+
+    def __init__(self):
+        self.number: dict = {}
+        self.flat, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def add(self, keys: list, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(keys, range(len(self.sizes), len(self.sizes) + len(keys)), strict=True))
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+
+    def ids(self, keys: list, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all keys in order, and how many each run of ``lengths`` keys has."""
+        at = np.fromiter(map(self.number.__getitem__, keys), dtype=np.int64, count=len(keys))
+        sizes, starts = self.sizes[at], (np.cumsum(self.sizes) - self.sizes)[at]
+        total = np.cumsum(sizes)
+        out = self.flat[np.arange(int(sizes.sum())) + np.repeat(starts - (total - sizes), sizes)]
+        ends = np.concatenate([[0], total])[np.cumsum(lengths)]
+        return out, np.diff(ends, prepend=0)
+
+
 class Encoder:
-    """Encodes texts of one task; ids of words seen are kept."""
+    """Encodes texts of one task; ids of words and of stretches without white space are kept.
+
+    No word reaches over white space, so a stretch has the same ids wherever
+    it stands, and only new ones are cut into words.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.pieces, self.later_pieces = regex.compile(PIECES), regex.compile(LATER_PIECES)
         capitals = as_class(tuple((a, b) for a, b, _ in LATER_CAPITALS))
         self.later = re.compile(f"[{as_class(LATER_MARKS)}{LATER}{capitals}]")
+        least = min(LATER_MARKS[0][0], LATER_LETTERS[0][0], LATER_CAPITALS[0][0])
+        self.may_be_later = re.compile(f"[{chr(least)}-{chr(0x10FFFF)}]")
         self.later_marks = re.compile(f"([{as_class(LATER_MARKS)}])")
         self.lower = lower_map()
         self.forget()
 
     def forget(self) -> None:
-        self.number = {s: i for i, s in enumerate(self.vocab.specials)}
+        self.words, self.stretches = Store(), Store()
         ids = list(self.vocab.specials.values())
-        self.flat, self.sizes = np.array(ids, dtype=np.int64), np.ones(len(ids), dtype=np.int64)
+        self.words.add([(s,) for s in self.vocab.specials], np.array(ids, dtype=np.int64), np.ones(len(ids), dtype=np.int64))
 
-    def words(self, text: str) -> list[str]:
-        """The words in order; special tokens in the text stand for themselves."""
+    def split(self, text: str) -> list:
+        """Stretches of a text in order; a special token, or a word to be taken as it is, stands in a tuple."""
         special = self.vocab.special_pattern
         if special is None or "<|" not in text:
             return self.plain(text)
         out = []
         for i, part in enumerate(special.split(text)):
-            out += [part] if i % 2 else self.plain(part)
+            out += [(part,)] if i % 2 else self.plain(part)
         return out
 
-    def plain(self, text: str) -> list[str]:
-        pieces = self.pieces
+    def plain(self, text: str) -> list:
         if not text.isascii():
-            if self.later.search(text):
-                pieces = self.later_pieces
+            later = self.may_be_later.search(text) and self.later.search(text)
+            if later:
                 text = "".join(unicodedata.normalize("NFC", part) for part in self.later_marks.split(text)).translate(self.lower)
             else:
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # a final sigma gets no form of its own
-        return pieces.findall(text.lower())
+            if later:
+                return [(w,) for w in self.later_pieces.findall(text.lower())]
+        text = text.lower()
+        if any(c in text for c in NO_SPACE):
+            return [(w,) for w in self.pieces.findall(text)]
+        return text.split()
+
+    def cut(self, stretch) -> list:
+        """The words of a stretch, each in a tuple."""
+        if isinstance(stretch, tuple):
+            return [stretch]
+        if stretch.isascii() and stretch.isalpha():
+            return [(stretch,)]
+        return [(w,) for w in self.pieces.findall(stretch)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one flat array, and how many each text has."""
-        if len(self.number) > KEPT_WORDS:
+        if max(len(self.words.number), len(self.stretches.number)) > KEPT_WORDS:
             self.forget()
-        split = [self.words(t) for t in texts]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.number))
+        split = [self.split(t) for t in texts]
+        every = list(chain.from_iterable(split))
+        new = list(set(every).difference(self.stretches.number))
         if new:
-            ids, sizes = merge_words(self.vocab, [w.encode("utf-8", "surrogatepass") for w in new])
-            self.number.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
-            self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
-        lengths = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        at = np.fromiter((self.number[w] for words in split for w in words), dtype=np.int64, count=int(lengths.sum()))
-        sizes, starts = self.sizes[at], (np.cumsum(self.sizes) - self.sizes)[at]
-        total = np.cumsum(sizes)
-        out = self.flat[np.arange(int(sizes.sum())) + np.repeat(starts - (total - sizes), sizes)]
-        ends = np.concatenate([[0], total])[np.cumsum(lengths)]
-        return out, np.diff(ends, prepend=0)
+            words = [self.cut(s) for s in new]
+            flat_words = list(chain.from_iterable(words))
+            unknown = list(set(flat_words).difference(self.words.number))
+            if unknown:
+                self.words.add(unknown, *merge_words(self.vocab, [w.encode("utf-8", "surrogatepass") for (w,) in unknown]))
+            self.stretches.add(new, *self.words.ids(flat_words, np.fromiter(map(len, words), dtype=np.int64, count=len(words))))
+        return self.stretches.ids(every, np.fromiter(map(len, split), dtype=np.int64, count=len(split)))
 
 
 def decode_ids(vocab: Vocabulary, ids: list[int]) -> str:

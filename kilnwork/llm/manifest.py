@@ -134,7 +134,7 @@ def prove_documents(docs: DataFrame, presented: Column | None = None, fields: Se
     """
     leaf = leaf_digest([F.col(c) for c in fields])
     slim = docs.select(F.col(order).alias("doc_id"), F.col(key).cast("string").alias("tree"), leaf.alias("node"), (F.lit(None).cast("string") if presented is None else presented).alias("shown"))
-    ranked = running_totals(slim, [F.col("doc_id").asc_nulls_first(), F.col("node")], {"number": F.lit(1)}, keys=["tree"])
+    ranked = running_totals(stored(slim), [F.col("doc_id").asc_nulls_first(), F.col("node")], {"number": F.lit(1)}, keys=["tree"])
     leaves = stored(ranked.select("doc_id", "tree", "node", "shown", (F.col("number") - 1).cast("long").alias("place")))
     trees = _climb(leaves.select("tree", "place", "node"), depth)
     tops = trees[-1].select("tree", "node")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import bpe, chat, divergence, language, lines, manifest, media, mixing, quality, simhash, topk, toxicity
+from kilnwork.llm import bpe, chat, divergence, language, lines, manifest, media, mixing, packing, quality, simhash, topk, toxicity
 from kilnwork.llm.sampling import held_out
 from kilnwork.plans.stored import spread
 
@@ -107,6 +107,11 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), word_vocabulary())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(_table(spark, sf_dir, "documents"))
 
@@ -117,7 +122,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_language, op3_quality, op4_lines, op5_simhash, op6_media, op7_topk, op8_toxicity, op9_chat, op10_bpe, op11_manifest, op13_divergence, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_language, op3_quality, op4_lines, op5_simhash, op6_media, op7_topk, op8_toxicity, op9_chat, op10_bpe, op11_manifest, op12_packing, op13_divergence, pipeline)}
 
 def _manifest_sql(fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), depth: int = 9) -> str:
     """SQL of ``op11_manifest``: each level a table, a key with one node staying as it is; ``depth`` levels of 8 are enough for 8**9 leaves a key."""
