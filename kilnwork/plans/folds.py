@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 
-def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable[[dict | None, dict], tuple[dict, dict | None]], schema: str) -> DataFrame:
+def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable[[dict | None, dict], tuple[dict, dict | None]], schema: str | StructType) -> DataFrame:
     """Rows that ``step`` returns for (state, row) over the rows of each key in order; None returns no row.
 
     Rows are dealt by key and sorted within partitions, so a task streams its
     keys one after another and holds one state and one batch, however long a
     key is. The state of a key starts as None.
     """
-    columns = StructType.fromDDL(schema).fieldNames()
+    columns = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fieldNames()
     keys = list(keys)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

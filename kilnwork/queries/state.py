@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from kilnwork.operators import snapshots as m
 from kilnwork.operators.aggregates import tenant_usage
 from kilnwork.queries.aggregates import USAGE_SQL
 from kilnwork.queries.registry import query
+from kilnwork.sources.versions import Snapshots
 from kilnwork.streaming import events as e
 from kilnwork.streaming import stateful as st
-from kilnwork.streaming.runs import as_stream, fresh_folder, run_stream
+from kilnwork.streaming.runs import as_stream, fresh_folder, run_arrivals, run_stream
 
 ORDER = ["small", "medium", "large"]
 
@@ -58,6 +61,37 @@ def _(t):
     return m.expire(t.events, "ts", "24 hours", "2024-01-20 00:00:00").select("event_id")
 
 
+def _assignment_months(t):
+    """Assignments in parts by month: the first version of a table that writers change."""
+    rows = t.fx_assignments.withColumn("month", F.date_format("assigned_at", "yyyy-MM"))
+    table = Snapshots(t.spark, fresh_folder(t.spark), rows.schema, F.col("month"))
+    table.change(table.parts_of(rows), lambda _: rows)
+    return table
+
+
+@query("m2_snapshot_upsert", """
+SELECT DISTINCT node_id, builder_id, generation, line_no, CASE WHEN status = 'acknowledged' AND generation % 3 = 1 THEN 'completed' WHEN generation % 3 = 2 THEN 'cancelled' ELSE status END AS status FROM fx_assignments""")
+def _(t):
+    table, keys = _assignment_months(t), ["node_id", "builder_id", "generation", "line_no", "assigned_at"]
+    first = table.read()
+    closed = first.filter("generation % 3 = 1 and status = 'acknowledged'").withColumn("status", F.lit("completed"))
+    stopped = first.filter("generation % 3 = 2").withColumn("status", F.lit("cancelled"))
+    with ThreadPoolExecutor(2) as writers:  # both change nearly every month, so one must do its change again
+        list(writers.map(lambda rows: table.upsert(rows, lambda old, new: m.upsert(old, new, keys)), (closed, stopped)))
+    return table.read().select(*keys[:-1], "status").distinct()
+
+
+@query("m6_snapshot_expire", """
+SELECT strftime(assigned_at, '%Y-%m') AS month, count(*) AS n, strftime(assigned_at, '%Y-%m') = '1996-03' AS written FROM fx_assignments
+WHERE assigned_at >= DATE '1996-03-10' GROUP BY ALL""")
+def _(t):
+    table = _assignment_months(t)
+    before = table.latest()
+    after = table.expire("1996-03", F.col("assigned_at") >= F.lit("1996-03-10"))
+    written = [p for p, folders in after.parts.items() if before.parts.get(p) != folders]
+    return table.read(after).groupBy("month").agg(F.count("*").alias("n")).withColumn("written", F.col("month").isin(written))
+
+
 @query("m7_promote_floor", """
 WITH f AS (SELECT node_id, max(CASE assigned_class WHEN 'small' THEN 1 WHEN 'medium' THEN 2 END) AS r FROM fx_samples WHERE duration_secs > 300 GROUP BY node_id)
 SELECT n.node_id, CASE WHEN r IS NULL THEN 'medium' WHEN is_fixed_output AND r = 1 THEN 'big' WHEN is_fixed_output THEN 'medium' WHEN r = 1 THEN 'medium' ELSE 'large' END AS floor FROM fx_nodes AS n LEFT JOIN f ON f.node_id = n.node_id""")
@@ -113,6 +147,37 @@ def _(t):
     return e.watch_sessions(t.fx_event_log, "3 hours")
 
 
+#: What a stream's watermark has passed when its source ends: whole milliseconds, an hour behind.
+CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM fx_event_log)"
+
+
+@query("t1_ingest_events_stream", "SELECT build_id, sequence, event_id FROM fx_event_log")
+def _(t):
+    log = _live_log(t)
+    return run_stream(e.ingest_events(log.union(log)).select("build_id", "sequence", "event_id"))
+
+
+@query("t3_outcome_counts_stream", f"""
+SELECT date_trunc('minute', ts) AS window_start, kind, count(*) AS n FROM fx_event_log WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= {CLOSED} GROUP BY ALL""")
+def _(t):
+    return run_stream(e.outcome_counts(_live_log(t)))
+
+
+@query("t4_outcome_rate_stream", f"""
+SELECT date_trunc('minute', ts) - to_minutes(CAST(i AS INTEGER)) AS window_start, kind, round(count(*) / 300.0, 6) AS rate FROM fx_event_log, range(0, 5) AS r(i)
+WHERE date_trunc('minute', ts) - to_minutes(CAST(i AS INTEGER)) + INTERVAL 5 MINUTE <= {CLOSED} GROUP BY ALL""")
+def _(t):
+    return run_stream(e.outcome_rate(_live_log(t))).withColumn("rate", F.round("rate", 6))
+
+
+@query("t5_watch_sessions_stream", f"""
+WITH g AS (SELECT build_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS fresh FROM fx_event_log WINDOW w AS (PARTITION BY build_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY build_id ORDER BY ts) AS k FROM g)
+SELECT build_id, min(ts) AS session_start, max(ts) + INTERVAL 3 HOUR AS session_end, count(*) AS n FROM s GROUP BY build_id, k HAVING max(ts) + INTERVAL 3 HOUR <= {CLOSED}""")
+def _(t):
+    return run_stream(e.watch_sessions(_live_log(t), "3 hours"))
+
+
 STATUS_OF = {"queued": "created", "started": "queued", "completed": "completed", "cached": "ready", "failed": "substituting"}
 BUILD_OF = {"queued": "pending", "started": "active", "failed": "failed", "completed": "succeeded", "cached": "cancelled"}
 #: Every step that is allowed, as the system described states them; none is the state before the first.
@@ -141,16 +206,24 @@ def _named(names: dict[str, str]):
     return F.element_at(F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
 
 
+#: Watermarks are whole milliseconds, so with times as such the last row of a stream is passed, too.
+MILLIS = F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts")
+
+
 def _node_changes(log):
-    return log.select(F.col("build_id").alias("node_id"), "sequence", _named(STATUS_OF).alias("status"))
+    return log.select(F.col("build_id").alias("node_id"), "sequence", _named(STATUS_OF).alias("status"), MILLIS)
 
 
 def _build_changes(log):
-    return log.select("build_id", "sequence", _named(BUILD_OF).alias("status"))
+    return log.select("build_id", "sequence", _named(BUILD_OF).alias("status"), MILLIS)
 
 
 def _timed_requests(log):
-    return log.select("build_id", "sequence", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_secs"))
+    return log.select("build_id", "sequence", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_secs"), MILLIS)
+
+
+def _live_log(t):
+    return as_stream(t.fx_event_log.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 @query("t6_node_states", _states_sql("node_id", STATUS_OF, NODE_STEPS))
@@ -160,7 +233,7 @@ def _(t):
 
 @query("t6_node_states_stream", _states_sql("node_id", STATUS_OF, NODE_STEPS))
 def _(t):
-    return run_stream(st.node_states(_node_changes(as_stream(t.fx_event_log))))
+    return run_stream(st.node_states(_node_changes(_live_log(t)), ts="ts"))
 
 
 @query("t7_build_states", _states_sql("build_id", BUILD_OF, BUILD_STEPS))
@@ -170,19 +243,19 @@ def _(t):
 
 @query("t7_build_states_stream", _states_sql("build_id", BUILD_OF, BUILD_STEPS))
 def _(t):
-    return run_stream(st.build_states(_build_changes(as_stream(t.fx_event_log))))
+    return run_stream(st.build_states(_build_changes(_live_log(t)), ts="ts"))
 
 
 @query("s9_event_log_sink", "SELECT build_id, sequence, event_id FROM fx_event_log")
 def _(t):
     path, log = fresh_folder(t.spark), as_stream(t.fx_event_log)
-    for _ in range(2):  # a second run from the start delivers every row again
-        e.event_log_sink(log, path, fresh_folder(t.spark)).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(log.schema).parquet(path).select("build_id", "sequence", "event_id")
+    for name in ("first", "second"):  # the second stream delivers every row again
+        e.event_log_sink(log, path, fresh_folder(t.spark), name).trigger(availableNow=True).start().awaitTermination()
+    return e.event_log(t.spark, path, log.schema).read().select("build_id", "sequence", "event_id")
 
 
 @query("t8_heartbeat_timeouts", """
-SELECT user_id AS executor_id, epoch_ms(max(ts)) AS last_millis FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events)""")
+SELECT user_id AS executor_id, epoch_us(max(ts)) AS last_micros FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events)""")
 def _(t):
     beats = t.events.select(F.col("user_id").alias("executor_id"), F.col("ts").cast("timestamp").alias("ts"))
     return run_stream(st.heartbeat_timeouts(as_stream(beats), secs=86400))
@@ -226,9 +299,7 @@ SELECT build_id, sequence, admitted, round(CASE WHEN admitted THEN 0 ELSE (1 - h
 
 @query("t9_live_ema_stream", EMA_SQL)
 def _(t):
-    # watermarks are whole milliseconds, so with times as such the last row is passed too
-    log = as_stream(t.fx_event_log.select("build_id", "sequence", "value", F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts")))
-    return run_stream(st.live_ema(log, "build_id", ts="ts")).withColumn("ema", F.round(F.col("ema") + 1e-9, 4))
+    return run_stream(st.live_ema(_live_log(t).select("build_id", "sequence", "value", MILLIS), "build_id", ts="ts")).withColumn("ema", F.round(F.col("ema") + 1e-9, 4))
 
 
 @query("t10_rate_limit", BUCKET_SQL)
@@ -238,7 +309,7 @@ def _(t):
 
 @query("t10_rate_limit_stream", BUCKET_SQL)
 def _(t):
-    return run_stream(st.rate_limit(_timed_requests(as_stream(t.fx_event_log)), "build_id", per_minute=0.01, burst=3)).withColumn("wait_secs", F.round("wait_secs", 3))
+    return run_stream(st.rate_limit(_timed_requests(_live_log(t)), "build_id", per_minute=0.01, burst=3, ts="ts")).withColumn("wait_secs", F.round("wait_secs", 3))
 
 
 @query("t11_quota_gate", f"""
@@ -256,6 +327,16 @@ def _(t):
     return e.pair_start_finish(log.filter("kind = 'started'"), log.filter("kind = 'completed'"), "6 hours").select("build_id", "ts", "f_ts", "timed_out")
 
 
+@query("t12_pair_start_finish_stream", """
+WITH s AS (SELECT * FROM fx_event_log WHERE kind = 'started'), f AS (SELECT * FROM fx_event_log WHERE kind = 'completed'),
+w AS (SELECT least((SELECT date_trunc('milliseconds', max(ts)) FROM s), (SELECT date_trunc('milliseconds', max(ts)) FROM f)) - INTERVAL 1 HOUR AS passed)
+SELECT s.build_id, s.ts, f.ts AS f_ts, f.ts IS NULL AS timed_out FROM s LEFT JOIN f ON s.build_id = f.build_id AND f.ts >= s.ts AND f.ts <= s.ts + INTERVAL 6 HOUR
+WHERE f.ts IS NOT NULL OR s.ts + INTERVAL 6 HOUR < (SELECT passed FROM w)""")
+def _(t):
+    log = _live_log(t).withColumn("node", F.lit(0))
+    return run_stream(e.pair_start_finish(log.filter("kind = 'started'"), log.filter("kind = 'completed'"), "6 hours").select("build_id", "ts", "f_ts", "timed_out"))
+
+
 @query("t13_tail", "SELECT build_id AS log_id, sequence AS line_no FROM fx_event_log QUALIFY row_number() OVER (PARTITION BY build_id ORDER BY sequence DESC) <= 3")
 def _(t):
     from kilnwork.operators.windows import log_tail
@@ -263,10 +344,25 @@ def _(t):
     return log_tail(t.fx_event_log.select(F.col("build_id").alias("log_id"), F.col("sequence").alias("line_no")), 3)
 
 
-@query("t14_late_rows", "SELECT event_id, ts < TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 2 HOUR AS late FROM events")
+@query("t14_late_rows", """
+WITH r AS (SELECT event_id, event_type, ts, event_id % 5 = 0 AS second FROM events),
+h AS (SELECT event_type, max(ts) AS high FROM r WHERE NOT second GROUP BY event_type)
+SELECT event_id, second AND coalesce(ts < high - INTERVAL 240 HOUR, false) AS late FROM r LEFT JOIN h ON h.event_type = r.event_type""")
+def _(t):
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    arrivals = [rows.filter("event_id % 5 <> 0"), rows.filter("event_id % 5 = 0")]
+    return run_arrivals(arrivals, lambda stream: st.mark_late(stream, "event_type", "ts", 240 * 3600)).select("event_id", "late")
+
+
+@query("t14_late_counts", """
+WITH r AS (SELECT event_type, ts, event_id % 5 = 0 AS second FROM events),
+h AS (SELECT event_type, max(ts) AS high FROM r WHERE NOT second GROUP BY event_type),
+m AS (SELECT r.event_type, date_trunc('day', ts) AS window_start, second AND coalesce(ts < high - INTERVAL 240 HOUR, false) AS late FROM r LEFT JOIN h ON h.event_type = r.event_type)
+SELECT event_type, window_start, count(*) FILTER (WHERE NOT late) AS n, count(*) FILTER (WHERE late) AS late FROM m GROUP BY ALL""")
 def _(t):
-    on_time, late = e.late_rows(t.events, F.expr("timestamp_ntz'2024-01-10 00:00:00'"), "2 hours")
-    return on_time.select("event_id", F.lit(False).alias("late")).unionAll(late.select("event_id", F.lit(True)))
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    arrivals = [rows.filter("event_id % 5 <> 0"), rows.filter("event_id % 5 = 0")]
+    return e.count_late(run_arrivals(arrivals, lambda stream: st.mark_late(stream, "event_type", "ts", 240 * 3600)), "event_type", "1 day")
 
 
 @query("t15_alerts", """
@@ -274,3 +370,10 @@ SELECT date_trunc('hour', ts) AS window_start, CASE kind WHEN 'failed' THEN 'fai
 GROUP BY date_trunc('hour', ts), kind HAVING count(*) > CASE kind WHEN 'failed' THEN 4 ELSE 5 END""")
 def _(t):
     return e.alerts(t.fx_event_log, [("failures", "failed", 4), ("cached", "cached", 5)], "1 hour")
+
+
+@query("t15_alerts_stream", f"""
+SELECT date_trunc('hour', ts) AS window_start, CASE kind WHEN 'failed' THEN 'failures' ELSE 'cached' END AS rule, count(*) AS value FROM fx_event_log WHERE kind IN ('failed', 'cached')
+GROUP BY date_trunc('hour', ts), kind HAVING count(*) > CASE kind WHEN 'failed' THEN 4 ELSE 5 END AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= {CLOSED}""")
+def _(t):
+    return run_stream(e.alerts(_live_log(t), [("failures", "failed", 4), ("cached", "cached", 5)], "1 hour"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from kilnwork.sources.versions import Snapshots, day_of
 
 WATERMARK = "1 hour"
 
@@ -17,22 +20,22 @@ def ingest_events(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["build_id", "sequence"])
 
 
-def event_log_sink(stream: DataFrame, path: str, checkpoint: str):
-    """Append to Parquet by micro-batch; rows whose key the table holds are left out, so a repeated batch adds nothing."""
-    spark = stream.sparkSession
+def event_log(spark: SparkSession, path: str, schema: StructType) -> Snapshots:
+    """The table that ``event_log_sink`` writes, in parts by the day of ``ts``."""
+    return Snapshots(spark, path, schema, day_of("ts"))
+
 
-    def append(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["build_id", "sequence"])
-        try:
-            held = spark.read.schema(batch.schema).parquet(path)
-        except Exception as e:  # the table begins with the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            fresh = fresh.join(held.select("build_id", "sequence"), ["build_id", "sequence"], "left_anti")
-        fresh.write.mode("append").parquet(path)
+def event_log_sink(stream: DataFrame, path: str, checkpoint: str, name: str = "events"):
+    """Add each event once, by (build_id, sequence), however often batches or streams deliver it.
 
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    A batch's rows and its number are one commit, so a batch that was killed
+    shows nothing and one that is repeated adds nothing. Another stream, or the
+    same with another checkpoint under another ``name``, is held against the
+    keys of the days that its batch touches, so a batch costs the same however
+    long the log is. Nulls in a key are values like any other.
+    """
+    log = event_log(stream.sparkSession, path, stream.schema)
+    return stream.writeStream.foreachBatch(lambda batch, number: log.append_batch(batch, ["build_id", "sequence"], name, number)).option("checkpointLocation", checkpoint)
 
 
 def replay(log: DataFrame, build_id, since: int, until: int) -> DataFrame:
@@ -77,10 +80,10 @@ def pair_start_finish(starts: DataFrame, finishes: DataFrame, timeout: str = "1
     return s.join(f, on, "leftOuter").select("build_id", "node", F.col("s.ts").alias("ts"), "f_ts", F.col("f_ts").isNull().alias("timed_out"))
 
 
-def late_rows(batch: DataFrame, high_water: Column, delay: str) -> tuple[DataFrame, DataFrame]:
-    """(on time, late) rows of a batch against the highest time seen before it, less the delay."""
-    late = F.coalesce(F.col("ts") < high_water - F.expr(f"interval {delay}"), F.lit(False))
-    return batch.filter(~late), batch.filter(late)
+def count_late(marked: DataFrame, key: str, width: str) -> DataFrame:
+    """``key, window_start, n, late`` of rows that ``mark_late`` marked: what a window counts, and what came for it when it was closed."""
+    counted = marked.groupBy(key, F.window("ts", width).alias("window")).agg(F.count_if(~F.col("late")).alias("n"), F.count_if("late").alias("late"))
+    return counted.select(key, F.col("window.start").alias("window_start"), "n", "late")
 
 
 def alerts(stream: DataFrame, rules: Sequence[tuple[str, str, float]], width: str = "1 minute", watermark: str = WATERMARK) -> DataFrame:

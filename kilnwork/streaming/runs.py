@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,16 +26,30 @@ def as_stream(table: DataFrame) -> DataFrame:
     return spark.readStream.schema(table.schema).parquet(path)
 
 
-def run_stream(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream puts out until its source is read to the end, kept in the shared folder."""
+def _drain(stream: DataFrame, path: str, checkpoint: str, mode: str) -> DataFrame:
+    """Run a stream to the end of its source; each batch overwrites a folder of its own number, so one that is repeated adds nothing."""
     spark = stream.sparkSession
-    path = fresh_folder(spark)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, STATE_STORE)
     try:
-        sink = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("append").parquet(path))
-        sink.option("checkpointLocation", fresh_folder(spark)).trigger(availableNow=True).start().awaitTermination()
+        sink = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/run_batch={n}"))
+        sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+
+
+def run_stream(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream puts out until its source is read to the end, kept in the shared folder."""
+    return _drain(stream, fresh_folder(stream.sparkSession), fresh_folder(stream.sparkSession), mode)
+
+
+def run_arrivals(parts: Sequence[DataFrame], operator: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What ``operator`` puts out over a stream to which the parts come one after another, its state kept from run to run."""
+    spark = parts[0].sparkSession
+    source, path, checkpoint = (fresh_folder(spark) for _ in range(3))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        out = _drain(operator(spark.readStream.schema(parts[0].schema).parquet(source)), path, checkpoint, mode)
+    return out

@@ -104,7 +104,7 @@ class FoldProcessor(StatefulProcessor):
 
 
 class TimedFoldProcessor(FoldProcessor):
-    """Runs a fold in order of event time: rows wait in list state until the watermark has passed them, later ones are dropped.
+    """Runs a fold in order of event time and sequence: rows wait in list state until the watermark has passed them, later ones are dropped.
 
     A key holds the rows of one batch and of the watermark's delay, and one timer, for the earliest of them.
     """
@@ -147,7 +147,7 @@ class TimedFoldProcessor(FoldProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(r) for r in self.rows.get())
+        held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: r[:2])
         ready, later = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
         if later:
             self.rows.put(later)
@@ -170,26 +170,55 @@ class HeartbeatProcessor(StatefulProcessor):
     """Emits a key's last beat when an event-time timer finds no beat for ``secs`` after it."""
 
     def __init__(self, secs: float):
-        self.millis = int(secs * 1000)
+        self.micros = int(secs * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", StructType([StructField("at_millis", LongType())]))
+        self.last = handle.getValueState("last", StructType([StructField("at_micros", LongType())]))
+
+    def _due(self, micros: int) -> int:
+        """Timers are whole milliseconds: the first at which the silence is as long."""
+        return -(-(micros + self.micros) // 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        latest = max(int(f["ts"].max().timestamp() * 1000) for f in rows)
+        latest = max(int(f["at_micros"].max()) for f in rows)
         before = self.last.get()[0] if self.last.exists() else None
         if before is None or latest > before:
             if before is not None:
-                self.handle.deleteTimer(before + self.millis)
+                self.handle.deleteTimer(self._due(before))
             self.last.update((latest,))
-            self.handle.registerTimer(latest + self.millis)
+            self.handle.registerTimer(self._due(latest))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = self.last.get()[0]
         self.last.clear()
-        yield pd.DataFrame({"executor_id": [key[0]], "last_millis": [at]})
+        yield pd.DataFrame({"executor_id": [key[0]], "last_micros": [at]})
+
+    def close(self) -> None:
+        pass
+
+
+class LatenessProcessor(StatefulProcessor):
+    """Marks rows that lie more than a delay below the highest time that earlier batches brought for the key."""
+
+    def __init__(self, delay_micros: int, out_columns: list[str]):
+        self.delay, self.out_columns = delay_micros, out_columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.high = handle.getValueState("high", StructType([StructField("at_micros", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.high.get()[0] if self.high.exists() else None
+        now = before
+        for frame in rows:
+            at = frame["at_micros"]
+            known = at.dropna()
+            if len(known):
+                now = int(known.max()) if now is None else max(now, int(known.max()))
+            yield frame.assign(late=False if before is None else (at < before - self.delay).fillna(False).astype(bool))[self.out_columns]
+        if now != before:
+            self.high.update((now,))
 
     def close(self) -> None:
         pass
@@ -208,7 +237,7 @@ class TailProcessor(StatefulProcessor):
         held = [tuple(x) for x in self.lines.get()] if self.lines.exists() else []
         for frame in rows:
             held += list(zip(frame["line_no"].tolist(), frame["line"].tolist(), strict=True))
-            held = sorted(held)[-self.n :]
+            held = sorted(held, key=lambda x: x[0])[-self.n :]
         self.lines.put(held)
         yield pd.DataFrame({"log_id": [key[0]] * len(held), "line_no": [a for a, _ in held], "line": [b for _, b in held]})
 
@@ -216,61 +245,73 @@ class TailProcessor(StatefulProcessor):
         pass
 
 
-def run_fold(df: DataFrame, keys: list[str], order: list[str], step, state_schema: str, out_schema: str, mode: str = "append") -> DataFrame:
-    """A fold over each key: stateful on a stream, over sorted rows on a table."""
-    columns = StructType.fromDDL(out_schema).fieldNames()
-    if df.isStreaming:
-        processor = FoldProcessor(step, order, StructType.fromDDL(state_schema), columns)
-        return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=StructType.fromDDL(out_schema), outputMode=mode, timeMode="None")
-    return fold_sorted(df, keys, order, step, out_schema)
+def run_fold(df: DataFrame, key: str, values: dict[str, str], step, state_schema: str, out: str, ts: str | None = None, watermark: str = "0 seconds", order: str = "sequence") -> DataFrame:
+    """A fold over each key of (key, order, values): stateful on a stream, over sorted rows on a table.
 
+    ``values`` are columns and their types, ``out`` what the fold adds to key
+    and order. With an event time ``ts`` rows go by (ts, order), and those
+    without a time are left out. On a stream they wait until the watermark
+    passes them, so rows that arrive out of order within it change nothing, and
+    rows beyond it are dropped. Without ``ts`` a stream folds rows as they come.
+    """
+    out_schema = StructType.fromDDL(f"{key} {df.schema[key].dataType.simpleString()}, {order} long, {out}")
+    slim = [key, F.col(order).cast("long"), *[F.col(c).cast(kind) for c, kind in values.items()]]
+    if ts is None:
+        rows = df.select(*slim)
+        if not df.isStreaming:
+            return fold_sorted(rows, [key], [order], step, out_schema)
+        processor = FoldProcessor(step, [order], StructType.fromDDL(state_schema), out_schema.fieldNames())
+        return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out_schema, outputMode="append", timeMode="None")
+    timed = df.filter(F.col(ts).isNotNull())
+    at = F.unix_micros(F.col(ts).cast("timestamp")).alias("at_micros")
+    if not df.isStreaming:
+        return fold_sorted(timed.select(*slim, at), [key], ["at_micros", order], step, out_schema)
+    waiting = StructType.fromDDL(", ".join(["at_micros long", f"{order} long", *[f"{c} {kind}" for c, kind in values.items()]]))
+    processor = TimedFoldProcessor(step, key, waiting, StructType.fromDDL(state_schema), out_schema.fieldNames())
+    watched = timed.select(*slim, at, F.col(ts).alias("__ts")).withWatermark("__ts", watermark)
+    return watched.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out_schema, outputMode="append", timeMode="EventTime")
 
-def node_states(df: DataFrame) -> DataFrame:
+
+def node_states(df: DataFrame, ts: str | None = None, watermark: str = "0 seconds") -> DataFrame:
     """``node_id, sequence, status, fault``: the state after each change; invalid ones are kept out and named."""
-    kind = df.schema["node_id"].dataType.simpleString()
-    return run_fold(df, ["node_id"], ["sequence"], fold_states(NODE_MOVES), "status string", f"node_id {kind}, sequence long, status string, fault string")
+    return run_fold(df, "node_id", {"status": "string"}, fold_states(NODE_MOVES), "status string", "status string, fault string", ts, watermark)
 
 
-def build_states(df: DataFrame) -> DataFrame:
-    kind = df.schema["build_id"].dataType.simpleString()
-    return run_fold(df, ["build_id"], ["sequence"], fold_states(BUILD_MOVES), "status string", f"build_id {kind}, sequence long, status string, fault string")
+def build_states(df: DataFrame, ts: str | None = None, watermark: str = "0 seconds") -> DataFrame:
+    return run_fold(df, "build_id", {"status": "string"}, fold_states(BUILD_MOVES), "status string", "status string, fault string", ts, watermark)
 
 
 def live_ema(df: DataFrame, key: str, alpha: float = 0.3, ts: str | None = None, watermark: str = "0 seconds") -> DataFrame:
-    """``key, sequence, ema, n`` after each row of (key, sequence, value).
-
-    With an event time ``ts`` rows go by (ts, sequence), and those without a
-    time are left out. On a stream they wait until the watermark passes them,
-    so rows that arrive out of order within it change nothing, and rows beyond
-    it are dropped. Without ``ts`` a stream folds rows as they come.
-    """
-    kind = df.schema[key].dataType.simpleString()
-    state, out = "ema double, n long", f"{key} {kind}, sequence long, ema double, n long"
-    if ts is None:
-        return run_fold(df, [key], ["sequence"], fold_ema(alpha), state, out)
-    timed = df.filter(F.col(ts).isNotNull())
-    slim = [key, F.col("sequence").cast("long"), F.col("value").cast("double"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_micros")]
-    if not df.isStreaming:
-        return fold_sorted(timed.select(*slim), [key], ["at_micros", "sequence"], fold_ema(alpha), out)
-    processor = TimedFoldProcessor(fold_ema(alpha), key, StructType.fromDDL("at_micros long, sequence long, value double"), StructType.fromDDL(state), StructType.fromDDL(out).fieldNames())
-    return timed.withWatermark(ts, watermark).select(*slim, ts).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=StructType.fromDDL(out), outputMode="append", timeMode="EventTime"
-    )
+    """``key, sequence, ema, n`` after each row of (key, sequence, value); by event time as in ``run_fold``."""
+    return run_fold(df, key, {"value": "double"}, fold_ema(alpha), "ema double, n long", "ema double, n long", ts, watermark)
 
 
-def rate_limit(df: DataFrame, key: str, per_minute: float, burst: float) -> DataFrame:
+def rate_limit(df: DataFrame, key: str, per_minute: float, burst: float, ts: str | None = None, watermark: str = "0 seconds") -> DataFrame:
     """``key, sequence, admitted, wait_secs`` of each row of (key, sequence, at_secs); null and empty keys are one shared key, null."""
-    kind = df.schema[key].dataType.simpleString()
-    if kind == "string":
+    if df.schema[key].dataType.simpleString() == "string":
         df = df.withColumn(key, F.nullif(F.col(key), F.lit("")))
-    return run_fold(df, [key], ["sequence"], fold_bucket(per_minute, burst), "tokens double, at double", f"{key} {kind}, sequence long, admitted boolean, wait_secs double")
+    return run_fold(df, key, {"at_secs": "double"}, fold_bucket(per_minute, burst), "tokens double, at double", "admitted boolean, wait_secs double", ts, watermark)
+
+
+def mark_late(stream: DataFrame, key: str, ts: str, delay_secs: float) -> DataFrame:
+    """The stream's rows with ``late``: whether ``ts`` lies more than the delay below the highest that earlier batches brought for the key.
+
+    Windows that end below a key's high-water mark less the delay are closed:
+    counted over rows that are not late they don't change any more, and late
+    rows can be kept apart and counted. The mark is keyed state and outlives a
+    restart. Null keys are one key; a row without a time is on time.
+    """
+    out = StructType(list(stream.schema.fields)).add("late", "boolean")
+    marked = stream.withColumn("at_micros", F.unix_micros(F.col(ts).cast("timestamp")))
+    processor = LatenessProcessor(int(delay_secs * 1_000_000), out.fieldNames())
+    return marked.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="None")
 
 
 def heartbeat_timeouts(stream: DataFrame, secs: float = 30, watermark: str = "0 seconds") -> DataFrame:
-    """``executor_id, last_millis`` of executors that fell silent for ``secs`` of event time."""
-    timed = stream.withWatermark("ts", watermark)
+    """``executor_id, last_micros`` of executors that fell silent for ``secs`` of event time; beats without a time are left out."""
+    timed = stream.filter("ts is not null").withColumn("at_micros", F.unix_micros("ts")).withWatermark("ts", watermark)
     return timed.groupBy("executor_id").transformWithStateInPandas(
-        statefulProcessor=HeartbeatProcessor(secs), outputStructType=StructType.fromDDL("executor_id long, last_millis long"), outputMode="append", timeMode="EventTime"
+        statefulProcessor=HeartbeatProcessor(secs), outputStructType=StructType.fromDDL("executor_id long, last_micros long"), outputMode="append", timeMode="EventTime"
     )
 
 
