@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,29 +122,45 @@ def route_blob(df: DataFrame, size: str = "nar_size", inline: int = INLINE_BYTES
     return df.withColumn("route", F.when(F.col(size) >= inline, "chunked").otherwise("inline"))
 
 
-def rejection_reason(pairs: DataFrame) -> DataFrame:
-    """Add ``reason``: the first clause that keeps a node off an executor, null if none does.
+def _first_of(clauses: list[tuple[str, Column]]) -> Column:
+    return F.coalesce(*[F.when(bad, name) for name, bad in clauses])
 
-    ``pairs`` has the node's ``is_fixed_output, node_system, needs (array),
-    failed_on (array), class_rank, memory_needed`` and the executor's ``kind,
-    draining, degraded, registered, closed, busy, system, offers (array),
-    executor_id, executor_rank, memory_total``. A node without a class or
-    without an estimate of its memory passes there, and so does an executor of
-    memory 0 or null, which is unknown; an executor without a class is
-    undeclared, and another class than the node's is none that fits.
-    """
-    clauses = [
+
+def reason_before_failures(columns: Sequence[str]) -> Column:
+    """The first clause ahead of earlier failures that keeps a node off an executor; ``columns`` are those of the pairs."""
+    served = F.array_contains("systems", F.col("node_system")) if "systems" in columns else F.col("system") == F.col("node_system")
+    return _first_of([
         ("kind", F.col("is_fixed_output") != (F.col("kind") == "fetcher")),
         ("draining", F.col("draining")),
         ("degraded", F.col("degraded")),
         ("unregistered", ~F.col("registered")),
         ("closed", F.col("closed")),
         ("capacity", F.col("busy")),
-        ("system", F.col("system") != F.col("node_system")),
+        ("system", ~served),
         ("feature", F.size(F.array_except("needs", "offers")) > 0),
-        ("failed-on", F.array_contains("failed_on", F.col("executor_id"))),
+    ])
+
+
+def reason_after_failures() -> Column:
+    """The first clause behind earlier failures that keeps a node off an executor."""
+    return _first_of([
         ("class undeclared", F.col("class_rank").isNotNull() & F.col("executor_rank").isNull()),
         ("class", F.col("executor_rank") != F.col("class_rank")),
         ("memory", (F.col("memory_total") != 0) & (F.col("memory_total") < F.col("memory_needed"))),
-    ]
-    return pairs.withColumn("reason", F.coalesce(*[F.when(bad, name) for name, bad in clauses]))
+    ])
+
+
+def rejection_reason(pairs: DataFrame) -> DataFrame:
+    """Add ``reason``: the first clause that keeps a node off an executor, null if none does.
+
+    ``pairs`` has the node's ``is_fixed_output, node_system, needs (array),
+    failed_on (array), class_rank, memory_needed`` and the executor's ``kind,
+    draining, degraded, registered, closed, busy, offers (array), executor_id,
+    executor_rank, memory_total``, and ``system``, or ``systems`` (array) where
+    an executor serves several. A node without a class or without an estimate
+    of its memory passes there, and so does an executor of memory 0 or null,
+    which is unknown; an executor without a class is undeclared, and another
+    class than the node's is none that fits.
+    """
+    failed = F.when(F.array_contains("failed_on", F.col("executor_id")), "failed-on")
+    return pairs.withColumn("reason", F.coalesce(reason_before_failures(pairs.columns), failed, reason_after_failures()))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kilnwork.operators.filters import DONE, RETRIABLE, TERMINAL
 from kilnwork.plans.stored import Rounds, stored
-from kilnwork.plans.walk import fold_up, waiting_nodes, walk
+from kilnwork.plans.walk import fold_up, strong_components, walk
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame, exclude_terminal: bool = True, max_rounds: int = 512) -> DataFrame:
@@ -106,7 +106,7 @@ def cascade_failure(poisoned: DataFrame, edges: DataFrame, nodes: DataFrame) ->
     return reached.filter("level > 0").select(F.col("id").alias("node_id"), "level")
 
 
-def cascade_cutoff(triggers: DataFrame, edges: DataFrame, nodes: DataFrame, present: DataFrame, max_nodes: int = 1000) -> tuple[DataFrame, bool]:
+def cascade_cutoff(triggers: DataFrame, edges: DataFrame, nodes: DataFrame, present: DataFrame, max_nodes: int = 1000, max_rounds: int = 512) -> tuple[DataFrame, bool]:
     """(``node_id, level`` of nodes to skip, whether the cap was met).
 
     A queued parent is skipped if its outputs are present (``present``:
@@ -116,25 +116,24 @@ def cascade_cutoff(triggers: DataFrame, edges: DataFrame, nodes: DataFrame, pres
     over = stored(nodes.filter(F.col("status").isin(*TERMINAL)).select("node_id"))
     may = stored(nodes.filter("status = 'queued'").join(present, "node_id", "left_semi").select("node_id"))
     frontier = stored(triggers.select("node_id").distinct())
-    skipped, level, used, capped = None, 0, 0, False
+    skipped = Rounds(frontier.withColumn("level", F.lit(0)))
+    every, level, used, capped = skipped.add(frontier.withColumn("level", F.lit(0)).limit(0)), 0, 0, False
     while True:
         size = frontier.count()
         if used + size > max_nodes:
             capped, size = True, max_nodes - used
             frontier = stored(frontier.orderBy("node_id").limit(size))
         if not size:
-            break
+            return every, capped
         used, level = used + size, level + 1
-        gone = over if skipped is None else over.union(skipped.select("node_id"))
+        if level > max_rounds:
+            raise RuntimeError(f"the cascade did not end within {max_rounds} rounds")
         touched = edges.join(frontier.select(F.col("node_id").alias("child_id")), "child_id", "left_semi").select(F.col("parent_id").alias("node_id")).distinct()
-        wanted = touched.join(may, "node_id", "left_semi")
-        if skipped is not None:
-            wanted = wanted.join(skipped, "node_id", "left_anti")
-        open_ = edges.join(gone.select(F.col("node_id").alias("child_id")), "child_id", "left_anti").select(F.col("parent_id").alias("node_id"))
-        frontier = stored(wanted.join(open_, "node_id", "left_anti").withColumn("level", F.lit(level)))
-        skipped = frontier if skipped is None else skipped.unionByName(frontier)
-        frontier = frontier.select("node_id")
-    return (skipped if skipped is not None else triggers.select("node_id", F.lit(0).alias("level")).limit(0)), capped
+        wanted = touched.join(may, "node_id", "left_semi").join(every, "node_id", "left_anti")
+        gone = over.union(every.select("node_id")).select(F.col("node_id").alias("child_id"))
+        open_ = edges.join(gone, "child_id", "left_anti").select(F.col("parent_id").alias("node_id"))
+        every = skipped.add(wanted.join(open_, "node_id", "left_anti").withColumn("level", F.lit(level)))
+        frontier = every.filter(F.col("level") == level).select("node_id")
 
 
 def seconds_saved(skipped: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -142,12 +141,9 @@ def seconds_saved(skipped: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("skipped"), F.coalesce(F.sum("estimate"), F.lit(0.0)).alias("saved_secs"))
 
 
-def cycle_nodes(edges: DataFrame, max_rounds: int = 512) -> DataFrame:
-    """``id`` of nodes on a cycle, or above or below one between cycles: what peeling from both ends leaves."""
-    above = waiting_nodes(edges, max_rounds)
-    left = edges.join(above.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").join(above.select(F.col("node_id").alias("child_id")), "child_id", "left_semi")
-    both = waiting_nodes(left.select(F.col("child_id").alias("parent_id"), F.col("parent_id").alias("child_id")), max_rounds)
-    return both.select(F.col("node_id").alias("id"))
+def cycle_nodes(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``id, component`` of the nodes on a cycle: the component is the least node that lies on a cycle with it."""
+    return strong_components(edges, max_rounds).select(F.col("node").alias("id"), "component")
 
 
 def build_roots(build_nodes: DataFrame, edges: DataFrame) -> DataFrame:

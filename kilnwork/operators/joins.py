@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.operators.filters import rejection_reason
+from kilnwork.operators.filters import reason_after_failures, reason_before_failures
+from kilnwork.plans.stored import stored
 from kilnwork.plans.running import carry_forward
 
 
@@ -58,17 +59,28 @@ def estimate(nodes: DataFrame, history: DataFrame, default_secs: float = 30.0, b
     return found.withColumns({"rule": rule, "duration": F.coalesce("__exact", "__mean", by_size, F.lit(default_secs))}).drop("__exact", "__mean")
 
 
-PROFILE = ("is_fixed_output", "node_system", "needs", "failed_on", "class_rank", "memory_needed")
+PROFILE = ("is_fixed_output", "node_system", "needs", "class_rank", "memory_needed")
 
 
 def candidate_matrix(nodes: DataFrame, executors: DataFrame) -> DataFrame:
-    """``profile columns, nodes, executor_id, reason``: why an executor can't run nodes of a profile.
+    """``profile columns, executor_id, reason, nodes``: why an executor can't run so many nodes of a profile.
 
-    Nodes with equal demands are one profile, so pairs number profiles by
-    executors and not nodes by executors.
+    Nodes with equal demands are one profile, whatever they failed on, so pairs
+    number demands by executors. Nodes that failed on an executor (``failed_on``)
+    are counted by a join on the executor and taken off the profile's number
+    there, where no earlier clause keeps all of its nodes off.
     """
-    profiles = nodes.groupBy(*PROFILE).agg(F.count("*").alias("nodes"))
-    return rejection_reason(profiles.crossJoin(executors)).select(*PROFILE, "nodes", "executor_id", "reason")
+    counted = stored(nodes.groupBy(*PROFILE).agg(F.count("*").alias("all_nodes")).withColumn("profile", F.to_json(F.struct(*PROFILE))))
+    hashed = nodes.withColumn("profile", F.to_json(F.struct(*PROFILE)))
+    failed = hashed.select("profile", F.explode(F.array_distinct("failed_on")).alias("executor_id")).groupBy("profile", "executor_id").agg(F.count("*").alias("failed"))
+    pairs = counted.crossJoin(executors)
+    judged = pairs.select("profile", *PROFILE, "all_nodes", "executor_id", reason_before_failures(pairs.columns).alias("__before"), reason_after_failures().alias("__after"))
+    left = judged.join(failed, ["profile", "executor_id"], "left").withColumn("failed", F.coalesce("failed", F.lit(0)))
+    every = F.array(F.struct(F.col("__before").alias("reason"), F.col("all_nodes").alias("nodes")))
+    apart = F.array(
+        F.struct(F.lit("failed-on").alias("reason"), F.col("failed").alias("nodes")), F.struct(F.col("__after").alias("reason"), (F.col("all_nodes") - F.col("failed")).alias("nodes"))
+    )
+    return left.select(*PROFILE, "executor_id", F.inline(F.when(F.col("__before").isNotNull(), every).otherwise(apart))).filter("nodes > 0")
 
 
 def classify(df: DataFrame, classes: list[tuple[str, float, float, float]], dur: Column, mem: Column, cpu: Column, floor: Column | None = None) -> DataFrame:

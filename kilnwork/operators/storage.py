@@ -174,22 +174,47 @@ def verify_bytes(stored: DataFrame) -> DataFrame:
 def reassemble(entries: DataFrame, stored: DataFrame, declared: DataFrame) -> DataFrame:
     """``blob_id, size, content_hash, fault`` of each declared blob put together from its chunks in order.
 
-    Faults: missing chunk, size, hash, else null. A blob is one row, as it is
-    when it is read, and its chunks are copied once. Without all of its chunks
-    a blob is empty.
+    Faults: missing chunk, size, hash, else null. Chunks are dealt by blob,
+    sorted, and hashed as they pass, so a blob of any size is never held whole;
+    its hash takes one task. Without all of its chunks a blob is empty.
     """
+    kind = entries.schema["blob_id"].dataType.simpleString()
+
+    def digest_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+
+        def row(blob, found):
+            md5, size, lost = found
+            return (blob, 0 if lost else size, lost, hashlib.md5(b"").hexdigest() if lost else md5.hexdigest())
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            kinds = [blobs, pa.int64(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["of", "size", "lost", "hash"])
+
+        blobs = pa.null()
+        for batch in batches:
+            blobs, out, data = batch.schema.field("blob_id").type, [], batch.column("bytes")
+            for i, blob in enumerate(batch.column("blob_id").to_pylist()):
+                if state is None or blob != now:
+                    if state is not None:
+                        out.append(row(now, state))
+                    now, state = blob, [hashlib.md5(), 0, 0]
+                part = data[i].as_buffer() if data[i].is_valid else None
+                if part is None:
+                    state[2] += 1
+                else:
+                    state[0].update(part)
+                    state[1] += part.size
+            yield rows(out)
+        if state is not None:
+            yield rows([row(now, state)])
+
     joined = entries.select("blob_id", "idx", "chunk_hash").join(stored.select("chunk_hash", "bytes"), "chunk_hash", "left")
-    whole = joined.groupBy("blob_id").agg(
-        F.count_if(F.col("bytes").isNull()).alias("__lost"), F.sort_array(F.collect_list(F.struct("idx", "bytes"))).alias("__parts")
-    )
-    digits = F.array_join(F.transform("__parts", lambda p: F.hex(p["bytes"])), "")  # binary values have no join of their own
-    content = F.when(F.col("__lost") == 0, F.unhex(digits))
-    built = declared.join(whole.select("blob_id", "__lost", content.alias("__content")), "blob_id", "left")
-    data = F.coalesce("__content", F.lit(b""))
-    fault = (
-        F.when(F.col("__lost") > 0, "missing chunk").when(F.octet_length(data) != F.col("declared_size"), "size").when(F.md5(data) != F.col("declared_hash"), "hash")
-    )
-    return built.select("blob_id", F.octet_length(data).cast("long").alias("size"), F.md5(data).alias("content_hash"), fault.alias("fault"))
+    ordered = joined.select("blob_id", "idx", "bytes").repartition("blob_id").sortWithinPartitions("blob_id", "idx")
+    built = declared.join(ordered.mapInArrow(digest_blobs, f"of {kind}, size long, lost long, hash string"), F.col("blob_id") == F.col("of"), "left")
+    size, found = F.coalesce("size", F.lit(0)), F.coalesce("hash", F.lit(hashlib.md5(b"").hexdigest()))
+    fault = F.when(F.col("lost") > 0, "missing chunk").when(size != F.col("declared_size"), "size").when(found != F.col("declared_hash"), "hash")
+    return built.select("blob_id", size.alias("size"), found.alias("content_hash"), fault.alias("fault"))
 
 
 def verify_blobs(blobs: DataFrame, declared: DataFrame, algo: str = "md5") -> DataFrame:
@@ -221,25 +246,32 @@ def dedup_report(entries: DataFrame) -> DataFrame:
     return shared.filter("blobs > 1").select("chunk_id", "blobs", (F.col("all") - F.col("size")).alias("saved_bytes"))
 
 
-def shared_pairs(entries: DataFrame, max_df: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(``blob_id, class_id``; ``a, b, shared``; ``chunk_id, class_id``): which blobs share chunks, without a pair for each.
+def shared_chunks(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``blob_id, class_id``; ``chunk_id, class_id``; ``class_id, head, shared``): which blobs share chunks, without pairs.
 
-    Blobs of equal chunk sets are one class, named by its least blob. Classes
-    that share chunks of at most ``max_df`` classes are paired, with the number
-    of those. A chunk of more classes has its members listed instead, as its
-    pairs would grow with their square; so two classes share the pair's number
-    and as many chunks more as list them both.
+    Blobs of equal chunk sets are one class, named by its least blob. The
+    second part has the members of each chunk that several classes hold. The
+    third links each class to the least class of each of its chunks, with the
+    number of chunks they meet in: classes joined by shared chunks are joined
+    by these links. All parts have as many rows as ``entries`` at most, however
+    many classes hold a chunk. ``shared_counts`` gives the number of any pair.
     """
     once = entries.select("blob_id", "chunk_id").distinct()
     sets = once.groupBy("blob_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("chunk_id")), ","), 256).alias("key"))
     named = sets.groupBy("key").agg(F.min("blob_id").alias("class_id"))
     classes = sets.join(named, "key").select("blob_id", "class_id")
     held = once.join(named.select(F.col("class_id").alias("blob_id")), "blob_id", "left_semi").select("chunk_id", F.col("blob_id").alias("class_id"))
-    df = held.groupBy("chunk_id").agg(F.count("*").alias("n"))
-    rare = held.join(df.filter(F.col("n").between(2, max_df)).select("chunk_id"), "chunk_id", "left_semi")
-    a, b = rare.select("chunk_id", F.col("class_id").alias("a")), rare.select("chunk_id", F.col("class_id").alias("b"))
-    pairs = a.join(b, "chunk_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return classes, pairs, held.join(df.filter(F.col("n") > max_df).select("chunk_id"), "chunk_id", "left_semi")
+    heads = held.groupBy("chunk_id").agg(F.min("class_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    members = held.join(heads, "chunk_id")
+    links = members.filter("class_id <> head").groupBy("class_id", "head").agg(F.count("*").alias("shared"))
+    return classes, members.select("chunk_id", "class_id"), links
+
+
+def shared_counts(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, shared`` for the pairs of classes that are asked for: the number of chunks that both hold."""
+    of_a = pairs.join(members.select(F.col("class_id").alias("a"), "chunk_id"), "a")
+    both = of_a.join(members.select(F.col("class_id").alias("b"), "chunk_id"), ["b", "chunk_id"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return pairs.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("shared"))
 
 
 def upload_plan(outputs: DataFrame, complete: DataFrame) -> DataFrame:

@@ -35,6 +35,12 @@ def stored(df: DataFrame) -> DataFrame:
     return Rounds(df).add(df)
 
 
+def read_rounds(tables: list[Rounds]) -> DataFrame:
+    """The rows of several stored tables of one schema as one scan, however many they are."""
+    first = tables[0]
+    return first.spark.read.schema(first.schema).parquet(*[t.path for t in tables])
+
+
 class Rounds:
     """One stored table that grows by a round's rows at a time, so that a scan of all rounds is a single scan of one folder."""
 

@@ -115,9 +115,8 @@ def _(t):
 
 @query("g10_cycle_nodes", """
 WITH RECURSIVE e AS (SELECT path_id AS a, ref_id AS b FROM fx_path_refs WHERE ref_id > 0 UNION SELECT 1, 40 UNION SELECT 3, 25),
-r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-c AS (SELECT a AS id FROM r WHERE a = b)
-SELECT id FROM c UNION SELECT x.b FROM r AS x JOIN c AS c1 ON x.a = c1.id JOIN r AS y ON y.a = x.b JOIN c AS c2 ON y.b = c2.id""")
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT x.a AS id, min(x.b) AS component FROM r AS x JOIN r AS y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
 def _(t):
     back = t.spark.createDataFrame([(1, 40), (3, 25)], "parent_id long, child_id long")
     refs = t.fx_path_refs.filter("ref_id > 0").select(F.col("path_id").alias("parent_id"), F.col("ref_id").alias("child_id"))

@@ -211,18 +211,20 @@ def _demands(t: Inputs) -> DataFrame:
     return t.fx_nodes.filter("status = 'ready'").select(
         "is_fixed_output", F.col("system").alias("node_system"),
         F.when(F.col("is_floating"), F.array(F.lit("kvm"))).otherwise(F.expr("cast(array() as array<string>)")).alias("needs"),
-        F.expr("cast(array() as array<bigint>)").alias("failed_on"), F.pmod("node_id", F.lit(3)).alias("class_rank"), F.lit(500).alias("memory_needed"),
+        F.when(F.pmod("node_id", F.lit(4)) == 0, F.array(F.pmod("node_id", F.lit(7)), F.pmod("node_id", F.lit(5)))).otherwise(F.expr("cast(array() as array<bigint>)")).alias("failed_on"), F.pmod("node_id", F.lit(3)).alias("class_rank"), F.lit(500).alias("memory_needed"),
     )
 
 
 def _offers(t: Inputs) -> DataFrame:
-    return t.fx_executors.withColumn("offers", F.when(F.col("has_kvm"), F.array(F.lit("kvm"))).otherwise(F.expr("cast(array() as array<string>)")))
+    systems = F.when(F.col("executor_rank") == 1, F.array("system", F.lit("builtin"))).otherwise(F.array("system"))
+    return t.fx_executors.withColumn("systems", systems).withColumn("offers", F.when(F.col("has_kvm"), F.array(F.lit("kvm"))).otherwise(F.expr("cast(array() as array<string>)")))
 
 
 REASON_SQL = """
 CASE WHEN is_fixed_output <> (kind = 'fetcher') THEN 'kind' WHEN draining THEN 'draining' WHEN degraded THEN 'degraded'
   WHEN NOT registered THEN 'unregistered' WHEN closed THEN 'closed' WHEN busy THEN 'capacity'
-  WHEN e.system <> n.system THEN 'system' WHEN is_floating AND NOT has_kvm THEN 'feature'
+  WHEN e.system <> n.system AND NOT (executor_rank = 1 AND n.system = 'builtin') THEN 'system' WHEN is_floating AND NOT has_kvm THEN 'feature'
+  WHEN node_id % 4 = 0 AND e.executor_id IN (node_id % 7, node_id % 5) THEN 'failed-on'
   WHEN node_id % 3 IS NOT NULL AND executor_rank IS NULL THEN 'class undeclared' WHEN executor_rank <> node_id % 3 THEN 'class'
   WHEN memory_total <> 0 AND memory_total < 500 THEN 'memory' END"""
 

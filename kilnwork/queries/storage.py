@@ -150,18 +150,30 @@ def _(t):
     return s.dedup_report(t.fx_chunk_entries)
 
 
-@query("c15_shared_pairs", """
-WITH e AS (SELECT DISTINCT blob_id, chunk_id FROM fx_chunk_entries), s AS (SELECT blob_id, list_sort(list(chunk_id)) AS held FROM e GROUP BY blob_id),
+MEMBERS_SQL = """
+e AS (SELECT DISTINCT blob_id, chunk_id FROM fx_chunk_entries), s AS (SELECT blob_id, list_sort(list(chunk_id)) AS held FROM e GROUP BY blob_id),
 c AS (SELECT blob_id, min(blob_id) OVER (PARTITION BY held) AS class_id FROM s),
-h AS (SELECT chunk_id, blob_id AS class_id, count(*) OVER (PARTITION BY chunk_id) AS n FROM e WHERE blob_id IN (SELECT class_id FROM c))
-SELECT 'class' AS part, blob_id AS x, class_id AS y, CAST(NULL AS BIGINT) AS shared FROM c
-UNION ALL SELECT 'pair', a.class_id, b.class_id, count(*) FROM h AS a JOIN h AS b ON a.chunk_id = b.chunk_id AND a.class_id < b.class_id WHERE a.n <= 30 GROUP BY a.class_id, b.class_id
-UNION ALL SELECT 'frequent', chunk_id, class_id, NULL FROM h WHERE n > 30""")
+h AS (SELECT chunk_id, blob_id AS class_id, min(blob_id) OVER w AS head, count(*) OVER w AS n FROM e WHERE blob_id IN (SELECT class_id FROM c) WINDOW w AS (PARTITION BY chunk_id)),
+l AS (SELECT class_id, head, count(*) AS shared FROM h WHERE class_id <> head GROUP BY class_id, head)"""
+
+
+@query("c15_shared_chunks", f"""
+WITH {MEMBERS_SQL}
+SELECT 'class' AS part, blob_id AS x, class_id AS y, CAST(NULL AS BIGINT) AS shared FROM c UNION ALL SELECT 'member', chunk_id, class_id, NULL FROM h WHERE n > 1
+UNION ALL SELECT 'link', class_id, head, shared FROM l""")
 def _(t):
-    classes, pairs, frequent = s.shared_pairs(t.fx_chunk_entries, max_df=30)
+    classes, members, links = s.shared_chunks(t.fx_chunk_entries)
     none = F.lit(None).cast("long").alias("shared")
     shown = lambda part, df, x, y, n: df.select(F.lit(part).alias("part"), F.col(x).alias("x"), F.col(y).alias("y"), n)
-    return shown("class", classes, "blob_id", "class_id", none).unionAll(shown("pair", pairs, "a", "b", F.col("shared"))).unionAll(shown("frequent", frequent, "chunk_id", "class_id", none))
+    return shown("class", classes, "blob_id", "class_id", none).unionAll(shown("member", members, "chunk_id", "class_id", none)).unionAll(shown("link", links, "class_id", "head", F.col("shared")))
+
+
+@query("c15_shared_pairs", f"""
+WITH {MEMBERS_SQL}
+SELECT l.class_id AS a, l.head AS b, count(*) AS shared FROM l JOIN h AS x ON x.class_id = l.class_id JOIN h AS y ON y.class_id = l.head AND y.chunk_id = x.chunk_id GROUP BY l.class_id, l.head""")
+def _(t):
+    _, members, links = s.shared_chunks(t.fx_chunk_entries)
+    return s.shared_counts(members, links.select(F.col("class_id").alias("a"), F.col("head").alias("b")))
 
 
 @query("c16_upload_plan", """

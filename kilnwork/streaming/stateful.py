@@ -15,6 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from kilnwork.plans.folds import fold_sorted
+from kilnwork.plans.transitions import fold_transitions
 
 #: Statuses that may follow each status of a node, and of a build: fixed values. A node that has come to an end may be told so again.
 NODE_MOVES = {
@@ -272,13 +273,29 @@ def run_fold(df: DataFrame, key: str, values: dict[str, str], step, state_schema
     return watched.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out_schema, outputMode="append", timeMode="EventTime")
 
 
+def _machine(df: DataFrame, key: str, moves: dict, ts: str | None, watermark: str) -> DataFrame:
+    out = "status string, fault string"
+    if df.isStreaming:
+        return run_fold(df, key, {"status": "string"}, fold_states(moves), "status string", out, ts, watermark)
+    schema = StructType.fromDDL(f"{key} {df.schema[key].dataType.simpleString()}, sequence long, {out}")
+    timed = df if ts is None else df.filter(F.col(ts).isNotNull()).withColumn("at_micros", F.unix_micros(F.col(ts).cast("timestamp")))
+    order = ["sequence"] if ts is None else ["at_micros", "sequence"]
+    rows = timed.select(key, F.col("sequence").cast("long"), F.col("status").cast("string"), *order[:-1])
+    return fold_transitions(rows, key, order, "status", moves, fold_states(moves), schema)
+
+
 def node_states(df: DataFrame, ts: str | None = None, watermark: str = "0 seconds") -> DataFrame:
-    """``node_id, sequence, status, fault``: the state after each change; invalid ones are kept out and named."""
-    return run_fold(df, "node_id", {"status": "string"}, fold_states(NODE_MOVES), "status string", "status string, fault string", ts, watermark)
+    """``node_id, sequence, status, fault``: the state after each change; invalid ones are kept out and named.
+
+    On a table a key may span many ranges (``fold_transitions``); with ``ts`` a
+    stream goes by event time as in ``run_fold``.
+    """
+    return _machine(df, "node_id", NODE_MOVES, ts, watermark)
 
 
 def build_states(df: DataFrame, ts: str | None = None, watermark: str = "0 seconds") -> DataFrame:
-    return run_fold(df, "build_id", {"status": "string"}, fold_states(BUILD_MOVES), "status string", "status string, fault string", ts, watermark)
+    """``build_id, sequence, status, fault``, as ``node_states``."""
+    return _machine(df, "build_id", BUILD_MOVES, ts, watermark)
 
 
 def live_ema(df: DataFrame, key: str, alpha: float = 0.3, ts: str | None = None, watermark: str = "0 seconds") -> DataFrame:

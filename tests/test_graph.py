@@ -1,6 +1,7 @@
 """Small graphs with known answers."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,53 @@ def test_states_are_decided_over_all_children(inputs):
     for name in ("g6_newly_ready", "g8_cascade_cutoff"):
         assert QUERIES[name](inputs.spark, inputs.sf_dir).count() > 0, name
     assert inputs.fx_edges.groupBy("parent_id").count().agg(F.max("count")).first()[0] > 1
+
+
+def plain_reach(pairs):
+    """For each node, what it reaches over one edge or more."""
+    ahead = {}
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+    out = {}
+    for n in {x for p in pairs for x in p}:
+        seen, todo = set(), [n]
+        while todo:
+            for m in ahead.get(todo.pop(), ()):
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        out[n] = seen
+    return out
+
+
+@pytest.mark.parametrize("pairs", [
+    [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4)],
+    [(i, (i * 7 + 3) % 60) for i in range(60)] + [(i, (i * 5 + 1) % 60) for i in range(0, 60, 4)] + [(70, 70), (71, 1), (2, 72)],
+    [(i, i + 1) for i in range(40)] + [(40, 20), (19, 3), (41, 41), (41, 0)],
+])
+def test_strong_components(spark, pairs):
+    """A node between two cycles is on none; each cycle node has the least node of its component."""
+    reach = plain_reach(pairs)
+    want = {n: min(m for m in seen if n in reach[m]) for n, seen in reach.items() if n in seen}
+    got = {r.id: r.component for r in g.cycle_nodes(edges(spark, pairs)).collect()}
+    assert got == want
+
+
+def test_a_chain_of_ten_thousand_in_few_rounds(spark):
+    chain = spark.range(10_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    more = spark.createDataFrame([(3000, 20_000), (20_000, 20_001), (20_001, 9000), (30_000, 30_001), (30_001, 30_000), (None, 5)], "a long, b long")
+    reached = walk(chain.union(more), spark.createDataFrame([(0,), (7000,)], "id long"), "a", "b", max_rounds=20, plain_rounds=3)
+    got = {r.id: r.level for r in reached.collect()}
+    want = {i: i if i < 7000 else i - 7000 for i in range(10_001)} | {20_000: 3001, 20_001: 3002}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_drawn_together_chains_give_the_same_levels(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(i, i + 1) for i in range(60) if i % 13] + [(rng.randrange(61), rng.randrange(61)) for _ in range(15)]
+    got = {r.id: r.level for r in walk(edges(spark, pairs), spark.createDataFrame([(1,), (30,)], "id long"), "parent_id", "child_id", plain_rounds=1).collect()}
+    want, frontier = {1: 0, 30: 0}, [1, 30]
+    while frontier:
+        frontier = [b for a in frontier for x, b in pairs if x == a and b not in want and not want.update({b: want[a] + 1})]
+    assert got == want

@@ -150,3 +150,24 @@ def test_trailing_rate_over_spans(spark):
     for span in (1, 100, 10**6):
         got = {r.n: r.rate for r in trailing_rate(df, 60, ["k"], span=span).collect()}
         assert got == {n: sum(1 for k2, t2 in at if k2 == k and (t2 is None if t is None else t2 is not None and t - 60 <= t2 <= t)) / 60 for n, (k, t) in enumerate(at)}
+
+
+def test_state_machines_over_ranges(uncoalesced):
+    """A hot key and a null key in many ranges give what one fold in order gives, faults included."""
+    from kilnwork.plans.transitions import step_table
+    from kilnwork.streaming import stateful as st
+
+    rng = random.Random(5)
+    states = [s for s in st.NODE_MOVES if s] + ["unknown", None]
+    data = [(k, i, rng.choice(states)) for i in range(900) for k in ([8, 8, None, 3] if i % 3 else [8])]
+    data = [(k, 4 * i + j, s) for j, (k, i, s) in enumerate(data)]
+    df = uncoalesced.createDataFrame(data, "node_id long, sequence long, status string").repartition(7)
+    assert ranges(df, ["node_id", "sequence"]).filter("node_id = 8").select(PART).distinct().count() > 2
+    got = {(r.node_id, r.sequence): (r.status, r.fault) for r in st.node_states(df).collect()}
+    want, now = {}, {}
+    for k, i, s in sorted(data, key=lambda r: r[1]):
+        now[k], fault = st.move(st.NODE_MOVES, now.get(k), s)
+        want[k, i] = (now[k], fault)
+    assert got == want
+    names, steps = step_table(st.BUILD_MOVES)
+    assert names[0] is None and all(len(t) == len(names) for t in steps.values()) and st.node_states(df.limit(0)).count() == 0

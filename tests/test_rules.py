@@ -76,3 +76,23 @@ def test_a_centre_with_very_many_neighbours_is_split(spark):
             spark.conf.set(k, v)
     found = connected_components(edges, "u", "v")
     assert found.agg(F.countDistinct("label")).first()[0] == 1 and found.filter("label = 0").count() == 200_001
+
+
+def test_candidate_matrix_counts_failures_apart(spark):
+    """The matrix of profiles equals the reasons of every node with every executor; executors may serve several systems."""
+    from kilnwork.operators.joins import PROFILE, candidate_matrix
+
+    nodes = spark.range(40).select(
+        "id", (F.col("id") % 5 == 0).alias("is_fixed_output"), F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit("any")), (F.col("id") % 3 + 1).cast("int")).alias("node_system"),
+        F.array().cast("array<string>").alias("needs"), F.when(F.col("id") % 2 == 0, F.array(F.col("id") % 4, F.col("id") % 6, F.col("id") % 4)).otherwise(F.array().cast("array<bigint>")).alias("failed_on"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("class_rank"), F.lit(5).alias("memory_needed"),
+    )
+    executors = spark.range(6).select(
+        F.col("id").alias("executor_id"), F.when(F.col("id") == 5, "fetcher").otherwise("builder").alias("kind"), *[F.lit(False).alias(c) for c in ("draining", "degraded", "closed", "busy")],
+        F.lit(True).alias("registered"), F.when(F.col("id") % 2 == 0, F.array(F.lit("x"), F.lit("any"))).otherwise(F.array(F.lit("y"))).alias("systems"),
+        F.array().cast("array<string>").alias("offers"), F.when(F.col("id") < 4, F.col("id") % 2).alias("executor_rank"), F.lit(0).alias("memory_total"),
+    )
+    want = rejection_reason(nodes.crossJoin(executors)).groupBy(*PROFILE, "executor_id", "reason").agg(F.count("*").alias("nodes"))
+    got = candidate_matrix(nodes, executors).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {r.reason for r in got.select("reason").distinct().collect()} >= {None, "failed-on", "system", "class"}

@@ -84,18 +84,14 @@ def test_reassembly_faults(spark):
     assert got == {0: None, 1: "missing chunk", 2: "size", 3: "hash"}
 
 
-def test_shared_pairs_of_classes_and_frequent_chunks(spark):
-    held = {1: {1, 2, 3}, 2: {2, 3, 9}, 3: {1, 2, 3}, **{b: {9, b} for b in range(10, 40)}}
+def test_shared_chunks_without_pairs(spark):
+    held = {1: {1, 2, 3}, 2: {2, 3, 9}, 3: {1, 2, 3}, **{b: {9, b} for b in range(10, 40)}, 50: {77}}
     entries = spark.createDataFrame([(b, c) for b, chunks in held.items() for c in chunks] * 2, "blob_id long, chunk_id long")
-    classes, pairs, frequent = s.shared_pairs(entries, max_df=10)
+    classes, members, links = s.shared_chunks(entries)
     of = {r.blob_id: r.class_id for r in classes.collect()}
     assert of == {b: 1 if b == 3 else b for b in held}
-    shared = {(r.a, r.b): r.shared for r in pairs.collect()}
-    lists = {}
-    for r in frequent.collect():
-        lists.setdefault(r.class_id, set()).add(r.chunk_id)
-    for a in held:
-        for b in held:
-            if of[a] < of[b]:
-                n = shared.get((of[a], of[b]), 0) + len(lists.get(of[a], set()) & lists.get(of[b], set()))
-                assert n == len(held[a] & held[b])
+    assert {(r.chunk_id, r.class_id) for r in members.collect()} == {(2, 1), (3, 1), (2, 2), (3, 2), (9, 2), *((9, b) for b in range(10, 40))}
+    assert {(r.class_id, r.head, r.shared) for r in links.collect()} == {(2, 1, 2), *((b, 2, 1) for b in range(10, 40))}
+    asked = [(a, b) for a in held for b in held if of[a] < of[b]]
+    counts = s.shared_counts(members, spark.createDataFrame(asked, "a long, b long").distinct())
+    assert all(r.shared == len(held[r.a] & held[r.b]) for r in counts.collect() if of[r.a] == r.a)
