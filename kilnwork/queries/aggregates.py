@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kilnwork.operators import aggregates as a
 from kilnwork.operators.joins import classify
+from kilnwork.plans.stored import stored
 from kilnwork.queries.registry import query
 from kilnwork.queries.relational import CLASS_NAMES, CLASSES, CLASSIFIED_SQL, TERMINAL_SQL, classified
 
@@ -211,6 +212,35 @@ def _(t):
     return a.distinct_counts(t.fx_samples, ["builder_id", "node_id"], ["pname"], approx=True)
 
 
+def _daily(t):
+    """Sketches of each class and month, stored as they would be day by day."""
+    months = t.fx_samples.withColumn("month", F.date_trunc("month", "completed_at"))
+    return stored(a.sketches(months, ["assigned_class", "month"], ["node_id", "l_orderkey"], ["duration_secs"]))
+
+
+@query("a22_merged_sketches", """
+SELECT assigned_class, count(DISTINCT node_id) AS nodes, count(DISTINCT l_orderkey) AS orders, true AS within FROM fx_samples GROUP BY assigned_class""")
+def _(t):
+    exact = a.distinct_counts(t.fx_samples, ["node_id", "l_orderkey"], ["assigned_class"])
+    near = lambda c: F.abs(F.hll_sketch_estimate(f"{c}_sketch") - F.col(c)) <= F.col(c) * a.distinct_error()
+    merged = a.merged_sketches(_daily(t), ["assigned_class"]).select("assigned_class", *[F.col(f"distinct_{c}").alias(f"distinct_{c}_sketch") for c in ("node_id", "l_orderkey")])
+    both = exact.join(merged, "assigned_class")
+    return both.select("assigned_class", F.col("distinct_node_id").alias("nodes"), F.col("distinct_l_orderkey").alias("orders"), (near("distinct_node_id") & near("distinct_l_orderkey")).alias("within"))
+
+
+@query("a21_merged_sketches", """
+SELECT assigned_class, p, count(*) AS n, true AS within FROM fx_samples, (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.9 AS DOUBLE)), (CAST(0.99 AS DOUBLE))) AS q(p) GROUP BY assigned_class, p""")
+def _(t):
+    merged = a.merged_sketches(_daily(t), ["assigned_class"])
+    at = [F.struct(F.lit(p).alias("p"), F.kll_sketch_get_quantile_double("quantiles_duration_secs", F.lit(p)).alias("value")) for p in (0.5, 0.9, 0.99)]
+    found = merged.select("assigned_class", F.inline(F.array(*at)))
+    ranks = t.fx_samples.join(found, "assigned_class").groupBy("assigned_class", "p").agg(
+        F.count("*").alias("n"), F.count_if(F.col("duration_secs") < F.col("value")).alias("below"), F.count_if(F.col("duration_secs") <= F.col("value")).alias("upto")
+    )
+    within = (F.col("below") / F.col("n") <= F.col("p") + a.RANK_ERROR) & (F.col("upto") / F.col("n") >= F.col("p") - a.RANK_ERROR)
+    return ranks.select("assigned_class", "p", "n", within.alias("within"))
+
+
 @query("a23_accuracy", """
 SELECT s.system, count(*) AS samples, round(count(*) FILTER (WHERE duration_secs / ema_duration_secs BETWEEN 0.5 AND 2) / count(*), 6) AS within
 FROM fx_samples AS s JOIN fx_history AS h ON s.pname = h.pname AND s.system = h.system WHERE ema_duration_secs > 0 GROUP BY s.system""")

@@ -96,7 +96,7 @@ def _(t):
     return logs.log_pointers(t.fx_lines, t.fx_build_nodes)
 
 
-@query("s8_group_lines", """
+GROUPS_SQL = """
 WITH l AS (
   SELECT log_id, batch_no, unnest(string_split(batch_text, chr(10))) AS line, generate_subscripts(string_split(batch_text, chr(10)), 1) AS i FROM fx_lines
 ), n AS (
@@ -105,7 +105,19 @@ WITH l AS (
   SELECT log_id, (line_no - 2) // 4 AS group_no, min(line_no) AS first_line, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS body
   FROM n WHERE line_no >= 2 GROUP BY ALL
 )
-SELECT log_id, group_no, first_line, n_lines, md5(body) AS body_md5, group_no = max(group_no) OVER (PARTITION BY log_id) AS complete FROM g""")
+SELECT log_id, group_no, first_line, n_lines, md5(body) AS body_md5, group_no = max(group_no) OVER (PARTITION BY log_id) AS complete FROM g"""
+
+
+@query("s7_archive_logs", GROUPS_SQL.replace("(line_no - 2) // 4", "line_no // 256").replace("line_no >= 2", "line_no >= 0"))
+def _(t):
+    from kilnwork.operators.windows import number_lines
+
+    path = fresh_folder(t.spark)
+    logs.archive_logs(number_lines(t.fx_lines), path)
+    return logs.read_logs(t.spark, path).withColumn("body_md5", F.md5("body")).drop("body")
+
+
+@query("s8_group_lines", GROUPS_SQL)
 def _(t):
     from kilnwork.operators.windows import number_lines
 

@@ -1,11 +1,16 @@
-"""Log archive: gzip text by log, and reading it back in groups."""
+"""Log archive: gzip members of many logs in few files, and reading them back in groups."""
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GROUP_LINES = 256
+NAMES = ["log_id", "first_line", "n_lines", "member"]
 
 
 def log_pointers(lines: DataFrame, build_nodes: DataFrame) -> DataFrame:
@@ -16,21 +21,55 @@ def log_pointers(lines: DataFrame, build_nodes: DataFrame) -> DataFrame:
 
 
 def archive_logs(lines: DataFrame, path: str) -> None:
-    """Write ``log_id, line_no, line`` as gzip text in a folder for each log, lines in order.
+    """Write ``log_id, line_no, line`` as gzip members of 256 line numbers, many to a file, in the order of log and line.
 
-    Lines are dealt by ranges of log and line, so a long log is several files
-    in the order of their names, written by several tasks.
+    A row of the archive is a member with its log, first line and number of
+    lines. Members are dealt by ranges, so files number the partitions however
+    many logs there are, a long log spans several, and the scan finds a log's
+    members by the least and greatest values of row groups. Without ``member``
+    the scan is the index. Null lines are empty.
     """
-    numbered = lines.select("log_id", F.concat_ws("\t", F.col("line_no").cast("string"), "line").alias("value"), "line_no")
-    ordered = numbered.repartitionByRange("log_id", "line_no").sortWithinPartitions("log_id", "line_no")
-    ordered.drop("line_no").write.partitionBy("log_id").option("compression", "gzip").text(path)
+    kind = lines.schema["log_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, numbers, texts = None, [], []
+
+        def member() -> tuple:
+            text = "\n".join(f"{n}\t{t or ''}" for n, t in zip(numbers, texts, strict=True))
+            return (key[0], numbers[0], len(numbers), gzip.compress(text.encode(), mtime=0))
+
+        for batch in batches:
+            found, kinds = [], [batch.schema.field("log_id").type, pa.int64(), pa.int64(), pa.binary()]
+            for log, group, number, text in zip(*(batch.column(c).to_pylist() for c in ("log_id", "group_no", "line_no", "line")), strict=True):
+                if (log, group) != key:
+                    if numbers:
+                        found.append(member())
+                    key, numbers, texts = (log, group), [], []
+                numbers.append(number), texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], NAMES)
+        if numbers:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(member(), kinds, strict=True)], NAMES)
+
+    grouped = lines.select("log_id", F.floor(F.col("line_no") / GROUP_LINES).alias("group_no"), F.col("line_no").cast("long").alias("line_no"), "line")
+    ordered = grouped.repartitionByRange("log_id", "group_no").sortWithinPartitions("log_id", "group_no", "line_no")
+    ordered.mapInArrow(pack, f"log_id {kind}, first_line long, n_lines long, member binary").write.option("compression", "uncompressed").parquet(path)
+
+
+def read_logs(spark: SparkSession, path: str, since: int = 0, logs: Sequence | None = None) -> DataFrame:
+    """Archived lines from ``since`` on, of some logs only if these are named, in groups; see ``group_lines``."""
+    members = spark.read.parquet(path).filter(F.col("first_line") + GROUP_LINES > since)
+    if logs is not None:
+        members = members.filter(F.col("log_id").isin(*logs))
+    kind = members.schema["log_id"].dataType.simpleString()
 
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for log, data in zip(batch.column("log_id"), batch.column("member").to_pylist(), strict=True):
+                found = [line.split("\t", 1) for line in gzip.decompress(data).decode().split("\n")]
+                columns = [pa.array([log.as_py()] * len(found), log.type), pa.array([int(n) for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["log_id", "line_no", "line"])
 
-def read_logs(spark: SparkSession, path: str, since: int = 0) -> DataFrame:
-    """Archived lines from ``since`` on, in groups; see ``group_lines``."""
-    raw = spark.read.schema("value string, log_id long").text(path)
-    lines = raw.select("log_id", F.substring_index("value", "\t", 1).cast("long").alias("line_no"), F.substr("value", F.locate("\t", F.col("value")) + 1).alias("line"))
-    return group_lines(lines, since)
+    return group_lines(members.select("log_id", "member").mapInArrow(unpack, f"log_id {kind}, line_no long, line string"), since)
 
 
 def group_lines(lines: DataFrame, since: int = 0, size: int = GROUP_LINES) -> DataFrame:

@@ -74,6 +74,21 @@ def test_log_archive(spark, tmp_path):
     got = logs.read_logs(spark, path, since=10).filter("log_id = 2").orderBy("group_no").collect()
     assert [(r.first_line, r.n_lines, r.complete) for r in got] == [(10, 256, False), (266, 256, False), (522, 78, True)]
     assert got[0].body.split("\n")[0] == "line\t10"
+    assert [r.log_id for r in logs.read_logs(spark, path, since=500, logs=[1]).collect()] == [1]
+
+
+def test_many_logs_in_few_files(spark, tmp_path):
+    """A file for each partition at most, the index without the text, odd lines kept."""
+    lines = spark.range(100_000).select("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(700))).alias("line_no")).select(
+        F.col("id").alias("log_id"), "line_no", F.when(F.col("line_no") == 1, None).otherwise(F.concat(F.lit("tab\t\r é"), "id")).alias("line")
+    )
+    path = str(tmp_path / "logs")
+    logs.archive_logs(lines, path)
+    assert len(list((tmp_path / "logs").glob("*.parquet"))) <= 8
+    index = spark.read.parquet(path).drop("member")
+    assert index.count() == 200_000 and index.agg(F.sum("n_lines").alias("n")).first().n == 300_000
+    got = {(r.first_line, r.body) for r in logs.read_logs(spark, path, logs=[77]).collect()}
+    assert got == {(0, "tab\t\r é77\n"), (700, "tab\t\r é77")}
 
 
 def test_reassembly_faults(spark):
