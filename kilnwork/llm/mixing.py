@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from kilnwork.plans.running import running_totals
 from kilnwork.plans.stored import stored
 
+#: Rows of a unit that are numbered together.
+STRETCH = 1 << 16
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -82,10 +84,23 @@ def mix_plan(
     ``docs`` are ignored, whatever they are called.
     """
     units = unit_plan(docs, size, weights, max_copies, seed, id_col, source_col, text_col)
-    each = units.withColumn("one", F.explode(F.sequence(F.lit(1), F.col("rows")))).withColumn("copies", unit_copies(F.col("one")))
+    each = numbered_rows(units).withColumn("copies", unit_copies(F.col("one")))
     return each.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def numbered_rows(units: DataFrame) -> DataFrame:
+    """Each unit as often as it has ``rows``, numbered from 1 as ``one``.
+
+    A unit of more than STRETCH rows is first cut into stretches, which are
+    dealt anew, so no array and no task grows with a unit.
+    """
+    few, many = units.filter(F.col("rows") <= STRETCH), units.filter(F.col("rows") > STRETCH)
+    stretches = many.withColumn("at", F.explode(F.sequence(F.lit(0), F.expr(f"(rows - 1) div {STRETCH}")))).repartition("doc_id", "source", "size", "at")
+    last = F.least(F.col("rows"), (F.col("at") + 1) * STRETCH)
+    cut = stretches.withColumn("one", F.explode(F.sequence(F.col("at") * STRETCH + 1, last))).drop("at")
+    return few.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).union(cut)
+
+
 def unit_copies(number: Column) -> Column:
     """Copies of the row of this number, from 1, among the ``rows`` of a unit that share ``total`` copies."""
     return (F.floor(F.col("total") / F.col("rows")) + (number <= F.col("total") % F.col("rows")).cast("int")).cast("int")

@@ -53,6 +53,8 @@ SAMPLE_ROWS = 8_000
 #: Lengths of the word heads that are scored besides the word.
 HEADS = (4, 5)
 STEPS = (1.0, 2.5, 4.0)
+#: Parts of the sample, each of which is scored by the words of the others when the last step is fitted.
+FOLDS = 3
 
 
 @cache
@@ -234,7 +236,7 @@ class ToxicityModel:
     characters: np.ndarray
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint32))
     values: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(STEPS) + 2))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(STEPS) + 3))
 
     def word_scores(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes))
@@ -247,8 +249,8 @@ class ToxicityModel:
         return out
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Highest word score of each restored text, and how many words pass each step, at most 4."""
-        out = np.zeros((len(texts), len(STEPS) + 1))
+        """Of each restored text the highest word score, the logarithm of how many words pass each step, and the mean of scores beyond the first step over all words."""
+        out = np.zeros((len(texts), len(STEPS) + 2))
         hashes, counts = word_hashes(texts)
         full = np.flatnonzero(counts)
         if len(full):
@@ -256,7 +258,8 @@ class ToxicityModel:
             score = np.max([self.word_scores(h) for h in hashes], axis=0)
             out[full, 0] = np.maximum.reduceat(score, starts)
             for k, step in enumerate(STEPS):
-                out[full, k + 1] = np.minimum(np.add.reduceat((score > step).astype(np.int64), starts), 4)
+                out[full, k + 1] = np.log1p(np.add.reduceat((score > step).astype(np.int64), starts))
+            out[full, -1] = np.add.reduceat(np.where(score > STEPS[0], score, 0.0), starts) / counts[full]
         return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -294,17 +297,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
     Of rows that share a doc_id the least text counts, so that the sample stays
     bounded whatever is repeated; rows of a null doc_id teach nothing but
-    characters. The character model takes all of ``docs``. Words and heads are counted by
-    document on two thirds of the sample; those in at least ``min_docs`` toxic
-    documents score the lower bound of their log odds. The last step, logistic
-    over the features of a document, is fitted on the other third. The driver
-    gets the scored words, which the sample bounds, and a row of features a
-    sampled document. Without both labels every score is 0.5.
+    characters. The character model takes all of ``docs``. Words and heads are
+    counted by document; those in at least ``min_docs`` toxic documents score
+    the lower bound of their log odds. The last step, logistic over the
+    features of a document, is fitted on all of the sample: each third of it
+    by the words of the other two. The driver gets the counts of such words by
+    third, which the sample bounds, and a row of features a sampled document.
+    Without both labels every score is 0.5.
     """
     characters = fit_characters(docs)
     outside = labels.filter(~held_out(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     drawn = bounded_sample(outside.filter("label in (0, 1)"), "label", ["doc_id"], sample_rows)
-    part = (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)) > 0).alias("counted")
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
     shared = docs.sparkSession.sparkContext.broadcast(characters)
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").cast("double").alias("label")).select("text", "label", part)
     rows = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # a bounded sample: few tasks in Python, however many scan docs
@@ -313,47 +317,60 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
         decoder = Decoder(shared.value)
         for batch, texts in text_blocks(batches, chars=BLOCK_CHARS):
             restored = pa.array(decoder.restore_all(texts), pa.string())
-            yield pa.RecordBatch.from_arrays([restored, batch.column("label"), batch.column("counted")], ["text", "label", "counted"])
+            yield pa.RecordBatch.from_arrays([restored, batch.column("label"), batch.column("fold")], ["text", "label", "fold"])
 
     def count(batches):
         for batch, texts in text_blocks(batches, chars=BLOCK_CHARS):
             hashes, counts = word_hashes(texts)
             doc = np.repeat(np.arange(len(texts)), counts)
-            toxic = batch.column("label").to_numpy()
+            toxic, fold = batch.column("label").to_numpy(), batch.column("fold").to_numpy()
             found = []
             for h in hashes:
                 pairs = np.unique(doc.astype(np.int64) << 32 | h)
                 found.append(pairs)
             pairs = np.concatenate(found)
-            cell, own = pairs & 0xFFFFFFFF, toxic[pairs >> 32].astype(np.int64)
+            cell, own = pairs & 0xFFFFFFFF | fold[pairs >> 32].astype(np.int64) << 32, toxic[pairs >> 32].astype(np.int64)
             cells, at = np.unique(cell, return_inverse=True)
             n = np.bincount(at, minlength=len(cells))
             t = np.bincount(at, weights=own, minlength=len(cells)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(t), pa.array(n - t)], ["cell", "t", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells & 0xFFFFFFFF), pa.array(cells >> 32), pa.array(t), pa.array(n - t)], ["cell", "fold", "t", "c"])
 
-    rows = stored(rows.mapInArrow(restore, "text string, label double, counted boolean"))  # so that a task runs one Python worker at a time
-    sizes = {r.label: r.n for r in rows.filter("counted").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not sizes.get(0.0) or not sizes.get(1.0):
+    rows = stored(rows.mapInArrow(restore, "text string, label double, fold int"))  # so that a task runs one Python worker at a time
+    sizes = np.zeros((FOLDS, 2), dtype=np.int64)
+    for r in rows.groupBy("fold", "label").agg(F.count("*").alias("n")).collect():
+        sizes[r.fold, int(r.label)] = r.n
+    if not sizes.sum(axis=0).all():
         return ToxicityModel(characters)
-    counted = rows.filter("counted").mapInArrow(count, "cell long, t long, c long").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    by_fold = lambda c: [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS)]
+    counted = rows.mapInArrow(count, "cell long, fold long, t long, c long").groupBy("cell").agg(F.sum("t").alias("t"), *by_fold("t"), *by_fold("c"))
     found = counted.filter(f"t >= {int(min_docs)}").orderBy("cell").toArrow()
-    t, c = found.column("t").to_numpy() + 0.5, found.column("c").to_numpy() + 0.5
-    odds = np.log(t / (sizes[1.0] + 1)) - np.log(c / (sizes[0.0] + 1)) - 1.5 * np.sqrt(1 / t + 1 / c)
     cell = found.column("cell").to_numpy().astype(np.uint32)
-    model = ToxicityModel(characters, cell[odds > 0.5], odds[odds > 0.5])
-    words = docs.sparkSession.sparkContext.broadcast(model)
+    t, c = (np.stack([found.column(f"{x}{k}").to_numpy() for k in range(FOLDS)]) for x in "tc")
+
+    def word_model(parts: list[int]) -> ToxicityModel:
+        toxic, clean = t[parts].sum(axis=0), c[parts].sum(axis=0)
+        n_clean, n_toxic = sizes[parts].sum(axis=0)
+        odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1)) - 1.5 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+        used = (odds > 0.5) & (toxic >= min_docs)
+        return ToxicityModel(characters, cell[used], odds[used])
+
+    model = word_model(list(range(FOLDS)))
+    others = docs.sparkSession.sparkContext.broadcast([word_model([j for j in range(FOLDS) if j != k]) for k in range(FOLDS)])
 
     def features(batches):
         for batch, texts in text_blocks(batches, chars=BLOCK_CHARS):
-            x = words.value.features(texts)
+            fold = batch.column("fold").to_numpy()
+            x = np.zeros((len(texts), len(STEPS) + 2))
+            for k in np.unique(fold):
+                own = np.flatnonzero(fold == k)
+                x[own] = others.value[k].features([texts[i] for i in own])
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
-    rest = rows.filter("not counted").mapInArrow(features, "label double, x array<double>").toArrow()
+    rest = rows.mapInArrow(features, "label double, x array<double>").toArrow()
     y = rest.column("label").to_numpy()
-    x = np.array(rest.column("x").to_pylist()).reshape(len(y), len(STEPS) + 1)
+    x = np.array(rest.column("x").to_pylist()).reshape(len(y), len(STEPS) + 2)
     order = np.lexsort([*x.T[::-1], y])
-    if len(set(y.tolist())) == 2:
-        model.weights = fit_logistic(x[order], y[order])
+    model.weights = fit_logistic(x[order], y[order])
     return model
 
 

@@ -222,12 +222,11 @@ def test_trigrams_words_and_features_match_plain(spark, corpus, toxic_model):
 
     docs, labels = tables(spark, corpus)
     toxic = {d: t for d, _, t in corpus[1]}
-    part = {r.doc_id: r.part > 0 for r in labels.select("doc_id", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)).alias("part")).collect()}
     fold_of = {r.doc_id: r.f for r in docs.select("doc_id", fold(F.col("doc_id"), 3).alias("f")).collect()}
     decoder = toxicity.Decoder(toxic_model.characters)
     t, c, sizes = Counter(), Counter(), Counter()
     for d, text, *_ in corpus[0]:
-        if fold_of[d] == 1 or not part[d]:
+        if fold_of[d] == 1:
             continue
         sizes[toxic[d]] += 1
         (t if toxic[d] else c).update(set(re.findall(r"[a-z]+", decoder.restore_all([text])[0])))
@@ -246,7 +245,10 @@ def test_trigrams_words_and_features_match_plain(spark, corpus, toxic_model):
     text = "river grubnik stone snorvel"
     best = max(max(toxic_model.word_scores(h)[i] for h in toxicity.word_hashes([text])[0]) for i in range(4))
     row = toxic_model.features([text])[0]
-    assert row[0] == best and row[1] >= 2 and (toxic_model.features([""]) == 0).all()
+    scores = np.max([toxic_model.word_scores(h) for h in toxicity.word_hashes([text])[0]], axis=0)
+    assert row[0] == best and (toxic_model.features([""]) == 0).all()
+    assert np.allclose(row[1:4], [np.log1p((scores > step).sum()) for step in toxicity.STEPS]) and np.isclose(row[4], scores[scores > toxicity.STEPS[0]].sum() / 4)
+    assert toxic_model.predict(toxic_model.features([text]))[0] >= 0.7
 
 
 @pytest.mark.parametrize("shown,meant", [("hell0", "hello"), ("cl4$$", "class")])

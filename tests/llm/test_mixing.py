@@ -1,5 +1,6 @@
 import pytest
 from plain import documents, mix, words
+from pyspark.sql import functions as F
 
 from kilnwork.llm import mixing
 
@@ -47,6 +48,15 @@ def test_repeated_rows_are_taken_alike(spark):
     assert mixing.mix_sources(docs).filter("doc_id = 1").count() == 3 * taken[0]
 
 
+def test_a_very_large_group_of_repeated_rows(spark):
+    """Three million rows of null ids and texts in one source, and what they share evenly."""
+    docs = spark.range(3_000_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("x").alias("source"))
+    other = spark.createDataFrame([(1, "c " * 9_000_000, "y")], "doc_id long, text string, source string")
+    plan = mixing.mix_plan(docs.union(other)).groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.min("copies").alias("least"), F.max("copies").alias("most"), F.first("target").alias("target"))
+    got = {r.source: r for r in plan.collect()}
+    assert got["x"].n == 3_000_000 and got["x"].most - got["x"].least <= 1 and abs(got["x"].taken - got["x"].target) <= 2
+
+
 def test_null_ids_and_empty_tables(spark):
     docs = documents(spark, [(None, "a b", "en", "x"), (None, None, None, None), (1, "c", "en", "x")])
     assert mixing.mix_plan(docs).count() == 3
