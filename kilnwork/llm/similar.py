@@ -22,6 +22,8 @@ OVER, UNDER = 4, 5
 SEED = 42
 #: Counters of shingles by the top bits of their hashes, and how many of them make a row of the sum.
 COUNTER_BITS, SEGMENT_BITS = 21, 15
+#: Bits of a set's marks.
+MARK_BITS = 1024
 #: Sets that a task remembers having sent on.
 MET_SETS = 200_000
 
@@ -50,6 +52,12 @@ def set_key(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
+def marks(found: np.ndarray) -> np.ndarray:
+    """MARK_BITS bits of a set, each the parity of how many elements fall on it: two sets differ in as many elements at least as their marks in bits."""
+    parity = np.bincount((found & np.uint64(MARK_BITS - 1)).astype(np.int64), minlength=MARK_BITS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
 def counter(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
@@ -95,15 +103,18 @@ def shingle_counts(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
 
 
 def keys(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, node, fp``: documents of equal shingle sets have one node; ``fp`` is the SimHash fingerprint."""
+    """``doc_id, node, fp, n, marks``: documents of equal shingle sets have one node; ``fp`` is the SimHash fingerprint, ``n`` the size of the set."""
 
     def compute(batches):
         for batch, texts in text_blocks(batches):
-            nodes = np.fromiter((set_key(shingles(t, size)) for t in texts), dtype=np.uint64, count=len(texts))
+            found = [shingles(t, size) for t in texts]
+            nodes = np.fromiter(map(set_key, found), dtype=np.uint64, count=len(texts))
             fps = np.fromiter((fingerprint(t, size) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64))], ["doc_id", "node", "fp"])
+            bits = pa.array([marks(f) for f in found], pa.list_(pa.int64()))
+            columns = [batch.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64)), pa.array([len(f) for f in found], pa.int32()), bits]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "n", "marks"])
 
-    return _texts(docs).mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp long")
+    return _texts(docs).mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp long, n int, marks array<long>")
 
 
 def simhash_pairs(nodes: DataFrame) -> DataFrame:
@@ -169,10 +180,22 @@ def _candidates(pairs: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose sets are as similar as required; only sets of these pairs are moved."""
+def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs that sizes and marks (``known``: node, n, marks) don't show to differ too much; no similar pair is left out."""
+    left = known.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("x"))
+    right = known.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("marks").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits)
+    sizes, shared = F.col("n_a") + F.col("n_b"), F.least("n_a", "n_b")
+    both = pairs.join(left, "a").join(right, "b").filter(similar(shared, F.col("n_a"), F.col("n_b")))
+    return both.filter(apart * (OVER + UNDER) <= sizes * (UNDER - OVER)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Pairs whose sets are as similar as required; sets are made and moved for the pairs that are possible."""
+    pairs = stored(_possible(pairs, known))
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    found = found.join(used, "node", "left_semi")
+    ids = known.join(used, "node", "left_semi").select("one").distinct()
+    found = stored(sets(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("one")), "left_semi"), size).join(used, "node", "left_semi").dropDuplicates(["node"]))
     left = found.select(F.col("node").alias("a"), F.col("found").alias("x"))
     right = found.select(F.col("node").alias("b"), F.col("found").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -189,22 +212,23 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> Dat
     compared at first with the one that has the fewest rarer shingles: in a
     group of near copies that is a text without changes of its own. So a large
     group is one class before those still apart are compared pair by pair.
+    Pairs are held against sizes and marks of 1,024 bits first, and whole sets
+    are made and moved only for those that these leave.
     """
     of_token = Window.partitionBy("token")
     tokens = prefixes(docs, shingle_counts(docs, size), size)
     several = tokens.withColumns({"least": F.min("node").over(of_token), "most": F.max("node").over(of_token)}).filter("least <> most")
     now = stored(several.select("token", "node", "n", "place", F.col("node").alias("label")).distinct())
-    one = nodes.groupBy("node").agg(F.min("doc_id").alias("__one")).join(now.select("node").distinct(), "node", "left_semi").select("__one").distinct()
-    found = stored(sets(docs.join(one, F.col("doc_id").eqNullSafe(F.col("__one")), "left_semi"), size).dropDuplicates(["node"]))
+    known = stored(nodes.groupBy("node").agg(F.min("doc_id").alias("one"), F.first("n").alias("n"), F.first("marks").alias("marks")))
     heads = now.groupBy("token").agg(F.min(F.struct("place", "n", "node", "label")).alias("head")).select("token", "head.*")
     near = _candidates(now.alias("a").join(heads.alias("b"), "token").filter("a.node <> b.node"))
-    links = stored(_verified(stored(near.union(simhash_pairs(nodes)).distinct()), found))
+    links = stored(_verified(near.union(simhash_pairs(nodes)).distinct(), known, docs, size))
     classes = connected_components(links, "a", "b").select("node", F.col("label").alias("__label"))
     now = now.join(classes, "node", "left").withColumn("label", F.coalesce("__label", "node")).drop("__label")
     mixed = now.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("token")
     now = stored(now.join(mixed, "token", "left_semi"))
     apart = now.alias("a").join(now.alias("b"), "token").filter("a.label <> b.label")
-    return stored(links.union(_verified(stored(_candidates(apart)), found)))
+    return stored(links.union(_verified(_candidates(apart), known, docs, size)))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

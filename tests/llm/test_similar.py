@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from plain import documents, words
 
 import corpus_pipeline
@@ -57,6 +58,19 @@ def test_stage_links_what_bits_miss(spark):
     assert got != {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
 
 
+def test_marks_never_exceed_the_difference():
+    """Sets differ in at least as many elements as their marks in bits, and marks of unlike sets tell them apart."""
+    r = np.random.default_rng(2)
+    for size in (0, 1, 40, 700, 5000):
+        base = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
+        for kept in (0.0, 0.5, 0.9, 1.0):
+            other = np.unique(np.concatenate([base[r.random(len(base)) < kept], r.integers(0, 2**63, int(size * (1 - kept)), dtype=np.uint64)]))
+            bits = int(np.bitwise_count((similar.marks(base) ^ similar.marks(other)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(base, other)) and (kept < 1 or bits == 0)
+            if size == 700 and not kept:
+                assert 9 * bits > len(base) + len(other)
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(5, "a b c d e f"), (3, "A b c d e f"), (9, "something else over here entirely"), (9, "something else over here entirely"), (None, "a b c d e f"), (7, None), (8, "")]
     assert sorted(r.doc_id for r in similar.drop_near_duplicates(documents(spark, rows)).collect()) == [3, 7, 9, 9]
