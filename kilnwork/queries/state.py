@@ -236,6 +236,13 @@ def _(t):
     return run_stream(st.node_states(_node_changes(_live_log(t)), ts="ts"))
 
 
+@query("t6_node_states_resumed", _states_sql("node_id", STATUS_OF, NODE_STEPS))
+def _(t):
+    earlier = st.node_states(_node_changes(t.fx_event_log.filter("ts < timestamp_ntz'2024-01-15 00:00:00'")))
+    later = _live_log(t).filter("ts >= timestamp'2024-01-15 00:00:00'")
+    return earlier.union(run_stream(st.node_states(_node_changes(later), ts="ts", begun=st.last_states(earlier, "node_id"))))
+
+
 @query("t7_build_states", _states_sql("build_id", BUILD_OF, BUILD_STEPS))
 def _(t):
     return st.build_states(_build_changes(t.fx_event_log))

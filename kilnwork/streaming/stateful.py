@@ -89,6 +89,11 @@ class FoldProcessor(StatefulProcessor):
         self.state = handle.getValueState("fold", self.state_schema)
         self.fields = self.state_schema.fieldNames()
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """A key begins with the state that a table has for it."""
+        row = initialState.iloc[0]
+        self.state.update(tuple(None if pd.isna(row[f]) else row[f] for f in self.fields))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(self.order)
         state = dict(zip(self.fields, self.state.get(), strict=True)) if self.state.exists() else None
@@ -246,7 +251,7 @@ class TailProcessor(StatefulProcessor):
         pass
 
 
-def run_fold(df: DataFrame, key: str, values: dict[str, str], step, state_schema: str, out: str, ts: str | None = None, watermark: str = "0 seconds", order: str = "sequence") -> DataFrame:
+def run_fold(df: DataFrame, key: str, values: dict[str, str], step, state_schema: str, out: str, ts: str | None = None, watermark: str = "0 seconds", order: str = "sequence", begun: DataFrame | None = None) -> DataFrame:
     """A fold over each key of (key, order, values): stateful on a stream, over sorted rows on a table.
 
     ``values`` are columns and their types, ``out`` what the fold adds to key
@@ -254,7 +259,10 @@ def run_fold(df: DataFrame, key: str, values: dict[str, str], step, state_schema
     without a time are left out. On a stream they wait until the watermark
     passes them, so rows that arrive out of order within it change nothing, and
     rows beyond it are dropped. Without ``ts`` a stream folds rows as they come.
+    ``begun``, for streams, has the state that some keys begin with, one row a
+    key: the columns of ``state_schema``, as a fold over earlier rows left them.
     """
+    first = None if begun is None else begun.select(key, *StructType.fromDDL(state_schema).fieldNames()).groupBy(key)
     out_schema = StructType.fromDDL(f"{key} {df.schema[key].dataType.simpleString()}, {order} long, {out}")
     slim = [key, F.col(order).cast("long"), *[F.col(c).cast(kind) for c, kind in values.items()]]
     if ts is None:
@@ -262,7 +270,7 @@ def run_fold(df: DataFrame, key: str, values: dict[str, str], step, state_schema
         if not df.isStreaming:
             return fold_sorted(rows, [key], [order], step, out_schema)
         processor = FoldProcessor(step, [order], StructType.fromDDL(state_schema), out_schema.fieldNames())
-        return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out_schema, outputMode="append", timeMode="None")
+        return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out_schema, outputMode="append", timeMode="None", initialState=first)
     timed = df.filter(F.col(ts).isNotNull())
     at = F.unix_micros(F.col(ts).cast("timestamp")).alias("at_micros")
     if not df.isStreaming:
@@ -270,13 +278,15 @@ def run_fold(df: DataFrame, key: str, values: dict[str, str], step, state_schema
     waiting = StructType.fromDDL(", ".join(["at_micros long", f"{order} long", *[f"{c} {kind}" for c, kind in values.items()]]))
     processor = TimedFoldProcessor(step, key, waiting, StructType.fromDDL(state_schema), out_schema.fieldNames())
     watched = timed.select(*slim, at, F.col(ts).alias("__ts")).withWatermark("__ts", watermark)
-    return watched.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out_schema, outputMode="append", timeMode="EventTime")
+    return watched.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out_schema, outputMode="append", timeMode="EventTime", initialState=first)
 
 
-def _machine(df: DataFrame, key: str, moves: dict, ts: str | None, watermark: str) -> DataFrame:
+def _machine(df: DataFrame, key: str, moves: dict, ts: str | None, watermark: str, begun: DataFrame | None) -> DataFrame:
     out = "status string, fault string"
     if df.isStreaming:
-        return run_fold(df, key, {"status": "string"}, fold_states(moves), "status string", out, ts, watermark)
+        return run_fold(df, key, {"status": "string"}, fold_states(moves), "status string", out, ts, watermark, begun=begun)
+    if begun is not None:
+        raise ValueError("a table has all rows of a key; a state to begin with is for streams")
     schema = StructType.fromDDL(f"{key} {df.schema[key].dataType.simpleString()}, sequence long, {out}")
     timed = df if ts is None else df.filter(F.col(ts).isNotNull()).withColumn("at_micros", F.unix_micros(F.col(ts).cast("timestamp")))
     order = ["sequence"] if ts is None else ["at_micros", "sequence"]
@@ -284,18 +294,24 @@ def _machine(df: DataFrame, key: str, moves: dict, ts: str | None, watermark: st
     return fold_transitions(rows, key, order, "status", moves, fold_states(moves), schema)
 
 
-def node_states(df: DataFrame, ts: str | None = None, watermark: str = "0 seconds") -> DataFrame:
+def node_states(df: DataFrame, ts: str | None = None, watermark: str = "0 seconds", begun: DataFrame | None = None) -> DataFrame:
     """``node_id, sequence, status, fault``: the state after each change; invalid ones are kept out and named.
 
     On a table a key may span many ranges (``fold_transitions``); with ``ts`` a
-    stream goes by event time as in ``run_fold``.
+    stream goes by event time as in ``run_fold``, and ``begun`` (node_id,
+    status) has the states that earlier rows led to.
     """
-    return _machine(df, "node_id", NODE_MOVES, ts, watermark)
+    return _machine(df, "node_id", NODE_MOVES, ts, watermark, begun)
 
 
-def build_states(df: DataFrame, ts: str | None = None, watermark: str = "0 seconds") -> DataFrame:
+def build_states(df: DataFrame, ts: str | None = None, watermark: str = "0 seconds", begun: DataFrame | None = None) -> DataFrame:
     """``build_id, sequence, status, fault``, as ``node_states``."""
-    return _machine(df, "build_id", BUILD_MOVES, ts, watermark)
+    return _machine(df, "build_id", BUILD_MOVES, ts, watermark, begun)
+
+
+def last_states(states: DataFrame, key: str) -> DataFrame:
+    """``key, status``: where each key stands after the rows of ``node_states`` or ``build_states``, for a stream to begin with."""
+    return states.groupBy(key).agg(F.max_by(F.coalesce("status", F.lit("")), "sequence").alias("status"))
 
 
 def live_ema(df: DataFrame, key: str, alpha: float = 0.3, ts: str | None = None, watermark: str = "0 seconds") -> DataFrame:
