@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,12 @@ from kilnwork.plans.stored import stored
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Fingerprints a shard should hold, and how many fingerprints the shards are laid out with: so many at least, and so many a shard.
+#: Fingerprints a shard should hold, how many fingerprints the shards are laid out with at most, and the fewest of these that make a shard.
 SHARD_SIZE = 4_000
 SAMPLE_SIZE = 65_536
 SAMPLE_PER_SHARD = 16
+#: Odd numbers that make vantage points of shard numbers.
+MIX, STIR = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 LEAF = 48
 ALL_BITS = 0xFFFFFFFFFFFFFFFF
 
@@ -77,15 +80,17 @@ def distances(fps: np.ndarray, point: int, mask: int = ALL_BITS) -> np.ndarray:
 
 
 def band_masks(radius: int) -> list[tuple[int, int]]:
-    """(mask, radius) of bit bands: a pair within ``radius`` is within its radius in one band at least.
+    """(mask, 0): sets of bits, in one of which at least a pair within ``radius`` agrees.
 
-    By the pigeonhole principle. The fewer bits a triangle bound may be off
-    by, the more branches it prunes: three bands are searched at radius 1
-    instead of all bits at radius 4.
+    Of radius + 2 bands of bits a pair differs in ``radius`` at most, so it
+    agrees in two, and each two bands make a mask: 15 of about 21 bits for four
+    bits. Where a pair has distance 0 no cut comes between it, so trees under a
+    mask have no overlaps, however many levels they have.
     """
-    bands = 3 if radius >= 1 else 1
+    bands = radius + 2
     edges = [64 * i // bands for i in range(bands + 1)]
-    return [(((1 << (b - a)) - 1) << a, radius // bands) for a, b in zip(edges, edges[1:], strict=False)]
+    single = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+    return [(x | y, 0) for x, y in combinations(single, 2)]
 
 
 def vantage(points: np.ndarray, measures: list[tuple[int, int]], tries: int = 4) -> Node | None:
@@ -104,21 +109,46 @@ def vantage(points: np.ndarray, measures: list[tuple[int, int]], tries: int = 4)
     return None
 
 
-def lay_out(sample: np.ndarray, measures: list[tuple[int, int]], levels: int) -> Node:
-    """A tree whose leaves are the shards."""
+def lay_out(sample: np.ndarray, measures: list[tuple[int, int]], most: float) -> Node:
+    """A tree whose leaves are the shards, each with ``most`` of the sample's points unless these can't be parted."""
     leaves = 0
 
-    def grow(points: np.ndarray, level: int) -> Node:
+    def grow(points: np.ndarray) -> Node:
         nonlocal leaves
-        node = vantage(points, measures) if level and len(points) > 1 else None
-        if node is None:
+        node = vantage(points, measures) if len(points) > most else None
+        near = node and distances(points, node.point, node.mask) <= node.cut
+        if node is None or (node.radius and not _parts_well(points, node)):
             leaves += 1
             return Node(leaf=leaves - 1)
-        near = distances(points, node.point, node.mask) <= node.cut
-        node.left, node.right = grow(points[near], level - 1), grow(points[~near], level - 1)
+        node.left, node.right = grow(points[near]), grow(points[~near])
         return node
 
-    return grow(sample, levels)
+    return grow(sample)
+
+
+def _parts_well(points: np.ndarray, node: Node) -> bool:
+    """Whether both sides of a cut, with what overlaps it, are well below the whole."""
+    d = distances(points, node.point, node.mask)
+    return max(np.mean(d - node.radius <= node.cut), np.mean(d + node.radius > node.cut)) <= 0.8
+
+
+def divided(fps: np.ndarray, leaves: np.ndarray, mask: int, levels: int) -> np.ndarray:
+    """Shard numbers after ``levels`` more cuts by distance under some bits of ``mask`` from vantage points, both of which follow from a shard's number.
+
+    For numbers of shards that a sample of bounded size can't lay out; under a
+    mask that near pairs agree in, cuts part none.
+    """
+    out, one = leaves.astype(np.uint64), np.uint64(1)
+    for _ in range(levels):
+        point = (out + one) * np.uint64(MIX)
+        point = (point ^ point >> np.uint64(29)) * np.uint64(STIR)
+        point ^= point >> np.uint64(32)
+        few = point * np.uint64(MIX)
+        few = np.uint64(mask) & few & (few >> np.uint64(31) ^ point * np.uint64(STIR))
+        few = np.where(np.bitwise_count(few) % 2 == 0, few & (few - one), few)  # an odd number of bits has no tie
+        far = 2 * np.bitwise_count((fps ^ point) & few) > np.bitwise_count(few)
+        out = out << one | far.astype(np.uint64)
+    return out.astype(np.int64)
 
 
 def shards(root: Node, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,30 +228,34 @@ def link_shard(fps: np.ndarray, home: np.ndarray, mask: int, band_radius: int, r
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE, sample_size: int = SAMPLE_SIZE) -> DataFrame:
     """``a, b``: links that connect exactly the fingerprints connected by pairs within ``radius`` bits.
 
-    ``distinct`` has each fingerprint once, as ``fp``. For each bit band a tree
-    is laid out on the driver from about ``sample_size`` fingerprints, or
-    SAMPLE_PER_SHARD a shard if that is more (0.4 percent of all); every
-    fingerprint goes to its home shard and to all shards that its ball
-    overlaps. A shard returns a spanning forest of its pairs, not the pairs.
+    ``distinct`` has each fingerprint once, as ``fp``. For each mask a tree is
+    laid out on the driver from ``sample_size`` fingerprints at most, whatever
+    the number of all; shards beyond what such a tree can have come from
+    ``divided``. Every fingerprint goes to one shard of each mask, so a number
+    of copies that doesn't grow; only where fingerprints agree under a mask in
+    greater number than a shard holds, trees go on with all bits, and what
+    overlaps a cut goes to both sides. A shard returns a spanning forest of its
+    pairs, not the pairs.
     """
     spark = distinct.sparkSession
     count = distinct.count()
     if not count:
         return spark.createDataFrame([], "a long, b long")
-    levels = max(0, int(np.ceil(np.log2(max(1, count / shard_size)))))
-    rate = min(2**30, int(max(sample_size, SAMPLE_PER_SHARD << levels) / count * 2**30) + 1)
+    rate = min(2**30, int(sample_size / count * 2**30) + 1)
     drawn = distinct.filter(F.pmod(F.xxhash64(F.lit("layout"), "fp"), F.lit(2**30)) < rate)
     sample = np.sort(drawn.toArrow().column("fp").to_numpy().view(np.uint64))
-    sample = sample[np.argsort((sample * np.uint64(0x9E3779B97F4A7C15)), kind="stable")]
-    masks = band_masks(radius)
-    trees = spark.sparkContext.broadcast([lay_out(sample, [m, (ALL_BITS, radius)], levels) for m in masks])
+    sample = sample[np.argsort((sample * np.uint64(MIX)), kind="stable")]
+    masks, share = band_masks(radius), len(sample) * shard_size / count
+    levels = max(0, int(np.ceil(np.log2(SAMPLE_PER_SHARD / max(share, 1e-9))))) if share < SAMPLE_PER_SHARD and count > sample_size else 0
+    trees = spark.sparkContext.broadcast([lay_out(sample, [m, (ALL_BITS, radius)], max(share, SAMPLE_PER_SHARD if levels else 1)) for m in masks])
 
     def deal(batches):
         for batch in batches:
             fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for band, tree in enumerate(trees.value):
                 row, leaf, home = shards(tree, fps)
-                columns = [pa.array(np.full(len(row), band, dtype=np.int32)), pa.array(leaf), pa.array(fps[row].view(np.int64)), pa.array(home)]
+                shard = divided(fps[row], leaf, masks[band][0], levels)
+                columns = [pa.array(np.full(len(row), band, dtype=np.int32)), pa.array(shard), pa.array(fps[row].view(np.int64)), pa.array(home)]
                 yield pa.RecordBatch.from_arrays(columns, ["band", "shard", "fp", "home"])
 
     def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

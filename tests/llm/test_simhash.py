@@ -55,9 +55,10 @@ def test_links_connect_all_pairs(size):
     masks = simhash.band_masks(4)
     links = simhash.Links(len(fps))
     for mask, radius in masks:
-        tree = simhash.lay_out(fps, [(mask, radius), (simhash.ALL_BITS, 4)], 4)
+        tree = simhash.lay_out(fps, [(mask, radius), (simhash.ALL_BITS, 4)], len(fps) / 16)
         rows, leaves, homes = simhash.shards(tree, fps)
         assert homes.sum() == len(fps)
+        leaves = simhash.divided(fps[rows], leaves, mask, 2)
         for leaf in set(leaves.tolist()):
             at = rows[leaves == leaf]
             part = simhash.link_shard(fps[at], homes[leaves == leaf], mask, radius)
@@ -72,6 +73,21 @@ def test_bands_cover_every_pair():
         assert any((flipped & mask).bit_count() <= radius for mask, radius in simhash.band_masks(4))
 
 
+@pytest.mark.parametrize("n", [100_000, 3_000_000])
+def test_copies_and_shards_stay_flat(n):
+    """One shard a mask for every fingerprint, and no shard above twice its size, however many there are."""
+    r = np.random.default_rng(n)
+    fps = r.integers(0, 2**64, n, dtype=np.uint64)
+    sample = fps[: simhash.SAMPLE_SIZE]
+    share = len(sample) * simhash.SHARD_SIZE / n
+    for mask, radius in simhash.band_masks(4)[::7]:
+        rows, leaves, homes = simhash.shards(simhash.lay_out(sample, [(mask, radius), (simhash.ALL_BITS, 4)], share), fps)
+        sizes = np.bincount(leaves)
+        assert len(rows) == n and homes.all() and sizes.max() <= 2 * simhash.SHARD_SIZE
+        further = np.bincount(np.unique(simhash.divided(fps[rows], leaves, mask, 3), return_inverse=True)[1])
+        assert further.max() <= simhash.SHARD_SIZE and np.percentile(further, 95) <= simhash.SHARD_SIZE / 3 and len(further) > 6 * len(sizes)
+
+
 def test_dense_band_is_still_exact():
     base = 0x0123456789ABCDEF
     fps = np.array(sorted({base ^ (1 << a) ^ (1 << b) for a in range(22, 60) for b in range(22, 60)}), dtype=np.uint64)
