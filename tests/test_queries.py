@@ -34,7 +34,7 @@ def test_registry_is_complete():
 
 
 def test_python_runs_only_where_it_must(spark):
-    python = {"w10_log_violations", "c1_chunk", "c1_chunk_totals", "c12_reassemble", "t6_node_states", "t7_build_states", "t9_live_ema", "t10_rate_limit"}
+    python = {"w10_log_violations", "c1_chunk", "c1_chunk_totals", "c12_reassemble", "s7_archive_logs", "t6_node_states", "t6_node_states_resumed", "t7_build_states", "t9_live_ema", "t10_rate_limit"}
     for name in [n for n in registry.QUERIES if not n.startswith("g")]:
         plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert bool(re.search("Python|Pandas|Arrow", plan)) == (name in python), name
