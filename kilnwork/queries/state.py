@@ -206,20 +206,21 @@ def _named(names: dict[str, str]):
     return F.element_at(F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
 
 
-#: Watermarks are whole milliseconds, so with times as such the last row of a stream is passed, too.
-MILLIS = F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts")
+def _millis():
+    """Watermarks are whole milliseconds, so with times as such the last row of a stream is passed, too."""
+    return F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts")
 
 
 def _node_changes(log):
-    return log.select(F.col("build_id").alias("node_id"), "sequence", _named(STATUS_OF).alias("status"), MILLIS)
+    return log.select(F.col("build_id").alias("node_id"), "sequence", _named(STATUS_OF).alias("status"), _millis())
 
 
 def _build_changes(log):
-    return log.select("build_id", "sequence", _named(BUILD_OF).alias("status"), MILLIS)
+    return log.select("build_id", "sequence", _named(BUILD_OF).alias("status"), _millis())
 
 
 def _timed_requests(log):
-    return log.select("build_id", "sequence", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_secs"), MILLIS)
+    return log.select("build_id", "sequence", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_secs"), _millis())
 
 
 def _live_log(t):
@@ -306,7 +307,7 @@ SELECT build_id, sequence, admitted, round(CASE WHEN admitted THEN 0 ELSE (1 - h
 
 @query("t9_live_ema_stream", EMA_SQL)
 def _(t):
-    return run_stream(st.live_ema(_live_log(t).select("build_id", "sequence", "value", MILLIS), "build_id", ts="ts")).withColumn("ema", F.round(F.col("ema") + 1e-9, 4))
+    return run_stream(st.live_ema(_live_log(t).select("build_id", "sequence", "value", _millis()), "build_id", ts="ts")).withColumn("ema", F.round(F.col("ema") + 1e-9, 4))
 
 
 @query("t10_rate_limit", BUCKET_SQL)

@@ -38,3 +38,14 @@ def test_python_runs_only_where_it_must(spark):
     for name in [n for n in registry.QUERIES if not n.startswith("g")]:
         plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert bool(re.search("Python|Pandas|Arrow", plan)) == (name in python), name
+
+
+def test_entry_needs_no_session_to_import():
+    """Queries can be listed before a session exists."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=repo, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
