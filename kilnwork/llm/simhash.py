@@ -185,6 +185,11 @@ class Links:
                 return found
             found = above
 
+    def alike(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether all rows are in one class already."""
+        first = self.roots(a[:1])
+        return bool((self.roots(a) == first).all() and (self.roots(b) == first).all())
+
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
             a, b = self.roots(a), self.roots(b)
@@ -207,11 +212,13 @@ def link_shard(fps: np.ndarray, home: np.ndarray, mask: int, band_radius: int, r
         step = max(1, (1 << 20) // len(queries))
         for lo in range(0, len(points), step):
             part = points[lo : lo + step]
+            if links.alike(part, queries):
+                continue
             i, j = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps[queries][None, :]) <= radius)
             links.join(part[i], queries[j])
 
     def down(points: np.ndarray, queries: np.ndarray) -> None:
-        if not len(points) or not len(queries):
+        if not len(points) or not len(queries) or links.alike(points, queries):
             return
         node = vantage(fps[points], measures, tries=2) if len(points) > LEAF else None
         if node is None:
