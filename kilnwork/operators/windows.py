@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnwork.plans.folds import fold_sorted
+from kilnwork.plans.jumps import first_overfull
 from kilnwork.plans.running import PART, carry_forward, ranges, row_before, running_totals
 
 
@@ -138,33 +138,19 @@ def number_lines(batches: DataFrame) -> DataFrame:
     return based.select("log_id", "__base", F.posexplode("__lines").alias("__i", "line")).select("log_id", (F.col("__base") + F.col("__i")).alias("line_no"), "line")
 
 
-def first_violation(max_per_sec: int):
-    """A fold that returns the first row at which a second, counted from its first line, holds more than ``max_per_sec`` lines."""
-
-    def step(state: dict | None, row: dict) -> tuple[dict, dict | None]:
-        if state is None or row["at_secs"] - state["start"] >= 1.0:
-            state = {"start": row["at_secs"], "held": 0, "over": bool(state and state["over"])}
-        held = state["held"] + 1
-        found = {} if held > max_per_sec and not state["over"] else None
-        return {**state, "held": held, "over": state["over"] or found is not None}, found
-
-    return step
-
-
 def log_violations(lines: DataFrame, max_bytes: int, max_lines_per_sec: int) -> DataFrame:
     """``log_id, line_no, fault`` of the first line of each log beyond its limits, size before rate on one line.
 
-    The size is a running sum. A rate window starts at its own first line,
-    which only a fold in order can tell: it streams sorted lines in pandas,
-    a batch at a time.
+    The size is a running sum. A rate window starts at its own first line; a
+    log that spans many ranges is followed through all of them at once
+    (``plans/jumps.py``).
     """
     sizes = lines.select("log_id", "line_no", F.octet_length("line").cast("long").alias("__bytes"))
     size = running_totals(sizes, [F.col("line_no")], {"__sum": F.col("__bytes")}, ["log_id"]).filter(F.col("__sum") > max_bytes)
     by_size = size.groupBy("log_id").agg(F.min("line_no").alias("line_no")).withColumn("fault", F.lit("size"))
 
-    kind = lines.schema["log_id"].dataType.simpleString()
-    timed = lines.select("log_id", F.col("line_no").cast("long").alias("line_no"), F.col("at_secs").cast("double").alias("at_secs"))
-    by_rate = fold_sorted(timed, ["log_id"], ["line_no"], first_violation(max_lines_per_sec), f"log_id {kind}, line_no long").withColumn("fault", F.lit("rate"))
+    timed = lines.select("log_id", F.col("line_no").cast("long").alias("line_no"), "at_secs")
+    by_rate = first_overfull(timed, "log_id", "line_no", "at_secs", max_lines_per_sec).withColumn("fault", F.lit("rate"))
     both = by_size.select("log_id", F.col("line_no").cast("long").alias("line_no"), "fault").unionByName(by_rate)
     first = both.groupBy("log_id").agg(F.min(F.struct("line_no", F.when(F.col("fault") == "size", 0).otherwise(1).alias("rank"), "fault")).alias("f"))
     return first.select("log_id", F.col("f.line_no").alias("line_no"), F.col("f.fault").alias("fault"))

@@ -3,12 +3,14 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kilnwork.operators.aggregates import merge_signatures, quantiles
 from kilnwork.operators.joins import asof_join
 from kilnwork.operators.windows import dispatch_wait, ema, ema_with_reset, log_tail, missed_heartbeats, phantoms, sequence_gaps, surplus_oldest, trailing_rate
+from kilnwork.plans.jumps import NONE_YET, THROUGH, exits, first_overfull, stretches
 from kilnwork.plans.running import PART, carry_forward, ranges, running_totals
 
 
@@ -171,3 +173,47 @@ def test_state_machines_over_ranges(uncoalesced):
     assert got == want
     names, steps = step_table(st.BUILD_MOVES)
     assert names[0] is None and all(len(t) == len(names) for t in steps.values()) and st.node_states(df.limit(0)).count() == 0
+
+
+def overfull(held, most):
+    """The first row of (place, at) at which a window holds too many, by one row after another."""
+    start, count = None, 0
+    for place, at in sorted(held, key=lambda r: r[0]):
+        at = float("nan") if at is None else at
+        if start is None or at - start >= 1.0:
+            start, count = at, 0
+        count += 1
+        if count > most:
+            return place
+    return None
+
+
+@pytest.mark.parametrize("most, step, back", [(3, 0.4, 0.0), (4, 0.3, 0.0), (6, 0.2, 0.9), (40, 0.05, 0.0), (90, 0.013, 0.3), (700, 0.0001, 0.0), (0, 1.0, 0.0), (5, 0.25, 0.0)])
+def test_windows_of_lines_over_ranges(uncoalesced, most, step, back):
+    rng = random.Random(most)
+    now, data = {}, []
+    for place in range(900):
+        key = rng.choice(["hot"] * 9 + ["b", None])
+        now[key] = now.get(key, 0.0) + rng.random() * 2 * step - (back if rng.random() < 0.02 else 0)
+        data.append((key, place, None if rng.random() < 0.003 else round(now[key], 3)))
+    rng.shuffle(data)
+    df = uncoalesced.createDataFrame(data, "k string, place long, at double").repartition(12)
+    held = {}
+    for k, place, at in data:
+        held.setdefault(k, []).append((place, at))
+    expected = {(k, overfull(v, most)) for k, v in held.items() if overfull(v, most) is not None}
+    assert {(r.k, r.place) for r in first_overfull(df, "k", "place", "at", most).collect()} == expected
+
+
+def test_windows_that_meet_in_a_row_are_one():
+    at = np.array([0.0, 0.4, 0.9, 1.3, 1.4, 2.4, 2.5])
+    entries = [(p, -0.5 + p / 10) for p in range(-7, -1)]
+    found = exits(at, 0, [(p, a) for p, a in entries], 7, 1.0)
+    assert len(stretches(found)) < len(found)
+    assert exits(at, 0, [(NONE_YET, 0.0)], 2, 1.0) == [(NONE_YET, 0, 2)]
+    assert exits(at, 0, [(NONE_YET, 0.0)], 4, 1.0) == [(NONE_YET, 5, -1)]
+    assert stretches(exits(np.array([]), 3, [(1, 0.0), (2, 0.1)], 5, 1.0)) == [(1, 2, THROUGH, -1)]
+
+
+def test_windows_of_no_lines(spark):
+    assert first_overfull(spark.createDataFrame([], "k long, place long, at double"), "k", "place", "at", 3).count() == 0
