@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.functions.columns import BASE32, digest
+from kilnwork.plans.membership import blocks_for, build_filter, fits_broadcast, possible
 
 
 @cache
@@ -231,12 +232,18 @@ def verify_blobs(blobs: DataFrame, declared: DataFrame, algo: str = "md5") -> Da
 def scan_refs(blobs: DataFrame, candidates: DataFrame, size: int = 32) -> DataFrame:
     """``path_id, hash_part``: which candidate tokens occur in each content, each once.
 
-    Runs of the base-32 alphabet are cut into windows of a token's size, and
-    windows meet the candidates in a join; candidates may be of any number.
+    Runs of the base-32 alphabet are cut into windows of a token's size. A
+    filter of the candidates, where it is within a broadcast's bound, lets few
+    windows pass that are none, before anything is shuffled; those left meet
+    the candidates in a join. Candidates may be of any number.
     """
+    tokens = candidates.select("hash_part")
+    blocks = blocks_for(tokens.count())
     runs = blobs.select("path_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(f"([{BASE32}]{{{size},}})"), F.lit(1)))).alias("run"))
     windows = runs.select("path_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - size + 1), lambda i: F.substr("run", i, F.lit(size)))).alias("hash_part"))
-    return windows.distinct().join(candidates.select("hash_part"), "hash_part", "left_semi").select("path_id", "hash_part")
+    if fits_broadcast(blocks):
+        windows = possible(windows, "hash_part", build_filter(tokens, "hash_part", blocks), blocks)
+    return windows.distinct().join(tokens, "hash_part", "left_semi").select("path_id", "hash_part")
 
 
 def dedup_report(entries: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.operators import filters, joins, pages, sets
+from kilnwork.plans import membership
 from kilnwork.queries.registry import Inputs, query
 from kilnwork.queries.views import AS_OF
 from kilnwork.sources import chunks, closures, logs, manifests, tables, text
@@ -89,6 +90,41 @@ def _(t):
     return chunks.exists_batch(t.fx_chunk_entries, t.fx_chunks.filter("uploaded"), "chunk_id").select("blob_id", "idx", "chunk_id", "present")
 
 
+@query("s5_chunk_store_filtered", """
+SELECT md5(coalesce(text, '')) AS chunk_hash, strlen(min(coalesce(text, ''))) AS size FROM documents GROUP BY md5(coalesce(text, ''))""")
+def _(t):
+    found = t.documents.select(F.md5(F.coalesce("text", F.lit(""))).alias("chunk_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), "source")
+    path, beside = fresh_folder(t.spark), fresh_folder(t.spark)
+    chunks.write_chunks(found.filter("source = 'src1'"), path, filter_path=beside)
+    chunks.write_chunks(found, path, chunks.read_chunks(t.spark, path), filter_path=beside)
+    return chunks.read_chunks(t.spark, path).select("chunk_hash", F.length("bytes").cast("long").alias("size"))
+
+
+@query("s6_exists_filtered", """
+SELECT d.doc_id, e.chunk_hash IS NOT NULL AS present FROM documents AS d
+LEFT JOIN (SELECT DISTINCT md5(text) AS chunk_hash FROM documents WHERE source = 'src1' AND text IS NOT NULL) AS e ON e.chunk_hash = md5(d.text)""")
+def _(t):
+    hashes = t.documents.select("doc_id", F.md5("text").alias("chunk_hash"), "source")
+    store, beside = hashes.filter("source = 'src1'").select("chunk_hash"), fresh_folder(t.spark)
+    chunks.write_filters(store, beside)
+    return chunks.exists_batch(hashes.drop("source"), store, filters=chunks.read_filters(t.spark, beside)).select("doc_id", "present")
+
+
+@query("s6_filter_bound", """
+WITH h AS (SELECT DISTINCT source, md5(text) AS chunk_hash FROM documents WHERE text IS NOT NULL)
+SELECT source, count(*) AS hashes, count(*) FILTER (WHERE chunk_hash IN (SELECT chunk_hash FROM h WHERE source = 'src1')) AS held, true AS all_pass, true AS within FROM h GROUP BY source""")
+def _(t):
+    """A filter merged from two halves, against the hashes of each source: none that it holds is lost, and few others pass."""
+    hashes = t.documents.filter("text is not null").select("source", F.md5("text").alias("chunk_hash")).distinct()
+    own = hashes.filter("source = 'src1'")
+    blocks = membership.blocks_for(own.count())
+    halves = [membership.build_filter(own.filter(F.crc32("chunk_hash") % 2 == i), "chunk_hash", blocks) for i in (0, 1)]
+    passed = membership.possible(hashes.select("chunk_hash").distinct(), "chunk_hash", membership.merge_filters(halves[0].unionAll(halves[1])), blocks).withColumn("passed", F.lit(1))
+    marked = hashes.join(own.select("chunk_hash", F.lit(1).alias("in_set")), "chunk_hash", "left").join(passed, "chunk_hash", "left")
+    counts = marked.groupBy("source").agg(F.count("*").alias("hashes"), F.count("in_set").alias("held"), F.count("passed").alias("passed"), F.count_if(F.expr("in_set = 1 and passed is null")).alias("lost"))
+    return counts.select("source", "hashes", "held", (F.col("lost") == 0).alias("all_pass"), (F.col("passed") - F.col("held") <= 0.01 * (F.col("hashes") - F.col("held")) + 3).alias("within"))
+
+
 @query("s7_log_pointers", """
 SELECT build_id, node_id AS log_id, min(build_id) OVER (PARTITION BY node_id) AS owner
 FROM fx_build_nodes WHERE node_id IN (SELECT log_id FROM fx_lines)""")

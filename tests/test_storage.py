@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kilnwork.operators import storage as s
+from kilnwork.plans import membership as m
 from kilnwork.sources import chunks, logs, manifests
 
 
@@ -67,6 +68,44 @@ def test_chunk_store_is_write_once(spark, tmp_path):
     assert sorted(r.present for r in chunks.exists_batch(asked, store).collect()) == [False, True, True]
 
 
+def test_chunk_store_with_filters(spark, tmp_path):
+    path, beside = str(tmp_path / "store"), str(tmp_path / "filters")
+    rows = [(hashlib.sha256(bytes([i % 50])).hexdigest(), bytes([i % 50])) for i in range(90)] + [(None, b"x"), (None, b"x")]
+    df = spark.createDataFrame(rows, "chunk_hash string, bytes binary")
+    chunks.write_chunks(df.limit(20), path, filter_path=beside, blocks=4)
+    for _ in range(2):
+        chunks.write_chunks(df, path, chunks.read_chunks(spark, path), filter_path=beside, blocks=4)
+    store, held = chunks.read_chunks(spark, path), chunks.read_filters(spark, beside, 4)
+    assert store.count() == 50 and store.select("chunk_hash").distinct().count() == 50
+    asked = spark.createDataFrame([(r[0],) for r in rows[:60]] + [(None,)] + [(hashlib.md5(bytes([i])).hexdigest(),) for i in range(40)], "chunk_hash string")
+    got = [r.present for r in chunks.exists_batch(asked, store, filters=held, blocks=4).collect()]
+    assert sorted(got) == [False] * 41 + [True] * 60
+    assert chunks.exists_batch(asked, store.limit(0), filters=held.limit(0), blocks=4).filter("present").count() == 0
+
+
+@pytest.mark.parametrize("keys, blocks", [(0, 1), (1, 1), (33, 2), (20_000, 1024)])
+def test_filters_lose_no_key_and_pass_few_others(spark, keys, blocks):
+    assert m.blocks_for(keys) == blocks
+    held = spark.range(keys).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.crc32(F.col("id").cast("string")).alias("day"))
+    parts = [m.build_filter(held.filter(f"day % 3 = {i}"), "k", blocks) for i in range(3)]
+    rows = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    whole = m.merge_filters(rows)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(whole) == key(m.build_filter(held, "k", blocks).unionAll(parts[0]).groupBy("block").agg(*[F.bit_or(w).alias(w) for w in m.WORDS]))
+    assert m.possible(held, "k", whole, blocks).count() == keys
+    strange = spark.range(40_000).select(F.md5(F.col("id").cast("string")).alias("k"))
+    passed = m.possible(strange.unionAll(spark.createDataFrame([(None,)], "k string")), "k", whole, blocks).count()
+    rate = m.fill(whole, blocks).first().rate or 0.0
+    assert rate < 0.02 and abs(passed / 40_000 - rate) < 0.004
+
+
+def test_a_large_filter_is_not_broadcast(spark):
+    keys = spark.range(100).select(F.md5(F.col("id").cast("string")).alias("k"))
+    blocks = m.blocks_for(10**9)
+    assert not m.fits_broadcast(blocks)
+    assert m.possible(keys, "k", m.build_filter(keys, "k", blocks), blocks).count() == 100
+
+
 def test_log_archive(spark, tmp_path):
     lines = spark.createDataFrame([(k, i, f"line\t{i}") for k in (1, 2) for i in range(600)], "log_id long, line_no long, line string")
     path = str(tmp_path / "logs")
