@@ -145,13 +145,11 @@ def log_violations(lines: DataFrame, max_bytes: int, max_lines_per_sec: int) ->
     log that spans many ranges is followed through all of them at once
     (``plans/jumps.py``).
     """
-    sizes = lines.select("log_id", "line_no", F.octet_length("line").cast("long").alias("__bytes"))
-    size = running_totals(sizes, [F.col("line_no")], {"__sum": F.col("__bytes")}, ["log_id"]).filter(F.col("__sum") > max_bytes)
+    ranged = ranges(lines.select("log_id", F.col("line_no").cast("long").alias("line_no"), F.octet_length("line").cast("long").alias("__bytes"), "at_secs"), ["log_id", "line_no"])
+    size = running_totals(ranged.drop("at_secs"), [F.col("line_no")], {"__sum": F.col("__bytes")}, ["log_id"]).filter(F.col("__sum") > max_bytes)
     by_size = size.groupBy("log_id").agg(F.min("line_no").alias("line_no")).withColumn("fault", F.lit("size"))
-
-    timed = lines.select("log_id", F.col("line_no").cast("long").alias("line_no"), "at_secs")
-    by_rate = first_overfull(timed, "log_id", "line_no", "at_secs", max_lines_per_sec).withColumn("fault", F.lit("rate"))
-    both = by_size.select("log_id", F.col("line_no").cast("long").alias("line_no"), "fault").unionByName(by_rate)
+    by_rate = first_overfull(ranged, "log_id", "line_no", "at_secs", max_lines_per_sec).withColumn("fault", F.lit("rate"))
+    both = by_size.select("log_id", "line_no", "fault").unionByName(by_rate)
     first = both.groupBy("log_id").agg(F.min(F.struct("line_no", F.when(F.col("fault") == "size", 0).otherwise(1).alias("rank"), "fault")).alias("f"))
     return first.select("log_id", F.col("f.line_no").alias("line_no"), F.col("f.fault").alias("fault"))
 

@@ -85,7 +85,8 @@ def first_overfull(df: DataFrame, key: str, order: str, at: str, most: int, widt
     table gives an empty result. ``order`` is a whole number without nulls,
     rows that tie in it go by time.
 
-    Rows are range-partitioned by key and order and stored. Keys within one
+    Rows are range-partitioned by key and order and stored, unless ``df`` is
+    such a table of ``running.ranges``. Keys within one
     range are streamed, a batch at a time. Other keys, fewer than there are
     ranges, run in all their ranges at once: a range follows every window that
     may be open before its first row. Those begin in the ``most`` rows before
@@ -94,8 +95,7 @@ def first_overfull(df: DataFrame, key: str, order: str, at: str, most: int, widt
     and a key is then followed from stretch to stretch.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("of"), F.col(order).cast("long").alias("place"), F.col(at).cast("double").alias("at"))
-    ranged = ranges(rows, ["of", "place"])
+    ranged = ranges(df, [key, order]).select(PART, F.col(key).alias("of"), F.col(order).cast("long").alias("place"), F.col(at).cast("double").alias("at"))
     parts = stored(ranged.groupBy(PART, "of").agg(F.count("*").alias("n")))
     several = parts.groupBy(F.col("of").alias("again")).agg(F.count("*").alias("parts")).filter("parts > 1").select("again")
     same = F.col("of").eqNullSafe(F.col("again"))

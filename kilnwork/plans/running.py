@@ -13,7 +13,9 @@ PART = "__part"
 
 
 def ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    """``df`` range-partitioned by ``order`` and stored, with the number of each row's range in ``PART``."""
+    """``df`` range-partitioned by ``order`` and stored, with the number of each row's range in ``PART``; a table that has one already is left as it is."""
+    if PART in df.columns:
+        return df
     return stored(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
 
 
