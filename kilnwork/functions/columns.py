@@ -75,12 +75,13 @@ def is_drv(col: Column) -> Column:
     return F.endswith(col, F.lit(".drv"))
 
 
-def human_bytes(col: Column) -> Column:
-    """Whole bytes below a KiB, else one decimal and the largest fitting unit up to TiB."""
+def human_bytes(col: Column, units: Sequence[str] = ("KiB", "MiB", "GiB", "TiB")) -> Column:
+    """Whole bytes below a KiB, else one decimal (halves to even) and the largest fitting of ``units``; the last one has no end."""
+    shown = lambda i, unit: F.concat(F.format_string("%.1f", F.bround(col / 1024**i, 1)), F.lit(f" {unit}"))
     out = F.when(col < 1024, F.concat(col.cast("long").cast("string"), F.lit(" B")))
-    for i, unit in enumerate(("KiB", "MiB", "GiB"), start=1):
-        out = out.when(col < 1024 ** (i + 1), F.concat(F.format_string("%.1f", col / 1024**i), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(F.format_string("%.1f", col / 1024**4), F.lit(" TiB")))
+    for i, unit in enumerate(units[:-1], start=1):
+        out = out.when(col < 1024 ** (i + 1), shown(i, unit))
+    return out.otherwise(shown(len(units), units[-1]))
 
 
 def strip_ansi(msg: Column) -> Column:

@@ -96,3 +96,15 @@ def test_candidate_matrix_counts_failures_apart(spark):
     got = candidate_matrix(nodes, executors).select(*want.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert {r.reason for r in got.select("reason").distinct().collect()} >= {None, "failed-on", "system", "class"}
+
+
+def test_sizes_beyond_the_last_unit(spark):
+    """Order keys of larger tables pass a TiB, which the SQL of f6_human_bytes shows in GiB; halves are rounded as printf does."""
+    from kilnwork.functions.columns import human_bytes
+
+    sizes = [0, 1023, 1024, 1280, 1792, 1 << 20, (1 << 30) + (1 << 28), (1 << 40) - 1, 1 << 40, 17 * 899_999**2 + 3]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long")
+    for units in (("KiB", "MiB", "GiB"), ("KiB", "MiB", "GiB", "TiB")):
+        got = {r.n: r.shown for r in df.select("n", human_bytes(F.col("n"), units).alias("shown")).collect()}
+        place = {n: min(max(i for i in range(5) if i == 0 or n >= 1024**i), len(units)) for n in sizes}
+        assert got == {n: f"{n / 1024**i:.1f} {units[i - 1]}" if i else f"{n} B" for n, i in place.items()}
