@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kilnwork.functions.columns import BASE32, digest
 from kilnwork.plans.membership import blocks_for, build_filter, fits_broadcast, possible
+from kilnwork.plans.stored import stored
 
 
 @cache
@@ -274,6 +275,30 @@ def shared_chunks(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return classes, members.select("chunk_id", "class_id"), links
 
 
+#: Holders of a chunk that one row lists, and pairs of classes that one task counts, about.
+BLOCK, TASK_PAIRS = 1024, 1_000_000
+
+
+def shared_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``blob_id, class_id``; ``a, b, shared``): every pair of classes that share a chunk, with the number of chunks that both hold.
+
+    Blobs of equal chunk sets are one class, as in ``shared_chunks``; no chunk
+    is left out, however many classes hold it. The pairs are the result, so they
+    grow with the square of a chunk's classes. Lists of its holders travel, of
+    about ``BLOCK`` each, and pairs are formed where all of a class's lists
+    meet, so no pair is shuffled.
+    """
+    classes, members, _ = shared_chunks(entries)
+    members = stored(members)
+    sizes = members.groupBy("chunk_id").agg(F.ceil(F.count("*") / BLOCK).alias("__blocks"), (F.count("*") * (F.count("*") - 1) / 2).alias("__pairs"))
+    tasks = int((sizes.agg(F.sum("__pairs")).first()[0] or 0) // TASK_PAIRS) + 1
+    dealt = members.join(sizes.drop("__pairs"), "chunk_id").withColumn("__block", F.pmod(F.xxhash64("class_id"), F.col("__blocks")))
+    lists = dealt.groupBy("chunk_id", "__block").agg(F.collect_list("class_id").alias("__held"))
+    met = members.join(lists, "chunk_id").select(F.col("class_id").alias("a"), F.filter("__held", lambda b: b > F.col("class_id")).alias("__held"))
+    pairs = met.filter(F.size("__held") > 0).repartition(tasks, "a").select("a", F.explode("__held").alias("b"))
+    return classes, pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
 def shared_counts(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """``a, b, shared`` for the pairs of classes that are asked for: the number of chunks that both hold."""
     of_a = pairs.join(members.select(F.col("class_id").alias("a"), "chunk_id"), "a")

@@ -170,10 +170,12 @@ def _(t):
 
 @query("c15_shared_pairs", f"""
 WITH {MEMBERS_SQL}
-SELECT l.class_id AS a, l.head AS b, count(*) AS shared FROM l JOIN h AS x ON x.class_id = l.class_id JOIN h AS y ON y.class_id = l.head AND y.chunk_id = x.chunk_id GROUP BY l.class_id, l.head""")
+SELECT 'class' AS part, blob_id AS x, class_id AS y, CAST(NULL AS BIGINT) AS shared FROM c
+UNION ALL SELECT 'pair', a.class_id, b.class_id, count(*) FROM h AS a JOIN h AS b ON a.chunk_id = b.chunk_id AND a.class_id < b.class_id GROUP BY a.class_id, b.class_id""")
 def _(t):
-    _, members, links = s.shared_chunks(t.fx_chunk_entries)
-    return s.shared_counts(members, links.select(F.col("class_id").alias("a"), F.col("head").alias("b")))
+    classes, pairs = s.shared_pairs(t.fx_chunk_entries)
+    shown = lambda part, df, x, y, n: df.select(F.lit(part).alias("part"), F.col(x).alias("x"), F.col(y).alias("y"), n)
+    return shown("class", classes, "blob_id", "class_id", F.lit(None).cast("long").alias("shared")).unionAll(shown("pair", pairs, "a", "b", F.col("shared")))
 
 
 @query("c16_upload_plan", """

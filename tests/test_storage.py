@@ -149,3 +149,15 @@ def test_shared_chunks_without_pairs(spark):
     asked = [(a, b) for a in held for b in held if of[a] < of[b]]
     counts = s.shared_counts(members, spark.createDataFrame(asked, "a long, b long").distinct())
     assert all(r.shared == len(held[r.a] & held[r.b]) for r in counts.collect() if of[r.a] == r.a)
+
+
+def test_no_pair_of_a_frequent_chunk_is_lost(spark, monkeypatch):
+    """Every two classes that share a chunk are a pair, also beside its least class, with all chunks they share."""
+    monkeypatch.setattr(s, "BLOCK", 8)
+    held = {1: {1, 2, 3}, 2: {2, 3, 9}, 3: {1, 2, 3}, **{b: {9, b, b // 2 + 100} for b in range(10, 60)}, 70: {77}}
+    entries = spark.createDataFrame([(b, c) for b, chunks in held.items() for c in chunks] * 2, "blob_id long, chunk_id long")
+    classes, pairs = s.shared_pairs(entries)
+    assert {r.blob_id: r.class_id for r in classes.collect()} == {b: 1 if b == 3 else b for b in held}
+    want = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and 3 not in (a, b) and held[a] & held[b]}
+    assert sorted((r.a, r.b, r.shared) for r in pairs.collect()) == sorted((*k, n) for k, n in want.items())
+    assert len(want) > 50 * 49 // 2
