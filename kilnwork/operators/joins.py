@@ -114,8 +114,12 @@ def diff_sources(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def first_upstream(requested: DataFrame, upstreams: DataFrame, available: DataFrame) -> DataFrame:
-    """For each (tenant_id, path_id), the tenant's upstream of the least (priority, id) that has the path."""
-    offered = requested.join(upstreams, "tenant_id").join(available, ["upstream_id", "path_id"])
+    """For each (tenant_id, path_id), the tenant's upstream of the least (priority, id) that has the path.
+
+    Requests meet the holders of their path first: tenants are few, and all of
+    a tenant's upstreams beside each of its requests would be far more rows.
+    """
+    offered = requested.join(available, "path_id").join(upstreams, ["tenant_id", "upstream_id"])
     return offered.groupBy("tenant_id", "path_id").agg(F.min(F.struct("priority", "upstream_id")).alias("best")).select("tenant_id", "path_id", F.col("best.upstream_id").alias("upstream_id"))
 
 

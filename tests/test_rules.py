@@ -108,3 +108,18 @@ def test_sizes_beyond_the_last_unit(spark):
         got = {r.n: r.shown for r in df.select("n", human_bytes(F.col("n"), units).alias("shown")).collect()}
         place = {n: min(max(i for i in range(5) if i == 0 or n >= 1024**i), len(units)) for n in sizes}
         assert got == {n: f"{n / 1024**i:.1f} {units[i - 1]}" if i else f"{n} B" for n, i in place.items()}
+
+
+def test_upstreams_of_a_tenant_do_not_meet_all_its_requests(spark):
+    """Joins give no more rows than the requests have holders; the least (priority, id) that has the path wins."""
+    from test_graph import most_joined
+
+    from kilnwork.operators.joins import first_upstream
+
+    requested = spark.range(2000).select(F.lit(1).cast("long").alias("tenant_id"), F.col("id").alias("path_id"))
+    upstreams = spark.range(500).select(F.lit(1).cast("long").alias("tenant_id"), F.col("id").alias("upstream_id"), (F.col("id") % 4).alias("priority"))
+    available = spark.range(2000).select(F.explode(F.array(F.col("id") % 500, (F.col("id") + 1) % 500, F.lit(900).cast("long"))).alias("upstream_id"), F.col("id").alias("path_id"))
+    found = first_upstream(requested, upstreams, available)
+    want = {i: min(((u % 4, u) for u in (i % 500, (i + 1) % 500)))[1] for i in range(2000)}
+    assert {r.path_id: r.upstream_id for r in found.collect()} == want
+    assert most_joined(found) <= 6000
