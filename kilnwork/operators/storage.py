@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kilnwork.functions.columns import BASE32, digest
 from kilnwork.plans.membership import blocks_for, build_filter, fits_broadcast, possible
-from kilnwork.plans.stored import stored
+from kilnwork.plans.stored import in_tasks, stored
 
 
 @cache
@@ -93,12 +93,22 @@ def chunk_hash(col: Column) -> Column:
     return F.sha2(col, 256)
 
 
+def _once(entries: DataFrame) -> DataFrame:
+    """``blob_id, chunk_id, size`` of each distinct blob and hash, with its greatest size."""
+    return in_tasks(entries.select("blob_id", "chunk_id", "size"), "blob_id", "chunk_id").groupBy("blob_id", "chunk_id").agg(F.max("size").alias("size"))
+
+
+def references(entries: DataFrame) -> DataFrame:
+    """``blob_id, chunk_id``, each once."""
+    return in_tasks(entries.select("blob_id", "chunk_id"), "blob_id", "chunk_id").distinct()
+
+
 def apply_manifests(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     """``chunks`` after blobs were added: one reference a distinct hash and blob, new rows, deleted ones back.
 
     ``needs_upload`` marks referenced chunks that were never uploaded.
     """
-    added = entries.select("blob_id", "chunk_id", "size").dropDuplicates(["blob_id", "chunk_id"]).groupBy("chunk_id").agg(F.count("*").alias("__add"), F.max("size").alias("__size"))
+    added = _once(entries).groupBy("chunk_id").agg(F.count("*").alias("__add"), F.max("size").alias("__size"))
     both = chunks.join(added, "chunk_id", "full_outer")
     used = F.col("__add").isNotNull()
     return both.select(
@@ -112,7 +122,7 @@ def apply_manifests(chunks: DataFrame, entries: DataFrame) -> DataFrame:
 
 def audit_refcounts(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     """``chunk_id, stored, counted`` where the stored count differs from the blobs counted, or is negative."""
-    counted = entries.select("blob_id", "chunk_id").distinct().groupBy("chunk_id").agg(F.count("*").alias("counted"))
+    counted = references(entries).groupBy("chunk_id").agg(F.count("*").alias("counted"))
     both = chunks.select("chunk_id", F.col("refcount").alias("stored")).join(counted, "chunk_id", "full_outer")
     zero = both.select("chunk_id", F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce("counted", F.lit(0)).alias("counted"))
     return zero.filter("stored <> counted or stored < 0")
@@ -120,7 +130,7 @@ def audit_refcounts(chunks: DataFrame, entries: DataFrame) -> DataFrame:
 
 def sweep(chunks: DataFrame, entries: DataFrame, removed: DataFrame) -> DataFrame:
     """``chunks`` after blobs went: one reference less a distinct hash and blob, ``zeroed`` at 0 and then deleted."""
-    gone = entries.join(removed.select("blob_id"), "blob_id", "left_semi").select("blob_id", "chunk_id").distinct()
+    gone = references(entries.join(removed.select("blob_id"), "blob_id", "left_semi"))
     less = gone.groupBy("chunk_id").agg(F.count("*").alias("__less"))
     joined = chunks.join(less, "chunk_id", "left")
     left = F.greatest(F.col("refcount") - F.coalesce("__less", F.lit(0)), F.lit(0))
@@ -249,8 +259,7 @@ def scan_refs(blobs: DataFrame, candidates: DataFrame, size: int = 32) -> DataFr
 
 def dedup_report(entries: DataFrame) -> DataFrame:
     """``chunk_id, blobs, saved_bytes`` of chunks that several blobs share: what storing them once saves."""
-    once = entries.groupBy("blob_id", "chunk_id").agg(F.max("size").alias("size"))
-    shared = once.groupBy("chunk_id").agg(F.count("*").alias("blobs"), F.max("size").alias("size"), F.sum("size").alias("all"))
+    shared = _once(entries).groupBy("chunk_id").agg(F.count("*").alias("blobs"), F.max("size").alias("size"), F.sum("size").alias("all"))
     return shared.filter("blobs > 1").select("chunk_id", "blobs", (F.col("all") - F.col("size")).alias("saved_bytes"))
 
 
@@ -264,7 +273,7 @@ def shared_chunks(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     by these links. All parts have as many rows as ``entries`` at most, however
     many classes hold a chunk. ``shared_counts`` gives the number of any pair.
     """
-    once = entries.select("blob_id", "chunk_id").distinct()
+    once = stored(references(entries))
     sets = once.groupBy("blob_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("chunk_id")), ","), 256).alias("key"))
     named = sets.groupBy("key").agg(F.min("blob_id").alias("class_id"))
     classes = sets.join(named, "key").select("blob_id", "class_id")

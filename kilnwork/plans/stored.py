@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that one task holds in hash tables, about, where ``in_tasks`` deals them.
+TASK_ROWS = 1_000_000
+
 #: Used only where the session names no folder and runs on one machine, as in tests.
 LOCAL_FOLDER = "/tmp/checkpoints"
 
@@ -66,3 +69,13 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def in_tasks(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` to tasks of about ``TASK_ROWS`` each; the driver sees their number.
+
+    For groups nearly as many as rows, which gain nothing by being combined
+    before the shuffle: a task then holds as many as ever, whatever the size of
+    the input's splits.
+    """
+    return rows.repartition(rows.count() // TASK_ROWS + 1, *keys)

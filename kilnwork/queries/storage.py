@@ -58,7 +58,7 @@ w AS (SELECT c.chunk_id, x.size, c.refcount - coalesce(n, 0) AS refcount, n IS N
 
 
 def _counted(t):
-    counts = t.fx_chunk_entries.select("blob_id", "chunk_id").distinct().groupBy("chunk_id").agg(F.count("*").alias("refcount"))
+    counts = s.references(t.fx_chunk_entries).groupBy("chunk_id").agg(F.count("*").alias("refcount"))
     return t.fx_chunks.select("chunk_id", "size").join(counts, "chunk_id").withColumn("deleted", F.lit(False))
 
 

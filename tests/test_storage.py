@@ -161,3 +161,18 @@ def test_no_pair_of_a_frequent_chunk_is_lost(spark, monkeypatch):
     want = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and 3 not in (a, b) and held[a] & held[b]}
     assert sorted((r.a, r.b, r.shared) for r in pairs.collect()) == sorted((*k, n) for k, n in want.items())
     assert len(want) > 50 * 49 // 2
+
+
+def test_distinct_entries_are_dealt_by_their_number(spark, monkeypatch):
+    """The rows that a task holds don't follow the size of splits; the greatest size of a repeated entry counts."""
+    from kilnwork.plans import stored
+
+    monkeypatch.setattr(stored, "TASK_ROWS", 50)
+    entries = spark.createDataFrame([(b, c, 10 + c + k) for b in range(40) for c in range(b % 7) for k in range(2)], "blob_id long, chunk_id long, size long").coalesce(1)
+    assert s.references(entries).rdd.getNumPartitions() == entries.count() // 50 + 1 > 4
+    got = {r.chunk_id: (r.blobs, r.saved_bytes) for r in s.dedup_report(entries).collect()}
+    holders = {c: sum(1 for b in range(40) if c < b % 7) for c in range(6)}
+    assert got == {c: (n, (n - 1) * (11 + c)) for c, n in holders.items()}
+    none = spark.createDataFrame([], "chunk_id long, size long, refcount long, deleted boolean, uploaded boolean")
+    assert {r.chunk_id: (r.refcount, r.size) for r in s.apply_manifests(none, entries).collect()} == {c: (n, 11 + c) for c, n in holders.items()}
+    assert {r.chunk_id: r.counted for r in s.audit_refcounts(none, entries).collect()} == holders
