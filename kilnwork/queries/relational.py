@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kilnwork.operators import filters, joins, pages, sets
 from kilnwork.plans import membership
+from kilnwork.plans.stored import in_tasks
 from kilnwork.queries.registry import Inputs, query
 from kilnwork.queries.views import AS_OF
 from kilnwork.sources import chunks, closures, logs, manifests, tables, text
@@ -53,7 +54,7 @@ def _(t):
 
 
 def _entries(t: Inputs) -> DataFrame:
-    e = t.fx_chunk_entries.groupBy("blob_id", "idx").agg(F.min("chunk_id").alias("chunk_id"), F.max("size").alias("size"))
+    e = in_tasks(t.fx_chunk_entries, "blob_id").groupBy("blob_id", "idx").agg(F.min("chunk_id").alias("chunk_id"), F.max("size").alias("size"))
     return e.withColumn("chunk_hash", F.unhex(F.sha2(F.col("chunk_id").cast("string"), 256)))
 
 

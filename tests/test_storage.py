@@ -176,3 +176,13 @@ def test_distinct_entries_are_dealt_by_their_number(spark, monkeypatch):
     none = spark.createDataFrame([], "chunk_id long, size long, refcount long, deleted boolean, uploaded boolean")
     assert {r.chunk_id: (r.refcount, r.size) for r in s.apply_manifests(none, entries).collect()} == {c: (n, 11 + c) for c, n in holders.items()}
     assert {r.chunk_id: r.counted for r in s.audit_refcounts(none, entries).collect()} == holders
+
+
+def test_entries_of_manifests_are_dealt_by_their_number(spark, inputs, monkeypatch):
+    """Lists are made in tasks of a bounded number of entries, and hashes are not shuffled."""
+    from kilnwork.plans import stored
+    from kilnwork.queries.registry import QUERIES
+
+    monkeypatch.setattr(stored, "TASK_ROWS", 500)
+    made = QUERIES["s4_encode_manifest"](spark, inputs.sf_dir)
+    assert made.rdd.getNumPartitions() == inputs.fx_chunk_entries.count() // 500 + 1 > 4
