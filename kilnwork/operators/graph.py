@@ -194,17 +194,20 @@ def dependents(seeds: DataFrame, deps: DataFrame, max_nodes: int = 10_000) -> Da
 def merkle_fingerprint(nodes: DataFrame, edges: DataFrame, fields: Sequence[str]) -> DataFrame:
     """``node_id, value``: sha256 of a node's fields and its children's values, sorted.
 
-    Fixed outputs depend on their own fields only.
+    Fixed outputs depend on their own fields only. Values travel as bytes, half
+    as long as their hex text and in the same order.
     """
     free = edges.join(nodes.filter("is_fixed_output").select(F.col("node_id").alias("parent_id")), "parent_id", "left_anti")
     own = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-    return fold_up(
+    below = F.array_join(F.transform(F.array_sort(F.col("folded")), lambda v: F.lower(F.hex(v))), ",")
+    folded = fold_up(
         nodes, free, {"own": own},
         gather=F.collect_list("value"),
-        merge=lambda before, more: F.concat(F.coalesce(before, F.array().cast("array<string>")), more),
-        finish=F.sha2(F.concat_ws("#", "own", F.coalesce(F.array_join(F.array_sort(F.col("folded")), ","), F.lit(""))), 256),
-        kind="array<string>",
+        merge=lambda before, more: F.concat(F.coalesce(before, F.array().cast("array<binary>")), more),
+        finish=F.unhex(F.sha2(F.concat_ws("#", "own", F.coalesce(below, F.lit(""))), 256)),
+        kind="array<binary>",
     )
+    return folded.select("node_id", F.lower(F.hex("value")).alias("value"))
 
 
 def needs_resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kilnwork.operators import graph as g
 from kilnwork.plans.components import connected_components
 from kilnwork.plans.running import running_totals
-from kilnwork.plans.walk import waiting_nodes, walk
+from kilnwork.plans.walk import fold_up, waiting_nodes, walk
 
 CHAIN = [(4, 3), (3, 2), (2, 1)]
 DIAMOND = [(4, 2), (4, 3), (2, 1), (3, 1)]
@@ -231,3 +231,12 @@ def most_joined(df):
 
     df.collect()
     return max(walk_plan(df._jdf.queryExecution().executedPlan()))
+
+
+def test_fingerprints_travel_as_bytes(spark, monkeypatch):
+    """What the rounds store and send is 32 bytes a child, not 64 hex digits."""
+    sent = []
+    monkeypatch.setattr(g, "fold_up", lambda *a, **k: sent.append(fold_up(*a, **k)) or sent[0])
+    shown = g.merkle_fingerprint(nodes(spark), edges(spark, [(1, 0), (2, 0), (2, 1)]), ["estimate"])
+    assert dict(sent[0].dtypes)["value"] == "binary" and sent[0].filter("length(value) <> 32").isEmpty()
+    assert dict(shown.dtypes)["value"] == "string" and shown.filter("length(value) <> 64").isEmpty()
