@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.operators.filters import DONE, RETRIABLE, TERMINAL
-from kilnwork.plans.stored import Rounds, stored
+from kilnwork.plans.stored import TASK_ROWS, Rounds, stored
 from kilnwork.plans.walk import fold_up, strong_components, walk
 
 
@@ -251,7 +251,7 @@ def realised_hits(wanted: DataFrame, realisations: DataFrame, present: DataFrame
     """``key_id`` whose wanted outputs are all realised, in paths that are all still there."""
     there = present.select("path_id", F.lit(True).alias("__there")).distinct()
     found = wanted.join(realisations, ["key_id", "output_name"], "left").join(there, "path_id", "left")
-    return found.groupBy("key_id").agg(F.bool_and(F.coalesce("__there", F.lit(False))).alias("all")).filter("all").select("key_id")
+    return found.repartition(wanted.count() // TASK_ROWS + 1, "key_id").groupBy("key_id").agg(F.bool_and(F.coalesce("__there", F.lit(False))).alias("all")).filter("all").select("key_id")
 
 
 def merge_dag(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:

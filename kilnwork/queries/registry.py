@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kilnwork.queries.built import BUILT
 from kilnwork.queries.views import VIEWS
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
@@ -24,7 +25,9 @@ class Inputs:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._found:
-            if name in VIEWS:
+            if name in BUILT:
+                self._found[name] = BUILT[name](self)
+            elif name in VIEWS:
                 body = VIEWS[name]
                 frames = {n: getattr(self, n) for n in names_in(body)}
                 for n in frames:

@@ -123,3 +123,19 @@ def test_upstreams_of_a_tenant_do_not_meet_all_its_requests(spark):
     want = {i: min(((u % 4, u) for u in (i % 500, (i + 1) % 500)))[1] for i in range(2000)}
     assert {r.path_id: r.upstream_id for r in found.collect()} == want
     assert most_joined(found) <= 6000
+
+
+def test_realisations_are_dealt_by_their_number(spark, inputs, monkeypatch):
+    """A task holds a bounded number of outputs, whatever the session's number of shuffle partitions."""
+    from kilnwork.operators import graph as g
+    from kilnwork.plans import stored as s
+
+    monkeypatch.setattr(s, "TASK_ROWS", 500)
+    monkeypatch.setattr(g, "TASK_ROWS", 500)
+    made = inputs.fx_realisations
+    assert made.rdd.getNumPartitions() == inputs.lineitem.count() // 500 + 1
+    assert made.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1000
+    wanted = made.select("key_id", "output_name")
+    hits = g.realised_hits(wanted, made, made.select("path_id"))
+    assert hits.rdd.getNumPartitions() == wanted.count() // 500 + 1
+    assert hits.count() == made.select("key_id").distinct().count()
