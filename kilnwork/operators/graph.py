@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.operators.filters import DONE, RETRIABLE, TERMINAL
-from kilnwork.plans.stored import TASK_ROWS, Rounds, stored
+from kilnwork.plans.stored import TASK_ROWS, Rounds, distinct_stored, stored
 from kilnwork.plans.walk import fold_up, strong_components, walk
 
 
@@ -201,7 +201,7 @@ def merkle_fingerprint(nodes: DataFrame, edges: DataFrame, fields: Sequence[str]
     own = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
     below = F.array_join(F.transform(F.array_sort(F.col("folded")), lambda v: F.lower(F.hex(v))), ",")
     folded = fold_up(
-        nodes, free, {"own": own},
+        nodes, distinct_stored(free, "parent_id", "child_id"), {"own": own},
         gather=F.collect_list("value"),
         merge=lambda before, more: F.concat(F.coalesce(before, F.array().cast("array<binary>")), more),
         finish=F.unhex(F.sha2(F.concat_ws("#", "own", F.coalesce(below, F.lit(""))), 256)),

@@ -33,9 +33,9 @@ def stored(df: DataFrame) -> DataFrame:
 
     The scan has no lineage beyond its files, so a lost executor costs no
     recomputation of ``df``, and using the result twice computes ``df`` once.
-    The files go when the session ends.
+    The files go when the session ends. Such a scan itself is not written again.
     """
-    return Rounds(df).add(df)
+    return df if getattr(df, "_kept", False) else Rounds(df).add(df)
 
 
 def read_rounds(tables: list[Rounds]) -> DataFrame:
@@ -57,7 +57,9 @@ class Rounds:
     def add(self, rows: DataFrame) -> DataFrame:
         """All rows so far, ``rows`` among them; earlier results keep the rows they had."""
         rows.write.mode("append").parquet(self.path)
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        kept = self.spark.read.schema(self.schema).parquet(self.path)
+        kept._kept = True
+        return kept
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -79,3 +81,12 @@ def in_tasks(rows: DataFrame, *keys: str) -> DataFrame:
     the input's splits.
     """
     return rows.repartition(rows.count() // TASK_ROWS + 1, *keys)
+
+
+def distinct_stored(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` of ``rows``, each once, stored; for rows that hardly repeat, as ``in_tasks``.
+
+    The rows are stored before, too, so that what they come from runs once
+    and their number is read from the files.
+    """
+    return stored(in_tasks(stored(rows.select(*keys)), *keys).distinct())

@@ -165,7 +165,8 @@ def waiting_nodes(edges: DataFrame, max_rounds: int = 512) -> DataFrame:
 def fold_up(nodes: DataFrame, edges: DataFrame, own: dict[str, Column], gather: Column, merge: Callable[[Column, Column], Column], finish: Column, kind: str, max_rounds: int = 512) -> DataFrame:
     """``node_id, value`` bottom-up: ``finish`` over a node's own columns and ``folded``, what was gathered from its children.
 
-    ``nodes`` has a unique ``node_id``. ``gather`` aggregates the ``value`` of
+    ``nodes`` has a unique ``node_id``; an edge that repeats sends its value as
+    often, so for a ``gather`` that counts they must be distinct. ``gather`` aggregates the ``value`` of
     the children that were folded in one round, ``merge`` adds that to what
     earlier rounds gathered (null before the first; ``kind`` is its type), so a value is sent over
     each edge once, in the round after it is known. A round stores one table:
@@ -174,7 +175,7 @@ def fold_up(nodes: DataFrame, edges: DataFrame, own: dict[str, Column], gather:
     two counts a round. A child without a node counts as folded but has no
     value. Raises ValueError on a cycle, RuntimeError beyond ``max_rounds``.
     """
-    edges = stored(edges.select("parent_id", "child_id").distinct())
+    edges = stored(edges)
     named = nodes.select("node_id", *[c.alias(n) for n, c in own.items()], F.lit(True).alias("known"), F.lit(0).cast("long").alias("left"))
     parents = edges.select(F.col("parent_id").alias("node_id"), F.lit(1).cast("long").alias("left"))
     children = edges.select(F.col("child_id").alias("node_id"), F.lit(0).cast("long").alias("left"))

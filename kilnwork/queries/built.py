@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.plans.stored import in_tasks
+from kilnwork.plans.stored import distinct_stored, in_tasks
+
+
+def edges(lineitem: DataFrame) -> DataFrame:
+    """``parent_id, child_id``: pairs of nodes of one build, from a higher layer to a lower one, each once.
+
+    Pairs are many times the rows of a build and hardly repeat, so they are
+    stored as they are and made distinct in tasks dealt by their number.
+    """
+    rows = in_tasks(lineitem.select("l_orderkey", F.col("l_partkey").alias("parent_id")), "l_orderkey")
+    pairs = rows.join(rows.withColumnRenamed("parent_id", "child_id"), "l_orderkey")
+    return distinct_stored(pairs.filter("parent_id % 8 > child_id % 8"), "parent_id", "child_id")
 
 
 def realisations(lineitem: DataFrame) -> DataFrame:
@@ -14,4 +25,4 @@ def realisations(lineitem: DataFrame) -> DataFrame:
     return in_tasks(rows, "key_id", "output_name").groupBy("key_id", "output_name").agg(F.min("l_partkey").alias("path_id"), F.min("l_shipdate").alias("created_at"))
 
 
-BUILT = {"fx_realisations": lambda t: realisations(t.lineitem)}
+BUILT = {"fx_edges": lambda t: edges(t.lineitem), "fx_realisations": lambda t: realisations(t.lineitem)}

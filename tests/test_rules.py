@@ -139,3 +139,24 @@ def test_realisations_are_dealt_by_their_number(spark, inputs, monkeypatch):
     hits = g.realised_hits(wanted, made, made.select("path_id"))
     assert hits.rdd.getNumPartitions() == wanted.count() // 500 + 1
     assert hits.count() == made.select("key_id").distinct().count()
+
+
+def test_edges_are_dealt_by_their_number(spark, inputs, monkeypatch):
+    """Pairs are made distinct in tasks of a bounded number, and equal the view's SQL."""
+    from kilnwork.plans import stored as s
+    from kilnwork.queries.views import VIEWS
+
+    monkeypatch.setattr(s, "TASK_ROWS", 500)
+    made = inputs.fx_edges
+    plain = spark.sql(VIEWS["fx_edges"].replace("lineitem", "{rows}"), rows=inputs.lineitem)
+    assert made.exceptAll(plain).isEmpty() and plain.exceptAll(made).isEmpty()
+    assert len(made.inputFiles()) > made.count() // 1000
+    assert s.stored(made) is made
+
+
+def test_paths_over_repeated_edges(spark):
+    from kilnwork.operators.graph import critical_path
+
+    nodes = spark.createDataFrame([(1, "queued", 2.0), (2, "queued", 3.0), (3, "queued", 4.0)], "node_id long, status string, estimate double")
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (1, 3), (2, 3)], "parent_id long, child_id long")
+    assert {tuple(r) for r in critical_path(nodes, edges).collect()} == {(1, 9.0), (2, 7.0), (3, 4.0)}
