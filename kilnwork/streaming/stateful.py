@@ -6,6 +6,7 @@ order; the batch twin runs the same fold over sorted rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -112,64 +113,74 @@ class FoldProcessor(StatefulProcessor):
 class TimedFoldProcessor(FoldProcessor):
     """Runs a fold in order of event time and sequence: rows wait in list state until the watermark has passed them, later ones are dropped.
 
-    A key holds the rows of one batch and of the watermark's delay, and one timer, for the earliest of them.
+    A key holds the rows of one batch and of the watermark's delay, and one
+    timer, for the earliest of them. The rows that a batch brings for a key are
+    one element of the list, their columns as JSON, since each element and each
+    call costs a way to the state store and back.
     """
 
     def __init__(self, step, key: str, waiting: StructType, state_schema: StructType, out_columns: list[str]):
         super().__init__(step, [], state_schema, out_columns)
-        self.key, self.waiting = key, waiting
+        self.key, self.names = key, waiting.fieldNames()
+        self.whole = {f.name for f in waiting.fields if isinstance(f.dataType, LongType)}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.handle = handle
-        self.rows = handle.getListState("waiting", self.waiting)
+        self.held = handle.getListState("held", StructType([StructField("columns", StringType())]))
         self.next = handle.getValueState("next", StructType([StructField("millis", LongType())]))
 
-    def _wake_at(self, micros: int | None) -> None:
-        millis = None if micros is None else -(-micros // 1000)
-        before = self.next.get()[0] if self.next.exists() else None
-        if millis == before:
+    def _packed(self, frame: pd.DataFrame) -> tuple[str]:
+        columns = [frame[n].tolist() for n in self.names]
+        # a batch with nulls brings whole numbers as floats
+        return (json.dumps([[None if pd.isna(x) else int(x) for x in c] if n in self.whole else c for n, c in zip(self.names, columns, strict=True)]),)
+
+    def _wake_at(self, micros: int, before: int | None) -> None:
+        millis = -(-micros // 1000)
+        if before is not None and before <= millis:
             return
         if before is not None:
             self.handle.deleteTimer(before)
-        if millis is None:
-            self.next.clear()
-        else:
-            self.handle.registerTimer(millis)
-            self.next.update((millis,))
+        self.handle.registerTimer(millis)
+        self.next.update((millis,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        least = self.next.get()[0] * 1000 if self.next.exists() else None
+        passed, least = timerValues.getCurrentWatermarkInMs() * 1000, None
         for frame in rows:
-            frame = frame[frame["at_micros"] > passed]
+            late = frame["at_micros"].to_numpy() <= passed
+            if late.any():
+                frame = frame[~late]
             if len(frame):
-                self.rows.appendList(list(frame[self.waiting.fieldNames()].itertuples(index=False, name=None)))
+                self.held.appendValue(self._packed(frame))
                 first = int(frame["at_micros"].min())
                 least = first if least is None else min(least, first)
         if least is not None:
-            self._wake_at(least)
+            before = self.next.get()
+            self._wake_at(least, before[0] if before else None)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: r[:2])
+        held = sorted((r for (text,) in self.held.get() for r in zip(*json.loads(text), strict=True)), key=lambda r: (r[0], r[1] is not None, r[1] or 0))
         ready, later = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
+        self.next.clear()  # its timer has just gone
         if later:
-            self.rows.put(later)
+            self.held.put([(json.dumps(list(zip(*later, strict=True))),)])
+            self._wake_at(later[0][0], None)
         else:
-            self.rows.clear()
-        self.next.clear()  # its timer has just gone
-        self._wake_at(later[0][0] if later else None)
-        state = dict(zip(self.fields, self.state.get(), strict=True)) if self.state.exists() else None
+            self.held.clear()
+        begun = self.state.get()
+        state = dict(zip(self.fields, begun, strict=True)) if begun else None
         out = []
         for values in ready:
-            row = dict(zip(self.waiting.fieldNames(), values, strict=True))
+            row = dict(zip(self.names, values, strict=True))
             state, found = self.step(state, row)
-            out.append({self.key: key[0], **row, **found})
+            row.update(found)
+            out.append([row[c] for c in self.out_columns[1:]])
         if state is not None:
             self.state.update(tuple(state[f] for f in self.fields))
-        yield pd.DataFrame(out, columns=self.out_columns)
+        columns = zip(*out, strict=True) if out else [()] * (len(self.out_columns) - 1)
+        yield pd.DataFrame({self.key: [key[0]] * len(out), **dict(zip(self.out_columns[1:], map(list, columns), strict=True))})
 
 
 class HeartbeatProcessor(StatefulProcessor):

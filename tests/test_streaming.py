@@ -203,3 +203,88 @@ def test_streams_run_from_any_folder(tmp_path):
     known = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", ELSEWHERE.format(repo=repo, data=DATA)], cwd=tmp_path, env=known, capture_output=True, text=True, timeout=180)
     assert int(done.stdout.split("rows ")[1]) > 0, done.stderr[-2000:]
+
+
+class Cells:
+    """State of one key in memory, as a processor's handle gives it, that counts what passes."""
+
+    def __init__(self):
+        self.values, self.lists, self.timers, self.passed = {}, {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return Cell(self, self.values, name)
+
+    def getListState(self, name, schema):
+        return Cell(self, self.lists, name)
+
+    def registerTimer(self, millis):
+        self.timers.add(millis)
+
+    def deleteTimer(self, millis):
+        self.timers.remove(millis)
+
+
+class Cell:
+    def __init__(self, cells, held, name):
+        self.cells, self.held, self.name = cells, held, name
+
+    def exists(self):
+        return self.name in self.held
+
+    def get(self):
+        found = self.held.get(self.name)
+        return iter(found or []) if self.held is self.cells.lists else found
+
+    def update(self, value):
+        self.held[self.name] = value
+        self.cells.passed += 1
+
+    def put(self, values):
+        self.held[self.name] = list(values)
+        self.cells.passed += len(values)
+
+    def appendValue(self, value):
+        self.appendList([value])
+
+    def appendList(self, values):
+        self.held.setdefault(self.name, []).extend(values)
+        self.cells.passed += len(values)
+
+    def clear(self):
+        self.held.pop(self.name, None)
+
+
+class Clock:
+    def __init__(self, millis):
+        self.millis = millis
+
+    def getCurrentWatermarkInMs(self):
+        return self.millis
+
+
+def test_rows_of_a_batch_wait_as_one_element():
+    """The state store is asked as often for a hundred rows of a key as for one; late rows are dropped, others come in order."""
+    import pandas as pd
+    from pyspark.sql.types import StructType
+
+    from kilnwork.streaming.stateful import TimedFoldProcessor, fold_ema
+
+    waiting = StructType.fromDDL("at_micros long, sequence long, value double")
+    p, cells = TimedFoldProcessor(fold_ema(0.5), "build_id", waiting, StructType.fromDDL("ema double, n long"), ["build_id", "sequence", "ema", "n"]), Cells()
+    p.init(cells)
+    values = [0.1 * i for i in range(100)]
+    frame = pd.DataFrame({"build_id": 7, "at_micros": [1_000_000 + 1000 * i for i in range(100)], "sequence": range(100), "value": values})
+    assert list(p.handleInputRows((7,), iter([frame[::-1]]), Clock(0))) == []
+    assert cells.passed <= 3 and cells.timers == {1000}
+    early = pd.DataFrame({"build_id": [7, 7], "at_micros": [400_000, 900_000], "sequence": [None, -1.0], "value": [9.0, None]})
+    p.handleInputRows((7,), iter([early]), Clock(500))
+    assert cells.timers == {900}
+    cells.timers.clear()
+    out = pd.concat(p.handleExpiredTimer((7,), Clock(1049), None))
+    assert out["sequence"].tolist() == [-1, *range(50)] and set(out["build_id"]) == {7} and cells.timers == {1050}
+    rest = pd.concat(p.handleExpiredTimer((7,), Clock(2000), None))
+    assert rest["sequence"].tolist() == [*range(50, 100)] and not cells.lists
+    want = values[0]
+    for x in values[1:]:
+        want = 0.5 * x + 0.5 * want
+    assert rest["ema"].iloc[-1] == want and rest["n"].iloc[-1] == 100
