@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.operators.filters import DONE, RETRIABLE, TERMINAL
-from kilnwork.plans.stored import TASK_ROWS, Rounds, distinct_stored, stored
+from kilnwork.plans.stored import TASK_ROWS, Rounds, stored
 from kilnwork.plans.walk import fold_up, strong_components, walk
 
 
@@ -31,18 +31,23 @@ def critical_path(nodes: DataFrame, edges: DataFrame, exclude_terminal: bool = T
     )
 
 
-def update_ancestors(nodes: DataFrame, edges: DataFrame, values: DataFrame, changed: DataFrame, max_rounds: int = 512) -> DataFrame:
+def live_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges whose child is not terminal."""
+    return edges.join(nodes.filter(F.col("status").isin(*TERMINAL)).select(F.col("node_id").alias("child_id")), "child_id", "left_anti")
+
+
+def update_ancestors(nodes: DataFrame, edges: DataFrame, values: DataFrame, changed: DataFrame, max_rounds: int = 512, exclude_terminal: bool = True) -> DataFrame:
     """``node_id, value`` of all nodes after ``changed`` (node_id, estimate) replaced estimates, from the old ``values``.
 
     Only ancestors of changed nodes are computed anew, and a branch ends where
-    a node's value stays as it was. Terminal children count here as 0. A round
-    stores the values that it changed, never all of them.
+    a node's value stays as it was. With ``exclude_terminal`` terminal children
+    count as 0. A round stores the values that it changed, never all of them.
     """
-    estimates = nodes.select("node_id", "estimate", F.col("status").isin(*TERMINAL).alias("over")).join(changed.withColumnRenamed("estimate", "__new"), "node_id", "left")
-    estimates = stored(estimates.select("node_id", F.coalesce("__new", "estimate").alias("estimate"), "over"))
+    estimates = nodes.select("node_id", "estimate").join(changed.withColumnRenamed("estimate", "__new"), "node_id", "left")
+    estimates = stored(estimates.select("node_id", F.coalesce("__new", "estimate").alias("estimate")))
     old, frontier, news = stored(values.select("node_id", "value")), stored(changed.select("node_id").distinct()), None
     now = old
-    live = stored(edges.join(estimates.filter("over").select(F.col("node_id").alias("child_id")), "child_id", "left_anti"))
+    live = stored(live_edges(nodes, edges) if exclude_terminal else edges)
     for level in range(max_rounds):
         below = live.join(frontier.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi")
         best = below.join(now.withColumnRenamed("node_id", "child_id"), "child_id").groupBy(F.col("parent_id").alias("node_id")).agg(F.max("value").alias("best"))
@@ -201,7 +206,7 @@ def merkle_fingerprint(nodes: DataFrame, edges: DataFrame, fields: Sequence[str]
     own = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
     below = F.array_join(F.transform(F.array_sort(F.col("folded")), lambda v: F.lower(F.hex(v))), ",")
     folded = fold_up(
-        nodes, distinct_stored(free, "parent_id", "child_id"), {"own": own},
+        nodes, free.select("parent_id", "child_id").distinct(), {"own": own},
         gather=F.collect_list("value"),
         merge=lambda before, more: F.concat(F.coalesce(before, F.array().cast("array<binary>")), more),
         finish=F.unhex(F.sha2(F.concat_ws("#", "own", F.coalesce(below, F.lit(""))), 256)),

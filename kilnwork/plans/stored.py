@@ -81,12 +81,3 @@ def in_tasks(rows: DataFrame, *keys: str) -> DataFrame:
     the input's splits.
     """
     return rows.repartition(rows.count() // TASK_ROWS + 1, *keys)
-
-
-def distinct_stored(rows: DataFrame, *keys: str) -> DataFrame:
-    """``keys`` of ``rows``, each once, stored; for rows that hardly repeat, as ``in_tasks``.
-
-    The rows are stored before, too, so that what they come from runs once
-    and their number is read from the files.
-    """
-    return stored(in_tasks(stored(rows.select(*keys)), *keys).distinct())

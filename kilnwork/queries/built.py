@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.plans.stored import distinct_stored, in_tasks
+from kilnwork.plans.stored import TASK_ROWS, in_tasks
 
 
 def edges(lineitem: DataFrame) -> DataFrame:
     """``parent_id, child_id``: pairs of nodes of one build, from a higher layer to a lower one, each once.
 
     Pairs are many times the rows of a build and hardly repeat, so they are
-    stored as they are and made distinct in tasks dealt by their number.
+    not combined before the shuffle but dealt to tasks by their number, which
+    follows from the sizes of builds.
     """
     rows = in_tasks(lineitem.select("l_orderkey", F.col("l_partkey").alias("parent_id")), "l_orderkey")
-    pairs = rows.join(rows.withColumnRenamed("parent_id", "child_id"), "l_orderkey")
-    return distinct_stored(pairs.filter("parent_id % 8 > child_id % 8"), "parent_id", "child_id")
+    sizes = rows.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    number = sizes.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
+    pairs = rows.join(rows.withColumnRenamed("parent_id", "child_id"), "l_orderkey").filter("parent_id % 8 > child_id % 8")
+    return pairs.select("parent_id", "child_id").repartition(number // TASK_ROWS + 1, "parent_id", "child_id").distinct()
 
 
 def realisations(lineitem: DataFrame) -> DataFrame:

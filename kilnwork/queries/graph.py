@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kilnwork.operators import graph as g
+from kilnwork.plans.stored import stored
 from kilnwork.queries.registry import query
 from kilnwork.queries.relational import TERMINAL_SQL, complete, seeds
 
@@ -42,9 +43,10 @@ def _(t):
 
 @query("g2_update_ancestors", _rounded(_paths_sql(False, "CASE WHEN n.is_floating AND n.layer = 1 THEN n.estimate * 9 ELSE n.estimate END")))
 def _(t):
-    old = g.critical_path(t.fx_nodes, t.fx_edges)
+    live = stored(g.live_edges(t.fx_nodes, t.fx_edges))
+    old = g.critical_path(t.fx_nodes, live, exclude_terminal=False)
     changed = t.fx_nodes.filter("is_floating and layer = 1").select("node_id", (F.col("estimate") * 9).alias("estimate"))
-    return g.update_ancestors(t.fx_nodes, t.fx_edges, old, changed).withColumn("value", F.round("value", 4))
+    return g.update_ancestors(t.fx_nodes, live, old, changed, exclude_terminal=False).withColumn("value", F.round("value", 4))
 
 
 SEEDS_SQL = """SELECT path_id FROM fx_paths WHERE manifest_status = 'uploading' OR age_hours <= 2 UNION SELECT path_id FROM fx_pins UNION SELECT path_id FROM fx_paths WHERE source = 'src9'
