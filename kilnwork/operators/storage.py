@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kilnwork.functions.columns import BASE32, digest
 from kilnwork.plans.membership import blocks_for, build_filter, fits_broadcast, possible
-from kilnwork.plans.stored import in_tasks, stored
+from kilnwork.plans.stored import in_tasks, stored, tasks_for
 
 
 @cache
@@ -263,6 +263,27 @@ def dedup_report(entries: DataFrame) -> DataFrame:
     return shared.filter("blobs > 1").select("chunk_id", "blobs", (F.col("all") - F.col("size")).alias("saved_bytes"))
 
 
+def _classes_and_members(entries: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(``blob_id, class_id``; ``chunk_id, class_id, head, n``; tasks): both stored, ``n`` classes hold the chunk and ``head`` is the least.
+
+    Every shuffle deals to the same number of tasks, about a million entries
+    each. Joins hash the side with one row a key and stream the other, so a key
+    of very many rows takes no memory.
+    """
+    tasks = tasks_for(entries)
+    once = entries.select("blob_id", "chunk_id").repartition(tasks, "blob_id", "chunk_id").distinct()
+    held = once.repartition(tasks, "blob_id").groupBy("blob_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("held"))
+    sets = stored(held.select("blob_id", "held", F.unhex(F.sha2(F.array_join("held", ","), 256)).alias("key")))
+    keys = sets.select("blob_id", "key").repartition(tasks, "key")
+    several = keys.groupBy("key").agg(F.min("blob_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    classes = stored(keys.join(several.hint("shuffle_hash"), "key", "left").select("blob_id", F.coalesce("least", "blob_id").alias("class_id")))
+    copies = classes.filter("blob_id <> class_id").select("blob_id").repartition(tasks, "blob_id")
+    kept = sets.filter("blob_id is not null").select("blob_id", "held").repartition(tasks, "blob_id").join(copies.hint("shuffle_hash"), "blob_id", "left_anti")
+    rows = kept.select(F.explode("held").alias("chunk_id"), F.col("blob_id").alias("class_id")).repartition(tasks, "chunk_id")
+    heads = rows.groupBy("chunk_id").agg(F.min("class_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    return classes, stored(rows.join(heads.hint("shuffle_hash"), "chunk_id")), tasks
+
+
 def shared_chunks(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(``blob_id, class_id``; ``chunk_id, class_id``; ``class_id, head, shared``): which blobs share chunks, without pairs.
 
@@ -273,19 +294,13 @@ def shared_chunks(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     by these links. All parts have as many rows as ``entries`` at most, however
     many classes hold a chunk. ``shared_counts`` gives the number of any pair.
     """
-    once = stored(references(entries))
-    sets = once.groupBy("blob_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("chunk_id")), ","), 256).alias("key"))
-    named = sets.groupBy("key").agg(F.min("blob_id").alias("class_id"))
-    classes = sets.join(named, "key").select("blob_id", "class_id")
-    held = once.join(named.select(F.col("class_id").alias("blob_id")), "blob_id", "left_semi").select("chunk_id", F.col("blob_id").alias("class_id"))
-    heads = held.groupBy("chunk_id").agg(F.min("class_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    members = held.join(heads, "chunk_id")
-    links = members.filter("class_id <> head").groupBy("class_id", "head").agg(F.count("*").alias("shared"))
-    return classes, members.select("chunk_id", "class_id"), links
+    classes, members, tasks = _classes_and_members(entries)
+    links = members.filter("class_id <> head").select("class_id", "head").repartition(tasks, "class_id", "head")
+    return classes, members.select("chunk_id", "class_id"), links.groupBy("class_id", "head").agg(F.count("*").alias("shared"))
 
 
-#: Holders of a chunk that one row lists, and pairs of classes that one task counts, about.
-BLOCK, TASK_PAIRS = 1024, 1_000_000
+#: Holders of a chunk that one row lists, pairs of classes that one task counts, and pairs that one task sends there, about.
+BLOCK, TASK_PAIRS, SENT_PAIRS = 1024, 1_000_000, 16_000_000
 
 
 def shared_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -295,17 +310,28 @@ def shared_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     is left out, however many classes hold it. The pairs are the result, so they
     grow with the square of a chunk's classes. Lists of its holders travel, of
     about ``BLOCK`` each, and pairs are formed where all of a class's lists
-    meet, so no pair is shuffled.
+    meet, so no pair is shuffled. A chunk of several lists is dealt by two of
+    them, and a class of more than ``TASK_PAIRS`` pairs by parts of its partners.
     """
-    classes, members, _ = shared_chunks(entries)
-    members = stored(members)
-    sizes = members.groupBy("chunk_id").agg(F.ceil(F.count("*") / BLOCK).alias("__blocks"), (F.count("*") * (F.count("*") - 1) / 2).alias("__pairs"))
-    tasks = int((sizes.agg(F.sum("__pairs")).first()[0] or 0) // TASK_PAIRS) + 1
-    dealt = members.join(sizes.drop("__pairs"), "chunk_id").withColumn("__block", F.pmod(F.xxhash64("class_id"), F.col("__blocks")))
-    lists = dealt.groupBy("chunk_id", "__block").agg(F.collect_list("class_id").alias("__held"))
-    met = members.join(lists, "chunk_id").select(F.col("class_id").alias("a"), F.filter("__held", lambda b: b > F.col("class_id")).alias("__held"))
-    pairs = met.filter(F.size("__held") > 0).repartition(tasks, "a").select("a", F.explode("__held").alias("b"))
-    return classes, pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    classes, members, tasks = _classes_and_members(entries)
+    number = members.agg(F.sum(F.expr("n - 1"))).first()[0] or 0  # each pair of a chunk's classes twice
+    counting, sending = number // (2 * TASK_PAIRS) + 1, max(tasks, number // (2 * SENT_PAIRS) + 1)
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = members.select("chunk_id", "class_id", blocks.alias("blocks"), F.pmod(F.xxhash64("class_id"), blocks).alias("block")).repartition(sending, "chunk_id", "block")
+    lists = dealt.groupBy("chunk_id", "block", "blocks").agg(F.sort_array(F.collect_list("class_id")).alias("held"))
+    within = lists.select("held", F.posexplode("held").alias("at", "a")).select("a", F.slice("held", F.col("at") + 2, F.size("held")).alias("held"))
+    several, places = lists.filter("blocks > 1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = several.select("chunk_id", F.col("block").alias("i"), F.col("held").alias("mine"), places.alias("j")).filter("i <> j")
+    right = several.select("chunk_id", F.col("block").alias("j"), "held", places.alias("i")).filter("i <> j")
+    met = left.repartition(sending, "chunk_id", "i", "j").join(right.repartition(sending, "chunk_id", "i", "j").hint("shuffle_hash"), ["chunk_id", "i", "j"])
+    across = met.select(F.explode("mine").alias("a"), "held").select("a", F.filter("held", lambda b: b > F.col("a")).alias("held"))
+    # classes of very many pairs are fewer than twice the tasks that count
+    wide = members.select(F.col("class_id").alias("a"), "n").repartition(tasks, "a").groupBy("a").agg((F.sum(F.expr("n - 1")) / TASK_PAIRS).cast("long").alias("more")).filter("more > 0")
+    found = within.unionAll(across).filter(F.size("held") > 0).join(F.broadcast(wide), "a", "left").withColumn("more", F.coalesce("more", F.lit(0).cast("long")))
+    parts = found.select("a", "held", "more", F.explode(F.sequence(F.lit(0).cast("long"), F.col("more"))).alias("part"))
+    own = F.when(F.col("more") == 0, F.col("held")).otherwise(F.filter("held", lambda b: F.pmod(F.xxhash64(b), F.col("more") + 1) == F.col("part")))
+    pairs = parts.select("a", "part", own.alias("held")).repartition(counting, "a", "part").select("a", "part", F.explode("held").alias("b"))
+    return classes, pairs.groupBy("a", "part", "b").agg(F.count("*").alias("shared")).select("a", "b", "shared")
 
 
 def shared_counts(members: DataFrame, pairs: DataFrame) -> DataFrame:

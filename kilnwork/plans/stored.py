@@ -73,6 +73,11 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def tasks_for(rows: DataFrame) -> int:
+    """The number of tasks that hold about ``TASK_ROWS`` of ``rows`` each."""
+    return rows.count() // TASK_ROWS + 1
+
+
 def in_tasks(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` dealt by ``keys`` to tasks of about ``TASK_ROWS`` each; the driver sees their number.
 
@@ -80,4 +85,4 @@ def in_tasks(rows: DataFrame, *keys: str) -> DataFrame:
     before the shuffle: a task then holds as many as ever, whatever the size of
     the input's splits.
     """
-    return rows.repartition(rows.count() // TASK_ROWS + 1, *keys)
+    return rows.repartition(tasks_for(rows), *keys)

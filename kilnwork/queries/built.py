@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.plans.stored import TASK_ROWS, in_tasks
+from kilnwork.plans.stored import TASK_ROWS, in_tasks, tasks_for
 
 
 def edges(lineitem: DataFrame) -> DataFrame:
@@ -28,4 +28,13 @@ def realisations(lineitem: DataFrame) -> DataFrame:
     return in_tasks(rows, "key_id", "output_name").groupBy("key_id", "output_name").agg(F.min("l_partkey").alias("path_id"), F.min("l_shipdate").alias("created_at"))
 
 
-BUILT = {"fx_edges": lambda t: edges(t.lineitem), "fx_realisations": lambda t: realisations(t.lineitem)}
+def chunk_entries(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """``blob_id, idx, chunk_id, size``: the lines of known orders; a task hashes its orders and streams their lines."""
+    tasks = tasks_for(lineitem)
+    blobs = orders.select(F.col("o_orderkey").alias("blob_id")).repartition(tasks, "blob_id")
+    size = (F.col("l_quantity").cast("long") * 100).alias("size")
+    lines = lineitem.select(F.col("l_orderkey").alias("blob_id"), F.col("l_linenumber").alias("idx"), F.col("l_partkey").alias("chunk_id"), size).repartition(tasks, "blob_id")
+    return lines.join(blobs.hint("shuffle_hash"), "blob_id")
+
+
+BUILT = {"fx_edges": lambda t: edges(t.lineitem), "fx_chunk_entries": lambda t: chunk_entries(t.orders, t.lineitem), "fx_realisations": lambda t: realisations(t.lineitem)}

@@ -186,3 +186,32 @@ def test_entries_of_manifests_are_dealt_by_their_number(spark, inputs, monkeypat
     monkeypatch.setattr(stored, "TASK_ROWS", 500)
     made = QUERIES["s4_encode_manifest"](spark, inputs.sf_dir)
     assert made.rdd.getNumPartitions() == inputs.fx_chunk_entries.count() // 500 + 1 > 4
+
+
+def test_no_shuffle_of_shared_chunks_follows_the_session(spark, inputs, monkeypatch):
+    """Tasks are as many as entries or pairs need, also for a class that shares chunks with all others."""
+    from kilnwork.plans import stored
+
+    for module, name, value in ((stored, "TASK_ROWS", 100), (s, "BLOCK", 8), (s, "TASK_PAIRS", 150), (s, "SENT_PAIRS", 500)):
+        monkeypatch.setattr(module, name, value, raising=False)
+    held = {0: set(range(1, 61)), **{b: {c for c in range(1, 61) if (b + c) % 3 == 0} | {b + 1000} for b in range(1, 90)}}
+    entries = spark.createDataFrame([(b, c) for b, chunks in held.items() for c in chunks], "blob_id long, chunk_id long")
+    classes, pairs = s.shared_pairs(entries)
+    _, members, links = s.shared_chunks(entries)
+    for made in (classes, pairs, members, links, inputs.fx_chunk_entries):
+        assert "ENSURE_REQUIREMENTS" not in made._jdf.queryExecution().executedPlan().toString()
+    found = pairs.withColumn("task", F.spark_partition_id()).collect()
+    want = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and held[a] & held[b]}
+    assert sorted((r.a, r.b, r.shared) for r in found) == sorted((*k, n) for k, n in want.items())
+    assert len({r.task for r in found if r.a == 0}) > 5
+
+
+def test_chunk_entries_are_those_of_their_sql(spark, inputs):
+    from kilnwork.queries.built import chunk_entries
+    from kilnwork.queries.views import VIEWS
+
+    plain = spark.sql(VIEWS["fx_chunk_entries"].replace("orders", "{o}").replace("lineitem", "{l}"), o=inputs.orders, l=inputs.lineitem)
+    assert inputs.fx_chunk_entries.schema.simpleString() == plain.schema.simpleString()
+    assert sorted(inputs.fx_chunk_entries.collect()) == sorted(plain.collect())
+    known = inputs.orders.filter("o_orderkey % 2 = 0")
+    assert chunk_entries(known, inputs.lineitem).filter("blob_id % 2 = 1").isEmpty()
