@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.llm.batches import text_blocks
-from kilnwork.llm.bpe import Encoder, load_vocabulary
+from kilnwork.llm.bpe import BLOCK_CHARS, Encoder, load_vocabulary
 
 #: Longest sequence, a power of two, and the id that ends a document.
 CONTEXT, END = 4096, 2
@@ -67,7 +67,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, context: int = CONTEXT, end
         encoder = Encoder(shared.value)
         task = TaskContext.get().partitionId()
         used = np.zeros(context.bit_length(), dtype=np.int64)
-        for batch, texts in text_blocks(batches):
+        for batch, texts in text_blocks(batches, chars=BLOCK_CHARS):
             flat, sizes = encoder.encode([t or "" for t in texts])
             document, start, length = binary_pieces(sizes + 1, context)
             bucket = np.log2(length).astype(np.int64)

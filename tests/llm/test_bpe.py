@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,3 +89,62 @@ def test_documents(spark, theirs):
         want = theirs.encode(t or "", add_special_tokens=False).ids
         assert got[d].ids == want and got[d].decoded == theirs.decode(want, skip_special_tokens=False)
     assert bpe.encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_ranks_of_pairs():
+    """Against a dict, on keys that collide in the hash table."""
+    r = random.Random(8)
+    pairs = list({(r.randrange(300), r.randrange(300)) for _ in range(20_000)})
+    keys = np.array([a << 32 | b for a, b in pairs], dtype=np.int64)
+    some = np.zeros(1, dtype=np.int32)
+    vocab = bpe.Vocabulary([], {}, some, some, keys, np.arange(len(keys), dtype=np.int32), "")
+    assert len(np.unique(vocab.slot(keys))) < len(keys)
+    left, right = (x.ravel().astype(np.int32) for x in np.meshgrid(np.arange(300), np.arange(300)))
+    known = {p: i for i, p in enumerate(pairs)}
+    assert vocab.rank(left, right).tolist() == [known.get(p, bpe.NONE) for p in zip(left.tolist(), right.tolist(), strict=True)]
+    none = bpe.Vocabulary([], {}, some, some, keys[:0], some[:0], "")
+    assert none.rank(left, right).tolist() == [bpe.NONE] * len(left)
+
+
+def test_work_follows_distinct_words(theirs, monkeypatch):
+    """Repeated stretches are cut once a block, words merged once, pairs looked up again only beside a merge."""
+    with open(PATH, encoding="utf-8") as f:
+        encoder = bpe.Encoder(bpe.load_vocabulary(f.read()))
+    seen = {"pairs": 0, "cut": 0, "words": []}
+    rank, cut, merge = bpe.Vocabulary.rank, bpe.Encoder.cut, bpe.merge_words
+    monkeypatch.setattr(bpe.Vocabulary, "rank", lambda self, a, b: (seen.update(pairs=seen["pairs"] + len(a)), rank(self, a, b))[1])
+    monkeypatch.setattr(bpe.Encoder, "cut", lambda self, s: (seen.update(cut=seen["cut"] + len(s)), cut(self, s))[1])
+    monkeypatch.setattr(bpe, "merge_words", lambda v, words: (seen["words"].extend(words), merge(v, words))[1])
+    r = random.Random(3)
+    words = list({"".join(r.choice("abcdefghij") for _ in range(30)) for _ in range(500)})
+    texts = [" ".join(r.choice(words) + r.choice(("", ",", "...")) for _ in range(400)) for _ in range(40)]
+    for _ in range(3):
+        flat, _ = encoder.encode(texts)
+    assert flat.tolist() == [i for t in texts for i in theirs.encode(t, add_special_tokens=False).ids]
+    assert len(seen["words"]) == len(set(seen["words"])) == len(words) + 2
+    assert seen["cut"] <= 3 * (3 * len(words) + 1)
+    assert seen["pairs"] < 3 * sum(map(len, seen["words"]))
+
+
+def test_kept_ids_are_bounded(ours, theirs, monkeypatch):
+    """Few but long words fill the store too."""
+    monkeypatch.setattr(bpe, "KEPT_IDS", 1000)
+    for c in "abcdef":
+        check(ours, theirs, f"{c}9!" * 2000 + " " + "".join(map(chr, range(0x4E00, 0x5000))) + c)
+    ours.encode(["a"])
+    assert len(ours.flat) < 1000
+
+
+def test_odd_texts_among_plain_ones(ours, theirs):
+    texts = [*(t or "" for t in ODD), "  spaces at ends\t\n", "plain, text. here", "a\x1fb", "x <|endoftext|>y, z", "", "　", "it's 'tis rock'n'roll' a'S"]
+    for part in (texts, texts[::-1], ["a\x1cb"], ["", " "], []):
+        flat, sizes = ours.encode(part)
+        want = [theirs.encode(t, add_special_tokens=False).ids for t in part]
+        assert flat.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
+
+
+def test_white_space_is_pythons():
+    """Stretches are split by Arrow, and the texts it may not split are those that hold NO_SPACE."""
+    every = [f"a{chr(i)}b" for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    got = pc.utf8_split_whitespace(pa.array(every, pa.large_string())).to_pylist()
+    assert got == [t.split() for t in every]
